@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, sharding, url_filter
+from . import byte_bpe, quality, sharding, url_filter
 
 #: Folder of the public vocabularies; None: the installed package's own.
 TOKENIZERS: str | None = None
@@ -52,5 +52,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_url_filter": op3_url_filter}
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(read(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality}
 ORACLE_SQL: dict[str, str] = {}
