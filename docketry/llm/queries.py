@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, quality, sharding, url_filter
+from . import byte_bpe, packing, quality, sharding, simhash, url_filter
 
 #: Folder of the public vocabularies; None: the installed package's own.
 TOKENIZERS: str | None = None
@@ -57,5 +57,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality}
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_simhash": op6_simhash}
 ORACLE_SQL: dict[str, str] = {}
