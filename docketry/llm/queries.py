@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, quality, secrets, sharding, simhash, url_filter
+from . import byte_bpe, media, packing, quality, secrets, sharding, simhash, url_filter
 
 #: Folder of the public vocabularies; None: the installed package's own.
 TOKENIZERS: str | None = None
@@ -70,5 +70,19 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(found)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets}
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loaded = media.load(media.store(read(spark, sf_dir, "documents")), tensors=False)
+    return loaded.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr(f"substring(payload, -{media.UNIT}, {media.UNIT})")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_media": op8_media}
 ORACLE_SQL: dict[str, str] = {}
