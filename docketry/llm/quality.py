@@ -124,17 +124,20 @@ def rules() -> dict[str, Column]:
 #: Chance of each vote (abstain, good, bad) before learning, for bad and for good documents.
 START = {"bad": (0.4, 0.2, 0.4), "good": (0.25, 0.74, 0.01)}
 #: What keeps the two classes from changing places: a good document gets a bad vote from a rule at most
-#: this often, a bad one at least this often, and a good vote shifts the log odds by one at most.
-FALSE_ALARMS, ALARMS, GOOD_VOTE = 0.002, 0.2, 1.0
+#: this often, a bad one at least and at most this often, and a good vote shifts the log odds by one at most.
+FALSE_ALARMS, ALARMS, MOST_ALARMS, GOOD_VOTE = 0.002, 0.2, 0.6, 1.0
 
 
 def _odds(model: dict) -> list[list[float]]:
-    """By rule, what each vote (abstain, good, bad) adds to the log odds of being good; an abstention adds nothing."""
+    """By rule, what each vote (abstain, good, bad) adds to the log odds of being good.
+
+    That a rule is silent speaks for a document a little, or documents without votes would follow the prior down.
+    """
     out = []
     for good, bad in zip(model["good"], model["bad"]):
-        pro = math.log(good[GOOD] / bad[GOOD])
-        con = math.log(min(good[BAD], FALSE_ALARMS) / max(bad[BAD], ALARMS))
-        out.append([0.0, max(0.0, min(GOOD_VOTE, pro)), con])
+        alarm, false = min(MOST_ALARMS, max(bad[BAD], ALARMS)), min(good[BAD], FALSE_ALARMS)
+        silent = math.log((1 - false) / (1 - alarm))
+        out.append([silent, silent + max(0.0, min(GOOD_VOTE, math.log(good[GOOD] / bad[GOOD]))), math.log(false / alarm)])
     return out
 
 
