@@ -20,6 +20,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,11 @@ from pyspark.sql import functions as F
 from .common import materialise, shuffle_partitions, slices
 
 CAPACITY, END_ID = 4096, 1
-#: Most words whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Most words whose ids a worker remembers, from task to task; frequent words come early, so later ones are not kept.
+REMEMBERED = 800_000
 
 
+@cache
 def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """From texts to packed ids. The vocabulary's pre-tokens never span white space, so words are encoded once and remembered."""
     import tokenizers
@@ -42,14 +44,13 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     known: dict[bytes, bytes] = {}
 
     def encode(texts: list[str]) -> list[bytes]:
-        if len(known) > REMEMBERED:
-            known.clear()
         words = [t.encode().split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in known})
-        for w, e in zip(new, model.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        look = known.__getitem__
-        return [b"".join(map(look, ws)) for ws in words]
+        new = list(set().union(*words).difference(known))
+        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False))}
+        if len(known) + len(fresh) <= REMEMBERED:
+            known.update(fresh)
+            return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        return [b"".join([known[w] if w in known else fresh[w] for w in ws]) for ws in words]
 
     return encode
 
