@@ -1,29 +1,517 @@
-"""All registered queries of the case engine, and the SQL that each must agree with."""
+"""All registered queries of the case engine, and the SQL that each must agree with.
+
+A query is a function (spark, sf_dir) under the name that `query` is given, with its SQL. `c` in the SQL is the
+flat view of cases, which every statement gets as a common table expression.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .functions import html, taxonomy, text
+from .operators import merge, repair, retrieve, stats
+from .plans.case_query import CaseQuery, keyword_union
+from .schemas import CASE_ROWS_SQL, case_rows, read
+from .streaming import ingest
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def case_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cases by dataset within the default scope (finished and pending ones)."""
-    cases = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    status = F.when(F.col("toxic").isNull(), "pending").when(F.col("toxic") == 1, "skipped").when(F.col("quality") == 1, "done").otherwise("failed")
-    scoped = cases.join(labels, "doc_id", "left").withColumn("status", status).filter(F.col("status").isin("done", "pending"))
-    return scoped.groupBy(F.coalesce("lang", F.lit("")).alias("value")).agg(F.count("*").alias("cases"))
+def query(name: str, sql: str | None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = f"WITH c AS ({CASE_ROWS_SQL})\n{sql.strip()}" if " c" in sql else sql.strip()
+        return f
 
+    return register
 
-QUERIES["case_overview"] = case_overview
-ORACLE_SQL["case_overview"] = """
-SELECT coalesce(lang, '') AS value, count(*) AS cases
-FROM documents LEFT JOIN labels USING (doc_id)
-WHERE toxic IS NULL OR (toxic <> 1 AND quality = 1)
-GROUP BY 1
-"""
+
+def on_cases(name: str, sql: str | None, **options) -> Callable:
+    """A query over the flat view of cases."""
+
+    def register(f: Callable[[DataFrame], DataFrame]) -> Query:
+        return query(name, sql)(lambda spark, sf_dir: f(case_rows(spark, sf_dir, **options)))
+
+    return register
+
+
+# --- scans and point reads
+
+SCOPE = "status IN ('done', 'pending')"
+
+
+@on_cases("case_overview", f"SELECT dataset AS value, count(*) AS cases FROM c WHERE {SCOPE} GROUP BY 1")
+def _(c):
+    return CaseQuery().in_default_scope().aggregate(c, "dataset")
+
+
+@on_cases("case_scan", "SELECT dataset, case_id, bureau, date, status, entity_type, quality IS NOT NULL AS has_summary FROM c")
+def _(c):
+    return c.select("dataset", "case_id", "bureau", "date", "status", "entity_type", F.col("quality").isNotNull().alias("has_summary"))
+
+
+@on_cases("entity_fallback", "SELECT case_id, coalesce(nullif(entity_type, ''), nullif(case_type, ''), nullif(bureau, ''), '') AS entity FROM c")
+def _(c):
+    return c.select("case_id", text.first_filled(F.col("entity_type"), F.col("case_type"), F.col("bureau")).alias("entity"))
+
+
+@on_cases("point_get", "SELECT case_id, dataset, date, status FROM c WHERE case_id = 7")
+def _(c):
+    return c.filter("case_id = 7").select("case_id", "dataset", "date", "status")
+
+
+@on_cases("body_get", "SELECT case_id, text FROM c WHERE case_id IN (3, 5)", body=True, summary=False)
+def _(c):
+    return c.filter(F.col("case_id").isin(3, 5)).select("case_id", "text")
+
+
+@on_cases("id_list", "SELECT case_id FROM c WHERE dataset = 'en' AND status IN ('failed', 'skipped')")
+def _(c):
+    return CaseQuery(datasets=("en",), statuses=("failed", "skipped")).filtered(c).select("case_id")
+
+
+@on_cases("distinct_options", "SELECT DISTINCT bureau FROM c WHERE bureau <> ''", summary=False)
+def _(c):
+    return c.select("bureau").distinct().filter("bureau <> ''")
+
+
+@on_cases("short_body_audit", "SELECT dataset, case_id, length(text) AS length FROM c WHERE length(text) < 200", body=True, summary=False)
+def _(c):
+    return repair.short_bodies(c, c.select("dataset", "case_id", F.col("text").alias("raw_text")))
+
+
+@query("missing_summary", "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
+def _(spark, sf):
+    return read(spark, sf, "documents").select("doc_id").join(read(spark, sf, "labels"), "doc_id", "left_anti")
+
+
+@on_cases("missing_field", "SELECT case_id FROM c WHERE trim(coalesce(entity_type, '')) = ''")
+def _(c):
+    return c.filter(repair.blank("entity_type")).select("case_id")
+
+
+@query("latest_tasks", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25")
+def _(spark, sf):
+    newest = read(spark, sf, "orders").filter("o_orderstatus = 'O'").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(25)
+    return newest.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+
+
+@query("log_tail", "SELECT conv_id, turn, role FROM conversations WHERE turn >= 2")
+def _(spark, sf):
+    return read(spark, sf, "conversations").filter("turn >= 2").select("conv_id", "turn", "role")
+
+
+# --- predicates
+
+PREDICATES = {
+    "dataset_in": (CaseQuery(datasets=("de", "fr")), "dataset IN ('de', 'fr')"),
+    "status_in": (CaseQuery(statuses=("done",)), "status = 'done'"),
+    "case_type_in": (CaseQuery(case_types=("penalty", "notice")), "case_type IN ('penalty', 'notice')"),
+    "bureau_in": (CaseQuery(bureaus=("src1", "src2")), "bureau IN ('src1', 'src2')"),
+    "entity_type_in": (CaseQuery(entity_types=("org",)), "entity_type = 'org'"),
+    "date_from": (CaseQuery(date_from="2019-05-01"), "(date = '' OR date >= '2019-05-01')"),
+    "date_to": (CaseQuery(date_to="2019-05-01"), "(date = '' OR date <= '2019-05-01')"),
+    "fund_only": (CaseQuery(fund_only=True), "is_fund_related"),
+    "keyword": (CaseQuery(keyword=" THE "), "contains(lower(title), 'the')"),
+    "keyword_literal": (CaseQuery(keyword="%"), "contains(lower(title), '%')"),
+    "all_filters": (CaseQuery(("en", "es"), ("done", "pending"), ("penalty",), (), (), (), (), "2016-01-01", "2022-12-31", True, "a"), "dataset IN ('en', 'es') AND status IN ('done', 'pending') AND case_type = 'penalty' AND (date = '' OR date BETWEEN '2016-01-01' AND '2022-12-31') AND is_fund_related AND contains(lower(title), 'a')"),
+    "no_filter": (CaseQuery(), "TRUE"),
+}
+for _name, (_query, _where) in PREDICATES.items():
+    on_cases(f"filter_{_name}", f"SELECT dataset, case_id FROM c WHERE {_where}")(lambda c, q=_query: q.filtered(c).select("dataset", "case_id"))
+
+
+@on_cases("title_relevance", "SELECT case_id, CASE WHEN contains(title, 'the') THEN true WHEN contains(title, 'de') THEN false END AS relevant FROM c", summary=False)
+def _(c):
+    return c.select("case_id", F.when(F.col("title").contains("the"), True).when(F.col("title").contains("de"), False).alias("relevant"))
+
+
+@on_cases("non_case_titles", "SELECT case_id FROM c WHERE regexp_matches(title, 'ing|ung')", summary=False)
+def _(c):
+    return c.filter(F.col("title").rlike("ing|ung")).select("case_id")
+
+
+@on_cases("search_page", f"SELECT case_id, date FROM c WHERE {SCOPE} ORDER BY date DESC, case_id DESC LIMIT 20 OFFSET 20")
+def _(c):
+    return CaseQuery(limit=20, offset=20).in_default_scope().search(c).select("case_id", "date")
+
+
+@on_cases("search_by_title", "SELECT case_id, title FROM c WHERE dataset = 'en' ORDER BY title, case_id LIMIT 15")
+def _(c):
+    return CaseQuery(datasets=("en",), order_by="title", descending=False, limit=15).search(c).select("case_id", "title")
+
+
+@on_cases("display_projection", "SELECT case_id, coalesce(nullif(date, ''), '—') AS date, coalesce(nullif(entity_type, ''), '—') AS entity FROM c")
+def _(c):
+    shown = lambda n: F.coalesce(F.nullif(F.col(n), F.lit("")), F.lit("—"))
+    return c.select("case_id", shown("date").alias("date"), shown("entity_type").alias("entity"))
+
+
+# --- tags: the words of part names stand for a multi-value field
+
+TAGS = [taxonomy.Tag("tin", ("TIN",)), taxonomy.Tag("steel", ("STEEL",), {"en": "Steel"}), taxonomy.Tag("green", ("lime",)), taxonomy.Tag("brass", ("BRASS", "COPPER"))]
+TAG_SQL = """CASE WHEN contains(f, 'tin') THEN 'tin' WHEN contains(f, 'steel') THEN 'steel' WHEN contains(f, 'green') THEN 'green' WHEN contains(f, 'brass') THEN 'brass'
+ WHEN contains(f, 'TIN') THEN 'tin' WHEN contains(f, 'STEEL') THEN 'steel' WHEN contains(f, 'lime') THEN 'green' WHEN contains(f, 'BRASS') OR contains(f, 'COPPER') THEN 'brass' ELSE f END"""
+PARTS_SQL = f"SELECT p_partkey, p_brand, f, {TAG_SQL} AS tag FROM (SELECT p_partkey, p_brand, unnest(string_split(replace(p_type || ' ' || p_name, ' ', ','), ',')) AS f FROM part) WHERE trim(f) <> ''"
+
+
+def _parts(spark, sf):
+    return read(spark, sf, "part").withColumn("field", F.replace(F.concat_ws(" ", "p_type", "p_name"), F.lit(" "), F.lit(",")))
+
+
+@query("split_multi_value", "SELECT p_partkey, f AS item, count(*) AS times FROM (" + PARTS_SQL + ") GROUP BY 1, 2")
+def _(spark, sf):
+    return _parts(spark, sf).select("p_partkey", F.explode(text.split_multi(F.col("field"))).alias("item")).groupBy("p_partkey", "item").agg(F.count("*").alias("times"))
+
+
+@query("normalise_tags", "SELECT DISTINCT p_partkey, tag FROM (" + PARTS_SQL + ")")
+def _(spark, sf):
+    return _parts(spark, sf).select("p_partkey", F.explode(taxonomy.normalise(F.col("field"), TAGS)).alias("tag"))
+
+
+@query("canonical_tags", "SELECT DISTINCT p_partkey, tag FROM (" + PARTS_SQL + ") WHERE tag IN ('tin', 'steel', 'green', 'brass')")
+def _(spark, sf):
+    return _parts(spark, sf).select("p_partkey", F.explode(taxonomy.canonical(F.col("field"), TAGS)).alias("tag"))
+
+
+@query("tag_distribution", "SELECT tag AS value, count(DISTINCT p_partkey) AS cases FROM (" + PARTS_SQL + ") WHERE tag IN ('tin', 'steel', 'green', 'brass') GROUP BY 1")
+def _(spark, sf):
+    return stats.tag_counts(_parts(spark, sf), taxonomy.canonical(F.col("field"), TAGS))
+
+
+@query("tag_mentions", "SELECT count(*) AS mentions, count(DISTINCT tag) AS kinds FROM (SELECT DISTINCT p_partkey, tag FROM (" + PARTS_SQL + "))")
+def _(spark, sf):
+    return stats.mention_totals(_parts(spark, sf), taxonomy.normalise(F.col("field"), TAGS))
+
+
+@query("tags_of_one", "SELECT p_partkey, list_sort(list(DISTINCT tag)) AS tags FROM (" + PARTS_SQL + ") WHERE p_partkey <= 20 GROUP BY 1")
+def _(spark, sf):
+    return _parts(spark, sf).filter("p_partkey <= 20").select("p_partkey", F.array_sort(taxonomy.normalise(F.col("field"), TAGS)).alias("tags"))
+
+
+@query("tag_semi_join", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT p_partkey FROM (" + PARTS_SQL + ") WHERE tag IN ('tin', 'steel'))")
+def _(spark, sf):
+    parts = _parts(spark, sf)
+    bridge = parts.select("p_partkey", F.explode(taxonomy.canonical(F.col("field"), TAGS)).alias("tag")).filter(F.col("tag").isin("tin", "steel"))
+    return parts.select("p_partkey").join(bridge, "p_partkey", "left_semi")
+
+
+@query("punishment_category", "SELECT CASE WHEN contains(p_type, 'STEEL') OR contains(p_type, 'TIN') THEN 'metal' WHEN contains(p_type, 'BRASS') THEN 'alloy' ELSE 'other' END AS value, count(*) AS cases FROM part GROUP BY 1")
+def _(spark, sf):
+    kinds = [("metal", ("STEEL", "TIN")), ("alloy", ("BRASS",))]
+    return read(spark, sf, "part").groupBy(taxonomy.category(F.col("p_type"), kinds).alias("value")).agg(F.count("*").alias("cases"))
+
+
+# --- joins
+
+@query("left_join", "SELECT doc_id, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)")
+def _(spark, sf):
+    return read(spark, sf, "documents").select("doc_id").join(read(spark, sf, "labels"), "doc_id", "left")
+
+
+@query("inner_join_lookup", "SELECT r_name, n_name, count(*) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
+def _(spark, sf):
+    joined = read(spark, sf, "supplier").join(read(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return joined.groupBy("r_name", "n_name").agg(F.count("*").alias("suppliers"))
+
+
+@query("semi_join", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def _(spark, sf):
+    return read(spark, sf, "customer").select("c_custkey").join(read(spark, sf, "orders").filter("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+
+
+@query("anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def _(spark, sf):
+    return read(spark, sf, "customer").select("c_custkey").join(read(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+
+
+@on_cases("fetch_plan", "SELECT dataset, case_id FROM c WHERE n_chars >= 200 OR status = 'skipped'")
+def _(c):
+    return merge.to_fetch(c, c.filter("n_chars >= 200"), c.filter("status = 'skipped'"))
+
+
+@query("fuzzy_name_match", """
+SELECT s_suppkey, n_name FROM (SELECT s_suppkey, n_name, row_number() OVER (PARTITION BY s_suppkey ORDER BY (s_name || ' ' || m.n_name = n.n_name) DESC, n.n_nationkey) AS k
+FROM (SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey) m JOIN (SELECT n_nationkey, n_name FROM nation) n ON contains(s_name || ' ' || m.n_name, n.n_name) OR contains(n.n_name, s_name || ' ' || m.n_name)) WHERE k = 1
+""".replace("SELECT s_suppkey, n_name, row_number()", "SELECT s_suppkey, n.n_name AS n_name, row_number()"))
+def _(spark, sf):
+    nation = read(spark, sf, "nation")
+    named = read(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat_ws(" ", "s_name", "n_name").alias("name"))
+    small = nation.select("n_nationkey", F.col("n_name").alias("known"))  # a dimension of fixed size
+    hits = named.join(F.broadcast(small), F.col("name").contains(F.col("known")) | F.col("known").contains(F.col("name")))
+    order = Window.partitionBy("s_suppkey").orderBy(F.desc(F.col("name") == F.col("known")), "n_nationkey")
+    return hits.withColumn("k", F.row_number().over(order)).filter("k = 1").select("s_suppkey", F.col("known").alias("n_name"))
+
+
+# --- aggregates
+
+@on_cases("count_cases", f"SELECT count(*) AS cases FROM c WHERE {SCOPE}")
+def _(c):
+    return CaseQuery(limit=5).in_default_scope().count(c)
+
+
+for _dim in ("dataset", "status", "case_type", "bureau", "entity_type", "date"):
+    on_cases(f"aggregate_{_dim}", f"SELECT coalesce({_dim}, '') AS value, count(*) AS cases FROM c GROUP BY 1")(lambda c, d=_dim: CaseQuery().aggregate(c, d))
+
+for _n, _label in ((7, "month"), (4, "year")):
+    on_cases(f"trend_{_label}", f"SELECT substr(date, 1, {_n}) AS period, count(*) AS cases, count(*) FILTER (entity_type = 'org') AS orgs, count(*) FILTER (entity_type = 'person') AS persons FROM c WHERE length(date) >= {_n} GROUP BY 1")(
+        lambda c, n=_n: stats.trend(c, n, F.col("entity_type") == "org", F.col("entity_type") == "person")
+    )
+
+
+@query("order_trend", "SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) AS cases, count(*) FILTER (o_orderstatus = 'F') AS orgs, count(*) FILTER (o_orderstatus = 'O') AS persons FROM orders GROUP BY 1")
+def _(spark, sf):
+    rows = read(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), "o_orderstatus")
+    return stats.trend(rows, 7, F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "O")
+
+
+@on_cases("date_range", "SELECT min(date) AS first, max(date) AS last FROM c WHERE date <> ''", summary=False)
+def _(c):
+    return stats.date_range(c)
+
+
+@on_cases("totals", "SELECT dataset || '.' || status AS key, count(*) AS cases FROM c GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM c")
+def _(c):
+    return stats.totals(c)
+
+
+@on_cases("basic_stats", "SELECT count(*) AS total, count(*) FILTER (entity_type = 'org') AS orgs, count(*) FILTER (entity_type = 'person') AS persons, count(*) FILTER (entity_type IS NULL) AS unknown, min(nullif(date, '')) AS first, max(nullif(date, '')) AS last FROM c")
+def _(c):
+    return stats.basic(c)
+
+
+@on_cases("entity_comparison", """
+SELECT entity_type, value, cases, rank FROM (SELECT *, row_number() OVER (PARTITION BY entity_type ORDER BY cases DESC, value) AS rank
+FROM (SELECT entity_type, bureau AS value, count(*) AS cases FROM c WHERE entity_type IS NOT NULL GROUP BY 1, 2)) WHERE rank <= 10""")
+def _(c):
+    counts = c.filter("entity_type is not null").groupBy("entity_type", F.col("bureau").alias("value")).agg(F.count("*").alias("cases"))
+    return stats.numbered(counts, 10, ("entity_type",))
+
+
+@on_cases("bureau_top", "SELECT bureau AS value, count(*) AS cases FROM c WHERE bureau <> '' GROUP BY 1 ORDER BY cases DESC, value LIMIT 15", summary=False)
+def _(c):
+    return stats.ranked(stats.distribution(c, "bureau", keep_blank=False), 15)
+
+
+@on_cases("overview_bundle", " UNION ALL ".join(f"SELECT '{d}' AS dimension, coalesce({d}, '') AS value, count(*) AS cases FROM c GROUP BY 2" for d in ("dataset", "status", "bureau", "entity_type")) + " UNION ALL SELECT 'total', '', count(*) FROM c")
+def _(c):
+    return stats.overview(c, ["dataset", "status", "bureau", "entity_type"])
+
+
+@on_cases("year_month_pivot", "SELECT substr(date, 1, 4) AS year, " + ", ".join(f"count(*) FILTER (substr(date, 6, 2) = '{m:02d}') AS \"{m}\"" for m in range(1, 13)) + " FROM c WHERE length(date) >= 7 GROUP BY 1", summary=False)
+def _(c):
+    return stats.pivot_months(c)
+
+
+@on_cases("melted_trend", "SELECT period, measure, \"count\" FROM (SELECT substr(date, 1, 4) AS period, count(*) FILTER (entity_type = 'org') AS orgs, count(*) FILTER (entity_type = 'person') AS persons FROM c WHERE date <> '' GROUP BY 1) UNPIVOT (\"count\" FOR measure IN (orgs, persons))")
+def _(c):
+    yearly = stats.trend(c, 4, F.col("entity_type") == "org", F.col("entity_type") == "person")
+    return stats.melt(yearly, ["period"], ["orgs", "persons"])
+
+
+@on_cases("annualised", "SELECT period, cases, CASE WHEN period = '2023' THEN CAST(round_even(cases * 365.0 / 200, 0) AS BIGINT) ELSE cases END AS projected FROM (SELECT substr(date, 1, 4) AS period, count(*) AS cases FROM c WHERE date <> '' GROUP BY 1)", summary=False)
+def _(c):
+    yearly = c.filter("date <> ''").groupBy(F.substring("date", 1, 4).alias("period")).agg(F.count("*").alias("cases"))
+    return stats.annualised(yearly, 2023, 200, 365)
+
+
+@on_cases("shares", "SELECT value, cases, printf('%.1f', 100.0 * cases / sum(cases) OVER ()) AS share FROM (SELECT status AS value, count(*) AS cases FROM c GROUP BY 1)")
+def _(c):
+    return stats.shares(stats.distribution(c, "status"))
+
+
+@on_cases("comparison_matrix", """
+SELECT coalesce(x.value, y.value) AS value, coalesce(x.cases, 0) AS a, coalesce(y.cases, 0) AS b
+FROM (SELECT bureau AS value, count(*) AS cases FROM c WHERE entity_type = 'org' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10) x
+FULL JOIN (SELECT bureau AS value, count(*) AS cases FROM c WHERE entity_type = 'person' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10) y ON x.value = y.value""")
+def _(c):
+    top = lambda kind: stats.ranked(stats.distribution(c.filter(F.col("entity_type") == kind), "bureau"), 10)
+    return stats.comparison(top("org"), top("person"))
+
+
+@on_cases("representatives", """
+SELECT dataset, case_id, rank FROM (SELECT dataset, case_id, row_number() OVER (PARTITION BY dataset ORDER BY length(text) DESC, date DESC, case_id DESC) AS rank FROM c) WHERE rank <= 2""", body=True, summary=False)
+def _(c):
+    return stats.representatives(c, "dataset", "text").select("dataset", "case_id", "rank")
+
+
+@on_cases("quality_counters", """
+SELECT rule, count(*) AS cases, (list_sort(list(case_id)))[1:8] AS samples FROM (
+SELECT 'undated' AS rule, case_id FROM c WHERE date = '' UNION ALL SELECT 'short', case_id FROM c WHERE n_chars < 200 UNION ALL SELECT 'no_entity', case_id FROM c WHERE entity_type IS NULL) GROUP BY 1""")
+def _(c):
+    return stats.quality_counters(c, {"undated": F.col("date") == "", "short": F.col("n_chars") < 200, "no_entity": F.col("entity_type").isNull()})
+
+
+@query("retention", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' OR o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50)")
+def _(spark, sf):
+    tasks = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("seq"))
+    return merge.retain(tasks, ("F",), 50).select(F.col("id").alias("o_orderkey"))
+
+
+@query("log_numbering", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq FROM conversations")
+def _(spark, sf):
+    log = spark.createDataFrame([], "task_id string, seq long, level string, message string, created_at string, at long")
+    lines = read(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("task_id"), F.lit("info").alias("level"), F.lit("").alias("message"), F.lit("").alias("created_at"), F.col("turn").alias("at"))
+    return merge.append_log(log, lines).select(F.col("task_id").cast("long").alias("conv_id"), F.col("at").alias("turn"), "seq")
+
+
+# --- sets
+
+@on_cases("keyword_union", """
+SELECT case_id, date FROM (SELECT DISTINCT case_id, date FROM ((SELECT case_id, date, dataset FROM c WHERE contains(lower(title), 'the') ORDER BY date DESC, case_id DESC, dataset DESC LIMIT 30)
+UNION ALL (SELECT case_id, date, dataset FROM c WHERE contains(lower(title), 'er') ORDER BY date DESC, case_id DESC, dataset DESC LIMIT 30))) ORDER BY date DESC, case_id DESC LIMIT 30""", summary=False)
+def _(c):
+    return keyword_union(c, ["the", "er"], 30).select("case_id", "date")
+
+
+@query("distinct_texts", "SELECT count(*) AS texts FROM (SELECT DISTINCT text FROM documents)")
+def _(spark, sf):
+    return read(spark, sf, "documents").select("text").distinct().agg(F.count("*").alias("texts"))
+
+
+@query("key_union", "SELECT doc_id FROM labels WHERE toxic = 1 UNION SELECT doc_id FROM labels WHERE quality = 0")
+def _(spark, sf):
+    labels = read(spark, sf, "labels")
+    return labels.filter("toxic = 1").select("doc_id").union(labels.filter("quality = 0").select("doc_id")).distinct()
+
+
+@query("page_is_known", "SELECT count(*) = 0 AS known FROM pages ANTI JOIN documents ON page_id = doc_id")
+def _(spark, sf):
+    new = read(spark, sf, "pages").join(read(spark, sf, "documents"), F.col("page_id") == F.col("doc_id"), "left_anti")
+    return new.agg((F.count("*") == 0).alias("known"))
+
+
+@query("merged_options", "SELECT 'ECONOMY' AS value UNION SELECT string_split(p_type, ' ')[1] FROM part")
+def _(spark, sf):
+    known = spark.createDataFrame([("ECONOMY", 1)], "value string, position int")
+    return stats.options(known, stats.distribution(read(spark, sf, "part").select(F.split("p_type", " ")[0].alias("kind")), "kind"))
+
+
+# --- scalar functions over derived texts
+
+@query("date_in_text", "SELECT doc_id, CAST(TRY_CAST(printf('%04d-%02d-%02d', 2020, 1 + doc_id % 13, 1 + doc_id % 31) AS DATE) AS VARCHAR) AS day FROM documents")
+def _(spark, sf):
+    words = F.format_string("on 2020 - %d - %d we met", (1 + F.col("doc_id") % 13).cast("int"), (1 + F.col("doc_id") % 31).cast("int"))
+    return read(spark, sf, "documents").select("doc_id", text.date_in(words).cast("string").alias("day"))
+
+
+@query("sign_off_date", "SELECT doc_id, CASE WHEN TRY_CAST(printf('2021-%02d-%02d', 1 + doc_id % 13, 1 + doc_id % 31) AS DATE) IS NULL THEN '' ELSE printf('2021-%02d-%02d', 1 + doc_id % 13, 1 + doc_id % 31) END AS day FROM documents")
+def _(spark, sf):
+    signed = F.concat(F.substring("text", 1, 300), F.format_string("。2021年%d月%d日", (1 + F.col("doc_id") % 13).cast("int"), (1 + F.col("doc_id") % 31).cast("int")))
+    return read(spark, sf, "documents").select("doc_id", text.sign_off_date(signed).alias("day"))
+
+
+@query("previous_quarter", "SELECT o_orderkey, strftime(date_trunc('quarter', o_orderdate - INTERVAL 3 MONTH), '%Y-%m-%d') AS first, year(o_orderdate - INTERVAL 3 MONTH) || 'Q' || quarter(o_orderdate - INTERVAL 3 MONTH) AS label FROM orders")
+def _(spark, sf):
+    quarter = text.quarter_before(F.col("o_orderdate").cast("date"))
+    return read(spark, sf, "orders").select("o_orderkey", quarter["first"].cast("string").alias("first"), quarter["label"].alias("label"))
+
+
+@query("case_ids_from_urls", r"SELECT page_id, substr(regexp_replace(regexp_extract(url, '[^/]*$'), '[^a-zA-Z0-9]', '_', 'g'), 1, 60) AS case_id FROM pages")
+def _(spark, sf):
+    return read(spark, sf, "pages").select("page_id", text.case_id_from_url(F.col("url")).alias("case_id"))
+
+
+@query("document_numbers", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE '沪〔' || (2010 + doc_id % 15) || '〕' || (1 + doc_id % 900) || '号' END AS number FROM documents")
+def _(spark, sf):
+    title = F.when(F.col("doc_id") % 3 == 0, "x").otherwise(F.concat(F.lit("see 沪〔"), (2010 + F.col("doc_id") % 15).cast("string"), F.lit("〕"), (1 + F.col("doc_id") % 900).cast("string"), F.lit("号 now")))
+    return read(spark, sf, "documents").select("doc_id", text.document_number(title, F.lit("")).alias("number"))
+
+
+@query("clipped_text", "SELECT doc_id, CASE WHEN length(t) > 80 THEN substr(t, 1, 79) || '…' ELSE t END AS clipped FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)")
+def _(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", text.clip(F.col("text"), 80).alias("clipped"))
+
+
+@query("json_field", "SELECT event_id, CAST(props AS JSON)->>'k' AS k FROM events")
+def _(spark, sf):
+    return read(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("json_export", "SELECT count(*) AS n, sum(length(j)) AS chars FROM (SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS j FROM region)")
+def _(spark, sf):
+    return read(spark, sf, "region").select(F.length(F.to_json(F.struct("r_regionkey", "r_name"))).alias("chars")).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+
+
+@query("clamped_numbers", "SELECT s_suppkey, CAST(least(greatest(round(s_acctbal / 100), 1), 40) AS INTEGER) AS n FROM supplier")
+def _(spark, sf):
+    return read(spark, sf, "supplier").select("s_suppkey", text.clamp(F.round(F.col("s_acctbal") / 100).cast("int").cast("string")).alias("n"))
+
+
+@query("html_escaped", "SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM documents")
+def _(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", text.html_escape(F.col("text")).alias("escaped"))
+
+
+@query("readable_share", "SELECT doc_id, round(length(regexp_replace(substr(text, 1, 4000), '[^\\p{L}\\p{N}\\p{P}\\s]', '', 'g')) / greatest(length(substr(text, 1, 4000)), 1), 6) AS share FROM documents")
+def _(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.round(text.readable_share(F.col("text")), 6).alias("share"))
+
+
+# --- writes, repair, retrieval
+
+@on_cases("upsert_lattice", """
+SELECT case_id, CASE WHEN case_id % 5 <> 0 THEN status WHEN status IN ('done', 'skipped') THEN status ELSE 'pending' END AS status, CASE WHEN case_id % 5 = 0 THEN '' ELSE title END AS title FROM c""")
+def _(c):
+    target = c.select("dataset", "case_id", "status", "title")
+    source = target.filter("case_id % 5 = 0").select("dataset", "case_id", F.lit("pending").alias("status"), F.lit("").alias("title"))
+    return merge.upsert(target, source).select("case_id", "status", "title")
+
+
+@on_cases("fill_blank_field", "SELECT case_id, CASE WHEN case_type = '' THEN 'x' || (case_id % 7) ELSE case_type END AS case_type FROM c", summary=False)
+def _(c):
+    values = c.select("dataset", "case_id", F.concat(F.lit("x"), (F.col("case_id") % 7).cast("string")).alias("case_type"))
+    return merge.fill(c.select("dataset", "case_id", "case_type"), values, "case_type").select("case_id", "case_type")
+
+
+@on_cases("cascade_delete", "SELECT case_id FROM c WHERE NOT (status = 'failed')")
+def _(c):
+    return merge.delete(c, c.filter("status = 'failed'")).select("case_id")
+
+
+@on_cases("summary_candidates", "SELECT case_id FROM c WHERE status IN ('pending', 'failed')")
+def _(c):
+    return repair.candidates(c).select("case_id")
+
+
+@on_cases("ingest_outcome", "SELECT outcome, count(*) AS cases FROM (SELECT CASE WHEN NOT is_fund_related THEN 'skipped_title' WHEN is_fund_related IS NULL AND NOT contains(text, 'fund') THEN 'skipped_content' ELSE 'success' END AS outcome FROM c) GROUP BY 1", body=True, summary=False)
+def _(c):
+    rows = c.withColumnsRenamed({"is_fund_related": "title_relevant", "text": "raw_text"})
+    return repair.classify(rows).groupBy("outcome").agg(F.count("*").alias("cases"))
+
+
+@on_cases("next_fetch_range", "SELECT dataset, CAST(max(CAST(nullif(date, '') AS DATE)) - 7 AS VARCHAR) AS start, '2024-01-01' AS stop FROM c GROUP BY 1", summary=False)
+def _(c):
+    out = ingest.fetch_range(c, date(2020, 1, 1), date(2024, 1, 1))
+    return out.select("dataset", F.col("start").cast("string").alias("start"), F.col("stop").cast("string").alias("stop"))
+
+
+@on_cases("retrieved", f"SELECT case_id FROM c WHERE {SCOPE} AND dataset = 'en' AND (date = '' OR date >= '2018-01-01') AND contains(lower(title), 'the') ORDER BY date DESC, case_id DESC LIMIT 12")
+def _(c):
+    return retrieve.retrieve(c, retrieve.Intent(keywords=("the",), datasets=("en",), date_from="2018-01-01", limit=12)).rows.select("case_id")
+
+
+@on_cases("evidence_numbers", f"SELECT row_number() OVER (ORDER BY date DESC, case_id DESC) AS n, case_id FROM (SELECT * FROM c WHERE {SCOPE} ORDER BY date DESC, case_id DESC LIMIT 15)")
+def _(c):
+    rows = CaseQuery(limit=15).in_default_scope().search(c)
+    return retrieve.evidence(rows).select(F.col("n"), F.regexp_extract("text", r"- id: (\d+)", 1).cast("long").alias("case_id"))
+
+
+# --- pages and streams
+
+@query("page_facts", None)
+def _(spark, sf):
+    return html.page_facts(read(spark, sf, "pages")).select("page_id", "title", F.length("main_text").alias("chars"), F.size("items").alias("links"), "attachment", "soft_404")
+
+
+@query("streamed_days", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events GROUP BY 1, 2 HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+def _(spark, sf):
+    events = ingest.daily(ingest.deduplicated(ingest.read_events(spark, sf)))
+    return ingest.drain(events).select("day", "event_type", "events")
