@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import id_bucket, materialise, slices
@@ -37,7 +37,7 @@ END = b""
 HEAD, UNITS, BINS = 50_000, 512, 96
 CONTEXT, WIDTH = 3, 24
 #: Noise words a minibatch, tokens a minibatch, step size.
-NOISE, BATCH, RATE = 48, 2048, 0.08
+NOISE, BATCH, RATE = 48, 1024, 0.1
 #: Words that a task counts before it hands counts on.
 COUNTED = 200_000
 
@@ -112,6 +112,8 @@ def vocabulary(counts: DataFrame, head: int = HEAD, units: int = UNITS, bins: in
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count_if(F.col("c") > 0).alias("kinds")).first()
     least = head_threshold(counts, head)
     rows = sorted(counts.filter((F.col("n") >= least) | (F.col("word") == "")).collect(), key=lambda r: (-r.c, r.word))  # `head` and one at most
+    if not any(r.word == "" for r in rows):  # there is no document at all
+        rows.append(Row(word="", c=0, n=0))
     alone = min(units - bins - 2, len(rows))
     c = np.array([r.c for r in rows], "int64")
     # The end token and the most frequent words are units; later ones share bins of equal numbers of occurrences.
@@ -194,7 +196,7 @@ class Trainer:
     def __init__(self, model: LogBilinear, mass: np.ndarray):
         self.model, self.noise_log = model, np.log(NOISE * mass / mass.sum()).astype("float32")
         self.cut = np.cumsum(mass / mass.sum())
-        self.squares = [np.full_like(a, 1e-2) for a in model.arrays()]
+        self.squares = [np.full_like(a, 1e-8) for a in model.arrays()]
         self.rng, self.tokens = np.random.default_rng(5), 0
 
     def learn(self, context: np.ndarray, target: np.ndarray) -> None:

@@ -11,8 +11,8 @@ template with few labels to its host's share, and a host with few labels to the
 Labels are what the rules say about the urls they fit, or any boolean column of the caller's (true: bad).
 
 Defined cases: a null url, or one without `://`, has an empty host and path; rows with equal ids or urls
-are judged each for itself; a host without labels follows the share of all labels and is only blocked
-when that reaches the threshold; an empty table gives an empty result.
+are judged each for itself; a template without any labelled url is allowed; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -122,8 +122,8 @@ def learn_templates(urls: DataFrame) -> DataFrame:
     groups = nodes.groupBy("host", "merged", "suffix").agg(F.sum("bad").alias("_b"), F.sum("labelled").alias("_l"))
     prior = (F.col("_hb") + HOST_SMOOTHING * share_of_all) / (F.col("_hl") + HOST_SMOOTHING)
     purity = (F.col("_b") + SMOOTHING * prior) / (F.col("_l") + SMOOTHING)
-    judged = groups.join(hosts, "host").select("host", "merged", "suffix", purity.alias("purity"))
-    return nodes.join(judged, ["host", "merged", "suffix"]).select("host", "shape", F.concat_ws("/", "merged", "suffix").alias("template"), "purity", F.when(F.col("purity") >= REJECT_AT, "block").otherwise("allow").alias("learned"))
+    judged = groups.join(hosts, "host").select("host", "merged", "suffix", "_l", purity.alias("purity"))
+    return nodes.join(judged, ["host", "merged", "suffix"]).select("host", "shape", F.concat_ws("/", "merged", "suffix").alias("template"), "purity", F.when((F.col("_l") > 0) & (F.col("purity") >= REJECT_AT), "block").otherwise("allow").alias("learned"))
 
 
 def judge_urls(df: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", bad_col: str | None = None) -> DataFrame:
