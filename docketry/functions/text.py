@@ -19,7 +19,7 @@ text_or_empty = lambda c: F.coalesce(c, F.lit(""))
 
 def split_multi(c: Column) -> Column:
     """Parts of a multi-value field, trimmed, without blanks; null gives no parts."""
-    return F.filter(F.transform(F.split(text_or_empty(c), f"[{DELIMITERS}]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text_or_empty(c), f"[{DELIMITERS}]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def ordered_unique(parts: Column) -> Column:

@@ -75,12 +75,17 @@ def repair(rows: DataFrame) -> DataFrame:
     """rows after all passes, each seeing the ones before, with the names of those that changed something."""
     out = rows.withColumn("repairs", F.array().cast("array<string>"))
     for p in passes():
-        hit = F.coalesce(p.applies, F.lit(False))
-        out = out.withColumn("_hit", hit).withColumn(p.column, F.when(F.col("_hit"), p.value).otherwise(F.col(p.column)))
-        out = out.withColumn("repairs", F.when(F.col("_hit"), F.array_append("repairs", F.lit(p.name))).otherwise(F.col("repairs"))).drop("_hit")
+        out = _settled(out.withColumn("_hit", F.coalesce(p.applies, F.lit(False))).withColumn("_value", p.value))
+        out = out.withColumn(p.column, F.when(F.col("_hit"), F.col("_value")).otherwise(F.col(p.column)))
+        out = out.withColumn("repairs", F.when(F.col("_hit"), F.array_append("repairs", F.lit(p.name))).otherwise(F.col("repairs"))).drop("_hit", "_value")
     return out
 
 
+def _settled(rows: DataFrame) -> DataFrame:
+    """The same rows behind a generator of one row each: the optimiser would otherwise put each pass's expressions into all later ones."""
+    return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("_r")).select("_r.*")
+
+
 def dry_run(rows: DataFrame) -> DataFrame:
     """How often each pass would apply to the rows as they are: name, candidates."""
     counts = rows.agg(*[F.count_if(F.coalesce(p.applies, F.lit(False))).alias(p.name) for p in passes()])
