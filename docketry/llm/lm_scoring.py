@@ -71,6 +71,13 @@ def word_counts(df: DataFrame) -> DataFrame:
     return df.select("text", "held_out").mapInArrow(run, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
+class Places(dict):
+    """Places of words in the head; -1 for words outside it."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 @dataclass
 class Vocabulary:
     """What every task knows: the head's words with counts and units, and the mass of each unit."""
@@ -88,8 +95,7 @@ class Vocabulary:
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Places in the head, -1 for others."""
-        get = self.index.get
-        return np.fromiter((get(w, -1) for w in words), "int64", len(words))
+        return np.fromiter(map(self.index.__getitem__, words), "int64", len(words))
 
     def units(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids < 0, self.rare, self.unit[ids])
@@ -136,7 +142,7 @@ def vocabulary(counts: DataFrame, head: int = HEAD, units: int = UNITS, bins: in
     unit[c == 0] = rare
     mass = np.bincount(unit, weights=np.where(c > 0, c + 0.5, 0.0), minlength=rare + 1)
     mass[rare] = max(0.5, total.tokens + 0.5 * (total.kinds + 1) - mass[:rare].sum())
-    return Vocabulary({r.word.encode(): i for i, r in enumerate(rows)}, c, unit, np.maximum(mass, 1e-9), total.tokens, total.kinds), least
+    return Vocabulary(Places((r.word.encode(), i) for i, r in enumerate(rows)), c, unit, np.maximum(mass, 1e-9), total.tokens, total.kinds), least
 
 
 @dataclass
@@ -156,18 +162,19 @@ class LogBilinear:
     def arrays(self) -> list[np.ndarray]:
         return [self.r, self.q, self.b, self.w]
 
-    def predicted(self, context: np.ndarray) -> np.ndarray:
-        """The vector that each row of context units predicts."""
-        return sum(self.r[context[:, k]] * self.w[k] for k in range(CONTEXT))
-
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log probability of each target unit, normalised over all units."""
-        out = np.empty(len(target))
-        for start in range(0, len(target), 4096):
-            part = slice(start, start + 4096)
-            s = self.predicted(context[part]) @ self.q.T + self.b
-            top = s.max(1, keepdims=True)
-            out[part] = s[np.arange(len(s)), target[part]] - top[:, 0] - np.log(np.exp(s - top).sum(1))
+        """Natural log probability of each target unit, normalised over all units; in products small enough for a core's cache."""
+        out, weighted, q = np.empty(len(target)), [self.r * w for w in self.w], np.ascontiguousarray(self.q.T)
+        for start in range(0, len(target), 512):
+            part = slice(start, start + 512)
+            s = sum(v[context[part, k]] for k, v in enumerate(weighted)) @ q
+            s += self.b
+            own = s[np.arange(len(s)), target[part]]
+            if np.abs(s).max() > 60:  # else no exponential overflows, nor do they all vanish
+                top = s.max(1, keepdims=True)
+                s -= top
+                own -= top[:, 0]
+            out[part] = own - np.log(np.exp(s, out=s).sum(1))
         return out
 
 
@@ -184,6 +191,7 @@ def contexts(units: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
 def _add_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sums of rows by at."""
     out = np.zeros((n, *rows.shape[1:]), "float32")
+    at = at.astype("int16")  # units are few, and short integers sort faster
     order = np.argsort(at, kind="stable")
     first = np.flatnonzero(np.concatenate(([True], np.diff(at[order]) != 0)))
     out[at[order][first]] = np.add.reduceat(rows[order], first, axis=0)
@@ -213,11 +221,11 @@ class Trainer:
         true = 1 - sigma((h * m.q[target]).sum(1) + m.b[target] - self.noise_log[target])
         false = -sigma(h @ m.q[noise].T + m.b[noise] - self.noise_log[noise])
         slope_h = true[:, None] * m.q[target] + false @ m.q[noise]
-        slope_q = _add_rows(target, true[:, None] * h, n)
+        slopes = _add_rows(target, np.column_stack([true[:, None] * h, true]), n)
+        slope_q, slope_b = slopes[:, :-1].copy(), slopes[:, -1].copy()
         np.add.at(slope_q, noise, false.T @ h)
-        slope_b = np.bincount(target, true, n).astype("float32")
         np.add.at(slope_b, noise, false.sum(0))
-        slope_r = sum(_add_rows(context[:, k], slope_h * m.w[k], n) for k in range(CONTEXT))
+        slope_r = _add_rows(context.T.reshape(-1), np.concatenate([slope_h * w for w in m.w]), n)
         slope_w = np.stack([(slope_h * v).sum(0) for v in vectors])
         for array, square, slope in zip(m.arrays(), self.squares, (slope_r, slope_q, slope_b, slope_w)):
             slope = slope / len(target)
