@@ -17,6 +17,7 @@ import base64
 import heapq
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from .common import materialise, slices
 CHUNK, OVERLAP = 32_768, 1_024
 #: A boundary this near to a chunk's end may still move, as the pattern looks a few characters ahead.
 AHEAD = 4
-#: Most pre-tokens whose ids a worker remembers.
-REMEMBERED = 200_000
+#: Most pre-tokens whose ids a worker remembers, from task to task; frequent ones come early, so later ones are not kept.
+REMEMBERED = 600_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -80,13 +81,12 @@ class Remembered(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(piece) <= 64:
+        if len(self) < REMEMBERED and len(piece) <= 64:
             self[piece] = ids
         return ids
 
 
+@cache
 def encoder(path: str, pattern: str) -> Callable[[str], bytes]:
     """A function from text to packed ids."""
     find, known = regex.compile(pattern).findall, Remembered(load_ranks(path))
