@@ -39,7 +39,7 @@ CONTEXT, WIDTH = 3, 24
 #: Noise words a minibatch, tokens a minibatch, step size.
 NOISE, BATCH, RATE = 48, 1024, 0.1
 #: Words that a task counts before it hands counts on.
-COUNTED = 200_000
+COUNTED = 500_000
 
 
 def words_of(text: str | None) -> list[bytes]:
