@@ -4,15 +4,16 @@ Paths become templates in two steps. Segments that are variable by their look (n
 dates) become typed wildcards at once, after which a host has few distinct templates however many
 urls it has. Then, level by level below each node of a host's tree, literal segments become `*`
 where a node has too many different ones. Sibling branches whose subtrees look alike (the same
-suffixes with near-equal shares, and labels that do not contradict) are merged. A template is rejected
-when the smoothed share of bad labels among its labelled urls is high; the smoothing pulls a
-template with few labels to its host's share, and a host with few labels to the share of all.
+suffixes with near-equal shares, whatever their labels) are merged, so that branches without labels share
+those of the branches they are like. A template is rejected when the smoothed share of bad labels among
+its labelled urls is high; the smoothing pulls a template with few labels or none to its host's share, and a
+host with few labels or none to the share of all.
 
 Labels are what the rules say about the urls they fit, or any boolean column of the caller's (true: bad).
 
 Defined cases: a null url, or one without `://`, has an empty host and path; rows with equal ids or urls
-are judged each for itself; a template without any labelled url is allowed; an empty table gives an
-empty result.
+are judged each for itself; a template without any labelled url is rejected only above the limit; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import ascii_lower, materialise
 MAX_DEPTH = 6
 #: A node with more different segments than this, or with this share of different ones, is variable.
 MAX_CHILDREN, VARIABLE_SHARE, VARIABLE_LEAST = 24, 0.5, 12
+#: Least common share of two branches' suffixes (one less their total variation) at which they are alike.
+ALIKE = 0.8
 #: Weight of the host's share in a template's purity, and of the share of all in a host's.
 SMOOTHING, HOST_SMOOTHING = 4.0, 20.0
 #: Least smoothed share of bad labels at which a template is rejected.
@@ -93,6 +96,33 @@ def _generalise(nodes: DataFrame, depth: int) -> DataFrame:
     return nodes.join(wide, ["host", "_prefix"], "left").withColumn("template", F.when(F.col("_wide") & F.col("_segment").isNotNull(), starred).otherwise(F.col("template"))).drop("_prefix", "_segment", "_wide")
 
 
+def merge_branches(nodes: DataFrame) -> DataFrame:
+    """host, branch, merged: the least name of the branches that look alike by all their suffixes' shares, labels aside.
+
+    Every branch points to the largest one it is like, ties by name; who ends at one root is merged. A host's root page is no branch.
+    """
+    parts = nodes.groupBy("host", "branch", "suffix").agg(F.sum("n").alias("n"))
+    totals = parts.groupBy("host", "branch").agg(F.sum("n").alias("total"))
+    shares = materialise(parts.join(totals, ["host", "branch"]).withColumn("share", F.col("n") / F.col("total")), "url-branches")
+    inner = shares.filter("branch != ''")
+    other = inner.select("host", "suffix", F.col("branch").alias("to"), F.col("share").alias("to_share"), F.col("total").alias("to_total"))
+    alike = (
+        inner.join(other, ["host", "suffix"])
+        .groupBy("host", "branch", "to", "to_total")
+        .agg(F.sum(F.least("share", "to_share")).alias("common"))
+        .filter((F.col("branch") == F.col("to")) | (F.col("common") >= ALIKE))
+    )
+    links = materialise(alike.groupBy("host", "branch").agg(F.max(F.struct("to_total", "to"))["to"].alias("root")), "url-links")
+    while True:
+        after = links.select("host", F.col("branch").alias("root"), F.col("root").alias("next"))
+        links = materialise(links.join(after, ["host", "root"]).select("host", "branch", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "url-links")
+        if not links.filter("moved").head(1):
+            break
+    names = links.groupBy("host", "root").agg(F.min("branch").alias("merged"))
+    roots = shares.filter("branch = ''").select("host", "branch", F.col("branch").alias("merged")).distinct()
+    return links.join(names, ["host", "root"]).select("host", "branch", "merged").unionByName(roots)
+
+
 def learn_templates(urls: DataFrame) -> DataFrame:
     """From host, shape (typed segments), bad (boolean or null): one row per (host, shape) with template, branch, purity, verdict."""
     shapes = urls.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.count_if("bad").alias("bad"))
@@ -102,19 +132,7 @@ def learn_templates(urls: DataFrame) -> DataFrame:
         nodes = _generalise(nodes, level)
     nodes = materialise(nodes.withColumn("branch", F.coalesce(F.try_element_at("template", F.lit(1)), F.lit(""))).withColumn("suffix", F.concat_ws("/", F.slice("template", 2, MAX_DEPTH))), "url-templates")
 
-    # Branches of a host with equal profiles are merged under the least name; a profile is the suffixes with shares in fifths, and the labels' tendency.
-    parts = nodes.groupBy("host", "branch", "suffix").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
-    totals = parts.groupBy("host", "branch").agg(*[F.sum(c).alias(f"{c}_b") for c in ("n", "labelled", "bad")])
-    share = F.round(5 * F.col("n") / F.col("n_b")).cast("int")
-    tendency = F.when(F.col("labelled_b") == 0, "none").otherwise(F.round(2 * F.col("bad_b") / F.col("labelled_b")).cast("string"))
-    profile = (
-        parts.join(totals, ["host", "branch"])
-        .groupBy("host", "branch", "labelled_b", "bad_b")
-        .agg(F.array_sort(F.collect_set(F.when(share >= 1, F.concat_ws(":", "suffix", share)))).alias("_suffixes"))
-        .select("host", "branch", F.concat_ws("|", F.array_join("_suffixes", ","), tendency).alias("_profile"))
-    )
-    merged = profile.join(profile.groupBy("host", "_profile").agg(F.min("branch").alias("merged")), ["host", "_profile"]).select("host", "branch", "merged")
-    nodes = nodes.join(merged, ["host", "branch"])
+    nodes = nodes.join(merge_branches(nodes), ["host", "branch"])
 
     overall = nodes.agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).first()
     share_of_all = (overall.bad or 0) / overall.labelled if overall.labelled else 0.0
@@ -123,7 +141,9 @@ def learn_templates(urls: DataFrame) -> DataFrame:
     prior = (F.col("_hb") + HOST_SMOOTHING * share_of_all) / (F.col("_hl") + HOST_SMOOTHING)
     purity = (F.col("_b") + SMOOTHING * prior) / (F.col("_l") + SMOOTHING)
     judged = groups.join(hosts, "host").select("host", "merged", "suffix", "_l", purity.alias("purity"))
-    return nodes.join(judged, ["host", "merged", "suffix"]).select("host", "shape", F.concat_ws("/", "merged", "suffix").alias("template"), "purity", F.when((F.col("_l") > 0) & (F.col("purity") >= REJECT_AT), "block").otherwise("allow").alias("learned"))
+    # Without labels of its own a template's purity is its host's, or that of all: it has to pass the limit, not only to reach it.
+    bad = F.when(F.col("_l") > 0, F.col("purity") >= REJECT_AT).otherwise(F.col("purity") > REJECT_AT)
+    return nodes.join(judged, ["host", "merged", "suffix"]).select("host", "shape", F.concat_ws("/", "merged", "suffix").alias("template"), "purity", F.when(bad, "block").otherwise("allow").alias("learned"))
 
 
 def judge_urls(df: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", bad_col: str | None = None) -> DataFrame:

@@ -142,3 +142,21 @@ def test_templates_are_generalised_merged_and_rejected_by_purity(spark):
         by.setdefault((r.host, r.template), set()).add(r.verdict)
     assert by["h.net", "shop0/item/<number>.html"] == {"block"} and by["h.net", "news/<number>"] == {"allow"}
     assert {t for h, t in by if h == "u.net"} == {"user/*", "about/"} or {t for h, t in by if h == "u.net"} == {"user/*", "about"}
+
+
+def test_branches_without_rules_are_judged_by_those_they_are_like(spark):
+    urls = [f"http://s{h}.example.com/{b}/{k}" for h in range(3) for b in ("de", "en") for k in range(30)] + [f"http://s9.example.com/{b}/{k}" for b in ("fr", "en") for k in range(30)]
+    urls += [f"http://s0.example.com/shop/a/{k}.html" for k in range(30)] + [f"http://n.example.net/en/{k}" for k in range(30)] + ["http://s0.example.com/"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {(r.host, r.path): (r.rule, r.verdict, r.template) for r in url_filter.judge_urls(rows, queries.URL_RULES).collect()}
+    assert got["s1.example.com", "/en/5"] == (None, "block", "de/<number>")
+    assert got["s9.example.com", "/en/5"] == (None, "allow", "en/<number>")
+    assert got["s0.example.com", "/shop/a/5.html"][2] == "shop/a/<number>.html"  # judged by its host: 30 of 30 are bad
+    assert got["s0.example.com", "/shop/a/5.html"][1] == "block"
+
+
+def test_small_shares_count_and_likeness_is_carried_along(spark):
+    shapes = [("h", b, s, n) for b, ns in (("a", (90, 5, 5)), ("b", (85, 10, 5)), ("c", (60, 20, 20)), ("d", (70, 0, 30)), ("", (100, 0, 0))) for s, n in zip("xyz", ns) if n]
+    rows = spark.createDataFrame(shapes, "host string, branch string, suffix string, n long")
+    got = {r.branch: r.merged for r in url_filter.merge_branches(rows).collect()}
+    assert got == {"": "", "a": "a", "b": "a", "c": "c", "d": "c"}
