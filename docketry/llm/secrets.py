@@ -1,9 +1,10 @@
 """Secrets in texts: stated patterns, and random strings found by their token efficiency.
 
 Words that a byte-level BPE vocabulary knows are written with few tokens; random strings need about one for
-every two characters. A candidate is a run of key-like characters, long enough and mixed enough to be a
-key; those with few characters a token are secrets. Digests and identifiers that are random by nature
-but no secret (hashes of known lengths, UUIDs, numbers, paths and addresses) are excluded first.
+every two characters. A candidate is a run of key-like characters that is long enough to be a key; those with few
+characters a token are secrets. Digests and identifiers that are random by nature but no secret (hashes of
+known lengths, UUIDs, numbers) are excluded first, and so are paths and names made of parts that the vocabulary
+writes with few tokens. Where a stated span covers a part of a candidate, the rest is judged too.
 
 Defined cases: a null or empty text has no spans; spans are code points, end exclusive; repeated rows get
 equal results; an empty table gives an empty result; other columns stay where rows are redacted.
@@ -12,7 +13,7 @@ equal results; an empty table gives an empty result; other columns stay where ro
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
@@ -40,8 +41,9 @@ DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 DIGEST = re.compile(r"[0-9a-fA-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 NUMBER = re.compile(r"[\d_=+/-]+")
-#: Path-like and word-like identifiers: parts of letters, with two digits at most, joined by separators.
-WORDS = re.compile(r"(?:[A-Za-z]+\d{0,2}[_/+=-]+)*[A-Za-z]+\d{0,2}[_/+=-]*")
+#: Path-like and word-like identifiers: parts of letters, with two digits at most, joined by separators. Their parts decide.
+WORDS = re.compile(r"[_/+=-]*(?:[A-Za-z]+\d{0,2}[_/+=-]+)*[A-Za-z]+\d{0,2}[_/+=-]*")
+LETTERS = re.compile(r"[A-Za-z]+")
 #: Bytes that may stand in a candidate become x, others a blank.
 CLASS = bytes(ord("x") if chr(b).isascii() and (chr(b).isalnum() or chr(b) in "+/_=-") else 32 for b in range(256))
 HEX_CLASS = bytes(ord("x") if chr(b) in "0123456789abcdef" else 32 for b in range(256))
@@ -63,43 +65,68 @@ def base_spans(text: str, data: bytes) -> list[Span]:
     return found
 
 
-def is_known(candidate: str) -> bool:
+class TokenTest:
+    """What the vocabulary tells of a candidate."""
+
+    def __init__(self, pattern: str, ranks_path: str):
+        self.find, self.known = regex.compile(pattern).findall, Remembered(load_ranks(ranks_path))
+
+    def tokens(self, text: str) -> int:
+        return sum(len(self.known[piece]) for piece in self.find(text)) // 4
+
+    def __call__(self, candidate: str) -> bool:
+        """Whether a candidate has few characters a token."""
+        return len(candidate) < LEAST_EFFICIENCY * self.tokens(candidate)
+
+    def is_name(self, candidate: str) -> bool:
+        """Whether every part of a word-like candidate is one token or has many characters a token."""
+        return bool(WORDS.fullmatch(candidate)) and not any(self(part) and self.tokens(part) > 1 for part in LETTERS.findall(candidate))
+
+
+def is_known(candidate: str, random: TokenTest) -> bool:
     """Whether a candidate is a digest or an identifier, which are no secrets for being random."""
-    if NUMBER.fullmatch(candidate) or UUID.search(candidate) or WORDS.fullmatch(candidate):
+    if NUMBER.fullmatch(candidate) or UUID.search(candidate) or random.is_name(candidate):
         return True
     return bool(DIGEST.fullmatch(candidate)) and len(candidate) in DIGEST_LENGTHS
 
 
-def token_test(pattern: str, ranks_path: str) -> Callable[[str], bool]:
-    """Whether a candidate has few characters a token."""
-    find, known = regex.compile(pattern).findall, Remembered(load_ranks(ranks_path))
+def token_test(pattern: str, ranks_path: str) -> TokenTest:
+    return TokenTest(pattern, ranks_path)
 
-    def random(candidate: str) -> bool:
-        tokens = sum(len(known[piece]) for piece in find(candidate)) // 4
-        return len(candidate) < LEAST_EFFICIENCY * tokens
 
-    return random
+def uncovered(start: int, end: int, base: list[Span]) -> list[tuple[int, int]]:
+    """The parts of a range that no stated span covers."""
+    found = []
+    for s, _, e in sorted(base):
+        if s < end and start < e:
+            if start < s:
+                found.append((start, s))
+            start = max(start, e)
+    return [*found, (start, end)] if start < end else found
 
 
-def random_spans(text: str, data: bytes, random: Callable[[str], bool]) -> list[Span]:
-    """Candidates that mix letters with digits and fail the token test."""
+def random_spans(text: str, data: bytes, base: list[Span], random: TokenTest) -> list[Span]:
+    """Candidates with letters that fail the token test, without what stated spans cover of them."""
     if b"x" * 20 not in data.translate(CLASS):
         return []
+    secret = lambda s: any(c.isalpha() for c in s) and not is_known(s, random) and random(s)
+    least = 20  # of a candidate's characters
     found = []
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and not is_known(s) and random(s):
-            found.append((m.start(), 3, m.end()))
+        whole = secret(m[0])
+        for start, end in uncovered(m.start(), m.end(), base):
+            s = text[start:end]
+            if whole if s == m[0] else (whole and not is_known(s, random)) or (len(s) >= least and secret(s)):
+                found.append((start, 3, end))
     return found
 
 
-def spans_of(text: str | None, random: Callable[[str], bool]) -> list[Span]:
-    """All spans by start, then kind; a random span that overlaps a stated one is part of it."""
+def spans_of(text: str | None, random: TokenTest) -> list[Span]:
+    """All spans by start, then kind; of a random span that overlaps a stated one the rest is kept."""
     text = text or ""
     data = text.encode()
     base = base_spans(text, data)
-    more = [x for x in random_spans(text, data, random) if all(x[2] <= s or e <= x[0] for s, _, e in base)]
-    return sorted(base + more)
+    return sorted(base + random_spans(text, data, base, random))
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("end", T.IntegerType())]))
