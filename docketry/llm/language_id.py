@@ -5,8 +5,9 @@ bit. Decoding weighs the losses: a language's loss is the sum over bits of the l
 bit under the classifier's margin, and the language of least loss wins. The score is the winner's share
 of exp(-loss); a document whose two nearest codewords are almost as near as each other is ambiguous.
 
-The classifiers are fitted on the driver on a sample of labelled rows of bounded size (SAMPLE rows in
-all, as many of each language, different texts, those of least hash); prediction reads whole texts.
+Every label is learned. The classifiers are fitted on the driver on a sample of labelled rows (SAMPLE rows in all,
+as many of each language, but LEAST_SAMPLE at least; different texts, those of least hash), of which only
+the n-gram vectors leave the tasks; prediction reads whole texts.
 
 Defined cases: null text or one without a letter is `und` with score 0; languages that are null in training are
 left out; a language seen alone gives that language; with no labelled row every document is `und`; equal
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import id_bucket, slices
 
 UNKNOWN = "und"
-#: Bounds of the sample that the classifiers are fitted on: rows in all, least rows a language, languages.
-SAMPLE, LEAST_SAMPLE, MOST_LANGUAGES = 600, 8, 75
+#: The sample that the classifiers are fitted on: rows in all, unless the least rows a language are more.
+SAMPLE, LEAST_SAMPLE = 600, 8
+#: Rows whose vectors are written out in full at once while fitting.
+FITTED = 1024
 #: Slots that n-grams are hashed into, and the lengths of the n-grams in bytes.
 SLOTS, GRAMS = 1 << 14, (1, 2, 3)
 #: Least share of the nearest codeword over the second for a document to be unambiguous.
@@ -46,9 +49,13 @@ def codewords(k: int) -> np.ndarray:
     rng, best, most = np.random.default_rng(7), None, -1
     for _ in range(50):
         codes = rng.choice([-1.0, 1.0], (k, 8 + 4 * int(np.ceil(np.log2(k)))))
-        apart = (codes[:, None] != codes[None]).sum(2) + codes.shape[1] * np.eye(k)
-        if apart.min() > most:
-            best, most = codes, apart.min()
+        least = codes.shape[1]
+        for start in range(0, k, 512):
+            apart = (codes.shape[1] - codes[start : start + 512] @ codes.T) / 2
+            apart[np.arange(len(apart)), start + np.arange(len(apart))] = codes.shape[1]
+            least = min(least, apart.min())
+        if least > most:
+            best, most = codes, least
     return best
 
 
@@ -75,42 +82,67 @@ class Model:
     def losses(self, features: np.ndarray) -> np.ndarray:
         """Loss of every language for every row of features."""
         margins = features @ self.weights + self.bias
-        return np.logaddexp(0, -margins[:, None, :] * self.codes[None]).mean(2)
+        return (np.logaddexp(0, -margins) @ (self.codes > 0).T + np.logaddexp(0, margins) @ (self.codes < 0).T) / self.codes.shape[1]
 
 
-def fit(features: np.ndarray, languages: list[str], steps: int = 150, rate: float = 8.0, decay: float = 1e-4) -> Model:
+Sparse = tuple[np.ndarray, np.ndarray]  # the slots of a vector that are not zero, and their values
+
+
+def in_full(vectors: list[Sparse]) -> np.ndarray:
+    out = np.zeros((len(vectors), SLOTS), "float32")
+    for row, (slots, values) in zip(out, vectors):
+        row[slots] = values
+    return out
+
+
+def fit(vectors: list[Sparse], languages: list[str], steps: int = 150, rate: float = 8.0, decay: float = 1e-4) -> Model:
     """Logistic classifiers of the codewords' bits by gradient descent; every language weighs the same."""
     names = sorted(set(languages))
     codes = codewords(len(names))
     at = np.array([names.index(x) for x in languages], int)
     target = codes[at]
     weight = (1 / np.bincount(at))[at] / len(names)
-    weights, bias = np.zeros((features.shape[1], codes.shape[1]), "float32"), np.zeros(codes.shape[1], "float32")
+    weights, bias = np.zeros((SLOTS, codes.shape[1]), "float32"), np.zeros(codes.shape[1], "float32")
+    parts = [slice(i, i + FITTED) for i in range(0, len(vectors), FITTED)]
+    whole = in_full(vectors) if len(parts) == 1 else None
     for _ in range(steps):
-        slope = -target / (1 + np.exp(np.clip(target * (features @ weights + bias), -30, 30))) * weight[:, None]
-        weights -= (rate * (features.T @ slope + decay * weights)).astype("float32")
-        bias -= (rate * 0.1 * slope.sum(0)).astype("float32")
+        slope_weights, slope_bias = decay * weights, np.zeros(codes.shape[1])
+        for part in parts:
+            features = in_full(vectors[part]) if whole is None else whole
+            slope = -target[part] / (1 + np.exp(np.clip(target[part] * (features @ weights + bias), -30, 30))) * weight[part, None]
+            slope_weights = slope_weights + features.T @ slope
+            slope_bias += slope.sum(0)
+        weights -= (rate * slope_weights).astype("float32")
+        bias -= (rate * 0.1 * slope_bias).astype("float32")
     return Model(names, codes, weights, bias)
 
 
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", 1 << 20):
+        found = [gram_counts(t.encode()) for t in batch.column("text").to_pylist()]
+        slots = [np.flatnonzero(v).astype("int32") for v in found]
+        values = [v[at] for v, at in zip(found, slots)]
+        columns = [pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))]
+        yield pa.record_batch([batch.column("lang"), batch.column("_hash"), *columns], ["lang", "_hash", "slots", "values"])
+
+
 def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model | None:
     """The model from a sample of labelled rows; None if there is none. Which texts are sampled is settled on their hashes alone."""
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null").withColumn("_hash", F.xxhash64("text"))
-    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("_hash").alias("texts")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    found = rows.groupBy("lang").agg(F.approx_count_distinct("_hash").alias("texts")).collect()
     if not found:
         return None
     each = max(LEAST_SAMPLE, SAMPLE // len(found))
     # Hashes are even over their range, so a low part of it holds a few times the sample: no language's rows meet in one task.
     place = F.shiftrightunsigned("_hash", 33) / float(1 << 31)
-    low = F.coalesce(*[F.when(F.col("lang") == r.lang, place <= min(1.0, 4 * each / max(1, r.texts))) for r in found], F.lit(False))
+    parts = labelled.sparkSession.createDataFrame([(r.lang, min(1.0, 4 * each / max(1, r.texts))) for r in found], "lang string, part double")
+    low = rows.join(F.broadcast(parts), "lang").filter(place <= F.col("part")).drop("part")  # a row a language
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("_hash", 33), "_hash"))
-    hashes = rows.filter(low).select("lang", "_hash").distinct().withColumn("_rank", rank).filter(F.col("_rank") <= each)
-    texts = rows.filter(low).join(F.broadcast(hashes.select("lang", "_hash")), ["lang", "_hash"])  # SAMPLE rows at most are broadcast
-    sample = texts.groupBy("lang", "_hash").agg(F.min("text").alias("text")).orderBy("lang", "_hash").collect()
-    features = np.empty((len(sample), SLOTS), "float32")
-    for row, r in zip(features, sample):
-        row[:] = gram_counts(r.text.encode())
-    return fit(features, [r.lang for r in sample])
+    hashes = low.select("lang", "_hash").distinct().withColumn("_rank", rank).filter(F.col("_rank") <= each)
+    texts = low.join(F.broadcast(hashes.select("lang", "_hash")), ["lang", "_hash"])  # `each` rows a language at most are broadcast
+    sample = texts.groupBy("lang", "_hash").agg(F.min("text").alias("text")).mapInArrow(_vectors, "lang string, _hash long, slots array<int>, values array<float>")
+    found = sorted(sample.collect(), key=lambda r: (r.lang, r._hash))
+    return fit([(np.array(r.slots, "int32"), np.array(r["values"], "float32")) for r in found], [r.lang for r in found])
 
 
 def predict(df: DataFrame, model: Model | None, text_col: str, keep: list[str]) -> DataFrame:

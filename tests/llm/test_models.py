@@ -146,3 +146,13 @@ def test_training_learns_order(spark):
     held = [r for r in lm_scoring.score(df).collect() if r.held_out]
     base, own = (-sum(r[c] for r in held) / sum(r.n_tokens for r in held) for c in ("base_score", "score"))
     assert own < 0.75 * base
+
+
+def test_every_label_is_learned(spark):
+    rng = np.random.default_rng(3)
+    letters = [chr(0x4E00 + 3 * k) for k in range(90)]
+    own = lambda k: " ".join("".join(rng.choice([letters[k], "a", "b"], 4)) + letters[k] for _ in range(30))
+    rows = spark.createDataFrame([(10 * k + i, own(k), f"l{k:02}") for k in range(90) for i in range(10)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.identify(rows).collect()}
+    assert {r.lang_pred for r in got.values()} == {f"l{k:02}" for k in range(90)}
+    assert sum(r.lang_pred == f"l{i // 10:02}" and not r.ambiguous for i, r in got.items()) >= 0.95 * len(got)
