@@ -196,6 +196,11 @@ def _(spark, sf):
     return _parts(spark, sf).filter("p_partkey <= 20").select("p_partkey", F.array_sort(taxonomy.normalise(F.col("field"), TAGS)).alias("tags"))
 
 
+@query("tags_of_each", "SELECT p_partkey, list_sort(list(DISTINCT tag)) AS tags FROM (" + PARTS_SQL + ") GROUP BY 1")
+def _(spark, sf):
+    return _parts(spark, sf).select("p_partkey", F.array_sort(taxonomy.normalise(F.col("field"), TAGS)).alias("tags"))
+
+
 @query("tag_semi_join", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT p_partkey FROM (" + PARTS_SQL + ") WHERE tag IN ('tin', 'steel'))")
 def _(spark, sf):
     parts = _parts(spark, sf)
@@ -404,10 +409,27 @@ def _(spark, sf):
 
 @query("sign_off_date", "SELECT doc_id, CASE WHEN TRY_CAST(printf('2021-%02d-%02d', 1 + doc_id % 13, 1 + doc_id % 31) AS DATE) IS NULL THEN '' ELSE printf('2021-%02d-%02d', 1 + doc_id % 13, 1 + doc_id % 31) END AS day FROM documents")
 def _(spark, sf):
-    signed = F.concat(F.substring("text", 1, 300), F.format_string("。2021年%d月%d日", (1 + F.col("doc_id") % 13).cast("int"), (1 + F.col("doc_id") % 31).cast("int")))
+    signed = F.concat(F.coalesce("text", F.lit("")), F.format_string("。2021年%d月%d日", (1 + F.col("doc_id") % 13).cast("int"), (1 + F.col("doc_id") % 31).cast("int")))
     return read(spark, sf, "documents").select("doc_id", text.sign_off_date(signed).alias("day"))
 
 
+#: The first match of each form of date in a text, as a date where it exists.
+DATES_SQL = ", ".join(
+    "TRY_CAST(regexp_extract(text, '{0}', 1) || '-' || lpad(regexp_extract(text, '{0}', 2), 2, '0') || '-' || lpad(regexp_extract(text, '{0}', 3), 2, '0') AS DATE)".format(form)
+    for form in (r"(\d{4})\s*-\s*(\d{1,2})\s*-\s*(\d{1,2})", r"(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日")
+)
+
+
+@query("dates_in_texts", f"SELECT doc_id, CAST(coalesce({DATES_SQL}) AS VARCHAR) AS day FROM documents")
+def _(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", text.date_in(F.col("text")).cast("string").alias("day"))
+
+
+@query("sign_off_dates_in_texts", None)
+def _(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", text.sign_off_date(F.col("text")).alias("day"))
+
+
 @query("previous_quarter", "SELECT o_orderkey, strftime(date_trunc('quarter', o_orderdate - INTERVAL 3 MONTH), '%Y-%m-%d') AS first, year(o_orderdate - INTERVAL 3 MONTH) || 'Q' || quarter(o_orderdate - INTERVAL 3 MONTH) AS label FROM orders")
 def _(spark, sf):
     quarter = text.quarter_before(F.col("o_orderdate").cast("date"))
@@ -425,6 +447,14 @@ def _(spark, sf):
     return read(spark, sf, "documents").select("doc_id", text.document_number(title, F.lit("")).alias("number"))
 
 
+NUMBER_FORM = r"([一-龥]{0,4})[〔［\[](\d{4})[〕］\]]\s*(\d{1,4})\s*号"
+
+
+@query("document_numbers_in_texts", "SELECT doc_id, CASE WHEN regexp_matches(t, '{0}') THEN regexp_extract(t, '{0}', 1) || '〔' || regexp_extract(t, '{0}', 2) || '〕' || regexp_extract(t, '{0}', 3) || '号' ELSE '' END AS number FROM (SELECT doc_id, substr(text, 1, 2000) AS t FROM documents)".replace("{0}", NUMBER_FORM))
+def _(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", text.document_number(F.lit(""), F.col("text")).alias("number"))
+
+
 @query("clipped_text", "SELECT doc_id, CASE WHEN length(t) > 80 THEN substr(t, 1, 79) || '…' ELSE t END AS clipped FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)")
 def _(spark, sf):
     return read(spark, sf, "documents").select("doc_id", text.clip(F.col("text"), 80).alias("clipped"))

@@ -232,3 +232,16 @@ def test_streams_deduplicate_and_merge(spark, tmp_path):
     held = {"now": cases(spark, ("a", "1", "done", "old"))}
     ingest.upsert_stream(records, lambda: held["now"], lambda df, n: held.update(now=spark.createDataFrame(df.collect(), df.schema)), str(tmp_path / "cp"), lambda: cases(spark, ("z", "9", "", ""))).awaitTermination()
     assert sorted(map(tuple, held["now"].collect())) == [("a", "1", "done", "n"), ("a", "2", "done", "n")]
+
+
+def test_text_queries_read_whole_texts(spark, tmp_path):
+    from docketry import catalog
+
+    long = "x " * 400
+    texts = [(12, long + "2019年7月8日"), (13, long + " 2020-3-4 " + long + "二〇二一年三月五日"), (14, long + "沪〔2024〕9号 on 2022-02-03"), (15, None), (16, "2018年1月2日" + long * 3)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = lambda name: {r[0]: r[1] for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got("sign_off_date")[12] == "2019-07-08"  # the made-up date has month 13
+    assert got("sign_off_dates_in_texts") == {12: "2019-07-08", 13: "2021-03-05", 14: "2022-02-03", 15: "", 16: ""}
+    assert got("dates_in_texts") == {12: "2019-07-08", 13: "2020-03-04", 14: "2022-02-03", 15: None, 16: "2018-01-02"}
+    assert got("document_numbers_in_texts") == {12: "", 13: "", 14: "沪〔2024〕9号", 15: "", 16: ""}
