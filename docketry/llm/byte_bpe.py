@@ -17,9 +17,7 @@ import base64
 import heapq
 from array import array
 from collections.abc import Callable, Iterator
-from functools import cache
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
@@ -31,8 +29,8 @@ from .common import materialise, slices
 CHUNK, OVERLAP = 32_768, 1_024
 #: A boundary this near to a chunk's end may still move, as the pattern looks a few characters ahead.
 AHEAD = 4
-#: Most pre-tokens whose ids a worker remembers, from task to task; frequent ones come early, so later ones are not kept.
-REMEMBERED = 600_000
+#: Most bytes of pre-tokens and ids that a task remembers; frequent ones come early, so later ones are not kept.
+REMEMBERED = 32 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -77,18 +75,18 @@ class Remembered(dict):
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.held = ranks, 0
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
-        if len(self) < REMEMBERED and len(piece) <= 64:
+        ids = array("I", merge(piece.encode(), self.ranks)).tobytes()
+        if self.held < REMEMBERED and len(piece) <= 64:
+            self.held += 4 * len(piece) + len(ids) + 190  # with what objects and places take
             self[piece] = ids
         return ids
 
 
-@cache
 def encoder(path: str, pattern: str) -> Callable[[str], bytes]:
-    """A function from text to packed ids."""
+    """A function from text to packed ids; a task makes its own, and what it remembers goes with it."""
     find, known = regex.compile(pattern).findall, Remembered(load_ranks(path))
     look = known.__getitem__
     return lambda text: b"".join(map(look, find(text)))

@@ -20,7 +20,6 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,24 +29,48 @@ from pyspark.sql import functions as F
 from .common import materialise, shuffle_partitions, slices
 
 CAPACITY, END_ID = 4096, 1
-#: Most words whose ids a worker remembers, from task to task; frequent words come early, so later ones are not kept.
-REMEMBERED = 800_000
+#: Most bytes of words and ids that a task remembers; frequent words come early, so later ones are not kept.
+REMEMBERED = 32 << 20
+#: Stands between words that are encoded together: a pre-token of its own, with one id. Words that hold it are encoded alone.
+MARK = "\x01"
+#: Words that are encoded together.
+TOGETHER = 128
 
 
-@cache
 def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """From texts to packed ids. The vocabulary's pre-tokens never span white space, so words are encoded once and remembered."""
+    """From texts to packed ids, as the library gives them without the tokens it adds itself.
+
+    The vocabulary's pre-tokens and added tokens never span an ASCII blank, so words are encoded once and remembered
+    up to a bound of bytes; a task makes its own encoder, and what it remembers goes with it.
+    """
     import tokenizers
 
     model = tokenizers.Tokenizer.from_file(path)
-    model.encode_special_tokens = True
+    (mark,) = model.encode(MARK, add_special_tokens=False).ids
     known: dict[bytes, bytes] = {}
+    held = 0
+
+    def ids_of(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of_words(words: list[bytes]) -> dict[bytes, bytes]:
+        alone = [w for w in words if MARK.encode() in w]
+        plain = [w for w in words if MARK.encode() not in w]
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        out = {w: ids.tobytes() for w, ids in zip(alone, ids_of([w.decode() for w in alone]))}
+        for group, ids in zip(groups, ids_of([f" {MARK} ".join(w.decode() for w in g) for g in groups])):
+            at = np.flatnonzero(ids == mark)
+            for w, first, last in zip(group, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)]):
+                out[w] = ids[first:last].tobytes()
+        return out
 
     def encode(texts: list[str]) -> list[bytes]:
+        nonlocal held
         words = [t.encode().split() for t in texts]
-        new = list(set().union(*words).difference(known))
-        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False))}
-        if len(known) + len(fresh) <= REMEMBERED:
+        fresh = of_words(list(set().union(*words).difference(known)))
+        size = sum(map(len, fresh)) + sum(map(len, fresh.values())) + 170 * len(fresh)  # with what objects and places take
+        if held + size <= REMEMBERED:
+            held += size
             known.update(fresh)
             return [b"".join(map(known.__getitem__, ws)) for ws in words]
         return [b"".join([known[w] if w in known else fresh[w] for w in ws]) for ws in words]

@@ -5,6 +5,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from docketry.llm import packing, queries, sharding
 
@@ -78,7 +80,6 @@ def test_pieces_match_the_library_and_pack_without_gaps(spark, odd, empty):
 
     path = queries.tokenizer("word_bpe_49k.json")
     model = tokenizers.Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     cut = packing.pieces(odd, path, capacity=256, with_ids=True)
     rows = packing.pack(cut, capacity=256).collect()
     got = sorted((r.doc_id or 0, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
@@ -97,3 +98,30 @@ def test_pieces_match_the_library_and_pack_without_gaps(spark, odd, empty):
     whole = packing.sequences(packing.pack(cut, capacity=256)).collect()
     assert sum(len(r.ids) for r in whole) == 4 * sum(x[3] for x in want) and max(r.length for r in whole) <= 256
     assert packing.pack(packing.pieces(empty, path)).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", "Σ", "İ", "ß", "é", "e\u0301", "\u0301", "\x01", "\x1c", "\x85", "\xa0", "\u2003", " ", "\n", "'s", "1", "!", "你", "<|endoftext|>", "<|startoftext|>", "\U0001f600"]) | st.text(max_size=3), max_size=15).map("".join))
+def test_word_encoder_agrees_with_the_library(text):
+    encode, model = test_word_encoder_agrees_with_the_library.pair
+    assert np.frombuffer(encode([text])[0], "<u4").tolist() == model.encode(text, add_special_tokens=False).ids
+
+
+@pytest.fixture(autouse=True, scope="module")
+def _encoders():
+    import tokenizers
+
+    path = queries.tokenizer("word_bpe_49k.json")
+    test_word_encoder_agrees_with_the_library.pair = packing.word_encoder(path), tokenizers.Tokenizer.from_file(path)
+
+
+def test_word_encoder_beyond_its_memory(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 2000)
+    import tokenizers
+
+    path = queries.tokenizer("word_bpe_49k.json")
+    encode, model = packing.word_encoder(path), tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(3)
+    for _ in range(5):
+        texts = [" ".join(f"w{rng.randrange(60)}x" for _ in range(40)) for _ in range(3)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
