@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,11 +29,41 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-shared-")
 
 
+#: Path of every table that materialise wrote and nothing has removed yet.
+_written: set[str] = set()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back, which cuts its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write df as Parquet into the shared folder and read it back, which cuts its lineage.
+
+    What is written stays for later reads of the result; `discard` removes it, and so does the end of the session's process.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if not _written:
+        atexit.register(_discard_all, spark)
+    _written.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written.discard(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table behind a result of materialise that nothing will read any more."""
+    _remove(df.sparkSession, df.written_to)
+
+
+def _discard_all(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone, and its files with it
+        for path in list(_written):
+            _remove(spark, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -1,14 +1,17 @@
 """Quality rules by weak supervision, in DataFrame operations only.
 
-Each rule looks at a document's counts and votes bad (2), good (1) or abstains (0). Expectation-
-maximisation estimates, for good and for bad documents, how often each rule gives each vote, and the
-prior share of good ones; the posterior probability of being good then decides, in place of the
-demand that every rule passes. The rules only meet as combinations of votes, of which there are at
-most 3 to the power of the number of rules; a table of the combinations that occur, with their counts
-over all documents, is what the iterations run on.
-
-Defined cases: a null or empty text has no words and fails the base test; equal texts get equal
-verdicts; texts of any length are counted whole; an empty table gives an empty result.
+Each rule looks at a document's counts and votes bad (2), good (1) or abstains (0), so votes of one document often
+conflict. Expectation-maximisation estimates, for good and for bad documents, how often each rule that votes votes which way, and
+the prior share of good ones (a rule that abstains says nothing either way); the posterior probability of being good then decides, in place of the demand that
+every rule passes. The classes are told apart by where the estimates start and by pseudo-counts of that start, and by
+nothing else: a rule whose bad votes are common among good documents loses its weight.
+
+The rules only meet as combinations of votes, at most 3 to the power of the number of rules whatever the number of
+documents. Their counts over all documents reach the driver, where the iterations run.
+
+Defined cases: a null or empty text has no words and fails the base test; equal texts get equal verdicts, however
+often they occur; texts of any length are counted whole; a table of few rows leaves the estimates near their start; an
+empty table gives an empty result. `score` ignores other columns; `keep_good` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,13 +24,17 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 BLANK = r"[\x20\x09-\x0D]"
+#: What a line of prose ends with.
+SENTENCE_ENDS = (".", "!", "?", ":", "。", "！", "？", "…")
 #: Words in a window of the repetition count.
 WINDOW = 8
 #: Base test: least words, most words in repeated windows (per cent).
 LEAST_WORDS, MOST_REPEATED = 20, 30
 #: Least posterior probability of being good for a document to be kept.
 KEEP_AT = 0.5
-ITERATIONS = 15
+ITERATIONS = 100
+#: Documents of each class that the start counts for.
+PSEUDO_COUNT = 10.0
 BAD, GOOD, ABSTAIN = 2, 1, 0
 
 
@@ -80,16 +87,19 @@ def counts_of(text: Column) -> Column:
         F.length(c).cast("long").alias("word_chars"),
         left(c, r"[^#*$%&|<>]+").alias("n_symbols"),
         left(c, r"[^\p{L}]+").alias("n_letters"),
+        left(c, r"[^\p{Lu}]+").alias("n_capitals"),
     )
     of_words = lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"),
         F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
+        F.size(F.filter(w, lambda x: F.length(x) <= 3)).cast("long").alias("n_short"),
         _bind(F.transform(w, lambda x: F.xxhash64(x)), lambda h: _bind(_windows(h), _repeated)).alias("n_repeat_words"),
         _bind(F.array_join(w, ""), of_chars).alias("c"),
     )
     of_lines = lambda x: F.struct(
         F.size(x).cast("long").alias("n_lines"),
         (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        F.size(F.filter(x, lambda y: F.right(F.rtrim(y), F.lit(1)).isin(*SENTENCE_ENDS))).cast("long").alias("n_ended"),
     )
     return F.struct(_bind(words, of_words).alias("w"), _bind(lines, of_lines).alias("l"))
 
@@ -100,45 +110,46 @@ def with_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     The generator over one struct keeps the optimiser from repeating the work for each use of a count.
     """
     counted = df.select("*", F.explode(F.array(counts_of(F.coalesce(F.col(text_col), F.lit(""))))).alias("_c"))
-    names = {"n_words": "w.n_words", "n_distinct": "w.n_distinct", "n_repeat_words": "w.n_repeat_words", "n_lines": "l.n_lines", "n_dup_lines": "l.n_dup_lines"}
-    names |= {c: f"w.c.{c}" for c in ("word_chars", "n_symbols", "n_letters")}
+    names = {c: f"w.{c}" for c in ("n_words", "n_distinct", "n_short", "n_repeat_words")} | {c: f"l.{c}" for c in ("n_lines", "n_dup_lines", "n_ended")}
+    names |= {c: f"w.c.{c}" for c in ("word_chars", "n_symbols", "n_letters", "n_capitals")}
     counted = counted.select(*df.columns, *[F.col(f"_c.{path}").alias(name) for name, path in names.items()])
     return counted.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
+def _graded(value: Column, good: Column, bad: Column) -> Column:
+    """A vote from two tests; what passes neither is left open, and so is a value that can't be told."""
+    return F.when(value.isNull(), ABSTAIN).when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN)
+
+
 def rules() -> dict[str, Column]:
-    """Votes by rule, from the counts. Rules that look for a defect are silent where they find none."""
-    words, chars, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "word_chars", "n_lines"))
-    length, others = F.col("word_chars") / words, 1 - F.col("n_letters") / chars
-    defect = lambda test: F.when(test, BAD).otherwise(ABSTAIN)
+    """Votes by rule, from the counts; each rule can speak for and against a document."""
+    words, chars, lines = (F.nullif(F.col(c), F.lit(0)) for c in ("n_words", "word_chars", "n_lines"))
+    symbols, others, length = F.col("n_symbols") / words, 1 - F.col("n_letters") / chars, F.col("word_chars") / words
+    repeated, variety = F.col("n_repeat_words") / words, F.col("n_distinct") / F.pow(words, F.lit(0.75))
+    twice, ended, short, capitals = F.col("n_dup_lines") / lines, F.col("n_ended") / lines, F.col("n_short") / words, F.col("n_capitals") / F.nullif(F.col("n_letters"), F.lit(0))
+    many = F.col("n_words") >= 30
     return {
-        "symbols": defect(F.col("n_symbols") / words > 0.1),
-        "non_letters": F.when(others > 0.16, BAD).when(others < 0.06, GOOD).otherwise(ABSTAIN),
-        "repeated_lines": defect(F.col("n_dup_lines") / lines > 0.35),
-        "repeated_words": defect(F.col("n_repeat_words") / words > 0.3),
-        "little_variety": defect((F.col("n_words") >= 30) & (F.col("n_distinct") / F.pow(words, F.lit(0.75)) < 1.5)),
-        "word_length": defect((length < 2.5) | (length > 12)),
+        "symbols": _graded(symbols, symbols < 0.01, symbols > 0.1),
+        "non_letters": _graded(others, others < 0.06, others > 0.12),
+        "repeated_lines": _graded(twice, (twice == 0) & (F.col("n_lines") >= 3), twice > 0.2),
+        "repeated_words": _graded(repeated, (repeated == 0) & many, repeated > 0.1),
+        "variety": _graded(variety, many & (variety > 2.2), many & (variety < 1.5)),
+        "word_length": _graded(length, length.between(4.2, 6), (length < 3) | (length > 7)),
+        "capitals": _graded(capitals, capitals < 0.06, capitals > 0.2),
+        "line_ends": _graded(ended, ended > 0.9, ended < 0.6),
+        "short_words": _graded(short, many & short.between(0.2, 0.45), many & ~short.between(0.1, 0.6)),
+        "n_words": _graded(words, words >= 100, words < 40),
     }
 
 
-#: Chance of each vote (abstain, good, bad) before learning, for bad and for good documents.
-START = {"bad": (0.4, 0.2, 0.4), "good": (0.25, 0.74, 0.01)}
-#: What keeps the two classes from changing places: a good document gets a bad vote from a rule at most
-#: this often, a bad one at least and at most this often, and a good vote shifts the log odds by one at most.
-FALSE_ALARMS, ALARMS, MOST_ALARMS, GOOD_VOTE = 0.002, 0.2, 0.6, 1.0
+#: Chance that a vote is good or bad before learning, for bad and for good documents, and the share of good ones.
+START = {"bad": (0.45, 0.55), "good": (0.92, 0.08)}
+START_PRIOR = 0.85
 
 
 def _odds(model: dict) -> list[list[float]]:
-    """By rule, what each vote (abstain, good, bad) adds to the log odds of being good.
-
-    That a rule is silent speaks for a document a little, or documents without votes would follow the prior down.
-    """
-    out = []
-    for good, bad in zip(model["good"], model["bad"]):
-        alarm, false = min(MOST_ALARMS, max(bad[BAD], ALARMS)), min(good[BAD], FALSE_ALARMS)
-        silent = math.log((1 - false) / (1 - alarm))
-        out.append([silent, silent + max(0.0, min(GOOD_VOTE, math.log(good[GOOD] / bad[GOOD]))), math.log(false / alarm)])
-    return out
+    """By rule, what each vote (abstain, good, bad) adds to the log odds of being good."""
+    return [[0.0, *(math.log(g / b) for g, b in zip(good, bad))] for good, bad in zip(model["good"], model["bad"])]
 
 
 def _posterior(votes: Column, model: dict) -> Column:
@@ -148,21 +159,25 @@ def _posterior(votes: Column, model: dict) -> Column:
     return 1 / (1 + F.exp(-F.aggregate(said, F.lit(math.log(model["prior"] / (1 - model["prior"]))), lambda total, x: total + x)))
 
 
-def fit(combined: DataFrame, n_rules: int) -> dict:
-    """Vote chances and prior by expectation-maximisation over combinations of votes, each with its count n.
-
-    An iteration is one aggregation to a row for each rule and vote. A small pseudo-count keeps chances above zero.
-    """
-    model = {"prior": 0.85} | {k: [START[k]] * n_rules for k in START}
+def fit(combined: list[tuple[list[int], int]], n_rules: int) -> dict:
+    """Vote chances and prior by expectation-maximisation over (votes, number of documents with them)."""
+    model = {"prior": START_PRIOR} | {k: [START[k]] * n_rules for k in START}
+    whole = sum(n for _, n in combined)
     for _ in range(ITERATIONS):
-        weighed = combined.select(F.posexplode("votes").alias("rule", "vote"), "n", (_posterior(F.col("votes"), model) * F.col("n")).alias("good"))
-        sums = {(r.rule, r.vote): (r.n, r.good) for r in weighed.groupBy("rule", "vote").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).collect()}
-        n = sum(sums.get((0, v), (0, 0))[0] for v in (ABSTAIN, GOOD, BAD))
-        n_good = sum(sums.get((0, v), (0, 0))[1] for v in (ABSTAIN, GOOD, BAD))
-        chances = lambda k, total, part: [tuple((part(*sums.get((j, v), (0, 0.0))) + START[k][v]) / (total + 1) for v in (ABSTAIN, GOOD, BAD)) for j in range(n_rules)]
-        before = model
-        model = {"prior": (n_good + 0.85) / (n + 1), "good": chances("good", n_good, lambda n, g: g), "bad": chances("bad", n - n_good, lambda n, g: max(0.0, n - g))}
-        if abs(model["prior"] - before["prior"]) < 1e-6:
+        odds, first = _odds(model), math.log(model["prior"] / (1 - model["prior"]))
+        sums = {k: [[PSEUDO_COUNT * x for x in START[k]] for _ in range(n_rules)] for k in START}
+        n_good = 0.0
+        for votes, n in combined:
+            good = n / (1 + math.exp(-max(-500.0, min(500.0, first + sum(row[v] for row, v in zip(odds, votes))))))
+            n_good += good
+            for j, v in enumerate(votes):
+                if v != ABSTAIN:
+                    sums["good"][j][v - 1] += good
+                    sums["bad"][j][v - 1] += n - good
+        prior = (n_good + START_PRIOR * 2 * PSEUDO_COUNT) / (whole + 2 * PSEUDO_COUNT)
+        moved = abs(prior - model["prior"])
+        model = {"prior": prior} | {k: [tuple(x / sum(row) for x in row) for row in sums[k]] for k in START}
+        if moved < 1e-7:
             break
     return model
 
@@ -170,7 +185,7 @@ def fit(combined: DataFrame, n_rules: int) -> dict:
 def learn(counts: DataFrame) -> dict:
     """The model for a table of counts; documents that fail the base test vote too."""
     combined = counts.select(F.array(*rules().values()).alias("votes")).groupBy("votes").agg(F.count("*").alias("n"))
-    return fit(materialise(combined, "quality-votes"), len(rules()))
+    return fit([(r.votes, r.n) for r in combined.collect()], len(rules()))  # 3 to the power of the number of rules at most
 
 
 def judged(counts: DataFrame, model: dict) -> DataFrame:
@@ -178,7 +193,7 @@ def judged(counts: DataFrame, model: dict) -> DataFrame:
     return counts.withColumn("quality", _posterior(F.array(*rules().values()), model)).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_AT))
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_letters", "n_lines", "n_distinct")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_letters", "n_capitals", "n_lines", "n_ended", "n_short", "n_distinct")
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,8 +204,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of df that are kept, with df's own columns; counts are made again rather than moved with the texts."""
-    text = df.select(F.col(text_col).alias("_text"))
-    model = learn(materialise(with_counts(text, "_text").select(*COUNTS), "quality-counts"))
+    """The rows of df that are kept, with df's own columns. Counts are written beside the rows, so they are made once."""
     nested = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), F.col(text_col).alias("_text"))
-    return judged(with_counts(nested, "_text"), model).filter("kept").select("_row.*")
+    rows = materialise(with_counts(nested, "_text").select("_row", *COUNTS), "quality-rows")
+    return judged(rows, learn(rows.select(*COUNTS))).filter("kept").select("_row.*")
