@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import in_batches, materialise, slices
 
 #: Code points of a chunk, and of the part that it shares with the next one.
 CHUNK, OVERLAP = 32_768, 1_024
@@ -100,7 +100,7 @@ def boundaries(text: str, find: Callable, start: int, stop: int) -> list[int]:
 def _encode_rows(path: str, pattern: str, keys: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, pattern)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             ids = [encode(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([*[batch.column(k) for k in keys], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [*keys, "n_tokens", "ids"])
 
@@ -109,7 +109,7 @@ def _encode_rows(path: str, pattern: str, keys: list[str]) -> Callable:
 
 def _chunk_rows(chunk: int, overlap: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             out: dict[str, list] = {"_key": [], "doc_id": [], "chunk": [], "chunks": [], "text": []}
             for key, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("_key", "doc_id", "text"))):
                 starts = range(0, max(1, len(text) - overlap), chunk)
@@ -126,7 +126,7 @@ def _boundary_rows(pattern: str, chunk: int, overlap: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).finditer
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             heads, tails = [], []
             for i, n, text in zip(*(batch.column(c).to_pylist() for c in ("chunk", "chunks", "text"))):
                 ends = boundaries(text, find, 0, len(text))
@@ -142,10 +142,10 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     is_long = F.length("text") > chunk + overlap
     schema = "doc_id long, n_tokens long, ids binary"
-    short = rows.filter(~is_long).mapInArrow(_encode_rows(ranks_path, pattern, ["doc_id"]), schema)
+    short = in_batches(rows.filter(~is_long)).mapInArrow(_encode_rows(ranks_path, pattern, ["doc_id"]), schema)
 
     long = rows.filter(is_long).withColumn("_key", F.monotonically_increasing_id())
-    chunks = long.mapInArrow(_chunk_rows(chunk, overlap), "_key long, doc_id long, chunk long, chunks long, text string")
+    chunks = in_batches(long).mapInArrow(_chunk_rows(chunk, overlap), "_key long, doc_id long, chunk long, chunks long, text string")
     chunks = materialise(chunks, "bpe-chunks").repartition(F.col("_key"), F.col("chunk"))
     marked = chunks.mapInArrow(_boundary_rows(pattern, chunk, overlap), "_key long, doc_id long, chunk long, chunks long, text string, head array<int>, tail array<int>")
     by_doc = Window.partitionBy("_key").orderBy("chunk")
@@ -171,8 +171,8 @@ def decode(df: DataFrame, ranks_path: str) -> DataFrame:
         for token, rank in ranks.items():
             tokens[rank] = token
         look = tokens.__getitem__
-        for batch in slices(batches, "ids", 2 << 20):
+        for batch in slices(batches, "ids"):
             texts = [b"".join(map(look, array("I", ids or b""))) for ids in batch.column("ids").to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
 
-    return df.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", decoded binary")
+    return in_batches(df).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", decoded binary")

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_bucket, slices
+from .common import id_bucket, in_batches, slices
 
 UNKNOWN = "und"
 #: The sample that the classifiers are fitted on: rows in all, unless the least rows a language are more.
@@ -118,7 +118,7 @@ def fit(vectors: list[Sparse], languages: list[str], steps: int = 150, rate: flo
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 1 << 20):
+    for batch in slices(batches, "text"):
         found = [gram_counts(t.encode()) for t in batch.column("text").to_pylist()]
         slots = [np.flatnonzero(v).astype("int32") for v in found]
         values = [v[at] for v, at in zip(found, slots)]
@@ -152,7 +152,7 @@ def predict(df: DataFrame, model: Model | None, text_col: str, keep: list[str])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in slices(batches, text_col, 1 << 20):
+        for batch in slices(batches, text_col):
             texts = batch.column(batch.schema.names.index(text_col)).to_pylist()
             names, scores, unclear = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
             known = [i for i, t in enumerate(texts) if own and t and LETTER.search(t)]
@@ -168,7 +168,7 @@ def predict(df: DataFrame, model: Model | None, text_col: str, keep: list[str])
             columns = [batch.column(batch.schema.names.index(c)) for c in keep]
             yield pa.record_batch([*columns, pa.array(names), pa.array(scores, pa.float64()), pa.array(unclear)], [*keep, "lang_pred", "score", "ambiguous"])
 
-    return df.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + (", " if keep else "") + "lang_pred string, score double, ambiguous boolean")
+    return in_batches(df).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + (", " if keep else "") + "lang_pred string, score double, ambiguous boolean")
 
 
 def training_rows(df: DataFrame, id_col: str = "doc_id", mod: int = 4, held_out: int = 2) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import id_bucket, materialise, slices
+from .common import id_bucket, in_batches, materialise, slices
 
 #: The end of a text, which no word equals.
 END = b""
@@ -68,7 +68,7 @@ def word_counts(df: DataFrame) -> DataFrame:
                 yield out()
         yield out()
 
-    return df.select("text", "held_out").mapInArrow(run, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    return in_batches(df.select("text", "held_out")).mapInArrow(run, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 class Places(dict):
@@ -248,7 +248,7 @@ def train(df: DataFrame, shared, units: int) -> LogBilinear:
         v = shared.value
         trainer = Trainer(LogBilinear.start(v.mass), v.mass)
         end = int(v.units(v.ids([END]))[0])
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text"):
             _, ids, starts = _tokens(batch.column("text").to_pylist(), v)
             us = v.units(ids)
             trainer.learn(contexts(us, starts, end), us)
@@ -277,7 +277,7 @@ def score_rows(df: DataFrame, shared, learned) -> DataFrame:
         v, model = shared.value, learned.value
         end = int(v.units(v.ids([END]))[0])
         share, mass = np.log10(v.c + 0.5), np.log10(v.mass)
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text"):
             words, ids, starts = _tokens(batch.column("text").to_pylist(), v)
             us, head = v.units(ids), ids >= 0
             own = np.where(head, share[ids], 0.0)
@@ -293,7 +293,7 @@ def score_rows(df: DataFrame, shared, learned) -> DataFrame:
             yield pa.record_batch(columns, ["_row", "doc_id", "held_out", "n_tokens", "n_known", "own", "learned", "rare"])
 
     schema = "_row long, doc_id long, held_out boolean, n_tokens long, n_known long, own double, learned double, rare map<string,long>"
-    return df.select("_row", "doc_id", "held_out", "text").mapInArrow(run, schema)
+    return in_batches(df.select("_row", "doc_id", "held_out", "text")).mapInArrow(run, schema)
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 5, held_out: int = 1, head: int = HEAD) -> DataFrame:

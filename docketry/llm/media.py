@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import in_batches, slices
 
 UNIT = 64  # payloads are padded with zero bytes to a positive multiple of this
 AC = 63  # coefficients of a block that hold payload
@@ -352,13 +352,13 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     """doc_id, n_bytes, media (the image that holds the padded text) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             images = [write_jpeg(t + bytes(max(UNIT, -(-len(t) // UNIT) * UNIT) - len(t))) for t in texts]
             yield pa.record_batch([batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(images, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return in_batches(rows).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def load(df: DataFrame, tensors: bool = True) -> DataFrame:
@@ -366,7 +366,7 @@ def load(df: DataFrame, tensors: bool = True) -> DataFrame:
     names = list(df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "media", 2 << 20):
+        for batch in slices(batches, "media"):
             payloads, features, images = [], [], []
             for media in batch.column("media").to_pylist():
                 width, height, components, quantisers, comment = read_jpeg(media)
@@ -381,4 +381,4 @@ def load(df: DataFrame, tensors: bool = True) -> DataFrame:
             yield pa.record_batch(columns, [*names, "payload", "feature", *["width", "height", "rgb"] * tensors])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", payload binary, feature string"
-    return df.mapInArrow(run, schema + (", width int, height int, rgb binary" if tensors else ""))
+    return in_batches(df).mapInArrow(run, schema + (", width int, height int, rgb binary" if tensors else ""))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions, slices
+from .common import in_batches, materialise, shuffle_partitions, slices
 
 CAPACITY, END_ID = 4096, 1
 #: Most bytes of words and ids that a task remembers; frequent words come early, so later ones are not kept.
@@ -102,7 +102,7 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col:
             yield pa.record_batch([*columns, *([pa.array(parts, pa.binary())] if with_ids else [])], ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""))
+    return in_batches(rows).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

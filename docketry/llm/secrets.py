@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import Remembered, load_ranks
-from .common import slices
+from .common import in_batches, slices
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -143,7 +143,7 @@ def find_spans(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
             yield pa.record_batch([batch.column("doc_id"), pa.array(found, SPAN_ARROW)], ["doc_id", "spans"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("spans", SPANS)]))
+    return in_batches(rows).mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("spans", SPANS)]))
 
 
 def redact(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
@@ -168,7 +168,7 @@ def redact(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
             yield pa.record_batch(columns, schema=batch.schema)
 
     names = list(df.columns)
-    return df.mapInArrow(run, df.schema)
+    return in_batches(df).mapInArrow(run, df.schema)
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions, slices
+from .common import discard, in_batches, materialise, shuffle_partitions, slices
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
 SEGMENTS, SEGMENT_BITS = 4, 16
@@ -68,14 +68,17 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def fingerprint_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long) of every row."""
+def fingerprint_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a long) and the columns in keep of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            yield pa.record_batch([batch.column("doc_id"), pa.array(fingerprints(batch.column("text").to_pylist()).view("<i8"))], ["doc_id", "fp"])
+        for batch in slices(batches, "text"):
+            columns = [batch.column(c) for c in ("doc_id", *keep)]
+            yield pa.record_batch([*columns, pa.array(fingerprints(batch.column("text").to_pylist()).view("<i8"))], ["doc_id", *keep, "fp"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.col(text_col).alias("text"))
+    types = dict(df.dtypes)
+    return in_batches(rows).mapInArrow(run, ", ".join(["doc_id long", *(f"`{c}` {types[c]}" for c in keep), "fp long"]))
 
 
 @cache
@@ -249,7 +252,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = materialise(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = materialise(small.filter("u != v").distinct(), "small-star")
+        before, edges = edges, materialise(small.filter("u != v").distinct(), "small-star")
+        discard(before)
+        discard(large)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             break
@@ -276,12 +281,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's rows without those near to a kept one by a chain of links: one row of each component stays, that of the least id."""
+    """df's rows without those near to a kept one by a chain of links: one row of each component stays, that of the least id.
+
+    Rows with equal or null ids are told apart by their place: among equal ids the first one read stays, and a null id
+    only where its component has no other. Null and empty texts are one group. df's columns may have any names. Whole
+    rows are not shuffled unless the removed ones are too many to broadcast.
+    """
     numbered = materialise(df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.monotonically_increasing_id().alias("_at")), "simhash-rows")
-    rows = materialise(fingerprint_rows(numbered.select("_at", F.col(f"_row.{text_col}").alias("_text")), "_at", "_text").withColumnRenamed("doc_id", "_at"), "simhash-documents")
-    named = rows.join(numbered.select("_at", "_id"), "_at")
-    grouped = group_fingerprints(rows.select(F.col("_at").alias("doc_id"), "fp"))
-    # The least id of a component stays; among equal ids the first row.
-    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_at")).alias("first")
-    kept = named.join(grouped, "fp").groupBy("component_id").agg(first).select(F.col("first._at").alias("_at"))
-    return numbered.join(kept, "_at", "left_semi").select("_row.*")
+    texts = numbered.select("_at", "_id", F.col("_row").getField(text_col).alias("_text"))
+    rows = materialise(fingerprint_rows(texts, "_at", "_text", ("_id",)), "simhash-documents")
+    grouped = group_fingerprints(rows.select("doc_id", "fp"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "doc_id")).alias("first")
+    kept = rows.join(grouped, "fp").groupBy("component_id").agg(first).select(F.col("first.doc_id").alias("doc_id"))
+    removed = rows.select("doc_id").join(kept, "doc_id", "left_anti").withColumnRenamed("doc_id", "_at")
+    return numbered.join(removed, "_at", "left_anti").select("_row.*")
