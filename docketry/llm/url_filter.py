@@ -1,19 +1,20 @@
 """URL verdicts: stated rules first, else a tree of path templates for each host.
 
-Paths become templates in two steps. Segments that are variable by their look (numbers, hashes,
-dates) become typed wildcards at once, after which a host has few distinct templates however many
-urls it has. Then, level by level below each node of a host's tree, literal segments become `*`
-where a node has too many different ones. Sibling branches whose subtrees look alike (the same
-suffixes with near-equal shares, whatever their labels) are merged, so that branches without labels share
-those of the branches they are like. A template is rejected when the smoothed share of bad labels among
-its labelled urls is high; the smoothing pulls a template with few labels or none to its host's share, and a
-host with few labels or none to the share of all.
+Segments that are variable by their look (numbers, hashes, dates) become typed wildcards at once, after which a host
+has few distinct templates however many urls it has. Then, level by level from the top, literal segments become `*`
+below a node that has too many different ones. From the deepest level up, sibling branches are merged where a
+two-sample likelihood-ratio test on the counts of their suffixes finds them alike: the divergence may exceed a
+tolerated one by what chance gives for so many urls. Two branches that both have labels must be alike in these too;
+one without joins a labelled one if it can, so branches without labels share those of what they look like. A template is rejected when the smoothed share of
+bad labels among its labelled urls is above a limit; the smoothing pulls a template with few labels to its host's share, and
+a host's to the share of all, so templates without any label are judged by these.
 
 Labels are what the rules say about the urls they fit, or any boolean column of the caller's (true: bad).
 
-Defined cases: a null url, or one without `://`, has an empty host and path; rows with equal ids or urls
-are judged each for itself; a template without any labelled url is rejected only above the limit; an
-empty table gives an empty result.
+Defined cases: a null url, or one without `://`, has an empty host and path; paths of any depth are kept whole (levels
+beyond STEPPED are generalised in one step, each below its own literal prefix, and only merge as parts of suffixes);
+rows with equal ids or urls are judged each for itself; ties between equally large branches go to the lesser name; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,15 +26,15 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialise
 
-#: Deepest path segment that is kept apart; what lies below is one tail.
-MAX_DEPTH = 6
+#: Levels that are generalised and merged one after another; deeper ones are generalised together.
+STEPPED = 8
 #: A node with more different segments than this, or with this share of different ones, is variable.
 MAX_CHILDREN, VARIABLE_SHARE, VARIABLE_LEAST = 24, 0.5, 12
-#: Least common share of two branches' suffixes (one less their total variation) at which they are alike.
-ALIKE = 0.8
+#: Divergence (in nats) of two branches' suffixes that is tolerated at any size, and what chance adds to it in standard deviations.
+TOLERATED, DEVIATIONS = 0.02, 2.33
 #: Weight of the host's share in a template's purity, and of the share of all in a host's.
 SMOOTHING, HOST_SMOOTHING = 4.0, 20.0
-#: Least smoothed share of bad labels at which a template is rejected.
+#: Smoothed share of bad labels above which a template is rejected.
 REJECT_AT = 0.6
 
 
@@ -80,82 +81,114 @@ def typed(segment: Column) -> Column:
     return F.concat(kind, ending)
 
 
-def _generalise(nodes: DataFrame, depth: int) -> DataFrame:
-    """Turns the literal segments at depth into `*` below every (host, prefix) that has too many."""
-    prefix = F.concat_ws("/", F.slice("template", 1, depth - 1)) if depth > 1 else F.lit("")
-    nodes = nodes.withColumn("_prefix", prefix).withColumn("_segment", F.try_element_at("template", F.lit(depth)))
-    children = nodes.filter("_segment is not null").groupBy("host", "_prefix", "_segment").agg(F.sum("n").alias("n"))
-    wide = (
-        children.groupBy("host", "_prefix")
-        .agg(F.count("*").alias("_kinds"), F.sum("n").alias("_n"))
-        .filter((F.col("_kinds") > MAX_CHILDREN) | ((F.col("_n") >= VARIABLE_LEAST) & (F.col("_kinds") > VARIABLE_SHARE * F.col("_n"))))
-        .select("host", "_prefix", F.lit(True).alias("_wide"))
-    )
-    at = F.lit(depth - 1)
-    starred = F.transform("template", lambda x, i: F.when((i == at) & ~x.startswith("<"), F.lit("*")).otherwise(x))
-    return nodes.join(wide, ["host", "_prefix"], "left").withColumn("template", F.when(F.col("_wide") & F.col("_segment").isNotNull(), starred).otherwise(F.col("template"))).drop("_prefix", "_segment", "_wide")
+def _prefix(level: Column | int) -> Column:
+    """The segments above a level, which counts from 1."""
+    return F.concat_ws("/", F.slice("template", F.lit(1), F.lit(level) - 1 if isinstance(level, int) else level - 1))
+
+
+def _wide(children: DataFrame) -> DataFrame:
+    """host, _prefix of nodes with too many different segments, from rows (host, _prefix, _segment, n)."""
+    kinds = children.groupBy("host", "_prefix", "_segment").agg(F.sum("n").alias("n")).groupBy("host", "_prefix").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
+    return kinds.filter((F.col("kinds") > MAX_CHILDREN) | ((F.col("n") >= VARIABLE_LEAST) & (F.col("kinds") > VARIABLE_SHARE * F.col("n")))).select("host", "_prefix")
+
+
+def generalise(nodes: DataFrame) -> DataFrame:
+    """nodes (host, shape, template, n) with `*` for the literal segments of variable nodes."""
+    starred = lambda at: F.transform("template", lambda x, i: F.when(at(i) & ~x.startswith("<"), F.lit("*")).otherwise(x))
+    depth = nodes.agg(F.max(F.size("template"))).first()[0] or 0
+    for level in range(1, min(depth, STEPPED) + 1):
+        # Read twice below, so it is written: the plan would double with every level.
+        placed = materialise(nodes.withColumn("_prefix", _prefix(level)).withColumn("_segment", F.try_element_at("template", F.lit(level))), "url-level")
+        wide = _wide(placed.filter("_segment is not null")).withColumn("_wide", F.lit(True))
+        here = lambda i, level=level: i == level - 1
+        nodes = placed.join(wide, ["host", "_prefix"], "left").withColumn("template", F.when(F.col("_wide") & F.col("_segment").isNotNull(), starred(here)).otherwise(F.col("template"))).drop("_prefix", "_segment", "_wide")
+    if depth > STEPPED:
+        deep = nodes.filter(F.size("template") > STEPPED).select("host", "shape", "template", "n", F.explode(F.sequence(F.lit(STEPPED + 1), F.size("template"))).alias("_level"))
+        deep = deep.withColumn("_prefix", _prefix(F.col("_level"))).withColumn("_segment", F.element_at("template", F.col("_level")))
+        hit = deep.join(_wide(deep), ["host", "_prefix"]).groupBy("host", "shape").agg(F.collect_set("_level").alias("_levels"))
+        nodes = nodes.join(hit, ["host", "shape"], "left").withColumn("template", F.when(F.col("_levels").isNotNull(), starred(lambda i: F.array_contains("_levels", i + 1))).otherwise(F.col("template"))).drop("_levels")
+    return nodes
+
+
+def _xlogx(c: Column) -> Column:
+    return F.when(c > 0, c * F.log(c)).otherwise(0.0)
 
 
-def merge_branches(nodes: DataFrame) -> DataFrame:
-    """host, branch, merged: the least name of the branches that look alike by all their suffixes' shares, labels aside.
+def alike(parts: DataFrame) -> DataFrame:
+    """host, parent, branch, to, place: pairs of siblings that the test finds alike, each with itself; from rows (host, parent, branch, suffix, n, labelled, bad).
 
-    Every branch points to the largest one it is like, ties by name; who ends at one root is merged. A host's root page is no branch.
+    Suffixes of one branch alone add nothing to the statistic but to its freedom, so only shared ones are joined, and a
+    pair without one is never alike. A node's branches are few, as it would be variable otherwise.
     """
-    parts = nodes.groupBy("host", "branch", "suffix").agg(F.sum("n").alias("n"))
-    totals = parts.groupBy("host", "branch").agg(F.sum("n").alias("total"))
-    shares = materialise(parts.join(totals, ["host", "branch"]).withColumn("share", F.col("n") / F.col("total")), "url-branches")
-    inner = shares.filter("branch != ''")
-    other = inner.select("host", "suffix", F.col("branch").alias("to"), F.col("share").alias("to_share"), F.col("total").alias("to_total"))
-    alike = (
-        inner.join(other, ["host", "suffix"])
-        .groupBy("host", "branch", "to", "to_total")
-        .agg(F.sum(F.least("share", "to_share")).alias("common"))
-        .filter((F.col("branch") == F.col("to")) | (F.col("common") >= ALIKE))
-    )
-    links = materialise(alike.groupBy("host", "branch").agg(F.max(F.struct("to_total", "to"))["to"].alias("root")), "url-links")
-    while True:
-        after = links.select("host", F.col("branch").alias("root"), F.col("root").alias("next"))
-        links = materialise(links.join(after, ["host", "root"]).select("host", "branch", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "url-links")
-        if not links.filter("moved").head(1):
-            break
-    names = links.groupBy("host", "root").agg(F.min("branch").alias("merged"))
-    roots = shares.filter("branch = ''").select("host", "branch", F.col("branch").alias("merged")).distinct()
-    return links.join(names, ["host", "root"]).select("host", "branch", "merged").unionByName(roots)
+    keys, facts = ["host", "parent"], ("total", "kinds", "labels", "bads")
+    totals = parts.groupBy(*keys, "branch").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("labelled").alias("labels"), F.sum("bad").alias("bads"))
+    own = parts.select(*keys, "branch", "suffix", "n").join(totals, [*keys, "branch"])
+    to = own.select(*keys, "suffix", *[F.col(c).alias(f"to_{c}") for c in ("branch", "n", *facts)])
+    shared = own.join(to, [*keys, "suffix"]).groupBy(*keys, "branch", *facts, "to_branch", *[f"to_{c}" for c in facts])
+    both = lambda c: F.col(c) + F.col(f"to_{c}")
+    gain = lambda c: _xlogx(F.col(c)) + _xlogx(F.col(f"to_{c}")) - _xlogx(both(c))
+    pairs = shared.agg(F.sum(gain("n")).alias("gain"), F.count("*").alias("common"))
+    pairs = pairs.withColumns({"goods": F.col("labels") - F.col("bads"), "to_goods": F.col("to_labels") - F.col("to_bads")})
+    limit = lambda n, free: TOLERATED * 2 * n + free + DEVIATIONS * F.sqrt(2 * free)
+    suffixes = 2 * (F.col("gain") - gain("total")) <= limit(both("total"), F.greatest(both("kinds") - F.col("common") - 1, F.lit(1)))
+    labels = 2 * (gain("goods") + gain("bads") - gain("labels")) <= limit(both("labels"), F.lit(1))
+    judged = (F.col("labels") == 0) | ((F.col("to_labels") > 0) & labels)
+    found = pairs.filter((F.col("branch") == F.col("to_branch")) | (suffixes & judged))
+    return found.select(*keys, "branch", F.col("to_branch").alias("to"), F.struct(F.col("to_labels") > 0, "to_total", "to_branch").alias("place"))
+
+
+def merge_branches(parts: DataFrame) -> DataFrame:
+    """host, parent, branch, merged: the least name of the branches that are alike, from rows (host, parent, branch, suffix, n, labelled, bad).
+
+    Every branch points to the largest one it is like, labelled ones first and ties by name; who ends at one root is merged.
+    """
+    links = alike(parts).groupBy("host", "parent", "branch").agg(F.max_by("to", "place").alias("to"))
+    maps = links.groupBy("host", "parent").agg(F.map_from_entries(F.collect_list(F.struct("branch", "to"))).alias("to"))  # a node's branches are few
+    twice = lambda m, _: F.map_from_entries(F.transform(F.map_entries(m), lambda e: F.struct(e["key"], F.element_at(m, e["value"]))))
+    steps = F.sequence(F.lit(1), F.lit((2 * MAX_CHILDREN).bit_length()))  # each doubles the steps taken
+    rooted = maps.select("host", "parent", F.explode(F.aggregate(steps, F.col("to"), twice)).alias("branch", "root"))
+    names = rooted.groupBy("host", "parent", "root").agg(F.min("branch").alias("merged"))
+    return rooted.join(names, ["host", "parent", "root"]).select("host", "parent", "branch", "merged")
+
+
+def merge_levels(nodes: DataFrame) -> DataFrame:
+    """nodes whose templates name merged branches by their least member, deepest level first."""
+    depth = nodes.agg(F.max(F.size("template"))).first()[0] or 0
+    for level in range(min(depth - 1, STEPPED), 0, -1):
+        placed = nodes.withColumn("parent", _prefix(level)).withColumn("branch", F.try_element_at("template", F.lit(level)))
+        placed = materialise(placed.withColumn("suffix", F.when(F.size("template") > level, F.concat_ws("/", F.expr(f"slice(template, {level + 1}, size(template))")))), "url-level")
+        # A branch that ends here is a page of its own: only what lies below branches is compared.
+        parts = placed.filter("suffix is not null").groupBy("host", "parent", "branch", "suffix").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
+        named = placed.join(merge_branches(parts), ["host", "parent", "branch"], "left")
+        here = F.transform("template", lambda x, i: F.when(i == level - 1, F.col("merged")).otherwise(x))  # noqa: B023
+        nodes = named.withColumn("template", F.when(F.col("merged").isNotNull() & F.col("suffix").isNotNull(), here).otherwise(F.col("template"))).drop("parent", "branch", "suffix", "merged")
+    return nodes
 
 
 def learn_templates(urls: DataFrame) -> DataFrame:
-    """From host, shape (typed segments), bad (boolean or null): one row per (host, shape) with template, branch, purity, verdict."""
+    """From host, shape (typed segments), bad (boolean or null): one row per (host, shape) with template, purity, learned (the verdict)."""
     shapes = urls.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.count_if("bad").alias("bad"))
     nodes = materialise(shapes.withColumn("template", F.col("shape")), "url-shapes")
-    depth = nodes.agg(F.max(F.size("template"))).first()[0] or 0
-    for level in range(1, min(depth, MAX_DEPTH) + 1):
-        nodes = _generalise(nodes, level)
-    nodes = materialise(nodes.withColumn("branch", F.coalesce(F.try_element_at("template", F.lit(1)), F.lit(""))).withColumn("suffix", F.concat_ws("/", F.slice("template", 2, MAX_DEPTH))), "url-templates")
-
-    nodes = nodes.join(merge_branches(nodes), ["host", "branch"])
+    nodes = materialise(merge_levels(materialise(generalise(nodes), "url-general")), "url-templates")
 
     overall = nodes.agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).first()
     share_of_all = (overall.bad or 0) / overall.labelled if overall.labelled else 0.0
     hosts = nodes.groupBy("host").agg(F.sum("bad").alias("_hb"), F.sum("labelled").alias("_hl"))
-    groups = nodes.groupBy("host", "merged", "suffix").agg(F.sum("bad").alias("_b"), F.sum("labelled").alias("_l"))
+    groups = nodes.groupBy("host", "template").agg(F.sum("bad").alias("_b"), F.sum("labelled").alias("_l"))
     prior = (F.col("_hb") + HOST_SMOOTHING * share_of_all) / (F.col("_hl") + HOST_SMOOTHING)
     purity = (F.col("_b") + SMOOTHING * prior) / (F.col("_l") + SMOOTHING)
-    judged = groups.join(hosts, "host").select("host", "merged", "suffix", "_l", purity.alias("purity"))
-    # Without labels of its own a template's purity is its host's, or that of all: it has to pass the limit, not only to reach it.
-    bad = F.when(F.col("_l") > 0, F.col("purity") >= REJECT_AT).otherwise(F.col("purity") > REJECT_AT)
-    return nodes.join(judged, ["host", "merged", "suffix"]).select("host", "shape", F.concat_ws("/", "merged", "suffix").alias("template"), "purity", F.when(bad, "block").otherwise("allow").alias("learned"))
+    judged = groups.join(hosts, "host").select("host", "template", purity.alias("purity"))
+    return nodes.join(judged, ["host", "template"]).select("host", "shape", F.concat_ws("/", "template").alias("template"), "purity", F.when(F.col("purity") > REJECT_AT, "block").otherwise("allow").alias("learned"))
 
 
 def judge_urls(df: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", bad_col: str | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity for every row."""
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    tail = F.when(F.size("_segments") > MAX_DEPTH, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>"))
     says = {r.text: r.verdict for r in rules}
     verdict = F.coalesce(*[F.when(F.col("rule") == text, F.lit(v)) for text, v in says.items()], F.lit(None).cast("string"))
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"), (F.col(bad_col) if bad_col else F.lit(None)).cast("boolean").alias("_given"))
     rows = rows.withColumn("rule", longest_rule(rules, F.col("host"), F.col("path"))).withColumn("_stated", verdict)
-    rows = rows.withColumn("_segments", segments).withColumn("shape", F.concat(F.transform(F.slice("_segments", 1, MAX_DEPTH), typed), tail))
-    rows = rows.withColumn("bad", F.coalesce("_given", F.col("_stated") == "block"))
+    rows = rows.withColumn("shape", F.transform(segments, typed)).withColumn("bad", F.coalesce("_given", F.col("_stated") == "block"))
     learned = learn_templates(rows.select("host", "shape", "bad"))
     return rows.join(learned, ["host", "shape"], "left").select("page_id", "host", "path", "rule", F.coalesce("_stated", "learned").alias("verdict"), "template", "purity")
