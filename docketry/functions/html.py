@@ -95,7 +95,8 @@ class Page(HTMLParser):
         return next(((urljoin(base, found[0]), n) for n, found in enumerate(tiers, 1) if found), ("", 0))
 
 
-NOT_FOUND = ("404", "not found", "页面不存在")
+#: Titles of pages that say that there is nothing; a number 404 within a title is none.
+NOT_FOUND = re.compile(r"^(?:error\s*)?404\b|\bnot found\b|页面不存在", re.IGNORECASE)
 PAGE_FACTS = "title string, main_text string, attachment string, attachment_tier int, items array<struct<link_url:string,title:string,date:string>>, soft_404 boolean"
 _ITEMS = pa.list_(pa.struct([("link_url", pa.string()), ("title", pa.string()), ("date", pa.string())]))
 
@@ -109,7 +110,7 @@ def page_facts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             for url, text in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 page = Page(text or "")
                 title = page.title.strip()
-                for column, value in zip(out, (title, page.main_text(), *page.attachment(url or ""), page.items, any(w in title.lower() for w in NOT_FOUND))):
+                for column, value in zip(out, (title, page.main_text(), *page.attachment(url or ""), page.items, bool(NOT_FOUND.search(title)))):
                     column.append(value)
             yield pa.record_batch([batch.column("page_id"), *[pa.array(v, t) for v, t in zip(out, (pa.string(), pa.string(), pa.string(), pa.int32(), _ITEMS, pa.bool_()))]], ["page_id", "title", "main_text", "attachment", "attachment_tier", "items", "soft_404"])
 

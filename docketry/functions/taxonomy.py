@@ -49,6 +49,23 @@ def label(name: Column, dataset: Column, taxonomy: list[Tag]) -> Column:
     return F.coalesce(*[F.when((name == n) & (dataset == d), w) for n, d, w in pairs], name)
 
 
+def tags_text(tags: Column, dataset: Column, taxonomy: list[Tag], delimiter: str = "、") -> Column:
+    """Tags in a dataset's wording, joined."""
+    return F.array_join(F.transform(tags, lambda x: label(x, dataset, taxonomy)), delimiter)
+
+
+def wordings(taxonomy: list[Tag], dataset: str) -> list[str]:
+    """What a dataset calls each tag, in the taxonomy's order."""
+    return [t.labels.get(dataset, t.name) for t in taxonomy]
+
+
+def advice(c: Column, taxonomy: list[Tag], given: dict[str, str], default: str) -> Column:
+    """The caller's advice for a field: for its own text, else for the first of its tags that has any, else the default."""
+    said = lambda x: F.coalesce(*[F.when(x == k, v) for k, v in given.items()], F.lit(None).cast("string"))
+    by_tag = F.get(F.filter(F.transform(normalise(c, taxonomy), said), lambda x: x.isNotNull()), 0)
+    return F.coalesce(said(F.trim(text_or_empty(c))), by_tag, F.lit(default))
+
+
 def category(c: Column, categories: list[tuple[str, tuple[str, ...]]], default: str = "other") -> Column:
     """The first category one of whose keywords the text contains."""
     tests = [F.when(F.exists(F.array(*[F.lit(k) for k in keys]), lambda k: text_or_empty(c).contains(k)), name) for name, keys in categories]

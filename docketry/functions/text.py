@@ -17,6 +17,10 @@ NUMERALS, NAME_FORBIDDEN = "零一二三四五六七八九", r'[\\/*?:"<>|]'
 text_or_empty = lambda c: F.coalesce(c, F.lit(""))
 
 
+def contains_any(c: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda x, w: x | text_or_empty(c).contains(w), words, F.lit(False))
+
+
 def split_multi(c: Column) -> Column:
     """Parts of a multi-value field, trimmed, without blanks; null gives no parts."""
     return F.filter(F.transform(F.split(text_or_empty(c), f"[{DELIMITERS}]"), lambda x: F.trim(x)), lambda x: x != "")
@@ -116,6 +120,7 @@ def slug(url: Column) -> Column:
     return F.substring(F.regexp_replace(F.element_at(F.split(url, "/"), -1), "[^a-zA-Z0-9]", "_"), 1, 60)
 
 
+#: The forms of detail pages' addresses.
 def case_id_from_url(url: Column) -> Column:
     """Identifier of a detail page: a long P number, a t date_number, a month and name, a c number, else a slug."""
     month = F.regexp_replace(F.regexp_extract(url, r"/(\d{6}/[^/]+)$", 1), "[^a-zA-Z0-9]", "_")
@@ -126,6 +131,17 @@ def dated_case_id(day: Column, url: Column) -> Column:
     return F.concat_ws("_", F.regexp_replace(text_or_empty(day.cast("string")), "-", ""), case_id_from_url(url))
 
 
+def is_list_url(url: Column, endings: tuple[str, ...] = ("index", "list", "default")) -> Column:
+    """Whether an address is a list or a start page rather than a detail page: no path, a folder, or a page of a listed name, with a page number or not."""
+    path = F.regexp_extract(text_or_empty(url), r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)
+    return path.isin("", "/") | path.endswith("/") | path.rlike(rf"/(?:{'|'.join(endings)})(?:_\d+)?\.[a-z]+$")
+
+
+def attachment_only(c: Column, suffixes: tuple[str, ...] = (".pdf", ".doc", ".docx", ".xls", ".xlsx"), longest: int = 300) -> Column:
+    """Whether a short text does no more than name a file."""
+    return (F.length(text_or_empty(c)) < longest) & contains_any(F.lower(c), suffixes)
+
+
 def document_number(title: Column, body: Column) -> Column:
     """A document number 〔year〕number号 of the title, else of the first 2000 characters of the body; a prefix of place stays."""
     found = []
@@ -161,6 +177,11 @@ def readable_share(c: Column, n: int = 4000) -> Column:
     return F.length(F.regexp_replace(head, r"[^\p{L}\p{N}\p{P}\s]", "")) / F.greatest(F.length(head), F.lit(1))
 
 
+def is_garbage(c: Column, least: float = 0.5, n: int = 4000) -> Column:
+    """Whether most of a text's beginning is unreadable; an empty text is not."""
+    return (text_or_empty(c) != "") & (readable_share(c, n) < least)
+
+
 def json_object(c: Column) -> Column:
     """The object in a model's answer, as JSON text: a fence is stripped, a trailing comma repaired; else null."""
     bare = F.regexp_replace(F.trim(text_or_empty(c)), r"^```[a-zA-Z]*\s*|\s*```$", "")

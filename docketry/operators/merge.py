@@ -52,13 +52,32 @@ def upsert_bodies(target: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def fill(target: DataFrame, values: DataFrame, column: str, only_if_empty: bool = True, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """target with column set from values (keys and column), where it is blank or everywhere."""
-    new = values.select(*keys, F.col(column).alias("_new"))
+    """target with column set from values (keys and column), where it is blank or everywhere; of a key's several values the greatest counts."""
+    new = values.groupBy(*keys).agg(F.max(column).alias("_new"))
     blank = F.trim(text_or_empty(F.col(column))) == ""
     take = F.col("_new").isNotNull() & (blank if only_if_empty else F.lit(True))
     return target.join(new, list(keys), "left").withColumn(column, F.when(take, F.col("_new")).otherwise(F.col(column))).drop("_new")
 
 
+def set_body(bodies: DataFrame, new: DataFrame) -> DataFrame:
+    """Bodies with those of `new` in their place, blank ones too."""
+    return upsert(bodies, new, rules={})
+
+
+def write_summary(summaries: DataFrame, bridge: DataFrame, cases: DataFrame, new: DataFrame, tags: Column, status: str | None = None) -> dict[str, DataFrame]:
+    """New versions of summaries, bridge and cases for summaries (one or many): links of the written keys are replaced, their cases get the status."""
+    links = new.select("dataset", "case_id", F.explode(tags).alias("violation"))
+    out = {"summaries": upsert(summaries, new, rules={}), "case_violations": replace_bridge(bridge, new, links)}
+    hit = new.select(*KEYS).distinct().withColumn("_hit", F.lit(True))
+    marked = cases.join(hit, list(KEYS), "left").withColumn("status", F.when(F.col("_hit"), F.coalesce(F.lit(status), F.col("status"))).otherwise(F.col("status")))
+    return out | {"cases": marked.drop("_hit")}
+
+
+def rebuild_bridge(summaries: DataFrame, tags: Column) -> DataFrame:
+    """The bridge from the summaries' raw text alone."""
+    return summaries.select("dataset", "case_id", F.explode(tags).alias("violation")).distinct()
+
+
 def replace_bridge(bridge: DataFrame, written: DataFrame, links: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Links of all written keys are dropped and the new ones come in, each once; a key whose tags went leaves no stale link."""
     kept = bridge.join(written.select(*keys).distinct(), list(keys), "left_anti")
@@ -92,22 +111,32 @@ def to_fetch(known: DataFrame, bodies: DataFrame, skipped: DataFrame, keys: tupl
     return known.select(*names).join(bodies.select(*names), names, "left_semi").unionByName(skipped.select(*names)).distinct()
 
 
-def commit(spark: SparkSession, folder: str, tables: dict[str, DataFrame]) -> int:
-    """Write new versions of several tables, then one small revision row that makes all of them current at once."""
+def _claim(spark: SparkSession, folder: str) -> int:
+    """The next revision number, taken by creating its file; who finds it taken tries the next one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    files = where(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where(f"{folder}/_claims"))
     revision = current_revision(spark, folder) + 1
-    paths = {}
+    while not files.createNewFile(where(f"{folder}/_claims/{revision}")):
+        revision += 1
+    return revision
+
+
+def commit(spark: SparkSession, folder: str, tables: dict[str, DataFrame]) -> int:
+    """Write new versions of several tables, then the revision's rows, one a table, which make all of them current at once.
+
+    Writers take different numbers, and each records only what it wrote, so neither loses the other's tables.
+    """
+    revision = _claim(spark, folder)
+    paths = {name: f"{folder}/{name}/{revision}-{uuid.uuid4().hex[:8]}" for name in tables}
     for name, df in tables.items():
-        paths[name] = f"{folder}/{name}/{revision}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(paths[name])
-    before = current_paths(spark, folder)
-    rows = [(revision, name, path) for name, path in (before | paths).items()]
-    spark.createDataFrame(rows, "revision long, name string, path string").coalesce(1).write.mode("append").parquet(f"{folder}/_revisions")
+    spark.createDataFrame([(revision, *x) for x in paths.items()], "revision long, name string, path string").coalesce(1).write.mode("append").parquet(f"{folder}/_revisions")
     return revision
 
 
 def _revisions(spark: SparkSession, folder: str) -> DataFrame:
-    jvm = spark._jvm.org.apache.hadoop.fs
-    path = jvm.Path(f"{folder}/_revisions")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_revisions")
     schema = "revision long, name string, path string"
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], schema)
@@ -119,5 +148,6 @@ def current_revision(spark: SparkSession, folder: str) -> int:
 
 
 def current_paths(spark: SparkSession, folder: str) -> dict[str, str]:
-    rows = _revisions(spark, folder)
-    return {r["name"]: r.path for r in rows.filter(F.col("revision") == current_revision(spark, folder)).collect()}  # one row a table
+    """The newest path of each table."""
+    newest = _revisions(spark, folder).groupBy("name").agg(F.max_by("path", "revision").alias("path"))
+    return {r["name"]: r.path for r in newest.collect()}  # one row a table

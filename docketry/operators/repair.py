@@ -1,7 +1,8 @@
-"""Deterministic repair of case rows in ordered passes, with a dry run.
+"""Deterministic repair of case rows in ordered passes, with a dry run, an audit and the backfill of organisation types.
 
-A pass is a rule for one column: when it applies, and the new value. Applied in order, later passes see what earlier
-ones wrote; in a dry run every pass is judged on the rows as they are.
+A pass is a rule for one column: when it applies, and the new value. Applied in order, later passes see what earlier ones
+wrote; in a dry run every pass is judged on the rows as they are. What a title and a body say is worked out once, so the
+passes run on narrow columns. Words are the caller's (`entities.Lexicon`).
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import document_number, entity_type, sign_off_date, strict_date, text_or_empty
+from ..functions import entities
+from ..functions.entities import Lexicon
+from ..functions.text import contains_any, document_number, entity_type, first_filled, sign_off_date, strict_date, text_or_empty
 
-#: What a party's name is cut at, the marks trimmed after it, and words that no name of a party holds.
-MEASURES = "采取|出具|作出|给予|责令|实施|处以|撤销|注销|暂停|取消|监管谈话|行政处罚|监管措施|警示函|监管函|责令改正"
-TRAILING = "的、，,：:；;（(【["
-DIRTY = "经查|违反|根据|规定|我局|我会|以下简称|情况|问题|决定"
+#: Columns that passes may change, and those they look at besides.
+REPAIRED = ("punished_entity", "punished_entities", "summary_entity", "entity_type", "document_number", "punishment_date")
+LOOKED_AT = ("dataset", "status", "status_note", "_titled", "_signed", "_number", "_truth")
 
 
 @dataclass(frozen=True)
@@ -30,55 +32,47 @@ class Pass:
 blank = lambda c: F.trim(text_or_empty(F.col(c))) == ""
 
 
-def clean_parties(c: Column) -> Column:
-    """Parties of a multi-value field without what a measure adds to them; single characters go."""
-    parts = F.split(F.regexp_replace(text_or_empty(c), r"\s+", ""), "[、，,]")
-    cut = F.transform(parts, lambda x: F.regexp_replace(F.element_at(F.split(x, MEASURES, 2), 1), f"[{TRAILING.replace('[', chr(92) + '[')}]+$", ""))
-    return F.array_join(F.filter(cut, lambda x: F.length(x) >= 2), "、")
+def facts(rows: DataFrame, words: Lexicon) -> DataFrame:
+    """rows with what their titles and bodies say: _titled, _signed, _number, _truth."""
+    title, body = F.col("title"), F.col("raw_text")
+    return rows.withColumns({"_titled": entities.party_from_title(title, words), "_signed": sign_off_date(body), "_number": document_number(title, body)}).withColumn(
+        "_truth", entities.authoritative_entity([F.col("_titled"), entities.organisation_from_title(title, words), entities.organisation_from_body(body, F.lit(""), words)], words)
+    )
 
 
-def is_dirty(c: Column) -> Column:
-    """Whether a party's text is a sentence rather than a name."""
-    flat = F.regexp_replace(text_or_empty(c), r"\s+", "")
-    return (flat != "") & (flat.rlike(DIRTY) | flat.rlike("[。！？]") | (F.length(flat) > 60))
-
-
-def party_from_title(title: Column) -> Column:
-    """The party that a title names: of a deregistration, before a measure (关于对…采取), or in brackets at the end."""
-    t = text_or_empty(title)
-    found = [F.regexp_extract(t, "关于注销(.+?)(?:私募基金)?管理人登记的公告", 1), F.regexp_extract(t, f"关于对?(.+?)(?:{MEASURES})", 1), F.regexp_extract(t, "[（(]([^（()）]{2,40})[)）]\\s*$", 1)]
-    clean = [F.when((x != "") & ~is_dirty(x) & F.length(x).between(2, 80), F.regexp_replace(x, r"\s+", "")) for x in found]
-    return F.coalesce(*clean, F.lit(""))
-
-
-def passes() -> list[Pass]:
-    """The passes over rows with title, raw_text, status, status_note, punished_entities, summary_entity, entity_type, document_number, punishment_date."""
-    party, entity, date = F.col("punished_entities"), F.col("summary_entity"), F.col("punishment_date")
-    titled, cleaned = party_from_title(F.col("title")), clean_parties(party)
-    truncated = ~blank("punished_entities") & (titled != party) & titled.contains(party)
-    number, signed = document_number(F.col("title"), F.col("raw_text")), sign_off_date(F.col("raw_text"))
+def passes(words: Lexicon, first_dataset: str, mismatch: str = "mismatch") -> list[Pass]:
+    """The passes in order; the first dataset keeps its party in punished_entity, all others in punished_entities."""
+    first, one, many, entity = F.col("dataset") == first_dataset, F.col("punished_entity"), F.col("punished_entities"), F.col("summary_entity")
+    titled, truth, dirty = F.col("_titled"), F.col("_truth"), lambda c: entities.is_dirty(c, words)
+    truncated = (titled != one) & titled.startswith(text_or_empty(one))
+    cleaned = entities.clean_parties(many, words)
+    held = F.when(first, one).otherwise(many)
+    fixed = entity_type(F.col("entity_type"))
     return [
-        Pass("fill_party", "punished_entities", (titled != "") & (blank("punished_entities") | party.startswith("关于注销") | truncated), titled),
-        Pass("clear_description", "summary_entity", is_dirty(entity) & (titled == "") & blank("punished_entities"), F.lit("")),
-        Pass("clean_suffix", "punished_entities", ~blank("punished_entities") & (cleaned != party) & (cleaned != ""), cleaned),
-        Pass("replace_dirty_party", "punished_entities", is_dirty(party) & (titled != ""), titled),
-        Pass("fill_number", "document_number", blank("document_number") & (number != ""), number),
-        Pass("fill_date", "punishment_date", (F.col("status") == "done") & blank("punishment_date") & ~text_or_empty(F.col("status_note")).contains("mismatch") & (signed != ""), signed),
-        Pass("clear_date", "punishment_date", ~blank("punishment_date") & strict_date(date).isNull(), F.lit("")),
-        Pass("backfill_entity", "summary_entity", blank("summary_entity") & ~blank("punished_entities"), party),
-        Pass("replace_dirty_entity", "summary_entity", is_dirty(entity) & ~blank("punished_entities") & ~is_dirty(party), party),
-        Pass("entity_type", "entity_type", entity_type(F.col("entity_type")) != text_or_empty(F.col("entity_type")), entity_type(F.col("entity_type"))),
+        Pass("fill_first_party", "punished_entity", first & (titled != "") & (dirty(one) | truncated), titled),
+        Pass("fill_other_party", "punished_entities", ~first & blank("punished_entities") & (truth != ""), truth),
+        Pass("clear_description", "punished_entity", dirty(one) & (truth == ""), F.lit("")),
+        Pass("clear_summary_description", "summary_entity", dirty(entity) & (truth == ""), F.lit("")),
+        Pass("clean_suffix", "punished_entities", ~blank("punished_entities") & (cleaned != many) & (cleaned != ""), cleaned),
+        Pass("replace_dirty_party", "punished_entities", dirty(many) & (truth != ""), truth),
+        Pass("replace_dirty_entity", "summary_entity", dirty(entity), F.when(~dirty(held), first_filled(held, truth)).otherwise(first_filled(truth, entity))),
+        Pass("fill_number", "document_number", blank("document_number") & (F.col("_number") != ""), F.col("_number")),
+        Pass("fill_date", "punishment_date", (F.col("status") == "done") & blank("punishment_date") & ~text_or_empty(F.col("status_note")).contains(mismatch) & (F.col("_signed") != ""), F.col("_signed")),
+        Pass("clear_date", "punishment_date", ~blank("punishment_date") & strict_date(F.col("punishment_date")).isNull(), F.lit("")),
+        Pass("backfill_entity", "summary_entity", blank("summary_entity") & (text_or_empty(held) != ""), held),
+        Pass("entity_type", "entity_type", fixed != text_or_empty(F.col("entity_type")), fixed),
     ]
 
 
-def repair(rows: DataFrame) -> DataFrame:
-    """rows after all passes, each seeing the ones before, with the names of those that changed something."""
-    out = rows.withColumn("repairs", F.array().cast("array<string>"))
-    for p in passes():
-        out = _settled(out.withColumn("_hit", F.coalesce(p.applies, F.lit(False))).withColumn("_value", p.value))
+def repair(rows: DataFrame, words: Lexicon, first_dataset: str) -> DataFrame:
+    """rows after all passes, each seeing the ones before, with the names of those that changed something (repairs)."""
+    kept = [c for c in rows.columns if c not in (*REPAIRED, *LOOKED_AT)]
+    out = facts(rows, words).select(F.struct(*kept).alias("_kept"), *REPAIRED, *LOOKED_AT, F.array().cast("array<string>").alias("repairs"))
+    for p in passes(words, first_dataset):
+        out = _settled(out.withColumn("_hit", F.coalesce(p.applies & ~text_or_empty(F.col(p.column)).eqNullSafe(p.value), F.lit(False))).withColumn("_value", p.value))
         out = out.withColumn(p.column, F.when(F.col("_hit"), F.col("_value")).otherwise(F.col(p.column)))
         out = out.withColumn("repairs", F.when(F.col("_hit"), F.array_append("repairs", F.lit(p.name))).otherwise(F.col("repairs"))).drop("_hit", "_value")
-    return out
+    return out.select("_kept.*", *REPAIRED, *[c for c in LOOKED_AT if c[0] != "_"], "repairs")
 
 
 def _settled(rows: DataFrame) -> DataFrame:
@@ -86,10 +80,27 @@ def _settled(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("_r")).select("_r.*")
 
 
-def dry_run(rows: DataFrame) -> DataFrame:
-    """How often each pass would apply to the rows as they are: name, candidates."""
-    counts = rows.agg(*[F.count_if(F.coalesce(p.applies, F.lit(False))).alias(p.name) for p in passes()])
-    return counts.unpivot([], [p.name for p in passes()], "name", "candidates")
+def dry_run(rows: DataFrame, words: Lexicon, first_dataset: str) -> DataFrame:
+    """How often each pass would change the rows as they are: name, candidates."""
+    ready = _settled(facts(rows, words))
+    found = passes(words, first_dataset)
+    counts = ready.agg(*[F.count_if(F.coalesce(p.applies & ~text_or_empty(F.col(p.column)).eqNullSafe(p.value), F.lit(False))).alias(p.name) for p in found])
+    return counts.unpivot([], [p.name for p in found], "name", "candidates")
+
+
+def audit(repaired: DataFrame) -> DataFrame:
+    """How many rows each pass changed: name, rows."""
+    return repaired.select(F.explode("repairs").alias("name")).groupBy("name").agg(F.count("*").alias("rows"))
+
+
+def resolve_types(names: DataFrame, known: DataFrame, words: Lexicon, answers: DataFrame | None = None) -> DataFrame:
+    """name, org_type, source by the chain: cached type (name, org_type), an injected answer of the same shape, the name's text, its body's text."""
+    looked = names.join(known.groupBy("name").agg(F.min("org_type").alias("_cached")), "name", "left")
+    if answers is not None:
+        looked = looked.join(answers.groupBy("name").agg(F.min("org_type").alias("_answered")), "name", "left")
+    steps = [("cache", F.col("_cached")), *([("answer", F.col("_answered"))] if answers is not None else []), ("name", entities.organisation_type(F.col("name"), words)), ("text", entities.organisation_type(F.col("text"), words))]
+    source = F.coalesce(*[F.when(text_or_empty(c) != "", F.lit(s)) for s, c in steps], F.lit("unresolved"))
+    return looked.select(*names.columns, first_filled(*[c for _, c in steps]).alias("org_type"), source.alias("source"))
 
 
 def short_bodies(cases: DataFrame, bodies: DataFrame, n: int = 200) -> DataFrame:
@@ -98,13 +109,41 @@ def short_bodies(cases: DataFrame, bodies: DataFrame, n: int = 200) -> DataFrame
     return joined.withColumn("length", F.length("raw_text")).filter(F.col("length") < n).select("dataset", "case_id", "length").orderBy("length", "dataset", "case_id")
 
 
-def classify(rows: DataFrame) -> DataFrame:
+#: Columns whose missing values may be listed.
+CHECKED = ("entity_type", "punished_entity", "summary_entity", "violation_type", "punishment", "punishment_date", "violation_summary", "legal_basis")
+
+
+def missing(rows: DataFrame, column: str, present: bool = False) -> DataFrame:
+    """dataset, case_id of rows whose column is blank (or is not); a column that isn't listed is an error."""
+    if column not in CHECKED:
+        raise ValueError(f"can't look for {column!r}")
+    return rows.filter(~blank(column) if present else blank(column)).select("dataset", "case_id")
+
+
+def title_relevance(title: Column, wanted: tuple[str, ...], stopped: tuple[str, ...]) -> Column:
+    """True where a wanted word stands, false where a stop word does, else null."""
+    return F.when(contains_any(title, wanted), True).when(contains_any(title, stopped), False)
+
+
+def classify(rows: DataFrame, wanted: tuple[str, ...] = ("fund",)) -> DataFrame:
     """Ingest outcome of fetched rows (title_relevant: boolean or null, raw_text): success, failed, skipped_title or skipped_content."""
     text = text_or_empty(F.col("raw_text"))
-    outcome = F.when(~F.col("title_relevant"), "skipped_title").when(text == "", "failed").when(F.col("title_relevant").isNull() & ~text.contains("fund"), "skipped_content").otherwise("success")
+    outcome = F.when(~F.col("title_relevant"), "skipped_title").when(text == "", "failed").when(F.col("title_relevant").isNull() & ~contains_any(text, wanted), "skipped_content").otherwise("success")
     return rows.withColumn("outcome", outcome)
 
 
+def placeholders(classified: DataFrame) -> DataFrame:
+    """Rows that stand for excluded items, so that they aren't fetched again: their keys and titles, no body, status skipped."""
+    out = classified.filter(F.col("outcome").startswith("skipped"))
+    return out.select("dataset", "case_id", "title", F.lit("skipped").alias("status"), F.col("outcome").alias("status_note"), F.lit("").alias("raw_text"))
+
+
 def candidates(rows: DataFrame, retry_failed: bool = True, include_done: bool = False) -> DataFrame:
     """Rows to summarise: pending ones, failed ones on retry, done ones on a redo, skipped ones never."""
     return rows.filter(F.col("status").isin("pending", *["failed"] * retry_failed, *["done"] * include_done))
+
+
+def model_input(rows: DataFrame, limits: dict[str, int], default: int, least: int = 50) -> DataFrame:
+    """rows whose body is long enough, with input: the body cut to the dataset's limit."""
+    most = F.coalesce(*[F.when(F.col("dataset") == d, n) for d, n in limits.items()], F.lit(default))
+    return rows.filter(F.length(F.trim(text_or_empty(F.col("raw_text")))) >= least).withColumn("input", F.substring(F.col("raw_text"), F.lit(1), most))

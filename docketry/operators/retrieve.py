@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip, text_or_empty
-from ..plans.case_query import CaseQuery, keyword_union
+from ..plans.case_query import KEYWORD_COLUMNS, CaseQuery, keyword_union
 
 
 def _strict(value) -> str:
@@ -66,12 +66,12 @@ class Found:
     structured: bool = field(default=False)  # statistics are of all matches, not of the cut rows
 
 
-def retrieve(rows: DataFrame, intent: Intent, bridge: DataFrame | None = None, columns: tuple[str, ...] = ("title",)) -> Found:
+def retrieve(rows: DataFrame, intent: Intent, bridge: DataFrame | None = None, columns: tuple[str, ...] = KEYWORD_COLUMNS) -> Found:
     query = intent.query()
     scope = query.with_(limit=0).filtered(rows, bridge)
     if intent.keywords:
         merged = keyword_union(scope, list(intent.keywords), intent.limit, columns)
-        hit = [CaseQuery(keyword=k, keyword_columns=columns).predicate() for k in intent.keywords]
+        hit = [CaseQuery(keyword=k, keyword_columns=columns).predicate(rows.columns) for k in intent.keywords]
         any_hit = hit[0]
         for h in hit[1:]:
             any_hit = any_hit | h

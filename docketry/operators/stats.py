@@ -44,6 +44,12 @@ def totals(rows: DataFrame) -> DataFrame:
     return counted.select(F.when(F.col("_g") > 0, "total").otherwise(F.concat_ws(".", "dataset", "status")).alias("key"), "cases")
 
 
+def body_totals(rows: DataFrame, bodies: DataFrame) -> DataFrame:
+    """`totals` and the number of cases that have a body."""
+    have = rows.join(bodies.select("dataset", "case_id"), ["dataset", "case_id"], "left_semi").agg(F.lit("bodies").alias("key"), F.count("*").alias("cases"))
+    return totals(rows).unionByName(have)
+
+
 def basic(rows: DataFrame) -> DataFrame:
     """One row: all cases, organisations, persons, neither, first and last date."""
     dated = F.nullif(F.col("date"), F.lit(""))
@@ -60,6 +66,39 @@ def mention_totals(rows: DataFrame, tags: Column) -> DataFrame:
     return tag_counts(rows, tags).agg(F.sum("cases").alias("mentions"), F.count("*").alias("kinds"))
 
 
+def tag_distribution(bridge: DataFrame, cases: DataFrame, limit: int = 0) -> DataFrame:
+    """Cases by tag among the filtered cases, largest first; a case counts once for each of its tags."""
+    chosen = bridge.join(cases.select("dataset", "case_id"), ["dataset", "case_id"], "left_semi")
+    return ranked(chosen.groupBy(F.col("violation").alias("value")).agg(F.count("*").alias("cases")), limit)
+
+
+def bridge_rows(bridge: DataFrame, cases: DataFrame, summaries: DataFrame) -> DataFrame:
+    """The bridge with its cases' columns and, where there is one, the summary's."""
+    return bridge.join(cases, ["dataset", "case_id"]).join(summaries, ["dataset", "case_id"], "left")
+
+
+def by_kind(rows: DataFrame, values: Column, n: int, kind: str = "entity_type") -> DataFrame:
+    """The n most frequent values of an array for each kind of party, ranked; blanks and rows without a kind go."""
+    long = rows.filter(text_or_empty(F.col(kind)) != "").select(kind, F.explode(values).alias("value")).filter("value <> ''")
+    return numbered(long.groupBy(kind, "value").agg(F.count("*").alias("cases")), n, (kind,))
+
+
+def analysis(rows: DataFrame, metrics: dict[str, Column], top: dict[str, int] | None = None) -> DataFrame:
+    """metric, value, cases, rank of every metric (an array of values for a row) from one scan and one aggregation.
+
+    Metrics in `top` are cut to their most frequent values, the others are whole.
+    """
+    named = lambda name: lambda v: F.struct(F.lit(name).alias("metric"), v.alias("value"))
+    pairs = [F.transform(values, named(name)) for name, values in metrics.items()]
+    long = rows.select(F.explode(F.concat(*pairs)).alias("m")).select("m.*").filter("value is not null")
+    counts = long.groupBy("metric", "value").agg(F.count("*").alias("cases"))
+    counts = counts.withColumn("rank", F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("cases"), F.asc("value"))))
+    kept = [(F.col("metric") != name) | (F.col("rank") <= n) for name, n in (top or {}).items()]
+    for test in kept:
+        counts = counts.filter(test)
+    return counts
+
+
 def bridge(rows: DataFrame, tags: Column) -> DataFrame:
     """dataset, case_id, violation: one row for each case and different tag."""
     return rows.select("dataset", "case_id", F.explode(tags).alias("violation")).distinct()
@@ -117,7 +156,10 @@ def representatives(rows: DataFrame, by: str, text: str, n: int = 2) -> DataFram
 
 
 def quality_counters(rows: DataFrame, rules: dict[str, Column], key: str = "case_id", samples: int = 8) -> DataFrame:
-    """Rows that each rule finds, with the least keys among them as samples; one pass, partial aggregates of bounded size."""
+    """Rows that each rule finds, with the least keys among them as samples.
+
+    The rows are read for the counts and again for the samples, of which each task hands on `samples` a rule.
+    """
     long = rows.select(F.col(key).alias("key"), F.explode(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules.items()])).alias("rule")).filter("rule is not null")
     first = Window.partitionBy("rule").orderBy("key")
     counts = long.groupBy("rule").agg(F.count("*").alias("cases"))

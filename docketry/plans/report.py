@@ -8,10 +8,17 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 
-MOST_ROWS = 300
+#: Most rows of a list, and of the typical cases, in a report.
+MOST_ROWS, MOST_TYPICAL = 300, 40
+
+
+def typical(representatives: DataFrame, n: int = MOST_TYPICAL) -> DataFrame:
+    """The typical cases that a report shows: the first of the kinds in order, n at most."""
+    return representatives.orderBy("violation", "rank").limit(min(n, MOST_TYPICAL))
 
 
 def table(df: DataFrame, title: str, n: int = 20) -> str:
+    """One section: a numbered Markdown table of the first n rows, MOST_ROWS at most."""
     rows = df.limit(min(n, MOST_ROWS)).collect()
     lines = [f"## {title}", ""]
     if not rows:

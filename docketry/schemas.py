@@ -94,3 +94,41 @@ SELECT coalesce(lang, '') AS dataset, d.doc_id AS case_id, coalesce(source, '')
   CASE quality WHEN 1 THEN 'org' WHEN 0 THEN 'person' END AS entity_type
 FROM documents d LEFT JOIN labels USING (doc_id)
 """
+
+#: All columns of a case, its body and its summary over `documents`, in SQL that both engines read: names, titles and texts are
+#: made up in the forms that the operators meet. {documents} is the table.
+FULL_CASES_SQL = """
+SELECT coalesce(lang, '') AS dataset, CAST(doc_id AS STRING) AS case_id, doc_id AS number,
+  CASE doc_id % 7 WHEN 0 THEN concat('http://h/P2024', lpad(CAST(doc_id AS STRING), 18, '0'), '/x') WHEN 1 THEN concat('http://h/a/t20240101_', CAST(doc_id AS STRING), '.html')
+    WHEN 2 THEN concat('http://h/202401/ab-', CAST(doc_id AS STRING)) WHEN 3 THEN concat('http://h/c', CAST(1000000 + doc_id AS STRING), '/content.shtml') WHEN 4 THEN concat('http://h/x/c', CAST(1000000 + doc_id AS STRING), '.htm')
+    WHEN 5 THEN 'http://h/list/' ELSE concat('http://h/some page?x=', CAST(doc_id AS STRING)) END AS source_url,
+  CASE doc_id % 6 WHEN 0 THEN 'Alpha Trading Ltd is fined for late filing' WHEN 1 THEN 'Notice (John Smith)' WHEN 2 THEN 'Announcement - Beta Bank' WHEN 3 THEN 'Decision (Gamma Fund'
+    WHEN 4 THEN 'Removal of Delta LLC from the register' ELSE 'General news' END AS title,
+  CASE WHEN doc_id % 10 = 0 THEN '' ELSE concat(CAST(2015 + doc_id % 9 AS STRING), '-', lpad(CAST(1 + doc_id % 12 AS STRING), 2, '0'), '-', lpad(CAST(1 + doc_id % 28 AS STRING), 2, '0')) END AS date,
+  CASE doc_id % 9 WHEN 0 THEN 'pending' WHEN 1 THEN 'failed' WHEN 2 THEN 'skipped' ELSE 'done' END AS status,
+  CASE WHEN doc_id % 13 = 0 THEN 'body mismatch' ELSE '' END AS status_note,
+  CASE doc_id % 3 WHEN 0 THEN 'trade' WHEN 1 THEN 'person' ELSE '' END AS category,
+  CASE doc_id % 8 WHEN 0 THEN 'bank' WHEN 1 THEN 'fund' ELSE '' END AS org_type,
+  CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'Alpha Trading Ltd is fined' WHEN 2 THEN 'it was found that rules were broken' WHEN 3 THEN 'John Smith' ELSE 'Beta Bank' END AS punished_entity,
+  CASE WHEN doc_id % 2 = 0 THEN 'html' ELSE 'pdf' END AS source_type,
+  CASE doc_id % 4 WHEN 0 THEN 'notice' WHEN 1 THEN 'penalty' ELSE '' END AS case_type, coalesce(source, '') AS bureau,
+  CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('N', CAST(doc_id AS STRING)) END AS document_number,
+  CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'Beta Bank is fined、Gamma Fund' WHEN 2 THEN 'it was found that rules were broken' WHEN 3 THEN 'Mary Jones' ELSE 'Delta LLC' END AS punished_entities,
+  CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 3 = 1 END AS is_fund_related,
+  CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 17 = 1 THEN 'see decision.pdf' ELSE concat('Party: Epsilon Capital Ltd. ', coalesce(text, ''), ' signed 2021-', lpad(CAST(1 + doc_id % 13 AS STRING), 2, '0'), '-05') END AS raw_text,
+  doc_id % 10 <> 3 AS has_summary,
+  CASE WHEN doc_id % 10 = 3 THEN NULL WHEN doc_id % 4 = 0 THEN 'org' WHEN doc_id % 4 = 1 THEN 'person' WHEN doc_id % 4 = 2 THEN 'person / org' ELSE '' END AS entity_type,
+  CASE WHEN doc_id % 10 = 3 THEN NULL WHEN doc_id % 6 = 0 THEN '' WHEN doc_id % 6 = 1 THEN 'it was found that rules were broken' ELSE 'Zeta Bank' END AS summary_entity,
+  CASE WHEN doc_id % 10 = 3 THEN NULL WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 7 = 1 THEN 'overdue report、unclear fees' WHEN doc_id % 7 = 2 THEN 'late filing；forged ledger' WHEN doc_id % 7 = 3 THEN 'late filing: overdue report' WHEN doc_id % 7 = 4 THEN 'other' ELSE 'another matter' END AS violation_type,
+  CASE WHEN doc_id % 10 = 3 THEN NULL WHEN doc_id % 6 = 0 THEN '' WHEN doc_id % 6 = 1 THEN 'fined 5000' WHEN doc_id % 6 = 2 THEN 'barred for a year' ELSE 'warned' END AS punishment,
+  CASE WHEN doc_id % 10 = 3 THEN NULL WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 5 = 1 THEN '2021-02-30' ELSE '2021-03-04' END AS punishment_date,
+  CASE WHEN doc_id % 10 = 3 THEN NULL WHEN doc_id % 3 = 0 THEN 'Growth Fund' ELSE '' END AS involved_fund,
+  CASE WHEN doc_id % 10 = 3 THEN NULL ELSE substr(coalesce(text, ''), 1, 200) END AS violation_summary,
+  CASE WHEN doc_id % 10 = 3 THEN NULL WHEN doc_id % 4 = 0 THEN '《Securities Act》第一条、第二条' WHEN doc_id % 4 = 1 THEN '《Fund Act》；local rules' ELSE '' END AS legal_basis
+FROM {documents}
+"""
+
+
+def full_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full view of cases over the test tables; a query reads only the columns that it uses."""
+    return spark.sql(FULL_CASES_SQL, documents=read(spark, sf_dir, "documents"))

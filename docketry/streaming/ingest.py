@@ -9,7 +9,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.merge import last_by_key, upsert
 
@@ -48,16 +48,32 @@ def stream_folder(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="spark-stream-")
 
 
-def drain(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there into a table in memory (tests and small results)."""
-    name, checkpoint = f"stream_{uuid.uuid4().hex}", stream_folder(df.sparkSession)
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(df: DataFrame) -> DataFrame:
+    """Run a stream over all that is there into Parquet files of the shared folder, and read these."""
+    folder = stream_folder(df.sparkSession)
+    query = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows")
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
+
+
+class Progress(StreamingQueryListener):
+    """Counts what streams have read, and stops a query of the given name when `cancelled` says so between its batches."""
+
+    def __init__(self, cancelled: Callable[[], bool] = lambda: False):
+        self.rows, self.batches, self.cancelled = 0, 0, cancelled
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        self.rows, self.batches = self.rows + event.progress.numInputRows, self.batches + 1
+        if self.cancelled() and (query := SparkSession.active().streams.get(event.progress.id)):
+            query.stop()
+
+    def onQueryTerminated(self, event) -> None: ...
 
 
 def upsert_stream(records: DataFrame, load: Callable[[], DataFrame], store: Callable[[DataFrame, int], None], checkpoint: str, skip: Callable[[], DataFrame] | None = None) -> StreamingQuery:
-    """Merge each micro-batch into a table: the last record of each key wins and the status lattice holds.
+    """Merge each micro-batch into a table: of a key's records the one of the greatest `seq` (a column that the records must have) wins and the status lattice holds.
 
     `load` gives the current version, `store(version, batch)` puts the next one in place and must be idempotent by
     batch number, as a batch may be replayed. Keys of `skip` (already landed) are left out.

@@ -40,3 +40,4 @@ def test_query(name, spark, tiny, oracle):
     want = [tuple(plain(r[names.index(c)]) for c in order) for r in found.fetchall()]
     got = [tuple(plain(r[c]) for c in order) for r in rows]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert got, "a comparison of nothing proves nothing"

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docketry import schemas
-from docketry.functions import taxonomy, text
+from docketry.functions import entities, taxonomy, text
 from docketry.functions.html import Page, page_facts
 from docketry.operators import merge, repair, retrieve, stats
 from docketry.plans.case_query import CaseQuery, page_of
@@ -109,7 +109,8 @@ def test_upsert_keeps_the_lattice(spark):
 
 def test_fill_bridge_delete_retain(spark):
     target = cases(spark, ("a", "1", "done", " "), ("a", "2", "done", "kept"))
-    filled = merge.fill(target, cases(spark, ("a", "1", "", "new"), ("a", "2", "", "new")), "title").collect()
+    filled = merge.fill(target, cases(spark, ("a", "1", "", "new"), ("a", "1", "", "n"), ("a", "2", "", "new")), "title").collect()
+    assert len(filled) == 2
     assert {r.case_id: r.title for r in filled} == {"1": "new", "2": "kept"}
     bridge = spark.createDataFrame([("a", "1", "stale"), ("a", "2", "x")], "dataset string, case_id string, violation string")
     links = spark.createDataFrame([("a", "2", "y"), ("a", "2", "y")], "dataset string, case_id string, violation string")
@@ -121,34 +122,51 @@ def test_fill_bridge_delete_retain(spark):
 
 def test_commits_are_seen_at_once(spark, tmp_path):
     folder = str(tmp_path)
+    (tmp_path / "_claims").mkdir()
+    (tmp_path / "_claims" / "3").touch()  # another writer is at work
     assert merge.current_revision(spark, folder) == 0
     t = cases(spark, ("a", "1", "done", "x"))
     merge.commit(spark, folder, {"cases": t, "other": t})
     assert merge.commit(spark, folder, {"cases": t.withColumn("title", F.lit("y"))}) == 2
     paths = merge.current_paths(spark, folder)
+    assert merge.commit(spark, folder, {"third": t}) == 4 and set(merge.current_paths(spark, folder)) == {"cases", "other", "third"}
     assert spark.read.parquet(paths["cases"]).first().title == "y" and spark.read.parquet(paths["other"]).first().title == "x"
 
 
-REPAIR = "dataset string, case_id string, title string, raw_text string, status string, status_note string, punished_entities string, summary_entity string, entity_type string, document_number string, punishment_date string"
+REPAIR = "dataset string, case_id string, title string, raw_text string, status string, status_note string, punished_entity string, punished_entities string, summary_entity string, entity_type string, document_number string, punishment_date string"
+WORDS = entities.Lexicon(measures=("受到处罚",), sentence_marks=("经查",), org_suffixes=("公司", "银行"), party_prefixes=("当事人：",), title_forms=(("注销", "的公告"),), org_types=(("银行", "bank"),))
 
 
 def test_repair_passes_and_dry_run(spark):
     rows = spark.createDataFrame(
         [
-            ("a", "1", "关于注销某某公司管理人登记的公告", "", "done", "", "", "", "机构+个人", "", ""),
-            ("a", "2", "关于对张三采取警示函措施的决定", "内容 沪〔2025〕4号 结尾 2024年5月6日", "done", "", "张三采取警示函", "经查，张三违反规定", "个人", "", "2024-02-30"),
-            ("b", "3", "plain", "", "done", "", "甲公司", "甲公司", "机构", "〔2020〕1号", "2020-01-01"),
+            ("a", "1", "注销某某公司的公告", "", "done", "", "", "", "", "机构+个人", "", ""),
+            ("b", "2", "张三受到处罚的决定", "内容 沪〔2025〕4号 结尾 2024年5月6日", "done", "", "", "张三受到处罚", "经查，张三违反规定", "个人", "", "2024-02-30"),
+            ("b", "3", "plain", "", "done", "", "", "甲公司", "甲公司", "机构", "〔2020〕1号", "2020-01-01"),
+            ("b", None, None, None, None, None, None, None, None, None, None, None),
         ],
         REPAIR,
     )
-    out = {r.case_id: r for r in repair.repair(rows).collect()}
-    assert out["1"].punished_entities == "某某公司" == out["1"].summary_entity and out["1"].entity_type == "机构、个人"
+    out = {r.case_id: r for r in repair.repair(rows, WORDS, "a").collect()}
+    assert out["1"].punished_entity == "某某公司" == out["1"].summary_entity and out["1"].entity_type == "机构、个人"
     assert out["2"].punished_entities == "张三" == out["2"].summary_entity and out["2"].document_number == "沪〔2025〕4号" and out["2"].punishment_date == ""
-    assert out["3"].repairs == []
-    again = repair.repair(repair.repair(rows).drop("repairs")).filter(F.size("repairs") > 0).collect()
+    assert out["3"].repairs == [] and set(rows.columns) < set(repair.repair(rows, WORDS, "a").columns)
+    again = repair.repair(repair.repair(rows, WORDS, "a").drop("repairs"), WORDS, "a").filter(F.size("repairs") > 0).collect()
     assert {p for r in again for p in r.repairs} <= {"fill_date"}  # a cleared date is filled from the text on the next run
-    dry = {r["name"]: r.candidates for r in repair.dry_run(rows).collect()}
-    assert dry["fill_party"] == 1 and dry["entity_type"] == 1 and dry["clear_date"] == 1
+    dry = {r["name"]: r.candidates for r in repair.dry_run(rows, WORDS, "a").collect()}
+    assert dry["fill_first_party"] == 1 and dry["entity_type"] == 1 and dry["clear_date"] == 1
+
+
+def test_names(spark):
+    got = lambda f, xs: values(spark, lambda c: f(c, WORDS), xs)
+    assert got(entities.party_from_title, ["决定书（李四）", "公告 - 乙银行", "函（王五", "乙公司受到处罚", None, "经查（经查，他）"]) == ["李四", "乙银行", "王五", "乙公司", "", ""]
+    assert got(entities.is_person, ["张三", "甲公司", "John Smith", "john", "", None]) == [True, False, True, False, False, False]
+    assert got(entities.is_person_line, ["张三、李四", "张三", "张三、甲公司", None]) == [True, False, False, False]
+    assert got(entities.is_dirty, ["甲公司", "经查，甲", "甲公司受到处罚", "他说。", "甲（乙", "x" * 61, "", None]) == [False, True, True, True, True, True, False, False]
+    assert got(entities.clean_parties, ["甲公司受到处罚、乙、甲公司，丙银行：", None]) == ["甲公司、丙银行", ""]
+    body = lambda c: entities.organisation_from_body(c, F.lit("丁"), WORDS)
+    assert values(spark, body, ["甲公司与，丁戊公司", "当事人：李四，男", "只有乙银行", "none", None]) == ["丁戊公司", "李四", "只有乙银行", "", ""]
+    assert got(entities.organisation_type, ["某银行", "x" * 3000 + "银行", None]) == ["bank", "", ""]
 
 
 def test_queries_compile(spark, tiny):
@@ -157,6 +175,8 @@ def test_queries_compile(spark, tiny):
         CaseQuery().aggregate(rows, "nope")
     assert not CaseQuery(datasets=("en",)).needs_summary() and CaseQuery(entity_types=("org",)).needs_summary()
     assert page_of(9, 45) == (3, 40) and page_of(0, 0) == (1, 0)
+    with pytest.raises(ValueError):
+        CaseQuery(violations=("v",)).filtered(rows)
     bridge = rows.filter("case_id % 2 = 0").select("dataset", "case_id", F.lit("v").alias("violation"))
     plan = CaseQuery(violations=("v",)).filtered(rows, bridge)
     assert "LeftSemi" in plan._jdf.queryExecution().optimizedPlan().toString()
@@ -187,9 +207,9 @@ def test_pages(spark):
     page = Page(PAGE)
     assert page.main_text().startswith("First line\nsecond line xxx") and "menu" not in page.main_text()
     assert page.attachment("http://h/a/b") == ("http://h/a/f.pdf", 1)
-    df = spark.createDataFrame([(1, "http://h/", PAGE), (2, "http://h/", "<title>404 Not Found</title>"), (3, None, None)], "page_id long, url string, html string")
+    df = spark.createDataFrame([(1, "http://h/", PAGE), (2, "http://h/", "<title>404 Not Found</title>"), (3, None, None), (4, "http://h/", "<title>Order 404/2020</title>")], "page_id long, url string, html string")
     rows = {r.page_id: r for r in page_facts(df).collect()}
-    assert [i.title for i in rows[1]["items"]] == ["One", "Two"] and rows[2].soft_404 and rows[3].main_text == ""
+    assert [i.title for i in rows[1]["items"]] == ["One", "Two"] and rows[2].soft_404 and not rows[4].soft_404 and rows[3].main_text == ""
     links = tables.list_pages(df, "2024-01-01", "2024-12-31").collect()
     assert [(r.link_url, r.date) for r in links] == [("/c1", "2024-01-05")]
 
