@@ -1,19 +1,22 @@
 """Scores of texts under a log-bilinear language model, beside a smoothed unigram score.
 
 Counts cover all training documents: tasks count their words and the counts are added up by word. The
-most frequent words (HEAD at most, by count) are known to every task; the rest, whose number grows with
-the data, stay in a table, and the rare tokens of the documents are joined with it.
+most frequent words (HEAD at most, by count) are known to every task and have vectors of their own, so their number grows
+with the data up to HEAD; the rest stay in a table, and the rare tokens of the documents are joined with it.
 
-The neural model works on units: the UNITS most frequent words each alone, the rest of the head in bins
-of like frequency, and one unit for all rare and unknown words. The probability of a word is that of its
-unit in context times its smoothed share of the unit's mass, so all words together have probability
-one. A unit's score is the product of its vector with the sum of the weighted vectors of the CONTEXT units
-before it, plus a bias; training is by noise-contrastive estimation in numpy. Each task trains
-on all of its training documents from the same start, and the parameters are averaged by tokens; scoring takes
-batched matrix products and normalises over all units.
+The model is factored: known words are dealt into classes by rank, frequent words into small ones; one more class holds
+all rare and unknown words. A class's score is the product of its vector with the sum of the weighted vectors of the
+CONTEXT words before it, plus a bias, and so is a word's score within its class; a rare word has its smoothed share of
+its class. All words together have probability one. Before training the model is the unigram model.
+
+Training is by noise-contrastive estimation in numpy, in ROUNDS rounds that begin at the last average. Training documents
+are dealt into buckets and rounds by checksums of their ids and taken in order of ids, and the number of buckets follows
+from the number of training tokens (a bucket for every BUCKET_TOKENS, MOST_BUCKETS at most), so the model is a
+function of the rows and not of how the table is split. Each bucket's changes are averaged by how often it met each
+word. Scoring takes batched matrix products and normalises over all classes and over the word's class.
 
 Defined cases: a null or empty text is its end token alone; a null id counts as the empty text when rows are
-held out; without training documents every word is unknown and all units are equal in the model; equal
+held out; without training documents every word is unknown and has the class of rare words; equal
 texts get equal scores; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -33,11 +36,16 @@ from .common import id_bucket, in_batches, materialise, slices
 
 #: The end of a text, which no word equals.
 END = b""
-#: Most words that every task knows; units of the model; of these, bins of less frequent words.
-HEAD, UNITS, BINS = 50_000, 512, 96
+#: Most words that every task knows; places of words are kept in two bytes.
+HEAD = 50_000
+#: (up to rank, words of a class): frequent words are in small classes, which keeps the mean cost of a token low.
+CLASSES = [(1024, 64), (5120, 128), (HEAD + 512, 512)]
 CONTEXT, WIDTH = 3, 24
-#: Noise words a minibatch, tokens a minibatch, step size.
-NOISE, BATCH, RATE = 48, 1024, 0.1
+#: Noise classes of a minibatch, noise words of a token, tokens of a minibatch, step size.
+NOISE_CLASSES, NOISE_WORDS, BATCH, RATE = 32, 4, 2048, 0.3
+ROUNDS, BUCKET_TOKENS, MOST_BUCKETS = 4, 4_000_000, 4096
+#: Rows of a block of parameters when buckets are averaged.
+BLOCK = 2048
 #: Words that a task counts before it hands counts on.
 COUNTED = 500_000
 
@@ -80,25 +88,37 @@ class Places(dict):
 
 @dataclass
 class Vocabulary:
-    """What every task knows: the head's words with counts and units, and the mass of each unit."""
+    """What every task knows: the head's words with counts, places and classes, and the mass of all others."""
 
     index: dict[bytes, int]
-    c: np.ndarray  # occurrences in training
-    unit: np.ndarray
-    mass: np.ndarray  # smoothed mass by unit
+    c: np.ndarray  # occurrences in training, by the head's places
+    place: np.ndarray  # rank among words with occurrences in training, or the rare place after all of these
+    mass: np.ndarray  # smoothed mass by place, the rare one's last
     tokens: int  # N
     kinds: int  # V
 
+    def __post_init__(self):
+        n = self.rare
+        starts, at = [], 0
+        for rank, size in CLASSES:
+            while at < min(rank, n):
+                starts.append(at)
+                at += size
+        self.starts = np.array([*starts, n], "int64")  # first place of each class; the last is the rare one's
+        self.stops = np.minimum(np.append(self.starts[1:], n + 1), n + 1)
+        self.of = np.searchsorted(self.starts, np.arange(n + 1), "right") - 1
+        self.class_mass = np.add.reduceat(self.mass, self.starts)
+
     @property
     def rare(self) -> int:
         return len(self.mass) - 1
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        """Places in the head, -1 for others."""
+        """Numbers in the head, -1 for others."""
         return np.fromiter(map(self.index.__getitem__, words), "int64", len(words))
 
-    def units(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids < 0, self.rare, self.unit[ids])
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        return np.where(ids < 0, self.rare, self.place[ids])
 
 
 def head_threshold(counts: DataFrame, most: int) -> float:
@@ -113,210 +133,282 @@ def head_threshold(counts: DataFrame, most: int) -> float:
     return 2 ** ((at or 0) / 8)
 
 
-def vocabulary(counts: DataFrame, head: int = HEAD, units: int = UNITS, bins: int = BINS) -> tuple[Vocabulary, float]:
+def vocabulary(counts: DataFrame, head: int = HEAD) -> tuple[Vocabulary, float]:
     """The vocabulary, and the least number of occurrences of a word of the head."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count_if(F.col("c") > 0).alias("kinds")).first()
     least = head_threshold(counts, head)
     rows = sorted(counts.filter((F.col("n") >= least) | (F.col("word") == "")).collect(), key=lambda r: (-r.c, r.word))  # `head` and one at most
     if not any(r.word == "" for r in rows):  # there is no document at all
         rows.append(Row(word="", c=0, n=0))
-    alone = min(units - bins - 2, len(rows))
     c = np.array([r.c for r in rows], "int64")
-    # The end token and the most frequent words are units; later ones share bins of equal numbers of occurrences.
-    unit = np.zeros(len(rows), "int64")
-    place = 0
-    binned = [i for i, r in enumerate(rows) if r.word]
-    for i in binned[:alone]:
-        unit[i], place = place, place + 1
-    end = place
-    place += 1
-    for i, r in enumerate(rows):
-        if not r.word:
-            unit[i] = end
-    rest = binned[alone:]
-    if rest:
-        cut = np.cumsum(c[rest] + 0.5)
-        unit[rest] = place + np.minimum((cut / cut[-1] * bins).astype("int64"), bins - 1)
-        place += bins
-    rare = place
-    unit[c == 0] = rare
-    mass = np.bincount(unit, weights=np.where(c > 0, c + 0.5, 0.0), minlength=rare + 1)
-    mass[rare] = max(0.5, total.tokens + 0.5 * (total.kinds + 1) - mass[:rare].sum())
-    return Vocabulary(Places((r.word.encode(), i) for i, r in enumerate(rows)), c, unit, np.maximum(mass, 1e-9), total.tokens, total.kinds), least
+    known = int((c > 0).sum())  # these come first
+    place = np.minimum(np.arange(len(rows)), known)
+    mass = np.append(c[:known] + 0.5, max(0.5, total.tokens + 0.5 * (total.kinds + 1) - (c[:known] + 0.5).sum()))
+    return Vocabulary(Places((r.word.encode(), i) for i, r in enumerate(rows)), c, place, mass, total.tokens, total.kinds), least
 
 
 @dataclass
 class LogBilinear:
-    r: np.ndarray  # vectors of context units
-    q: np.ndarray  # vectors of predicted units
-    b: np.ndarray  # biases
+    r: np.ndarray  # vectors of context words, by place
+    q: np.ndarray  # vectors of words within their class, the last column the bias
+    k: np.ndarray  # vectors of classes, the last column the bias
     w: np.ndarray  # weights of the context's places, elementwise
 
     @staticmethod
-    def start(mass: np.ndarray) -> LogBilinear:
+    def start(v: Vocabulary) -> LogBilinear:
+        """The unigram model: words and classes have their masses as biases and no vector yet."""
         rng = np.random.default_rng(11)
-        shape = (len(mass), WIDTH)
-        draw = lambda *s: rng.normal(0, 0.1, s).astype("float32")
-        return LogBilinear(draw(*shape), draw(*shape), np.log(mass / mass.sum()).astype("float32"), np.ones((CONTEXT, WIDTH), "float32"))
+        n, classes = len(v.mass), len(v.starts)
+        flat = lambda bias: np.column_stack([np.zeros((len(bias), WIDTH)), bias]).astype("float32")
+        return LogBilinear(rng.normal(0, 0.3, (n, WIDTH)).astype("float32"), flat(np.log(v.mass / v.class_mass[v.of])), flat(np.log(v.class_mass / v.class_mass.sum())), np.full((CONTEXT, WIDTH), 1 / CONTEXT, "float32"))
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.r, self.q, self.b, self.w]
-
-    def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log probability of each target unit, normalised over all units; in products small enough for a core's cache."""
-        out, weighted, q = np.empty(len(target)), [self.r * w for w in self.w], np.ascontiguousarray(self.q.T)
-        for start in range(0, len(target), 512):
-            part = slice(start, start + 512)
-            s = sum(v[context[part, k]] for k, v in enumerate(weighted)) @ q
-            s += self.b
-            own = s[np.arange(len(s)), target[part]]
+        return [self.r, self.q, self.k, self.w]
+
+    def hidden(self, context: np.ndarray) -> np.ndarray:
+        return sum(self.r[context[:, i]] * self.w[i] for i in range(CONTEXT))
+
+    def log_probabilities(self, context: np.ndarray, target: np.ndarray, v: Vocabulary) -> np.ndarray:
+        """Natural log probability of each target place: that of its class, and in it; in products small enough for a core's cache."""
+        out, h, own = np.empty(len(target)), np.ones((len(target), WIDTH + 1), "float32"), v.of[target]
+        h[:, :-1] = self.hidden(context)
+        self._add_log_softmax(out, h, np.arange(len(target)), own, self.k, fresh=True)
+        order = np.argsort(own.astype("int16"), kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1) if len(order) else []:
+            first, stop = v.starts[own[part[0]]], v.stops[own[part[0]]]
+            if stop - first > 1:
+                self._add_log_softmax(out, h, part, target[part] - first, self.q[first:stop])
+        return out
+
+    @staticmethod
+    def _add_log_softmax(out: np.ndarray, h: np.ndarray, rows: np.ndarray, chosen: np.ndarray, vectors: np.ndarray, fresh: bool = False) -> None:
+        across = np.ascontiguousarray(vectors.T)
+        for start in range(0, len(rows), 512):
+            at, pick = rows[start : start + 512], chosen[start : start + 512]
+            s = h[at] @ across
+            own = s[np.arange(len(s)), pick]
             if np.abs(s).max() > 60:  # else no exponential overflows, nor do they all vanish
                 top = s.max(1, keepdims=True)
                 s -= top
-                own -= top[:, 0]
-            out[part] = own - np.log(np.exp(s, out=s).sum(1))
-        return out
+                own = own - top[:, 0]
+            gained = own - np.log(np.exp(s, out=s).sum(1))
+            out[at] = gained if fresh else out[at] + gained
 
 
-def contexts(units: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
-    """The CONTEXT units before each token of texts that begin at starts; before a text there are ends."""
-    out = np.full((len(units), CONTEXT), end, "int64")
-    text = np.cumsum(np.bincount(starts, minlength=len(units) + 1)[: len(units)])
+def contexts(places: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
+    """The CONTEXT places before each token of texts that begin at starts; before a text there are ends."""
+    out = np.full((len(places), CONTEXT), end, "int64")
+    text = np.cumsum(np.bincount(starts, minlength=len(places) + 1)[: len(places)])
     for k in range(1, CONTEXT + 1):
         same = text[k:] == text[:-k]
-        out[k:, k - 1] = np.where(same, units[:-k], end)
-    return out
-
-
-def _add_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by at."""
-    out = np.zeros((n, *rows.shape[1:]), "float32")
-    at = at.astype("int16")  # units are few, and short integers sort faster
-    order = np.argsort(at, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], np.diff(at[order]) != 0)))
-    out[at[order][first]] = np.add.reduceat(rows[order], first, axis=0)
+        out[k:, k - 1] = np.where(same, places[:-k], end)
     return out
 
 
 class Trainer:
-    """Noise-contrastive estimation with steps scaled by the squares of past slopes."""
-
-    def __init__(self, model: LogBilinear, mass: np.ndarray):
-        self.model, self.noise_log = model, np.log(NOISE * mass / mass.sum()).astype("float32")
-        self.cut = np.cumsum(mass / mass.sum())
-        self.squares = [np.full_like(a, 1e-8) for a in model.arrays()]
-        self.rng, self.tokens = np.random.default_rng(5), 0
+    """Noise-contrastive estimation with steps scaled by the squares of past slopes; counts how often each row was met."""
+
+    def __init__(self, model: LogBilinear, v: Vocabulary, rate: float, seed: int):
+        self.model, self.v, self.rate = model, v, rate
+        self.squares = [np.ones_like(a) for a in model.arrays()]
+        self.met = [np.zeros(len(a), "float32") for a in model.arrays()]
+        self.class_log = np.log(NOISE_CLASSES * v.class_mass / v.class_mass.sum()).astype("float32")
+        self.class_cut = np.cumsum(v.class_mass / v.class_mass.sum())
+        self.word_log = np.log(NOISE_WORDS * v.mass / v.class_mass[v.of]).astype("float32")
+        self.cut = np.cumsum(v.mass)
+        self.below = np.concatenate(([0.0], self.cut))[v.starts]
+        self.rng = np.random.default_rng(seed)
 
     def learn(self, context: np.ndarray, target: np.ndarray) -> None:
         for start in range(0, len(target), BATCH):
             self._step(context[start : start + BATCH], target[start : start + BATCH])
-        self.tokens += len(target)
+
+    def _move(self, which: int, at: np.ndarray, slopes: np.ndarray) -> None:
+        """A step on the rows at, whose slopes are added up where a row is named more than once."""
+        order = np.argsort(at.astype("uint16"), kind="stable")  # short integers sort fast
+        rows = at[order]
+        first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        rows, total = rows[first], np.add.reduceat(slopes[order], first, axis=0)
+        array, square = self.model.arrays()[which], self.squares[which]
+        square[rows] += total * total
+        array[rows] += self.rate * total / np.sqrt(square[rows])
+        self.met[which][rows] += np.diff(np.append(first, len(at)))
 
     def _step(self, context: np.ndarray, target: np.ndarray) -> None:
-        m, n = self.model, len(self.model.b)
-        noise = np.minimum(np.searchsorted(self.cut, self.rng.random(NOISE)), n - 1)
-        vectors = [m.r[context[:, k]] for k in range(CONTEXT)]
-        h = sum(v * m.w[k] for k, v in enumerate(vectors))
+        m, v, own = self.model, self.v, self.v.of[target]
         sigma = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        true = 1 - sigma((h * m.q[target]).sum(1) + m.b[target] - self.noise_log[target])
-        false = -sigma(h @ m.q[noise].T + m.b[noise] - self.noise_log[noise])
-        slope_h = true[:, None] * m.q[target] + false @ m.q[noise]
-        slopes = _add_rows(target, np.column_stack([true[:, None] * h, true]), n)
-        slope_q, slope_b = slopes[:, :-1].copy(), slopes[:, -1].copy()
-        np.add.at(slope_q, noise, false.T @ h)
-        np.add.at(slope_b, noise, false.sum(0))
-        slope_r = _add_rows(context.T.reshape(-1), np.concatenate([slope_h * w for w in m.w]), n)
-        slope_w = np.stack([(slope_h * v).sum(0) for v in vectors])
-        for array, square, slope in zip(m.arrays(), self.squares, (slope_r, slope_q, slope_b, slope_w)):
-            slope = slope / len(target)
-            square += slope * slope
-            array += RATE * slope / np.sqrt(square)
-
-
-def _tokens(texts: list[str | None], vocabulary: Vocabulary) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Words of each text, head places of all tokens (ends included), and where each text begins."""
-    words = [words_of(t) for t in texts]
-    flat = [w for ws in words for w in (*ws, END)]
-    sizes = np.array([len(ws) + 1 for ws in words], "int64")
-    return words, vocabulary.ids(flat), np.cumsum(sizes) - sizes
-
-
-def train(df: DataFrame, shared, units: int) -> LogBilinear:
-    """The average, by tokens, of the parameters that each task gets from all of its training rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        trainer = Trainer(LogBilinear.start(v.mass), v.mass)
-        end = int(v.units(v.ids([END]))[0])
-        for batch in slices(batches, "text"):
-            _, ids, starts = _tokens(batch.column("text").to_pylist(), v)
-            us = v.units(ids)
-            trainer.learn(contexts(us, starts, end), us)
-        if trainer.tokens:
-            flat = np.concatenate([a.reshape(-1) for a in trainer.model.arrays()]).astype("float64")
-            yield pa.record_batch([pa.array([trainer.tokens], pa.int64()), pa.array([flat], pa.list_(pa.float64()))], ["tokens", "parameters"])
-
-    own = df.filter("not held_out").select("text").mapInArrow(run, "tokens long, parameters array<double>")
-    each = own.select("tokens", F.posexplode("parameters").alias("place", "value"))
-    means = each.groupBy("place").agg((F.sum(F.col("value") * F.col("tokens")) / F.sum("tokens")).alias("value"))
-    model = LogBilinear.start(shared.value.mass)
-    rows = means.collect()  # as many as the model has parameters
-    if rows:
-        flat = np.empty(len(rows), "float32")
-        for r in rows:
-            flat[r.place] = r.value
-        parts = np.split(flat, np.cumsum([a.size for a in model.arrays()])[:-1])
-        model = LogBilinear(*[p.reshape(a.shape) for p, a in zip(parts, model.arrays())])
+        vectors = [m.r[context[:, i]] for i in range(CONTEXT)]
+        h = np.ones((len(target), WIDTH + 1), "float32")
+        h[:, :-1] = sum(x * m.w[i] for i, x in enumerate(vectors))
+        # Classes: the noise is shared by the minibatch.
+        noise = np.minimum(np.searchsorted(self.class_cut, self.rng.random(NOISE_CLASSES)), len(m.k) - 1)
+        true = (1 - sigma((h * m.k[own]).sum(1) - self.class_log[own]))[:, None]
+        false = -sigma(h @ m.k[noise].T - self.class_log[noise])
+        back = true * m.k[own] + false @ m.k[noise]
+        slopes = [(2, np.concatenate([own, noise]), np.concatenate([true * h, false.T @ h]))]
+        # Words: noise words of a token come from its own class.
+        inner = np.flatnonzero(v.stops[own] - v.starts[own] > 1)
+        if len(inner):
+            hi, at = h[inner], target[inner]
+            low = self.below[own[inner]][:, None]
+            drawn = low + self.rng.random((len(inner), NOISE_WORDS)) * v.class_mass[own[inner]][:, None]
+            words = np.column_stack([at, np.minimum(np.searchsorted(self.cut, drawn.reshape(-1), "right").reshape(drawn.shape), v.stops[own[inner]][:, None] - 1)])
+            q = m.q[words]
+            pull = -sigma(np.einsum("bw,bnw->bn", hi, q) - self.word_log[words])
+            pull[:, 0] += 1
+            back[inner] += np.einsum("bn,bnw->bw", pull, q)
+            slopes.append((1, words.reshape(-1), (pull[:, :, None] * hi[:, None]).reshape(-1, WIDTH + 1)))
+        back = back[:, :-1]
+        slopes.append((0, context.T.reshape(-1), np.concatenate([back * w for w in m.w])))
+        slopes.append((3, np.arange(CONTEXT), np.stack([(back * x).sum(0) for x in vectors])))
+        for which, rows, slope in slopes:
+            self._move(which, rows, slope.astype("float32"))
+
+
+def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all tokens of a batch of encoded texts, and where each text begins."""
+    coded = batch.column("places").to_pylist()
+    sizes = np.array([len(x) // 2 for x in coded], "int64")
+    return np.frombuffer(b"".join(coded), "<u2").astype("int64"), np.cumsum(sizes) - sizes
+
+
+def train(coded: DataFrame, shared, v: Vocabulary) -> LogBilinear:
+    """The model after all rounds over the encoded training rows (doc_id, places, part)."""
+    context = coded.sparkSession.sparkContext
+    buckets = max(1, min(MOST_BUCKETS, -(-v.tokens // BUCKET_TOKENS)))
+    model = LogBilinear.start(v)
+    keyed = coded.withColumns({"bucket": (F.col("part") % buckets).cast("int"), "round": ((F.col("part") / buckets).cast("long") % ROUNDS).cast("int")})
+    for number in range(ROUNDS if v.tokens else 0):
+        sent = context.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, number=number) -> Iterator[pa.RecordBatch]:
+            own, begun, trainer, bucket = shared.value, sent.value, None, None
+            end = int(own.places(own.ids([END]))[0])
+
+            def changes() -> Iterator[pa.RecordBatch]:
+                for which, (array, old, met) in enumerate(zip(trainer.model.arrays(), begun.arrays(), trainer.met)):
+                    for row in range(0, len(array), BLOCK):
+                        part = slice(row, row + BLOCK)
+                        columns = [[bucket], [which], [row // BLOCK], [met[part].tobytes()], [(array[part] - old[part]).astype("float16").tobytes()]]
+                        yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "which", "block", "met", "change"])
+
+            for batch in batches:
+                names = batch.column("bucket").to_numpy()
+                for first, stop in zip(cuts := [0, *(np.flatnonzero(np.diff(names)) + 1).tolist()], [*cuts[1:], len(names)]):
+                    if first == stop:
+                        continue
+                    if bucket != int(names[first]):
+                        if trainer:
+                            yield from changes()
+                        bucket = int(names[first])
+                        trainer = Trainer(LogBilinear(*[a.copy() for a in begun.arrays()]), own, RATE / (1 + number), bucket)
+                    for piece in slices(iter([batch.slice(first, stop - first)]), "places"):
+                        places, starts = _texts(piece)
+                        trainer.learn(contexts(places, starts, end), places)
+            if trainer:
+                yield from changes()
+
+        mine = keyed.filter(F.col("round") == number).select("bucket", "doc_id", "places")
+        dealt = mine.repartition(buckets, "bucket").sortWithinPartitions("bucket", "doc_id", F.xxhash64("places"))
+        found = in_batches(dealt).mapInArrow(run, "bucket int, which int, block int, met binary, change binary")
+        # One row a block reaches the driver: as many numbers as the model has.
+        blocks = found.repartition("which", "block").sortWithinPartitions("which", "block", "bucket").mapInArrow(_averages, "which int, block int, mean binary").collect()
+        arrays = [a.copy() for a in model.arrays()]
+        for b in blocks:
+            part = arrays[b.which][b.block * BLOCK : (b.block + 1) * BLOCK]
+            part += np.frombuffer(b["mean"], "float32").reshape(part.shape)
+        model = LogBilinear(*arrays)
     return model
 
 
-def score_rows(df: DataFrame, shared, learned) -> DataFrame:
-    """What tasks can tell of each row without the rare words' counts, and those words with how often they occur."""
+def _averages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Means of changes by block, weighted by how often each row was met, from rows sorted by block."""
+    key = weights = sums = None
+
+    def out() -> pa.RecordBatch:
+        mean = (sums / np.maximum(weights, 1e-9)[:, None]).astype("float32")
+        return pa.record_batch([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([mean.tobytes()], pa.binary())], ["which", "block", "mean"])
+
+    for batch in batches:
+        for which, block, met, change in zip(*(batch.column(c).to_pylist() for c in ("which", "block", "met", "change"))):
+            if key != (which, block):
+                if key:
+                    yield out()
+                key, weights, sums = (which, block), 0.0, 0.0
+            met = np.frombuffer(met, "float32").astype("float64")
+            weights = weights + met
+            sums = sums + met[:, None] * np.frombuffer(change, "float16").astype("float64").reshape(len(met), -1)
+    if key:
+        yield out()
+
+
+def encoded(df: DataFrame, shared) -> DataFrame:
+    """Each row's places (two bytes a token), what can be told without the rare words' counts, and those words with how often they occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, model = shared.value, learned.value
-        end = int(v.units(v.ids([END]))[0])
-        share, mass = np.log10(v.c + 0.5), np.log10(v.mass)
+        v = shared.value
+        share = np.log10(v.c + 0.5)
         for batch in slices(batches, "text"):
-            words, ids, starts = _tokens(batch.column("text").to_pylist(), v)
-            us, head = v.units(ids), ids >= 0
-            own = np.where(head, share[ids], 0.0)
-            learned_log = model.log_probabilities(contexts(us, starts, end), us) / math.log(10) - mass[us]
+            words = [words_of(t) for t in batch.column("text").to_pylist()]
+            sizes = np.array([len(ws) + 1 for ws in words], "int64")
+            starts = np.cumsum(sizes) - sizes
+            ids = v.ids([w for ws in words for w in (*ws, END)])
+            places, head = v.places(ids), ids >= 0
             add = lambda x: np.add.reduceat(x, starts)
-            known = add((head & (v.c[ids] > 0)).astype("int64"))
             rare = []
             for k, ws in enumerate(words):
                 missing = np.flatnonzero(~head[starts[k] : starts[k] + len(ws)])
                 rare.append(list(Counter(ws[i].decode() for i in missing).items()))
-            columns = [batch.column(c) for c in ("_row", "doc_id", "held_out")]
-            columns += [pa.array([len(ws) + 1 for ws in words], pa.int64()), pa.array(known), pa.array(add(own)), pa.array(add(learned_log)), pa.array(rare, pa.map_(pa.string(), pa.int64()))]
-            yield pa.record_batch(columns, ["_row", "doc_id", "held_out", "n_tokens", "n_known", "own", "learned", "rare"])
+            coded = places.astype("<u2").tobytes()
+            columns = [batch.column(c) for c in ("_row", "doc_id", "held_out", "part")]
+            columns += [pa.array(sizes), pa.array(add((head & (v.c[ids] > 0)).astype("int64"))), pa.array(add(np.where(head, share[ids], 0.0))), pa.array(add(np.where(places == v.rare, np.where(head, share[ids], 0.0), 0.0)))]
+            columns += [pa.array(rare, pa.map_(pa.string(), pa.int64())), pa.array([coded[2 * s : 2 * (s + n)] for s, n in zip(starts.tolist(), sizes.tolist())], pa.binary())]
+            yield pa.record_batch(columns, ["_row", "doc_id", "held_out", "part", "n_tokens", "n_known", "own", "own_rare", "rare", "places"])
+
+    return in_batches(df).mapInArrow(run, "_row long, doc_id long, held_out boolean, part long, n_tokens long, n_known long, own double, own_rare double, rare map<string,long>, places binary")
+
+
+def modelled(coded: DataFrame, shared, learned) -> DataFrame:
+    """_row and learned: the model's log10 probability of all places, less the rare class's mass for each rare token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, model = shared.value, learned.value
+        end, mass = int(v.places(v.ids([END]))[0]), math.log10(v.mass[-1])
+        for batch in slices(batches, "places"):
+            if batch.num_rows:
+                places, starts = _texts(batch)
+                logs = model.log_probabilities(contexts(places, starts, end), places, v) / math.log(10) - mass * (places == v.rare)
+                yield pa.record_batch([*[batch.column(c) for c in KEPT], pa.array(np.add.reduceat(logs, starts))], [*KEPT, "learned"])
+
+    return in_batches(coded.select(*KEPT, "places")).mapInArrow(run, "_row long, doc_id long, held_out boolean, n_tokens long, n_known long, own double, own_rare double, learned double")
+
 
-    schema = "_row long, doc_id long, held_out boolean, n_tokens long, n_known long, own double, learned double, rare map<string,long>"
-    return in_batches(df.select("_row", "doc_id", "held_out", "text")).mapInArrow(run, schema)
+KEPT = ("_row", "doc_id", "held_out", "n_tokens", "n_known", "own", "own_rare")
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 5, held_out: int = 1, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     context = df.sparkSession.sparkContext
-    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("doc_id"), (id_bucket(F.col(id_col), mod) == held_out).alias("held_out"), F.col(text_col).alias("text"))
+    # Ids' checksums are even over their range, and other bits than those that hold rows out deal them into buckets.
+    part = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string")), 1)
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("doc_id"), (id_bucket(F.col(id_col), mod) == held_out).alias("held_out"), part.alias("part"), F.col(text_col).alias("text"))
     counts = materialise(word_counts(rows), "word-counts")
     known, least = vocabulary(counts, head)
     shared = context.broadcast(known)
-    model = train(rows, shared, UNITS)
-    scored = materialise(score_rows(rows, shared, context.broadcast(model)), "scored")
+    coded = materialise(encoded(rows, shared), "coded-texts")
+    model = train(coded.filter("not held_out").select("doc_id", "part", "places"), shared, known)
+    scored = modelled(coded, shared, context.broadcast(model))
     tail = counts.filter((F.col("n") < least) & (F.col("word") != "")).select("word", "c")
     # Rare words only: each occurs less often than `least`, so none is a hot key.
-    rare = scored.select("_row", F.explode("rare").alias("word", "times")).join(tail, "word", "left")
+    rare = coded.select("_row", F.explode("rare").alias("word", "times")).join(tail, "word", "left")
     rare = rare.groupBy("_row").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_own"), F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("rare_known"))
-    zero = F.lit(0.0)
-    whole = F.col("own") + F.coalesce("rare_own", zero)
-    return scored.drop("rare").join(rare, "_row", "left").select(
+    beyond = F.coalesce("rare_own", F.lit(0.0))
+    return scored.join(rare, "_row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(known.tokens).cast("long").alias("train_tokens"),
-        (whole - F.col("n_tokens") * math.log10(known.tokens + 0.5 * (known.kinds + 1))).alias("base_score"),
-        (whole + F.col("learned")).alias("score"),
+        (F.col("own") + beyond - F.col("n_tokens") * math.log10(known.tokens + 0.5 * (known.kinds + 1))).alias("base_score"),
+        (F.col("learned") + F.col("own_rare") + beyond).alias("score"),
     )

@@ -124,15 +124,31 @@ def test_scores_of_the_empty_table(empty):
     assert lm_scoring.score(empty).count() == 0
 
 
-def test_unit_probabilities_sum_to_one():
-    mass = np.array([5.0, 3.0, 2.0, 0.5])
-    model = lm_scoring.LogBilinear.start(mass)
-    context = np.tile([0, 1, 2], (4, 1))
-    assert np.exp(model.log_probabilities(context, np.arange(4))).sum() == pytest.approx(1)
+def test_probabilities_sum_to_one():
+    mass = np.append(np.arange(700, 0, -1.0), 30.5)
+    v = lm_scoring.Vocabulary(lm_scoring.Places(), np.array([1]), np.array([0]), mass, 10, 10)
+    assert (v.class_mass.sum(), v.stops[-1], len(v.of)) == (pytest.approx(mass.sum()), 701, 701)
+    model, rng = lm_scoring.LogBilinear.start(v), np.random.default_rng(3)
+    context = np.tile([0, 1, 2], (701, 1))
+    assert np.exp(model.log_probabilities(context, np.arange(701), v)) == pytest.approx(mass / mass.sum(), rel=1e-4)  # unigram before training
+    model.q[:, :-1], model.k[:, :-1] = rng.normal(0, 2, (701, lm_scoring.WIDTH)), rng.normal(0, 2, (len(v.starts), lm_scoring.WIDTH))
+    logs = model.log_probabilities(context, np.arange(701), v)
+    assert np.exp(logs).sum() == pytest.approx(1, rel=1e-4)
+    h = model.hidden(context[:1])[0]
+    score = lambda a: a[:, :-1] @ h + a[:, -1]
+    c, k = v.of[500], score(model.k)
+    inner = score(model.q)[v.starts[c] : v.stops[c]]
+    assert logs[500] == pytest.approx(k[c] - np.log(np.exp(k).sum()) + inner[500 - v.starts[c]] - np.log(np.exp(inner).sum()), rel=1e-3)
+
+
+def per_token(rows):
+    held = [r for r in rows if r.held_out]
+    return [-sum(r[c] for r in held) / sum(r.n_tokens for r in held) for c in ("base_score", "score")]
 
 
-def test_training_learns_order(spark):
+def test_training_learns_order_however_the_table_is_split(spark, monkeypatch):
     """In texts where each word follows from the one before, the model must beat the unigram score by far on held-out rows."""
+    monkeypatch.setattr(lm_scoring, "BUCKET_TOKENS", 30_000)  # two buckets
     rng = random.Random(4)
     chain = {f"w{k}": [f"w{(3 * k + 1) % 40}", f"w{(3 * k + 2) % 40}"] for k in range(40)}
     rows = []
@@ -142,10 +158,17 @@ def test_training_learns_order(spark):
             text.append(word)
             word = rng.choice(chain[word])
         rows.append((i, " ".join(text)))
-    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    held = [r for r in lm_scoring.score(df).collect() if r.held_out]
-    base, own = (-sum(r[c] for r in held) / sum(r.n_tokens for r in held) for c in ("base_score", "score"))
-    assert own < 0.75 * base
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = ({r.doc_id: r for r in lm_scoring.score(df.repartition(n)).collect()} for n in (1, 32))
+    assert max(abs(many[i].score / one[i].score - 1) for i in one) < 1e-5  # single precision, summed in other batches
+    base, own = per_token(one.values())
+    assert own < 0.8 * base
+
+
+def test_scores_of_held_out_texts_beat_the_unigram_score(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    base, own = per_token(lm_scoring.score(docs).collect())
+    assert own < base - 0.02
 
 
 def test_every_label_is_learned(spark):
