@@ -40,9 +40,11 @@ END = b""
 HEAD = 50_000
 #: (up to rank, words of a class): frequent words are in small classes, which keeps the mean cost of a token low.
 CLASSES = [(1024, 64), (5120, 128), (HEAD + 512, 512)]
-CONTEXT, WIDTH = 3, 24
-#: Noise classes of a minibatch, noise words of a token, tokens of a minibatch, step size.
-NOISE_CLASSES, NOISE_WORDS, BATCH, RATE = 32, 4, 2048, 0.3
+CONTEXT, WIDTH = 2, 16
+#: Noise classes of a minibatch, noise words of each class in it, step size.
+NOISE_CLASSES, NOISE_WORDS, RATE = 32, 16, 0.1
+#: Tokens of a minibatch: the bucket's part of a round is dealt into STEPS, within these bounds.
+LEAST_BATCH, BATCH, STEPS = 256, 4096, 128
 ROUNDS, BUCKET_TOKENS, MOST_BUCKETS = 4, 4_000_000, 4096
 #: Rows of a block of parameters when buckets are averaged.
 BLOCK = 2048
@@ -208,8 +210,8 @@ def contexts(places: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
 class Trainer:
     """Noise-contrastive estimation with steps scaled by the squares of past slopes; counts how often each row was met."""
 
-    def __init__(self, model: LogBilinear, v: Vocabulary, rate: float, seed: int):
-        self.model, self.v, self.rate = model, v, rate
+    def __init__(self, model: LogBilinear, v: Vocabulary, rate: float, batch: int, seed: int):
+        self.model, self.v, self.rate, self.batch = model, v, rate, batch
         self.squares = [np.ones_like(a) for a in model.arrays()]
         self.met = [np.zeros(len(a), "float32") for a in model.arrays()]
         self.class_log = np.log(NOISE_CLASSES * v.class_mass / v.class_mass.sum()).astype("float32")
@@ -220,8 +222,8 @@ class Trainer:
         self.rng = np.random.default_rng(seed)
 
     def learn(self, context: np.ndarray, target: np.ndarray) -> None:
-        for start in range(0, len(target), BATCH):
-            self._step(context[start : start + BATCH], target[start : start + BATCH])
+        for start in range(0, len(target), self.batch):
+            self._step(context[start : start + self.batch], target[start : start + self.batch])
 
     def _move(self, which: int, at: np.ndarray, slopes: np.ndarray) -> None:
         """A step on the rows at, whose slopes are added up where a row is named more than once."""
@@ -235,7 +237,10 @@ class Trainer:
         self.met[which][rows] += np.diff(np.append(first, len(at)))
 
     def _step(self, context: np.ndarray, target: np.ndarray) -> None:
-        m, v, own = self.model, self.v, self.v.of[target]
+        m, v = self.model, self.v
+        order = np.argsort(v.of[target].astype("int16"), kind="stable")
+        context, target = context[order], target[order]
+        own = v.of[target]
         sigma = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
         vectors = [m.r[context[:, i]] for i in range(CONTEXT)]
         h = np.ones((len(target), WIDTH + 1), "float32")
@@ -245,24 +250,25 @@ class Trainer:
         true = (1 - sigma((h * m.k[own]).sum(1) - self.class_log[own]))[:, None]
         false = -sigma(h @ m.k[noise].T - self.class_log[noise])
         back = true * m.k[own] + false @ m.k[noise]
-        slopes = [(2, np.concatenate([own, noise]), np.concatenate([true * h, false.T @ h]))]
-        # Words: noise words of a token come from its own class.
-        inner = np.flatnonzero(v.stops[own] - v.starts[own] > 1)
-        if len(inner):
-            hi, at = h[inner], target[inner]
-            low = self.below[own[inner]][:, None]
-            drawn = low + self.rng.random((len(inner), NOISE_WORDS)) * v.class_mass[own[inner]][:, None]
-            words = np.column_stack([at, np.minimum(np.searchsorted(self.cut, drawn.reshape(-1), "right").reshape(drawn.shape), v.stops[own[inner]][:, None] - 1)])
-            q = m.q[words]
-            pull = -sigma(np.einsum("bw,bnw->bn", hi, q) - self.word_log[words])
-            pull[:, 0] += 1
-            back[inner] += np.einsum("bn,bnw->bw", pull, q)
-            slopes.append((1, words.reshape(-1), (pull[:, :, None] * hi[:, None]).reshape(-1, WIDTH + 1)))
+        self._move(2, np.concatenate([own, noise]), np.concatenate([true * h, false.T @ h]))
+        # Words: the noise comes from a token's class and is shared by the tokens of that class; the rare class has no words.
+        n = int(np.searchsorted(own, len(v.starts) - 1))
+        hi, at, q = h[:n], target[:n], m.q[target[:n]]
+        pull = (1 - sigma((hi * q).sum(1) - self.word_log[at]))[:, None]
+        back[:n] += pull * q
+        first = np.flatnonzero(np.concatenate(([True], own[1:n] != own[: n - 1]))) if n else np.array([], "int64")
+        drawn = self.below[own[first], None] + self.rng.random((len(first), NOISE_WORDS)) * v.class_mass[own[first], None]
+        words = np.clip(np.searchsorted(self.cut, drawn.reshape(-1), "right").reshape(drawn.shape), v.starts[own[first], None], v.stops[own[first], None] - 1)
+        noisy, logs, pushed = m.q[words], self.word_log[words], np.empty((*words.shape, WIDTH + 1), "float32")
+        for g, (start, stop) in enumerate(zip(first.tolist(), [*first[1:].tolist(), n])):
+            false = -sigma(h[start:stop] @ noisy[g].T - logs[g])
+            back[start:stop] += false @ noisy[g]
+            pushed[g] = false.T @ h[start:stop]
+        if n:
+            self._move(1, np.concatenate([at, words.reshape(-1)]), np.concatenate([pull * hi, pushed.reshape(-1, WIDTH + 1)]))
         back = back[:, :-1]
-        slopes.append((0, context.T.reshape(-1), np.concatenate([back * w for w in m.w])))
-        slopes.append((3, np.arange(CONTEXT), np.stack([(back * x).sum(0) for x in vectors])))
-        for which, rows, slope in slopes:
-            self._move(which, rows, slope.astype("float32"))
+        self._move(0, context.T.reshape(-1), np.concatenate([back * w for w in m.w]))
+        self._move(3, np.arange(CONTEXT), np.stack([(back * x).sum(0) for x in vectors]))
 
 
 def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -276,8 +282,9 @@ def train(coded: DataFrame, shared, v: Vocabulary) -> LogBilinear:
     """The model after all rounds over the encoded training rows (doc_id, places, part)."""
     context = coded.sparkSession.sparkContext
     buckets = max(1, min(MOST_BUCKETS, -(-v.tokens // BUCKET_TOKENS)))
+    batch = max(LEAST_BATCH, min(BATCH, v.tokens // (buckets * ROUNDS * STEPS)))
     model = LogBilinear.start(v)
-    keyed = coded.withColumns({"bucket": (F.col("part") % buckets).cast("int"), "round": ((F.col("part") / buckets).cast("long") % ROUNDS).cast("int")})
+    keyed = coded.withColumns({"bucket": (F.col("part") % buckets).cast("int"), "round": (F.shiftrightunsigned("part", 40) % ROUNDS).cast("int")})
     for number in range(ROUNDS if v.tokens else 0):
         sent = context.broadcast(model)
 
@@ -292,8 +299,8 @@ def train(coded: DataFrame, shared, v: Vocabulary) -> LogBilinear:
                         columns = [[bucket], [which], [row // BLOCK], [met[part].tobytes()], [(array[part] - old[part]).astype("float16").tobytes()]]
                         yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "which", "block", "met", "change"])
 
-            for batch in batches:
-                names = batch.column("bucket").to_numpy()
+            for rows in batches:
+                names = rows.column("bucket").to_numpy()
                 for first, stop in zip(cuts := [0, *(np.flatnonzero(np.diff(names)) + 1).tolist()], [*cuts[1:], len(names)]):
                     if first == stop:
                         continue
@@ -301,8 +308,8 @@ def train(coded: DataFrame, shared, v: Vocabulary) -> LogBilinear:
                         if trainer:
                             yield from changes()
                         bucket = int(names[first])
-                        trainer = Trainer(LogBilinear(*[a.copy() for a in begun.arrays()]), own, RATE / (1 + number), bucket)
-                    for piece in slices(iter([batch.slice(first, stop - first)]), "places"):
+                        trainer = Trainer(LogBilinear(*[a.copy() for a in begun.arrays()]), own, RATE / (1 + number), batch, bucket)
+                    for piece in slices(iter([rows.slice(first, stop - first)]), "places"):
                         places, starts = _texts(piece)
                         trainer.learn(contexts(places, starts, end), places)
             if trainer:
