@@ -174,22 +174,23 @@ class LogBilinear:
         """Natural log probability of each target place: that of its class, and in it; in products small enough for a core's cache."""
         out, h, own = np.empty(len(target)), np.ones((len(target), WIDTH + 1), "float32"), v.of[target]
         h[:, :-1] = self.hidden(context)
-        self._add_log_softmax(out, h, np.arange(len(target)), own, self.k, fresh=True)
+        reach = np.abs(h).max(0) if len(h) else h.sum(0)
+        self._add_log_softmax(out, h, np.arange(len(target)), own, self.k, reach, fresh=True)
         order = np.argsort(own.astype("int16"), kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1) if len(order) else []:
             first, stop = v.starts[own[part[0]]], v.stops[own[part[0]]]
             if stop - first > 1:
-                self._add_log_softmax(out, h, part, target[part] - first, self.q[first:stop])
+                self._add_log_softmax(out, h, part, target[part] - first, self.q[first:stop], reach)
         return out
 
     @staticmethod
-    def _add_log_softmax(out: np.ndarray, h: np.ndarray, rows: np.ndarray, chosen: np.ndarray, vectors: np.ndarray, fresh: bool = False) -> None:
-        across = np.ascontiguousarray(vectors.T)
+    def _add_log_softmax(out: np.ndarray, h: np.ndarray, rows: np.ndarray, chosen: np.ndarray, vectors: np.ndarray, reach: np.ndarray, fresh: bool = False) -> None:
+        across, safe = np.ascontiguousarray(vectors.T), reach @ np.abs(vectors).max(0) <= 60
         for start in range(0, len(rows), 512):
             at, pick = rows[start : start + 512], chosen[start : start + 512]
             s = h[at] @ across
             own = s[np.arange(len(s)), pick]
-            if np.abs(s).max() > 60:  # else no exponential overflows, nor do they all vanish
+            if not safe:  # else no exponential overflows, nor do they all vanish
                 top = s.max(1, keepdims=True)
                 s -= top
                 own = own - top[:, 0]
