@@ -10,7 +10,7 @@ Reading accumulates the scans into coefficient arrays, which give the payload ba
 chroma is upsampled and the result is an RGB tensor of full resolution. Scans whose Huffman table has one code of
 one bit are of fixed width and are read as whole arrays; others are read code by code.
 
-Defined cases: a null or empty text is a payload of 64 zero bytes; equal texts give equal bytes; texts may be as
+Defined cases: an image that is null, broken or not progressive gives null results and the reason in `error`; a null or empty text is a payload of 64 zero bytes; equal texts give equal bytes; texts may be as
 long as one value of a column; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -362,23 +362,29 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def load(df: DataFrame, tensors: bool = True) -> DataFrame:
-    """Adds payload, feature, and with tensors also width, height and rgb (height x width x 3 bytes), from the column media."""
+    """Adds payload, feature, error (null where the image was read), and with tensors also width, height and rgb (height x width x 3 bytes), from the column media."""
     names = list(df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media"):
-            payloads, features, images = [], [], []
+            payloads, features, errors, images = [], [], [], []
             for media in batch.column("media").to_pylist():
-                width, height, components, quantisers, comment = read_jpeg(media)
-                tensor = rgb_tensor(width, height, components, quantisers)
-                payloads.append(payload_of(components, comment))
-                features.append(feature(tensor))
+                payload = found = width = height = tensor = error = None
+                try:
+                    width, height, components, quantisers, comment = read_jpeg(media or b"")
+                    tensor = rgb_tensor(width, height, components, quantisers)
+                    payload, found = payload_of(components, comment) if comment.startswith(b"payload ") else None, feature(tensor)
+                except (ValueError, IndexError, KeyError, struct.error) as e:
+                    width = height = tensor = None
+                    error = "no image" if not media else str(e) or type(e).__name__
+                for column, value in ((payloads, payload), (features, found), (errors, error)):
+                    column.append(value)
                 if tensors:
-                    images.append((width, height, tensor.tobytes()))
-            columns = [*batch.columns, pa.array(payloads, pa.binary()), pa.array(features, pa.string())]
+                    images.append((width, height, None if tensor is None else tensor.tobytes()))
+            columns = [*batch.columns, pa.array(payloads, pa.binary()), pa.array(features, pa.string()), pa.array(errors, pa.string())]
             if tensors:
                 columns += [pa.array([x[0] for x in images], pa.int32()), pa.array([x[1] for x in images], pa.int32()), pa.array([x[2] for x in images], pa.binary())]
-            yield pa.record_batch(columns, [*names, "payload", "feature", *["width", "height", "rgb"] * tensors])
+            yield pa.record_batch(columns, [*names, "payload", "feature", "error", *["width", "height", "rgb"] * tensors])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", payload binary, feature string"
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", payload binary, feature string, error string"
     return in_batches(df).mapInArrow(run, schema + (", width int, height int, rgb binary" if tensors else ""))

@@ -63,7 +63,7 @@ def assign_shards(df: DataFrame, shards: int = 40, overhead: int = 16, id_col: s
 
 
 def write_shards(df: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write df's rows as one folder a shard, each in the order of its slots."""
+    """Write df's rows as one folder a shard, each in the order of its slots; df's own columns `shard` and `slot` become `own_shard` and `own_slot`."""
     placed = assign_shards(df, shards, id_col=id_col, text_col=text_col, keep=tuple(df.columns))
-    rows = placed.select("shard", "slot", *[F.col(f"kept_{c}").alias(c) for c in df.columns if c not in ("shard", "slot")])
+    rows = placed.select("shard", "slot", *[F.col(f"kept_{c}").alias(f"own_{c}" if c in ("shard", "slot") else c) for c in df.columns])
     rows.repartitionByRange(max(shards, shuffle_partitions(df.sparkSession)), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

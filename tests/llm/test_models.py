@@ -179,3 +179,11 @@ def test_every_label_is_learned(spark):
     got = {r.doc_id: r for r in language_id.identify(rows).collect()}
     assert {r.lang_pred for r in got.values()} == {f"l{k:02}" for k in range(90)}
     assert sum(r.lang_pred == f"l{i // 10:02}" and not r.ambiguous for i, r in got.items()) >= 0.95 * len(got)
+
+
+def test_images_that_cannot_be_read(spark):
+    good, cut = media.write_jpeg(b"x" * 64), media.write_jpeg(b"y" * 64)[:60]
+    rows = spark.createDataFrame([(1, good), (2, None), (3, b""), (4, b"no image at all"), (5, cut), (6, good.replace(b"\xff\xc2", b"\xff\xc0"))], "doc_id long, media binary")
+    got = {r.doc_id: r for r in media.load(rows).collect()}
+    assert got[1].error is None and got[1].payload == b"x" * 64
+    assert all(got[i].error and got[i].rgb is None and got[i].payload is None for i in range(2, 7))

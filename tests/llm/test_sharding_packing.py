@@ -44,8 +44,9 @@ def test_shards_of_awkward_rows(odd, empty):
 
 
 def test_written_shards_hold_all_rows(spark, odd, tmp_path):
-    sharding.write_shards(odd.drop("shard"), str(tmp_path / "out"), 3)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == odd.count()
+    sharding.write_shards(odd, str(tmp_path / "out"), 3)
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(rows) == odd.count() and {r.own_shard for r in rows} == {9} and {r.shard for r in rows} <= {0, 1, 2}
 
 
 @pytest.mark.parametrize("seed", range(40))
