@@ -26,6 +26,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -81,13 +82,6 @@ def word_counts(df: DataFrame) -> DataFrame:
     return in_batches(df.select("text", "held_out")).mapInArrow(run, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-class Places(dict):
-    """Places of words in the head; -1 for words outside it."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 @dataclass
 class Vocabulary:
     """What every task knows: the head's words with counts, places and classes, and the mass of all others."""
@@ -117,7 +111,7 @@ class Vocabulary:
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Numbers in the head, -1 for others."""
-        return np.fromiter(map(self.index.__getitem__, words), "int64", len(words))
+        return np.fromiter(map(self.index.get, words, repeat(-1)), "int64", len(words))
 
     def places(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids < 0, self.rare, self.place[ids])
@@ -146,7 +140,7 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> tuple[Vocabulary, float]:
     known = int((c > 0).sum())  # these come first
     place = np.minimum(np.arange(len(rows)), known)
     mass = np.append(c[:known] + 0.5, max(0.5, total.tokens + 0.5 * (total.kinds + 1) - (c[:known] + 0.5).sum()))
-    return Vocabulary(Places((r.word.encode(), i) for i, r in enumerate(rows)), c, place, mass, total.tokens, total.kinds), least
+    return Vocabulary({r.word.encode(): i for i, r in enumerate(rows)}, c, place, mass, total.tokens, total.kinds), least
 
 
 @dataclass
@@ -168,13 +162,16 @@ class LogBilinear:
         return [self.r, self.q, self.k, self.w]
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        return sum(self.r[context[:, i]] * self.w[i] for i in range(CONTEXT))
+        out = (self.r * self.w[0]).take(context[:, 0], axis=0)
+        for i in range(1, CONTEXT):
+            out += (self.r * self.w[i]).take(context[:, i], axis=0)
+        return out
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray, v: Vocabulary) -> np.ndarray:
         """Natural log probability of each target place: that of its class, and in it; in products small enough for a core's cache."""
         out, h, own = np.empty(len(target)), np.ones((len(target), WIDTH + 1), "float32"), v.of[target]
         h[:, :-1] = self.hidden(context)
-        reach = np.abs(h).max(0) if len(h) else h.sum(0)
+        reach = float(np.sqrt(np.einsum("ij,ij->i", h[:, :-1], h[:, :-1]).max(initial=0.0)))  # the longest hidden vector
         self._add_log_softmax(out, h, np.arange(len(target)), own, self.k, reach, fresh=True)
         order = np.argsort(own.astype("int16"), kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1) if len(order) else []:
@@ -184,17 +181,18 @@ class LogBilinear:
         return out
 
     @staticmethod
-    def _add_log_softmax(out: np.ndarray, h: np.ndarray, rows: np.ndarray, chosen: np.ndarray, vectors: np.ndarray, reach: np.ndarray, fresh: bool = False) -> None:
-        across, safe = np.ascontiguousarray(vectors.T), reach @ np.abs(vectors).max(0) <= 60
+    def _add_log_softmax(out: np.ndarray, h: np.ndarray, rows: np.ndarray, chosen: np.ndarray, vectors: np.ndarray, reach: float, fresh: bool = False) -> None:
+        longest = np.sqrt(np.einsum("ij,ij->i", vectors[:, :-1], vectors[:, :-1]).max())
+        across, safe, ones = np.ascontiguousarray(vectors.T), reach * longest + np.abs(vectors[:, -1]).max() <= 75, np.ones(len(vectors), "float32")
         for start in range(0, len(rows), 512):
             at, pick = rows[start : start + 512], chosen[start : start + 512]
-            s = h[at] @ across
+            s = (h[start : start + 512] if fresh else h.take(at, axis=0)) @ across
             own = s[np.arange(len(s)), pick]
             if not safe:  # else no exponential overflows, nor do they all vanish
                 top = s.max(1, keepdims=True)
                 s -= top
                 own = own - top[:, 0]
-            gained = own - np.log(np.exp(s, out=s).sum(1))
+            gained = own - np.log(np.exp(s, out=s) @ ones)
             out[at] = gained if fresh else out[at] + gained
 
 
@@ -208,6 +206,15 @@ def contexts(places: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)), in x's own memory."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 class Trainer:
     """Noise-contrastive estimation with steps scaled by the squares of past slopes; counts how often each row was met."""
 
@@ -231,45 +238,57 @@ class Trainer:
         order = np.argsort(at.astype("uint16"), kind="stable")  # short integers sort fast
         rows = at[order]
         first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        rows, total = rows[first], np.add.reduceat(slopes[order], first, axis=0)
+        rows, total = rows[first], np.add.reduceat(slopes.take(order, axis=0), first, axis=0)
         array, square = self.model.arrays()[which], self.squares[which]
-        square[rows] += total * total
-        array[rows] += self.rate * total / np.sqrt(square[rows])
+        grown = square.take(rows, axis=0)
+        grown += total * total
+        square[rows] = grown
+        total *= self.rate
+        total /= np.sqrt(grown, out=grown)
+        total += array.take(rows, axis=0)
+        array[rows] = total
         self.met[which][rows] += np.diff(np.append(first, len(at)))
 
     def _step(self, context: np.ndarray, target: np.ndarray) -> None:
         m, v = self.model, self.v
-        order = np.argsort(v.of[target].astype("int16"), kind="stable")
-        context, target = context[order], target[order]
+        order = np.argsort(target.astype("uint16"), kind="stable")  # by rank, thus by class too
+        context, target = context.take(order, axis=0), target.take(order)
         own = v.of[target]
-        sigma = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        vectors = [m.r[context[:, i]] for i in range(CONTEXT)]
+        vectors = [m.r.take(context[:, i], axis=0) for i in range(CONTEXT)]
         h = np.ones((len(target), WIDTH + 1), "float32")
         h[:, :-1] = sum(x * m.w[i] for i, x in enumerate(vectors))
         # Classes: the noise is shared by the minibatch.
         noise = np.minimum(np.searchsorted(self.class_cut, self.rng.random(NOISE_CLASSES)), len(m.k) - 1)
-        true = (1 - sigma((h * m.k[own]).sum(1) - self.class_log[own]))[:, None]
-        false = -sigma(h @ m.k[noise].T - self.class_log[noise])
-        back = true * m.k[own] + false @ m.k[noise]
-        self._move(2, np.concatenate([own, noise]), np.concatenate([true * h, false.T @ h]))
+        mine, others = m.k.take(own, axis=0), m.k[noise]
+        true = sigmoid(self.class_log[own] - np.einsum("ij,ij->i", h, mine))[:, None]
+        false = sigmoid(h @ others.T - self.class_log[noise])
+        mine *= true
+        back = mine
+        back -= false @ others
+        self._move(2, np.concatenate([own, noise]), np.concatenate([true * h, -(false.T @ h)]))
         # Words: the noise comes from a token's class and is shared by the tokens of that class; the rare class has no words.
         n = int(np.searchsorted(own, len(v.starts) - 1))
-        hi, at, q = h[:n], target[:n], m.q[target[:n]]
-        pull = (1 - sigma((hi * q).sum(1) - self.word_log[at]))[:, None]
-        back[:n] += pull * q
+        hi, at, q = h[:n], target[:n], m.q.take(target[:n], axis=0)
+        pull = sigmoid(self.word_log[at] - np.einsum("ij,ij->i", hi, q))[:, None]
+        q *= pull
+        back[:n] += q
         first = np.flatnonzero(np.concatenate(([True], own[1:n] != own[: n - 1]))) if n else np.array([], "int64")
         drawn = self.below[own[first], None] + self.rng.random((len(first), NOISE_WORDS)) * v.class_mass[own[first], None]
         words = np.clip(np.searchsorted(self.cut, drawn.reshape(-1), "right").reshape(drawn.shape), v.starts[own[first], None], v.stops[own[first], None] - 1)
-        noisy, logs, pushed = m.q[words], self.word_log[words], np.empty((*words.shape, WIDTH + 1), "float32")
-        for g, (start, stop) in enumerate(zip(first.tolist(), [*first[1:].tolist(), n])):
-            false = -sigma(h[start:stop] @ noisy[g].T - logs[g])
-            back[start:stop] += false @ noisy[g]
-            pushed[g] = false.T @ h[start:stop]
+        noisy, pushed, scores = m.q[words], np.empty((*words.shape, WIDTH + 1), "float32"), np.empty((n, NOISE_WORDS), "float32")
+        groups = list(zip(first.tolist(), [*first[1:].tolist(), n]))
+        for (start, stop), some in zip(groups, noisy):
+            np.matmul(h[start:stop], some.T, out=scores[start:stop])
+        scores -= self.word_log[words].repeat(np.diff(np.append(first, n)), axis=0)
+        false = sigmoid(scores)
+        for (start, stop), some, push in zip(groups, noisy, pushed):
+            back[start:stop] -= false[start:stop] @ some
+            np.matmul(false[start:stop].T, h[start:stop], out=push)
         if n:
-            self._move(1, np.concatenate([at, words.reshape(-1)]), np.concatenate([pull * hi, pushed.reshape(-1, WIDTH + 1)]))
-        back = back[:, :-1]
+            self._move(1, np.concatenate([at, words.reshape(-1)]), np.concatenate([pull * hi, -pushed.reshape(-1, WIDTH + 1)]))
+        back = np.ascontiguousarray(back[:, :-1])
         self._move(0, context.T.reshape(-1), np.concatenate([back * w for w in m.w]))
-        self._move(3, np.arange(CONTEXT), np.stack([(back * x).sum(0) for x in vectors]))
+        self._move(3, np.arange(CONTEXT), np.stack([np.einsum("ij,ij->j", back, x) for x in vectors]))
 
 
 def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:

@@ -124,9 +124,28 @@ def test_scores_of_the_empty_table(empty):
     assert lm_scoring.score(empty).count() == 0
 
 
+@pytest.mark.parametrize("size", [0.3, 40])
+def test_probabilities_of_short_and_long_vectors_are_those_of_the_formula(size):
+    """Long vectors would overflow an exponential that isn't shifted."""
+    rng = np.random.default_rng(5)
+    mass = np.append(np.sort(rng.integers(1, 500, 1500))[::-1] + 0.5, 90.0)
+    v = lm_scoring.Vocabulary({}, np.array([1]), np.array([0]), mass, 10, 10)
+    model = lm_scoring.LogBilinear.start(v)
+    for a in (model.q, model.k):
+        a[:, :-1] = rng.normal(0, size, a[:, :-1].shape)
+    context, target = rng.integers(0, 1501, (300, lm_scoring.CONTEXT)), rng.integers(0, 1501, 300)
+    h = sum(model.r[context[:, i]].astype("float64") * model.w[i] for i in range(lm_scoring.CONTEXT))
+    for got, hidden, t in zip(model.log_probabilities(context, target, v), h, target):
+        want, own = 0.0, v.of[t]
+        for vectors, pick in ((model.k, own), (model.q[v.starts[own] : v.stops[own]], t - v.starts[own])):
+            scores = vectors[:, :-1].astype("float64") @ hidden + vectors[:, -1]
+            want += scores[pick] - scores.max() - math.log(np.exp(scores - scores.max()).sum())
+        assert got == pytest.approx(want, rel=1e-4, abs=1e-3)
+
+
 def test_probabilities_sum_to_one():
     mass = np.append(np.arange(700, 0, -1.0), 30.5)
-    v = lm_scoring.Vocabulary(lm_scoring.Places(), np.array([1]), np.array([0]), mass, 10, 10)
+    v = lm_scoring.Vocabulary({}, np.array([1]), np.array([0]), mass, 10, 10)
     assert (v.class_mass.sum(), v.stops[-1], len(v.of)) == (pytest.approx(mass.sum()), 701, 701)
     model, rng = lm_scoring.LogBilinear.start(v), np.random.default_rng(3)
     context = np.tile([0, 1, 2], (701, 1))
