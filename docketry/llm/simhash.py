@@ -14,6 +14,12 @@ more fingerprints than a task should compare is handed on: its fingerprints are
 each pair of blocks is compared by a task of its own. Links become components by alternating large-star and
 small-star rounds over tables in the shared folder.
 
+`near_duplicates` has the narrow rule, 3 of 64 bits over shingles of 3 words. `first_of_each`, for pipelines, has
+the usual one, a Jaccard similarity of 0.8 over the sets of 5-word shingles. A changed word changes five shingles, so
+its keys come from two fingerprints of the set of words, which such a change hardly touches; candidates are
+verified by a 256-bit fingerprint of the set of shingles. At similarity 0.8 about 39 of these bits differ, 6 more or less, and
+46 may: some pairs below 0.8 are linked (nearly half at 0.73, 3 % at 0.6), and few above are not.
+
 Defined cases: a null or empty text has fingerprint zero, linked like any other; fewer words than a shingle make one
 shingle; repeated words and shingles count as often as they occur; a null id is kept but never is the
 smallest id of a component that has another; an empty table gives an empty result; other columns are ignored.
@@ -40,6 +46,10 @@ SEGMENTS, SEGMENT_BITS = 4, 16
 KINDS = [(i, j) for i in range(SEGMENTS) for j in range(SEGMENTS) if i != j]
 #: Generator polynomial of the binary Golay code of length 23.
 GOLAY = 0b110001110101
+#: The rule of pipelines: words a shingle, fingerprints of words that keys come from, longs of the verified fingerprint, its most differing bits.
+SIMILAR_SHINGLE, WORD_CODES, SHINGLE_CODES, MOST_SIMILAR_BITS = 5, 2, 4, 46
+WORD_COLUMNS = tuple(f"w{k}" for k in range(WORD_CODES))
+SHINGLE_COLUMNS = tuple(f"s{k}" for k in range(SHINGLE_CODES))
 #: Most fingerprints under one key that a task compares at once; beyond it they are dealt into blocks of this size.
 BLOCK = 2048
 
@@ -81,6 +91,45 @@ def fingerprint_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return in_batches(rows).mapInArrow(run, ", ".join(["doc_id long", *(f"`{c}` {types[c]}" for c in keep), "fp long"]))
 
 
+def _majority(hashes: np.ndarray, longs: int) -> np.ndarray:
+    """A fingerprint of 64 * longs bits: those set in over half of the hashes, each spread over that many longs (splitmix64)."""
+    sums = np.zeros(64 * longs, "int64")
+    for start in range(0, len(hashes), 1 << 14):
+        x = hashes[start : start + (1 << 14), None] + np.arange(1, longs + 1, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        sums += np.unpackbits(x.view("u1"), axis=1, bitorder="little").sum(0, dtype="int64")
+    return np.packbits(2 * sums > len(hashes), bitorder="little").view("<u8")
+
+
+def similarity_codes(text: str | None) -> np.ndarray:
+    """The fingerprints of a text's set of words and of its set of shingles, as six longs; zeros without a word."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(WORD_CODES + SHINGLE_CODES, "<u8")
+    own = {xxhash.xxh64_intdigest(w, SEED) for w in words}
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    last = max(0, len(words) - SIMILAR_SHINGLE)
+    spans = zip(starts[: last + 1].tolist(), ends[len(words) - 1 - last :].tolist())
+    shingles = np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in spans), "<u8", last + 1))
+    return np.concatenate([_majority(np.fromiter(own, "<u8", len(own)), WORD_CODES), _majority(shingles, SHINGLE_CODES)])
+
+
+def code_rows(df: DataFrame) -> DataFrame:
+    """doc_id, _id and the six longs of similarity_codes for rows (doc_id, _id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            codes = np.array([similarity_codes(t) for t in batch.column("text").to_pylist()], "<u8").reshape(-1, WORD_CODES + SHINGLE_CODES)
+            arrays = [batch.column("doc_id"), batch.column("_id"), *(pa.array(np.ascontiguousarray(c).view("<i8")) for c in codes.T)]
+            yield pa.record_batch(arrays, ["doc_id", "_id", *WORD_COLUMNS, *SHINGLE_COLUMNS])
+
+    return in_batches(df).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "_id", *WORD_COLUMNS, *SHINGLE_COLUMNS)))
+
+
 @cache
 def _golay() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By syndrome: the error of least weight, whether it has weight three, and then the five errors of weight four."""
@@ -132,23 +181,31 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(places), np.concatenate(owns)
 
 
-def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, 4096):
-            fps = batch.column("fp").slice(start, 4096).to_numpy()
-            keys, places, owns = keys_of(fps.view("<u8"))
-            yield pa.record_batch([pa.array(keys), pa.array(fps[places]), pa.array(owns)], ["key", "fp", "own"])
+def _key_rows(sources: tuple[str, ...], codes: tuple[str, ...]):
+    """Rows (key, fp, own) and the columns codes for every key of the fingerprints in the columns sources."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                for which, source in enumerate(sources):
+                    keys, places, owns = keys_of(part.column(source).to_numpy().view("<u8"))
+                    arrays = [pa.array(keys | which << 32), part.column("fp").take(pa.array(places)), pa.array(owns), *(part.column(c).take(pa.array(places)) for c in codes)]
+                    yield pa.record_batch(arrays, ["key", "fp", "own", *codes])
+
+    return run
 
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view("<u8")) <= MOST_BITS
 
+def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Whether rows of longs differ in at most this many bits."""
+    return np.bitwise_count((a ^ b).view("<u8")).sum(1, dtype="int32") <= most
 
-def _forest(fps: np.ndarray, owns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def _forest(fps: np.ndarray, codes: np.ndarray, owns: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links from each fingerprint to the least place of its component within the group."""
     labels = np.arange(len(fps))
     rows = np.flatnonzero(owns)
-    near = [_near(fps[r : r + 1], fps) for r in rows]
+    near = [_near(codes[r : r + 1], codes, bits) for r in rows]
     while True:
         before = labels.copy()
         for r, mask in zip(rows, near):
@@ -160,8 +217,10 @@ def _forest(fps: np.ndarray, owns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fps[moved], fps[labels[moved]]
 
 
-def _group_links(keys: np.ndarray, fps: np.ndarray, owns: np.ndarray, most: int | None) -> Iterator[pd.DataFrame]:
+def _group_links(frame: pd.DataFrame, codes: tuple[str, ...], bits: int, most: int | None) -> Iterator[pd.DataFrame]:
     """Links within each key of rows sorted by key; groups of more than most rows come back as they are."""
+    keys, fps, owns = frame.key.to_numpy(), frame.fp.to_numpy(), frame.own.to_numpy()
+    held = np.column_stack([frame[c].to_numpy() for c in codes or ("fp",)])
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.append(starts, len(keys)))
     small = 8
@@ -169,27 +228,29 @@ def _group_links(keys: np.ndarray, fps: np.ndarray, owns: np.ndarray, most: int
     a, b = [], []
     for shift in range(1, small):
         i = np.flatnonzero((keys[:-shift] == keys[shift:]) & (wide[shift:] <= small)) if len(keys) > shift else np.array([], "int64")
-        i = i[(owns[i] | owns[i + shift]) & _near(fps[i], fps[i + shift])]
+        i = i[(owns[i] | owns[i + shift]) & _near(held[i], held[i + shift], bits)]
         a.append(fps[i])
         b.append(fps[i + shift])
     for start, size in zip(starts[sizes > small], sizes[sizes > small]):
         part = slice(start, start + size)
         if most and size > most:
-            yield pd.DataFrame({"a": fps[part], "b": 0, "key": keys[part], "own": owns[part]})
+            yield _handed_on(frame.iloc[part], codes)
             continue
-        x, y = _forest(fps[part], owns[part])
+        x, y = _forest(fps[part], held[part], owns[part], bits)
         a.append(x)
         b.append(y)
-    links = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "key": -1, "own": False})
+    links = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "key": -1, "own": False, **dict.fromkeys(codes, 0)})
     links = links[links.a != links.b]
     yield links.assign(a=links[["a", "b"]].min(axis=1), b=links[["a", "b"]].max(axis=1)).drop_duplicates(["a", "b"])
 
 
-LINKS = "a long, b long, key long, own boolean"
+def _handed_on(frame: pd.DataFrame, codes: tuple[str, ...]) -> pd.DataFrame:
+    """Rows of a key that is too large for one task, in the columns of links."""
+    return pd.DataFrame({"a": frame.fp, "b": 0, "key": frame.key, "own": frame.own, **{c: frame[c] for c in codes}})
 
 
-def _link_rows(most: int | None):
-    """Over rows (key, fp, own) sorted by key within the task: verified links; the last key of a batch waits for the next.
+def _link_rows(codes: tuple[str, ...], bits: int, most: int | None):
+    """Over rows (key, fp, own, codes) sorted by key within the task: verified links; the last key of a batch waits for the next.
 
     A key that is being handed on (its rows are more than most) does not gather in memory.
     """
@@ -199,7 +260,7 @@ def _link_rows(most: int | None):
         for frame in frames:
             if passing is not None:
                 same = frame.key == passing
-                yield pd.DataFrame({"a": frame.fp[same], "b": 0, "key": passing, "own": frame.own[same]})
+                yield _handed_on(frame[same], codes)
                 frame = frame[~same]
                 if not len(frame):
                     continue
@@ -209,30 +270,37 @@ def _link_rows(most: int | None):
             done, held = frame.iloc[:last], frame.iloc[last:]
             if most and len(held) > most:
                 passing = int(held.key.iloc[0])
-                yield pd.DataFrame({"a": held.fp, "b": 0, "key": passing, "own": held.own})
+                yield _handed_on(held, codes)
                 held = None
             if len(done):
-                yield from _group_links(done.key.to_numpy(), done.fp.to_numpy(), done.own.to_numpy(), most)
+                yield from _group_links(done, codes, bits, most)
         if held is not None and len(held):
-            yield from _group_links(held.key.to_numpy(), held.fp.to_numpy(), held.own.to_numpy(), most)
+            yield from _group_links(held, codes, bits, most)
 
     return run
 
 
-def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
-    """a, b: enough verified links between distinct fingerprints (column fp) to connect every component."""
-    spark = distinct.sparkSession
-    keyed = distinct.select("fp").repartition(shuffle_partitions(spark), "fp").mapInArrow(_key_rows, "key long, fp long, own boolean")
-    found = materialise(keyed.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInPandas(_link_rows(block), LINKS), "simhash-links")
+def links(distinct: DataFrame, block: int = BLOCK, sources: tuple[str, ...] = ("fp",), codes: tuple[str, ...] = (), bits: int = MOST_BITS) -> DataFrame:
+    """a, b: enough verified links between distinct fingerprints (column fp) to connect every component.
+
+    Keys come from the 64-bit fingerprints in the columns sources. Candidates are verified by the columns codes together,
+    where at most `bits` bits may differ; without codes fp itself is compared, else it only names its row.
+    """
+    spark, extra = distinct.sparkSession, "".join(f", {c} long" for c in codes)
+    narrow = distinct.select(*dict.fromkeys(("fp", *sources, *codes))).repartition(shuffle_partitions(spark), "fp")
+    keyed = narrow.mapInArrow(_key_rows(sources, codes), "key long, fp long, own boolean" + extra)
+    sorted_keys = keyed.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
+    schema = "a long, b long, key long, own boolean" + extra
+    found = materialise(sorted_keys.mapInPandas(_link_rows(codes, bits, block), schema), "simhash-links")
     handed_on = found.filter("key >= 0")
     near = found.filter("key < 0").select("a", "b")
     if not handed_on.isEmpty():
         # Blocks of about `block` fingerprints; each row goes to the pairs of its block with every block of its key.
         sizes = handed_on.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
         dealt = handed_on.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
-        pairs = dealt.select("key", F.col("a").alias("fp"), "own", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        pairs = pairs.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "fp", "own")
-        blocked = pairs.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInPandas(_link_rows(None), LINKS)
+        pairs = dealt.select("key", F.col("a").alias("fp"), "own", *codes, "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        pairs = pairs.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "fp", "own", *codes)
+        blocked = pairs.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInPandas(_link_rows(codes, bits, None), schema)
         near = near.unionByName(blocked.select("a", "b"))
     return near.distinct()
 
@@ -280,18 +348,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(grouped, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def similar_groups(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The six longs of code_rows and component (the least doc_id of a row of theirs) for each set of longs in rows."""
+    columns = [*WORD_COLUMNS, *SHINGLE_COLUMNS]
+    distinct = materialise(rows.groupBy(*columns).agg(F.min("doc_id").alias("fp")), "similar-codes")
+    roots = components(links(distinct, block, WORD_COLUMNS, SHINGLE_COLUMNS, MOST_SIMILAR_BITS))
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return materialise(rooted.select(*columns, F.coalesce("root", "fp").alias("component")), "similar-groups")
+
+
 def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df's rows without those near to a kept one by a chain of links: one row of each component stays, that of the least id.
 
-    Rows with equal or null ids are told apart by their place: among equal ids the first one read stays, and a null id
-    only where its component has no other. Null and empty texts are one group. df's columns may have any names. Whole
-    rows are not shuffled unless the removed ones are too many to broadcast.
+    Rows with a similarity of 0.8 over 5-word shingles are near, by the fingerprints that the module describes. Rows with
+    equal or null ids are told apart by their place: among equal ids the first one read stays, and a null id only where its
+    component has no other. Null texts and those without a word are one group; fewer words than a shingle make one shingle. df's
+    columns may have any names. Whole rows are not shuffled unless the removed ones are too many to broadcast.
     """
     numbered = materialise(df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.monotonically_increasing_id().alias("_at")), "simhash-rows")
-    texts = numbered.select("_at", "_id", F.col("_row").getField(text_col).alias("_text"))
-    rows = materialise(fingerprint_rows(texts, "_at", "_text", ("_id",)), "simhash-documents")
-    grouped = group_fingerprints(rows.select("doc_id", "fp"))
+    texts = numbered.select(F.col("_at").alias("doc_id"), "_id", F.col("_row").getField(text_col).alias("text"))
+    rows = materialise(code_rows(texts), "simhash-documents")
+    grouped = rows.join(similar_groups(rows), [*WORD_COLUMNS, *SHINGLE_COLUMNS]).select("doc_id", "_id", "component")
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "doc_id")).alias("first")
-    kept = rows.join(grouped, "fp").groupBy("component_id").agg(first).select(F.col("first.doc_id").alias("doc_id"))
+    kept = grouped.groupBy("component").agg(first).select(F.col("first.doc_id").alias("doc_id"))
     removed = rows.select("doc_id").join(kept, "doc_id", "left_anti").withColumnRenamed("doc_id", "_at")
     return numbered.join(removed, "_at", "left_anti").select("_row.*")

@@ -113,6 +113,51 @@ def test_copies_with_small_edits_are_grouped(spark):
     assert (got[7] == 5) == (far <= 3)
 
 
+@pytest.mark.parametrize("block", [40, 2048])
+def test_edited_copies_go_and_others_stay(spark, block, monkeypatch):
+    """Pairs with one word in sixty changed (similarity over 0.8), a large group of such copies, and texts that share a half."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash.similar_groups, "__defaults__", (block,))
+    rng = random.Random(4)
+    text = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(n)]
+
+    def edited(words):
+        words = list(words)
+        for at in range(rng.randrange(60), len(words), 60):
+            words[at] = "changed" + str(rng.random())
+        return words
+
+    pairs = [(w, edited(w)) for w in (text(rng.choice([120, 300, 900])) for _ in range(150))]
+    base = text(400)
+    crowd = [edited(base) for _ in range(200)]
+    halves = [text(200) for _ in range(20)]
+    far = [h + text(200) for h in halves] + halves
+    everything = [w for p in pairs for w in p] + [base] + crowd + far
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(everything)], "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.first_of_each(rows).collect()}
+    assert all(2 * k in kept for k in range(150))
+    assert sum(2 * k + 1 in kept for k in range(150)) <= 8
+    assert 300 in kept and sum(300 < i <= 500 for i in kept) <= 5
+    assert kept >= set(range(501, 541))
+
+
+def test_codes_do_not_depend_on_chunks():
+    words = [str(k) for k in range(40_000)]
+    codes = simhash.similarity_codes(" ".join(words))
+    hashes = [simhash.xxhash.xxh64_intdigest(" ".join(words[i : i + 5]), simhash.SEED) for i in range(len(words) - 4)]
+    want = 0
+    for bit in range(64):
+        ones = 0
+        for h in hashes:
+            x = (h + 0x9E3779B97F4A7C15) & (1 << 64) - 1
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
+            ones += (x ^ x >> 31) >> bit & 1
+        want |= (2 * ones > len(hashes)) << bit
+    assert int(codes[simhash.WORD_CODES]) == want
+    assert not simhash.similarity_codes(" \t\n").any() and not simhash.similarity_codes(None).any()
+
+
 URLS = {
     "http://Example.ORG/es/5": ("example.org", "/es/5", "example.org/es/", "block"),
     "https://a.example.org/en/17?x": ("a.example.org", "/en/17", "example.org/en/1", "block"),
