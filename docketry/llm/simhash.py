@@ -197,15 +197,15 @@ def _key_rows(sources: tuple[str, ...], codes: tuple[str, ...]):
 
 
 def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Whether rows of longs differ in at most this many bits."""
-    return np.bitwise_count((a ^ b).view("<u8")).sum(1, dtype="int32") <= most
+    """Whether columns of fingerprints differ in at most this many bits; each row is one of their longs."""
+    return sum(np.bitwise_count((x ^ y).view("<u8")).astype("uint16") for x, y in zip(a, b)) <= most
 
 
 def _forest(fps: np.ndarray, codes: np.ndarray, owns: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links from each fingerprint to the least place of its component within the group."""
     labels = np.arange(len(fps))
     rows = np.flatnonzero(owns)
-    near = [_near(codes[r : r + 1], codes, bits) for r in rows]
+    near = [_near(codes[:, r : r + 1], codes, bits) for r in rows]
     while True:
         before = labels.copy()
         for r, mask in zip(rows, near):
@@ -220,7 +220,7 @@ def _forest(fps: np.ndarray, codes: np.ndarray, owns: np.ndarray, bits: int) ->
 def _group_links(frame: pd.DataFrame, codes: tuple[str, ...], bits: int, most: int | None) -> Iterator[pd.DataFrame]:
     """Links within each key of rows sorted by key; groups of more than most rows come back as they are."""
     keys, fps, owns = frame.key.to_numpy(), frame.fp.to_numpy(), frame.own.to_numpy()
-    held = np.column_stack([frame[c].to_numpy() for c in codes or ("fp",)])
+    held = np.stack([frame[c].to_numpy() for c in codes or ("fp",)])
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.append(starts, len(keys)))
     small = 8
@@ -228,7 +228,7 @@ def _group_links(frame: pd.DataFrame, codes: tuple[str, ...], bits: int, most: i
     a, b = [], []
     for shift in range(1, small):
         i = np.flatnonzero((keys[:-shift] == keys[shift:]) & (wide[shift:] <= small)) if len(keys) > shift else np.array([], "int64")
-        i = i[(owns[i] | owns[i + shift]) & _near(held[i], held[i + shift], bits)]
+        i = i[(owns[i] | owns[i + shift]) & _near(held[:, i], held[:, i + shift], bits)]
         a.append(fps[i])
         b.append(fps[i + shift])
     for start, size in zip(starts[sizes > small], sizes[sizes > small]):
@@ -236,7 +236,7 @@ def _group_links(frame: pd.DataFrame, codes: tuple[str, ...], bits: int, most: i
         if most and size > most:
             yield _handed_on(frame.iloc[part], codes)
             continue
-        x, y = _forest(fps[part], held[part], owns[part], bits)
+        x, y = _forest(fps[part], held[:, part], owns[part], bits)
         a.append(x)
         b.append(y)
     links = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "key": -1, "own": False, **dict.fromkeys(codes, 0)})
