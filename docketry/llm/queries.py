@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, lm_scoring, media, packing, quality, secrets, sharding, simhash, url_filter
+from . import byte_bpe, filter_audit, language_id, lm_scoring, media, packing, quality, secrets, sharding, simhash, url_filter
 
 #: Folder of the public vocabularies; None: the installed package's own.
 TOKENIZERS: str | None = None
@@ -92,5 +92,62 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_media": op8_media, "op9_lm_scoring": op9_lm_scoring, "op10_language_id": op10_language_id}
-ORACLE_SQL: dict[str, str] = {}
+#: Failure conditions of the audit's filters; E is the repeated text.
+AUDITED = {
+    "A": F.col("n_words") < 50,
+    "B": 100 * F.col("n_distinct") < 65 * F.col("n_words"),
+    "C": 100 * F.col("n_capitals") > 5 * F.col("n_points"),
+    "D": F.col("text").rlike(r"[#$%&*|]"),
+}
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), AUDITED, repeated="E")
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_media": op8_media, "op9_lm_scoring": op9_lm_scoring, "op10_language_id": op10_language_id, "op12_filter_audit": op12_filter_audit}
+#: The audit by the position of a document's first failed filter in each order.
+AUDIT_SQL = r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+), measured AS (
+    SELECT doc_id, part, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws, min(doc_id) OVER (PARTITION BY t) AS first_id FROM texts
+), told AS (
+    SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), masked AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END
+        || CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN doc_id > first_id THEN 'E' ELSE '' END AS fails
+    FROM measured LEFT JOIN told USING (doc_id)
+), counted AS (
+    SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masked GROUP BY part, fails
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+    SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM orders
+), placed AS (
+    SELECT part, filter_order, step, n, good, toxic, fails, substr(filter_order, step, 1) AS own,
+        coalesce(list_min(list_transform(string_split(fails, ''), lambda x: CASE WHEN x = '' THEN 6 ELSE strpos(filter_order, x) END)), 6) AS gone
+    FROM counted, steps
+), summed AS (
+    SELECT part, filter_order, step, own,
+        CAST(coalesce(sum(n) FILTER (gone > step), 0) AS BIGINT) AS kept,
+        CAST(coalesce(sum(n) FILTER (gone = step), 0) AS BIGINT) AS removed,
+        CAST(coalesce(sum(n) FILTER (gone < step AND contains(fails, own)), 0) AS BIGINT) AS redundant,
+        CAST(coalesce(sum(n) FILTER (fails = own), 0) AS BIGINT) AS unique_fails,
+        CAST(coalesce(sum(good) FILTER (gone = step), 0) AS BIGINT) AS good_lost,
+        CAST(coalesce(sum(toxic) FILTER (gone = step), 0) AS BIGINT) AS toxic_lost
+    FROM placed GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM summed
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_filter_audit": AUDIT_SQL}
