@@ -114,8 +114,8 @@ def audit(rows: DataFrame, names: str) -> DataFrame:
     )
 
 
-def audit_documents(docs: DataFrame, labels: DataFrame, filters: dict[str, Column], repeated: str | None = None, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
-    """`audit` of documents: filters are failure conditions by letter over the columns text, n_words, n_distinct, n_capitals, n_points.
+def audit_documents(docs: DataFrame, labels: DataFrame, filters: dict[str, str], repeated: str | None = None, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
+    """`audit` of documents: filters are failure conditions in SQL by letter over the columns text, n_words, n_distinct, n_capitals, n_points.
 
     repeated: the letter of a further filter, which a text that equals one of a smaller id fails, removed or not. Labels (doc_id,
     quality, toxic) join by id. Texts are read once; what is shuffled is an id, a digest of 32 bytes, the part and the mask.
@@ -123,7 +123,7 @@ def audit_documents(docs: DataFrame, labels: DataFrame, filters: dict[str, Colum
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), text.alias("text"))
     measured = rows.select("*", F.explode(F.array(text_measures(F.col("text")))).alias("_m")).select("doc_id", "part", "text", "_m.*")
-    mask = sum((F.when(failed, 1 << k).otherwise(0) for k, failed in enumerate(filters.values())), F.lit(0))
+    mask = sum((F.when(F.expr(failed), 1 << k).otherwise(0) for k, failed in enumerate(filters.values())), F.lit(0))
     digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)) if repeated else F.lit(None).cast("binary")
     masked = materialise(measured.select("doc_id", "part", digest.alias("digest"), mask.alias("mask")), "audit-masks")
     names = "".join(filters)
