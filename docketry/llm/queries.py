@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, filter_audit, language_id, lm_scoring, media, packing, quality, secrets, sharding, simhash, url_filter
+from . import byte_bpe, filter_audit, language_id, lm_scoring, media, packing, quality, secrets, sharding, simhash, url_filter, vector_dedup
 
 #: Folder of the public vocabularies; None: the installed package's own.
 TOKENIZERS: str | None = None
@@ -105,7 +105,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), AUDITED, repeated="E")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_media": op8_media, "op9_lm_scoring": op9_lm_scoring, "op10_language_id": op10_language_id, "op12_filter_audit": op12_filter_audit}
+def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_media": op8_media, "op9_lm_scoring": op9_lm_scoring, "op10_language_id": op10_language_id, "op12_filter_audit": op12_filter_audit, "op13_vector_dedup": op13_vector_dedup}
 #: The audit by the position of a document's first failed filter in each order.
 AUDIT_SQL = r"""
 WITH texts AS (
@@ -150,4 +154,26 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 FROM summed
 """
 
-ORACLE_SQL: dict[str, str] = {"op12_filter_audit": AUDIT_SQL}
+#: All pairs of equal label, and the closure of their links.
+VECTOR_SQL = """
+WITH RECURSIVE fit AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reached AS (
+    SELECT vec_id, vec_id AS other FROM embeddings
+    UNION
+    SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other
+), least AS (
+    SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id
+), counted AS (
+    SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM least LEFT JOIN counted USING (vec_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_filter_audit": AUDIT_SQL, "op13_vector_dedup": VECTOR_SQL}
