@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, filter_audit, language_id, lm_scoring, media, packing, quality, secrets, sharding, simhash, url_filter, vector_dedup
+from . import byte_bpe, filter_audit, language_id, lm_scoring, media, packing, quality, runs, secrets, sharding, simhash, url_filter, vector_dedup
 
 #: Folder of the public vocabularies; None: the installed package's own.
 TOKENIZERS: str | None = None
@@ -92,6 +92,30 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where about each tenth document repeats words of its own from some word on, as its id says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    told = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("_w"), g.alias("_g")).withColumn("_n", F.size("_w"))
+    # The explode keeps the words from being split again for each use of them.
+    told = told.select("doc_id", "text", "_g", "_n", F.explode(F.array("_w")).alias("_w"))
+    told = told.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")).cast("int"))
+    told = told.withColumn("_p", (1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8))).cast("int"))
+    again = F.flatten(F.array_repeat(F.slice("_w", F.col("_a") + 1, F.col("_p")), F.ceil((F.col("_n") - F.col("_a")) / F.col("_p")).cast("int")))
+    tail = F.array_join(F.concat(F.slice("_w", F.lit(1), F.col("_a")), F.slice(again, F.lit(1), F.col("_n") - F.col("_a"))), " ")
+    return told.select("doc_id", F.when(F.col("_n") > 0, tail).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_periodic_tails(read(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("_l"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("_l.start"), F.col("_l.length"), -F.col("_l.period")
+    return told.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 #: Failure conditions of the audit's filters; E is the repeated text.
 AUDITED = {
     "A": "n_words < 50",
@@ -109,7 +133,7 @@ def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_media": op8_media, "op9_lm_scoring": op9_lm_scoring, "op10_language_id": op10_language_id, "op12_filter_audit": op12_filter_audit, "op13_vector_dedup": op13_vector_dedup}
+QUERIES = {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_media": op8_media, "op9_lm_scoring": op9_lm_scoring, "op10_language_id": op10_language_id, "op11_periodic_runs": op11_periodic_runs, "op12_filter_audit": op12_filter_audit, "op13_vector_dedup": op13_vector_dedup}
 #: The audit by the position of a document's first failed filter in each order.
 AUDIT_SQL = r"""
 WITH texts AS (
