@@ -16,9 +16,12 @@ small-star rounds over tables in the shared folder.
 
 `near_duplicates` has the narrow rule, 3 of 64 bits over shingles of 3 words. `first_of_each`, for pipelines, has
 the usual one, a Jaccard similarity of 0.8 over the sets of 5-word shingles. A changed word changes five shingles, so
-its keys come from two fingerprints of the set of words, which such a change hardly touches; candidates are
-verified by a 256-bit fingerprint of the set of shingles. At similarity 0.8 about 39 of these bits differ, 6 more or less, and
-46 may: some pairs below 0.8 are linked (nearly half at 0.73, 3 % at 0.6), and few above are not.
+its keys come from eight fingerprints of the set of words, which such a change hardly touches, and only from the codeword nearest to
+a segment: more fingerprints find more than further codewords do. A 256-bit fingerprint of the set of shingles proposes
+pairs (at similarity 0.8 about 39 of its bits differ, 6 more or less, and 52 may); each proposed pair is then verified on the two sets
+of shingles, so every link is one of 0.8 or more. Tasks propose a spanning forest of each key's pairs first. Where one of its
+pairs fails and leaves two components apart, all pairs between such components are proposed and verified, so that no
+proposed link is lost.
 
 Defined cases: a null or empty text has fingerprint zero, linked like any other; fewer words than a shingle make one
 shingle; repeated words and shingles count as often as they occur; a null id is kept but never is the
@@ -47,7 +50,9 @@ KINDS = [(i, j) for i in range(SEGMENTS) for j in range(SEGMENTS) if i != j]
 #: Generator polynomial of the binary Golay code of length 23.
 GOLAY = 0b110001110101
 #: The rule of pipelines: words a shingle, fingerprints of words that keys come from, longs of the verified fingerprint, its most differing bits.
-SIMILAR_SHINGLE, WORD_CODES, SHINGLE_CODES, MOST_SIMILAR_BITS = 5, 2, 4, 46
+SIMILAR_SHINGLE, WORD_CODES, SHINGLE_CODES, MOST_SIMILAR_BITS = 5, 8, 4, 52
+#: Least similarity as a ratio: shared shingles to all.
+LEAST_SHARED, LEAST_OF = 4, 5
 WORD_COLUMNS = tuple(f"w{k}" for k in range(WORD_CODES))
 SHINGLE_COLUMNS = tuple(f"s{k}" for k in range(SHINGLE_CODES))
 #: Most fingerprints under one key that a task compares at once; beyond it they are dealt into blocks of this size.
@@ -103,31 +108,53 @@ def _majority(hashes: np.ndarray, longs: int) -> np.ndarray:
     return np.packbits(2 * sums > len(hashes), bitorder="little").view("<u8")
 
 
-def similarity_codes(text: str | None) -> np.ndarray:
-    """The fingerprints of a text's set of words and of its set of shingles, as six longs; zeros without a word."""
-    words = (text or "").encode().lower().split()
+def shingle_hashes(words: list[bytes]) -> np.ndarray:
+    """Hashes of a text's set of shingles, sorted; none without a word."""
     if not words:
-        return np.zeros(WORD_CODES + SHINGLE_CODES, "<u8")
-    own = {xxhash.xxh64_intdigest(w, SEED) for w in words}
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = max(0, len(words) - SIMILAR_SHINGLE)
     spans = zip(starts[: last + 1].tolist(), ends[len(words) - 1 - last :].tolist())
-    shingles = np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in spans), "<u8", last + 1))
-    return np.concatenate([_majority(np.fromiter(own, "<u8", len(own)), WORD_CODES), _majority(shingles, SHINGLE_CODES)])
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in spans), "<u8", last + 1))
+
+
+def similarity_codes(text: str | None) -> tuple[bytes, np.ndarray]:
+    """A digest of a text's set of shingles, and the fingerprints of its sets of words and of shingles as longs; zeros without a word."""
+    words = (text or "").encode().lower().split()
+    shingles = shingle_hashes(words)
+    digest = xxhash.xxh3_128_digest(shingles.tobytes(), SEED)
+    if not words:
+        return digest, np.zeros(WORD_CODES + SHINGLE_CODES, "<u8")
+    own = {xxhash.xxh64_intdigest(w, SEED) for w in words}
+    return digest, np.concatenate([_majority(np.fromiter(own, "<u8", len(own)), WORD_CODES), _majority(shingles, SHINGLE_CODES)])
 
 
 def code_rows(df: DataFrame) -> DataFrame:
-    """doc_id, _id and the six longs of similarity_codes for rows (doc_id, _id, text)."""
+    """doc_id, _id, and the digest and longs of similarity_codes for rows (doc_id, _id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            told = [similarity_codes(t) for t in batch.column("text").to_pylist()]
+            codes = np.array([c for _, c in told], "<u8").reshape(-1, WORD_CODES + SHINGLE_CODES)
+            arrays = [batch.column("doc_id"), batch.column("_id"), pa.array([d for d, _ in told], pa.binary()), *(pa.array(np.ascontiguousarray(c).view("<i8")) for c in codes.T)]
+            yield pa.record_batch(arrays, ["doc_id", "_id", "digest", *WORD_COLUMNS, *SHINGLE_COLUMNS])
+
+    return in_batches(df).mapInArrow(run, "doc_id long, _id long, digest binary, " + ", ".join(f"{c} long" for c in (*WORD_COLUMNS, *SHINGLE_COLUMNS)))
+
+
+def shingle_sets(df: DataFrame) -> DataFrame:
+    """doc_id and hashes (of the set of shingles) for rows (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            codes = np.array([similarity_codes(t) for t in batch.column("text").to_pylist()], "<u8").reshape(-1, WORD_CODES + SHINGLE_CODES)
-            arrays = [batch.column("doc_id"), batch.column("_id"), *(pa.array(np.ascontiguousarray(c).view("<i8")) for c in codes.T)]
-            yield pa.record_batch(arrays, ["doc_id", "_id", *WORD_COLUMNS, *SHINGLE_COLUMNS])
+            sets = [shingle_hashes((t or "").encode().lower().split()).view("<i8") for t in batch.column("text").to_pylist()]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, "<i8")])))
+            yield pa.record_batch([batch.column("doc_id"), held], ["doc_id", "hashes"])
 
-    return in_batches(df).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "_id", *WORD_COLUMNS, *SHINGLE_COLUMNS)))
+    return in_batches(df).mapInArrow(run, "doc_id long, hashes array<long>")
 
 
 @cache
@@ -163,8 +190,8 @@ def golay_indices(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, others
 
 
-def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys as (key, position of the fingerprint, whether the key is its own)."""
+def keys_of(fps: np.ndarray, lists: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys as (key, position of the fingerprint, whether the key is its own); without lists only own ones."""
     parts = [(fps >> np.uint64(SEGMENT_BITS * s) & np.uint64(0xFFFF)).astype("int64") for s in range(SEGMENTS)]
     codes = [golay_indices(p << (23 - SEGMENT_BITS)) for p in parts]
     keys, places, owns = [], [], []
@@ -174,6 +201,8 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keys.append(base | own)
         places.append(np.arange(len(fps)))
         owns.append(np.ones(len(fps), bool))
+        if not lists:
+            continue
         at, column = np.nonzero(others >= 0)
         keys.append(base[at] | others[at, column])
         places.append(at)
@@ -181,15 +210,15 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(places), np.concatenate(owns)
 
 
-def _key_rows(sources: tuple[str, ...], codes: tuple[str, ...]):
-    """Rows (key, fp, own) and the columns codes for every key of the fingerprints in the columns sources."""
+def _key_rows(sources: tuple[str, ...], codes: tuple[str, ...], lists: bool = True):
+    """Rows (key, fp, own) and the columns codes for every key of the fingerprints in the columns sources; without lists only for own keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
                 for which, source in enumerate(sources):
-                    keys, places, owns = keys_of(part.column(source).to_numpy().view("<u8"))
+                    keys, places, owns = keys_of(part.column(source).to_numpy().view("<u8"), lists)
                     arrays = [pa.array(keys | which << 32), part.column("fp").take(pa.array(places)), pa.array(owns), *(part.column(c).take(pa.array(places)) for c in codes)]
                     yield pa.record_batch(arrays, ["key", "fp", "own", *codes])
 
@@ -217,10 +246,43 @@ def _forest(fps: np.ndarray, codes: np.ndarray, owns: np.ndarray, bits: int) ->
     return fps[moved], fps[labels[moved]]
 
 
-def _group_links(frame: pd.DataFrame, codes: tuple[str, ...], bits: int, most: int | None) -> Iterator[pd.DataFrame]:
+def _spanning(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that are near and connect all that near pairs connect."""
+    left, a, b = np.ones(codes.shape[1], bool), [], []
+    for start in range(len(left)):
+        if not left[start]:
+            continue
+        left[start], todo = False, [start]
+        while todo:
+            r = todo.pop()
+            new = np.flatnonzero(left & _near(codes[:, r : r + 1], codes, bits))
+            left[new] = False
+            todo += new.tolist()
+            a.append(np.full(len(new), r))
+            b.append(new)
+    return np.concatenate(a or [np.zeros(0, "int64")]), np.concatenate(b or [np.zeros(0, "int64")])
+
+
+def _across(codes: np.ndarray, bits: int, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs that are near and have different labels."""
+    a, b = [np.zeros(0, "int64")], [np.zeros(0, "int64")]
+    for r in range(len(labels)):
+        found = r + 1 + np.flatnonzero(_near(codes[:, r : r + 1], codes[:, r + 1 :], bits) & (labels[r + 1 :] != labels[r]))
+        a.append(np.full(len(found), r))
+        b.append(found)
+    return np.concatenate(a), np.concatenate(b)
+
+
+#: What a task gives back of a key's near pairs: a forest of links that needn't be near themselves, a forest of near pairs, or all near pairs
+#: whose labels (the last of the columns codes) differ.
+CONNECT, SPAN, ACROSS = "connect", "span", "across"
+
+
+def _group_links(frame: pd.DataFrame, codes: tuple[str, ...], bits: int, most: int | None, give: str = CONNECT) -> Iterator[pd.DataFrame]:
     """Links within each key of rows sorted by key; groups of more than most rows come back as they are."""
     keys, fps, owns = frame.key.to_numpy(), frame.fp.to_numpy(), frame.own.to_numpy()
     held = np.stack([frame[c].to_numpy() for c in codes or ("fp",)])
+    held, labels = (held[:-1], held[-1]) if give == ACROSS else (held, None)
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.append(starts, len(keys)))
     small = 8
@@ -229,6 +291,7 @@ def _group_links(frame: pd.DataFrame, codes: tuple[str, ...], bits: int, most: i
     for shift in range(1, small):
         i = np.flatnonzero((keys[:-shift] == keys[shift:]) & (wide[shift:] <= small)) if len(keys) > shift else np.array([], "int64")
         i = i[(owns[i] | owns[i + shift]) & _near(held[:, i], held[:, i + shift], bits)]
+        i = i if labels is None else i[labels[i] != labels[i + shift]]
         a.append(fps[i])
         b.append(fps[i + shift])
     for start, size in zip(starts[sizes > small], sizes[sizes > small]):
@@ -236,7 +299,11 @@ def _group_links(frame: pd.DataFrame, codes: tuple[str, ...], bits: int, most: i
         if most and size > most:
             yield _handed_on(frame.iloc[part], codes)
             continue
-        x, y = _forest(fps[part], held[:, part], owns[part], bits)
+        if give == CONNECT:
+            x, y = _forest(fps[part], held[:, part], owns[part], bits)
+        else:
+            x, y = _spanning(held[:, part], bits) if give == SPAN else _across(held[:, part], bits, labels[part])
+            x, y = fps[part][x], fps[part][y]
         a.append(x)
         b.append(y)
     links = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "key": -1, "own": False, **dict.fromkeys(codes, 0)})
@@ -249,7 +316,7 @@ def _handed_on(frame: pd.DataFrame, codes: tuple[str, ...]) -> pd.DataFrame:
     return pd.DataFrame({"a": frame.fp, "b": 0, "key": frame.key, "own": frame.own, **{c: frame[c] for c in codes}})
 
 
-def _link_rows(codes: tuple[str, ...], bits: int, most: int | None):
+def _link_rows(codes: tuple[str, ...], bits: int, most: int | None, give: str = CONNECT):
     """Over rows (key, fp, own, codes) sorted by key within the task: verified links; the last key of a batch waits for the next.
 
     A key that is being handed on (its rows are more than most) does not gather in memory.
@@ -273,25 +340,26 @@ def _link_rows(codes: tuple[str, ...], bits: int, most: int | None):
                 yield _handed_on(held, codes)
                 held = None
             if len(done):
-                yield from _group_links(done, codes, bits, most)
+                yield from _group_links(done, codes, bits, most, give)
         if held is not None and len(held):
-            yield from _group_links(held, codes, bits, most)
+            yield from _group_links(held, codes, bits, most, give)
 
     return run
 
 
-def links(distinct: DataFrame, block: int = BLOCK, sources: tuple[str, ...] = ("fp",), codes: tuple[str, ...] = (), bits: int = MOST_BITS) -> DataFrame:
+def links(distinct: DataFrame, block: int = BLOCK, sources: tuple[str, ...] = ("fp",), codes: tuple[str, ...] = (), bits: int = MOST_BITS, lists: bool = True, give: str = CONNECT) -> DataFrame:
     """a, b: enough verified links between distinct fingerprints (column fp) to connect every component.
 
     Keys come from the 64-bit fingerprints in the columns sources. Candidates are verified by the columns codes together,
-    where at most `bits` bits may differ; without codes fp itself is compared, else it only names its row.
+    where at most `bits` bits may differ; without codes fp itself is compared, else it only names its row. Without lists a
+    fingerprint is looked for under its own keys only. give: see above.
     """
     spark, extra = distinct.sparkSession, "".join(f", {c} long" for c in codes)
     narrow = distinct.select(*dict.fromkeys(("fp", *sources, *codes))).repartition(shuffle_partitions(spark), "fp")
-    keyed = narrow.mapInArrow(_key_rows(sources, codes), "key long, fp long, own boolean" + extra)
+    keyed = narrow.mapInArrow(_key_rows(sources, codes, lists), "key long, fp long, own boolean" + extra)
     sorted_keys = keyed.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
     schema = "a long, b long, key long, own boolean" + extra
-    found = materialise(sorted_keys.mapInPandas(_link_rows(codes, bits, block), schema), "simhash-links")
+    found = materialise(sorted_keys.mapInPandas(_link_rows(codes, bits, block, give), schema), "simhash-links")
     handed_on = found.filter("key >= 0")
     near = found.filter("key < 0").select("a", "b")
     if not handed_on.isEmpty():
@@ -300,7 +368,7 @@ def links(distinct: DataFrame, block: int = BLOCK, sources: tuple[str, ...] = ("
         dealt = handed_on.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
         pairs = dealt.select("key", F.col("a").alias("fp"), "own", *codes, "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         pairs = pairs.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "fp", "own", *codes)
-        blocked = pairs.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInPandas(_link_rows(codes, bits, None), schema)
+        blocked = pairs.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInPandas(_link_rows(codes, bits, None, give), schema)
         near = near.unionByName(blocked.select("a", "b"))
     return near.distinct()
 
@@ -348,27 +416,55 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(grouped, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The six longs of code_rows and component (the least doc_id of a row of theirs) for each set of longs in rows."""
+def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs a, b whose sets (doc_id, hashes) have the least similarity or more, each pair compared once.
+
+    The lesser end, which may have most pairs, is joined last: the rows of its partition then have the size of their sets, by
+    which adaptive execution splits it.
+    """
+    of_b = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("_b"))
+    of_a = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("_a"))
+    common = F.size(F.array_intersect("_a", "_b")).cast("long")
+    # shared / all >= LEAST_SHARED / LEAST_OF, where all is the sum of both sizes less what is shared
+    enough = (LEAST_OF + LEAST_SHARED) * common >= LEAST_SHARED * (F.size("_a") + F.size("_b"))
+    return pairs.join(of_b, "b").join(of_a, "a").filter(enough).select("a", "b")
+
+
+def similar_groups(rows: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """digest and component (the least doc_id) of every set of shingles in rows of code_rows; texts: doc_id, text."""
     columns = [*WORD_COLUMNS, *SHINGLE_COLUMNS]
-    distinct = materialise(rows.groupBy(*columns).agg(F.min("doc_id").alias("fp")), "similar-codes")
-    roots = components(links(distinct, block, WORD_COLUMNS, SHINGLE_COLUMNS, MOST_SIMILAR_BITS))
+    distinct = materialise(rows.groupBy("digest").agg(F.min("doc_id").alias("fp"), *[F.min(c).alias(c) for c in columns]), "similar-codes")
+    proposed = materialise(links(distinct, block, WORD_COLUMNS, SHINGLE_COLUMNS, MOST_SIMILAR_BITS, False, SPAN), "similar-proposed")
+    ends = proposed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = materialise(shingle_sets(texts.join(ends, "doc_id", "left_semi")), "similar-sets")
+    near = materialise(similar_pairs(proposed, sets), "similar-links")
+    roots = components(near)
+    # Proposed pairs that failed and whose ends are still apart: other pairs between such components may be near.
+    label = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}"))
+    apart = proposed.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y")).filter("x != y")
+    open_ = materialise(apart.select(F.explode(F.array("x", "y")).alias("label")).distinct(), "similar-open")
+    if not open_.isEmpty():
+        labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root")
+        again = links(labelled.join(open_, "label", "left_semi"), block, WORD_COLUMNS, (*SHINGLE_COLUMNS, "label"), MOST_SIMILAR_BITS, False, ACROSS)
+        more = materialise(similar_pairs(again.join(proposed, ["a", "b"], "left_anti"), sets), "similar-more-links")
+        if not more.isEmpty():
+            roots = components(near.unionByName(more))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    return materialise(rooted.select(*columns, F.coalesce("root", "fp").alias("component")), "similar-groups")
+    return materialise(rooted.select("digest", F.coalesce("root", "fp").alias("component")), "similar-groups")
 
 
 def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df's rows without those near to a kept one by a chain of links: one row of each component stays, that of the least id.
 
-    Rows with a similarity of 0.8 over 5-word shingles are near, by the fingerprints that the module describes. Rows with
-    equal or null ids are told apart by their place: among equal ids the first one read stays, and a null id only where its
-    component has no other. Null texts and those without a word are one group; fewer words than a shingle make one shingle. df's
-    columns may have any names. Whole rows are not shuffled unless the removed ones are too many to broadcast.
+    Rows with a similarity of 0.8 or more over 5-word shingles are near: no link is below, and those that the module's keys don't
+    propose are missed. Rows with equal or null ids are told apart by their place: among equal ids the first one read stays, and a null
+    id only where its component has no other. Null texts and those without a word are one group; fewer words than a shingle make one
+    shingle. df's columns may have any names. Whole rows are not shuffled unless the removed ones are too many to broadcast.
     """
     numbered = materialise(df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.monotonically_increasing_id().alias("_at")), "simhash-rows")
     texts = numbered.select(F.col("_at").alias("doc_id"), "_id", F.col("_row").getField(text_col).alias("text"))
     rows = materialise(code_rows(texts), "simhash-documents")
-    grouped = rows.join(similar_groups(rows), [*WORD_COLUMNS, *SHINGLE_COLUMNS]).select("doc_id", "_id", "component")
+    grouped = rows.select("doc_id", "_id", "digest").join(similar_groups(rows, texts.select("doc_id", "text")), "digest").select("doc_id", "_id", "component")
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "doc_id")).alias("first")
     kept = grouped.groupBy("component").agg(first).select(F.col("first.doc_id").alias("doc_id"))
     removed = rows.select("doc_id").join(kept, "doc_id", "left_anti").withColumnRenamed("doc_id", "_at")
