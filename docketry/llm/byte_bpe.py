@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import in_batches, materialise, slices
 
@@ -163,7 +164,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
 
 def decode(df: DataFrame, ranks_path: str) -> DataFrame:
-    """Adds decoded (binary), the token bytes of the packed ids one after another."""
+    """Adds decoded (binary), the token bytes of the packed ids one after another; another column of that name is replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(ranks_path)
@@ -171,8 +172,10 @@ def decode(df: DataFrame, ranks_path: str) -> DataFrame:
         for token, rank in ranks.items():
             tokens[rank] = token
         look = tokens.__getitem__
-        for batch in slices(batches, "ids"):
-            texts = [b"".join(map(look, array("I", ids or b""))) for ids in batch.column("ids").to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
+        for batch in slices(batches, "_ids"):
+            texts = [b"".join(map(look, array("I", ids or b""))) for ids in batch.column("_ids").to_pylist()]
+            yield pa.record_batch([batch.column("_row"), pa.array(texts, pa.binary())], ["_row", "decoded"])
 
-    return in_batches(df).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", decoded binary")
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col("ids").alias("_ids"))
+    out = in_batches(rows).mapInArrow(run, T.StructType([rows.schema["_row"]]).add("decoded", "binary"))
+    return out.select(*[F.col("_row")[c].alias(c) for c in df.columns if c != "decoded"], "decoded")

@@ -30,7 +30,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import id_bucket, in_batches, materialise, slices
@@ -117,9 +117,10 @@ class Vocabulary:
         return np.where(ids < 0, self.rare, self.place[ids])
 
 
-def head_threshold(counts: DataFrame, most: int) -> float:
-    """The least eighth of a power of two such that at most `most` words occur more often; one row a step reaches the driver."""
-    step = F.floor(F.log2("n") * 8).cast("int")
+def head_threshold(counts: DataFrame, most: int, by: str) -> float:
+    """The least eighth of a power of two such that at most `most` words occur more often, by that column; one row a step reaches the driver."""
+    counts = counts.filter(F.col(by) > 0)
+    step = F.floor(F.log2(by) * 8).cast("int")
     at, held = None, 0
     for row in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect(), reverse=True):
         held += row.k
@@ -129,18 +130,24 @@ def head_threshold(counts: DataFrame, most: int) -> float:
     return 2 ** ((at or 0) / 8)
 
 
-def vocabulary(counts: DataFrame, head: int = HEAD) -> tuple[Vocabulary, float]:
-    """The vocabulary, and the least number of occurrences of a word of the head."""
+def vocabulary(counts: DataFrame, head: int = HEAD) -> tuple[Vocabulary, Column]:
+    """The vocabulary, and which rows of counts it holds.
+
+    The model's words are those that occur most in training rows (c). Words that are frequent over all rows (n) but not
+    among them, held-out ones for instance, are only looked up, so that no word that is left to a join is a hot key.
+    """
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count_if(F.col("c") > 0).alias("kinds")).first()
-    least = head_threshold(counts, head)
-    rows = sorted(counts.filter((F.col("n") >= least) | (F.col("word") == "")).collect(), key=lambda r: (-r.c, r.word))  # `head` and one at most
+    least, common = head_threshold(counts, head, "c"), head_threshold(counts, head, "n")
+    modelled = lambda r: r.c > 0 and (r.c >= least or r.word == "")
+    held = (F.col("c") >= least) | (F.col("n") >= common) | (F.col("word") == "")
+    rows = sorted(counts.filter(held).collect(), key=lambda r: (not modelled(r), -r.c, r.word))  # twice `head` and one at most
     if not any(r.word == "" for r in rows):  # there is no document at all
         rows.append(Row(word="", c=0, n=0))
     c = np.array([r.c for r in rows], "int64")
-    known = int((c > 0).sum())  # these come first
+    known = sum(map(modelled, rows))  # these come first
     place = np.minimum(np.arange(len(rows)), known)
     mass = np.append(c[:known] + 0.5, max(0.5, total.tokens + 0.5 * (total.kinds + 1) - (c[:known] + 0.5).sum()))
-    return Vocabulary({r.word.encode(): i for i, r in enumerate(rows)}, c, place, mass, total.tokens, total.kinds), least
+    return Vocabulary({r.word.encode(): i for i, r in enumerate(rows)}, c, place, mass, total.tokens, total.kinds), held
 
 
 @dataclass
@@ -420,13 +427,13 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: in
     part = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string")), 1)
     rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("doc_id"), (id_bucket(F.col(id_col), mod) == held_out).alias("held_out"), part.alias("part"), F.col(text_col).alias("text"))
     counts = materialise(word_counts(rows), "word-counts")
-    known, least = vocabulary(counts, head)
+    known, held = vocabulary(counts, head)
     shared = context.broadcast(known)
     coded = materialise(encoded(rows, shared), "coded-texts")
     model = train(coded.filter("not held_out").select("doc_id", "part", "places"), shared, known)
     scored = modelled(coded, shared, context.broadcast(model))
-    tail = counts.filter((F.col("n") < least) & (F.col("word") != "")).select("word", "c")
-    # Rare words only: each occurs less often than `least`, so none is a hot key.
+    tail = counts.filter(~held).select("word", "c")
+    # Rare words only: none occurs as often as the words that are held, so none is a hot key.
     rare = coded.select("_row", F.explode("rare").alias("word", "times")).join(tail, "word", "left")
     rare = rare.groupBy("_row").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_own"), F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("rare_known"))
     beyond = F.coalesce("rare_own", F.lit(0.0))

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import in_batches, slices
 
@@ -256,6 +257,10 @@ def _entropy_end(data: bytes, at: int) -> int:
         at += 2
 
 
+#: Most pixels a byte of a file: a block of 64 takes a few bits at least.
+MOST_PIXELS_A_BYTE = 4096
+
+
 def read_jpeg(data: bytes) -> tuple[int, int, list[Component], dict[int, np.ndarray], bytes]:
     """(width, height, components, quantisers in zigzag order, comment) of a progressive image without restarts."""
     at, quantisers, codes, comment = 2, {}, {}, b""
@@ -276,8 +281,12 @@ def read_jpeg(data: bytes) -> tuple[int, int, list[Component], dict[int, np.ndar
                 body = body[17 + many :]
         elif marker == 0xC2:
             height, width = struct.unpack(">HH", body[1:5])
+            if components or not width or not height or not 1 <= body[5] <= 4 or width * height > len(data) * MOST_PIXELS_A_BYTE:
+                raise ValueError("no frame of this size")
             for k in range(body[5]):
                 name, sampling, table = body[6 + 3 * k : 9 + 3 * k]
+                if not 1 <= sampling >> 4 <= 4 or not 1 <= sampling & 15 <= 4:
+                    raise ValueError("no such sampling")
                 components[name] = Component(sampling >> 4, sampling & 15, table)
             most = max(c.across for c in components.values()), max(c.down for c in components.values())
             for c in components.values():
@@ -290,6 +299,8 @@ def read_jpeg(data: bytes) -> tuple[int, int, list[Component], dict[int, np.ndar
             chosen = [(components[body[1 + 2 * k]], body[2 + 2 * k]) for k in range(body[0])]
             first, last, shift = body[-3:]
             high, low = shift >> 4, shift & 15
+            if not chosen or last > 63 or first > last or low > 13:
+                raise ValueError("no scan of this kind")
             if first == 0:
                 _dc_scan([(c, codes.get((0, t >> 4), {})) for c, t in chosen], bits, high > 0, low)
             else:
@@ -362,29 +373,36 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def load(df: DataFrame, tensors: bool = True) -> DataFrame:
-    """Adds payload, feature, error (null where the image was read), and with tensors also width, height and rgb (height x width x 3 bytes), from the column media."""
-    names = list(df.columns)
+    """Adds payload, feature, error (null where the image was read), and with tensors also width, height and rgb (height x width x 3 bytes), from the column media.
+
+    Other columns of these names are replaced. An image that can't be read, or is too large for what it holds, gives nulls and a reason.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "media"):
+        for batch in slices(batches, "_media"):
             payloads, features, errors, images = [], [], [], []
-            for media in batch.column("media").to_pylist():
+            for media in batch.column("_media").to_pylist():
                 payload = found = width = height = tensor = error = None
                 try:
                     width, height, components, quantisers, comment = read_jpeg(media or b"")
                     tensor = rgb_tensor(width, height, components, quantisers)
                     payload, found = payload_of(components, comment) if comment.startswith(b"payload ") else None, feature(tensor)
-                except (ValueError, IndexError, KeyError, struct.error) as e:
-                    width = height = tensor = None
+                except (ArithmeticError, LookupError, TypeError, ValueError, struct.error) as e:
+                    payload = width = height = tensor = None
                     error = "no image" if not media else str(e) or type(e).__name__
                 for column, value in ((payloads, payload), (features, found), (errors, error)):
                     column.append(value)
                 if tensors:
                     images.append((width, height, None if tensor is None else tensor.tobytes()))
-            columns = [*batch.columns, pa.array(payloads, pa.binary()), pa.array(features, pa.string()), pa.array(errors, pa.string())]
+            columns = [batch.column("_row"), pa.array(payloads, pa.binary()), pa.array(features, pa.string()), pa.array(errors, pa.string())]
             if tensors:
                 columns += [pa.array([x[0] for x in images], pa.int32()), pa.array([x[1] for x in images], pa.int32()), pa.array([x[2] for x in images], pa.binary())]
-            yield pa.record_batch(columns, [*names, "payload", "feature", "error", *["width", "height", "rgb"] * tensors])
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", payload binary, feature string, error string"
-    return in_batches(df).mapInArrow(run, schema + (", width int, height int, rgb binary" if tensors else ""))
+            yield pa.record_batch(columns, ["_row", *added])
+
+    added = ["payload", "feature", "error", *["width", "height", "rgb"] * tensors]
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col("media").alias("_media"))
+    schema = T.StructType([rows.schema["_row"]]).add("payload", "binary").add("feature", "string").add("error", "string")
+    if tensors:
+        schema = schema.add("width", "integer").add("height", "integer").add("rgb", "binary")
+    out = in_batches(rows).mapInArrow(run, schema)
+    return out.select(*[F.col("_row")[c].alias(c) for c in df.columns if c not in added], *added)

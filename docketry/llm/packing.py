@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import in_batches, materialise, shuffle_partitions, slices
 
@@ -173,10 +174,10 @@ def _add(gaps: dict, open_gaps: list[int], gap: int, run: tuple[int, int]) -> No
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, salts: int | None = None) -> DataFrame:
-    """cut (with a column length, 1 to capacity) with sequence_id and offset; its columns stay."""
+    """cut (with a column length, 1 to capacity) with sequence_id and offset; its other columns stay, whatever their names, but for those two."""
     spark = cut.sparkSession
     salts = salts or 4 * shuffle_partitions(spark)
-    rows = cut.withColumn("_salt", (F.monotonically_increasing_id() % salts).cast("int"))
+    rows = cut.select(F.struct(*cut.columns).alias("_row"), "length").withColumn("_salt", (F.monotonically_increasing_id() % salts).cast("int"))
     rows = materialise(rows, "pieces")
     sizes = rows.groupBy("length", "_salt").agg(F.count("*").alias("_many"))
     before = F.sum("_many").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
@@ -192,8 +193,6 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, salts: int | None = None) ->
     ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(F.monotonically_increasing_id())))
     ranked = ranked.join(sizes.select("length", "_salt", "_first"), ["length", "_salt"]).withColumn("_rank", F.col("_first") + F.col("_n") - 1)
 
-    names = list(cut.columns)
-
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
@@ -204,9 +203,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, salts: int | None = None) ->
                 own = table[int(lengths[part[0]])]
                 k = np.searchsorted(own[:, 0], ranks[part], "right") - 1
                 bins[part], offsets[part] = own[k, 2] + ranks[part] - own[k, 0], own[k, 3]
-            yield pa.record_batch([*[batch.column(c) for c in names], pa.array(bins), pa.array(offsets)], [*names, "sequence_id", "offset"])
+            yield pa.record_batch([batch.column("_row"), pa.array(bins), pa.array(offsets)], ["_row", "sequence_id", "offset"])
 
-    return ranked.select(*names, "_rank").mapInArrow(place, ", ".join(f"`{n}` {t}" for n, t in cut.dtypes) + ", sequence_id long, offset long")
+    placed = ranked.select("_row", "length", "_rank").mapInArrow(place, T.StructType([rows.schema["_row"]]).add("sequence_id", "long").add("offset", "long"))
+    return placed.select(*[F.col("_row")[c].alias(c) for c in cut.columns if c not in ("sequence_id", "offset")], "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

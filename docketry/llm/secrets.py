@@ -36,6 +36,8 @@ ASSIGN_MARKS = ("passw", "secret", "token", "api")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Below this many characters a token a candidate is random.
 LEAST_EFFICIENCY = 2.2
+#: Least characters beside a UUID that can be a secret.
+LEAST_BESIDE = 8
 #: Lengths of hexadecimal digests in common use (fixed values).
 DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 DIGEST = re.compile(r"[0-9a-fA-F]+")
@@ -85,8 +87,11 @@ class TokenTest:
 
 def is_known(candidate: str, random: TokenTest) -> bool:
     """Whether a candidate is a digest or an identifier, which are no secrets for being random."""
-    if NUMBER.fullmatch(candidate) or UUID.search(candidate) or random.is_name(candidate):
+    if NUMBER.fullmatch(candidate) or random.is_name(candidate):
         return True
+    rest = UUID.sub("", candidate)
+    if rest != candidate:  # an identifier and what stands beside it
+        return len(rest) < LEAST_BESIDE or is_known(rest, random) or not random(rest)
     return bool(DIGEST.fullmatch(candidate)) and len(candidate) in DIGEST_LENGTHS
 
 
