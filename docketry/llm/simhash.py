@@ -16,12 +16,11 @@ small-star rounds over tables in the shared folder.
 
 `near_duplicates` has the narrow rule, 3 of 64 bits over shingles of 3 words. `first_of_each`, for pipelines, has
 the usual one, a Jaccard similarity of 0.8 over the sets of 5-word shingles. A changed word changes five shingles, so
-its keys come from eight fingerprints of the set of words, which such a change hardly touches, and only from the codeword nearest to
+its keys come from six fingerprints of the set of words, which such a change hardly touches, and only from the codeword nearest to
 a segment: more fingerprints find more than further codewords do. A 256-bit fingerprint of the set of shingles proposes
-pairs (at similarity 0.8 about 39 of its bits differ, 6 more or less, and 52 may); each proposed pair is then verified on the two sets
-of shingles, so every link is one of 0.8 or more. Tasks propose a spanning forest of each key's pairs first. Where one of its
-pairs fails and leaves two components apart, all pairs between such components are proposed and verified, so that no
-proposed link is lost.
+pairs (at similarity 0.8 about 39 of its bits differ, 6 more or less, and 50 may). Texts that such pairs connect are a cluster, and only
+a cluster's sets of shingles are shuffled. A task counts what the sets of a cluster share and links those of 0.8 or more, so every link is
+exact; it hands out a forest. Clusters with more shingles than a task should hold are dealt into blocks, and each pair of blocks is a task.
 
 Defined cases: a null or empty text has fingerprint zero, linked like any other; fewer words than a shingle make one
 shingle; repeated words and shingles count as often as they occur; a null id is kept but never is the
@@ -50,9 +49,11 @@ KINDS = [(i, j) for i in range(SEGMENTS) for j in range(SEGMENTS) if i != j]
 #: Generator polynomial of the binary Golay code of length 23.
 GOLAY = 0b110001110101
 #: The rule of pipelines: words a shingle, fingerprints of words that keys come from, longs of the verified fingerprint, its most differing bits.
-SIMILAR_SHINGLE, WORD_CODES, SHINGLE_CODES, MOST_SIMILAR_BITS = 5, 8, 4, 52
+SIMILAR_SHINGLE, WORD_CODES, SHINGLE_CODES, MOST_SIMILAR_BITS = 5, 6, 4, 50
 #: Least similarity as a ratio: shared shingles to all.
 LEAST_SHARED, LEAST_OF = 4, 5
+#: Shingles of a cluster that a block holds.
+BLOCK_SHINGLES = 500_000
 WORD_COLUMNS = tuple(f"w{k}" for k in range(WORD_CODES))
 SHINGLE_COLUMNS = tuple(f"s{k}" for k in range(SHINGLE_CODES))
 #: Most fingerprints under one key that a task compares at once; beyond it they are dealt into blocks of this size.
@@ -145,16 +146,16 @@ def code_rows(df: DataFrame) -> DataFrame:
 
 
 def shingle_sets(df: DataFrame) -> DataFrame:
-    """doc_id and hashes (of the set of shingles) for rows (doc_id, text)."""
+    """doc_id, cluster and hashes (of the set of shingles) for rows (doc_id, cluster, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = [shingle_hashes((t or "").encode().lower().split()).view("<i8") for t in batch.column("text").to_pylist()]
             ends = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
             held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, "<i8")])))
-            yield pa.record_batch([batch.column("doc_id"), held], ["doc_id", "hashes"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("cluster"), held], ["doc_id", "cluster", "hashes"])
 
-    return in_batches(df).mapInArrow(run, "doc_id long, hashes array<long>")
+    return in_batches(df).mapInArrow(run, "doc_id long, cluster long, hashes array<long>")
 
 
 @cache
@@ -246,43 +247,10 @@ def _forest(fps: np.ndarray, codes: np.ndarray, owns: np.ndarray, bits: int) ->
     return fps[moved], fps[labels[moved]]
 
 
-def _spanning(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that are near and connect all that near pairs connect."""
-    left, a, b = np.ones(codes.shape[1], bool), [], []
-    for start in range(len(left)):
-        if not left[start]:
-            continue
-        left[start], todo = False, [start]
-        while todo:
-            r = todo.pop()
-            new = np.flatnonzero(left & _near(codes[:, r : r + 1], codes, bits))
-            left[new] = False
-            todo += new.tolist()
-            a.append(np.full(len(new), r))
-            b.append(new)
-    return np.concatenate(a or [np.zeros(0, "int64")]), np.concatenate(b or [np.zeros(0, "int64")])
-
-
-def _across(codes: np.ndarray, bits: int, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs that are near and have different labels."""
-    a, b = [np.zeros(0, "int64")], [np.zeros(0, "int64")]
-    for r in range(len(labels)):
-        found = r + 1 + np.flatnonzero(_near(codes[:, r : r + 1], codes[:, r + 1 :], bits) & (labels[r + 1 :] != labels[r]))
-        a.append(np.full(len(found), r))
-        b.append(found)
-    return np.concatenate(a), np.concatenate(b)
-
-
-#: What a task gives back of a key's near pairs: a forest of links that needn't be near themselves, a forest of near pairs, or all near pairs
-#: whose labels (the last of the columns codes) differ.
-CONNECT, SPAN, ACROSS = "connect", "span", "across"
-
-
-def _group_links(frame: pd.DataFrame, codes: tuple[str, ...], bits: int, most: int | None, give: str = CONNECT) -> Iterator[pd.DataFrame]:
+def _group_links(frame: pd.DataFrame, codes: tuple[str, ...], bits: int, most: int | None) -> Iterator[pd.DataFrame]:
     """Links within each key of rows sorted by key; groups of more than most rows come back as they are."""
     keys, fps, owns = frame.key.to_numpy(), frame.fp.to_numpy(), frame.own.to_numpy()
     held = np.stack([frame[c].to_numpy() for c in codes or ("fp",)])
-    held, labels = (held[:-1], held[-1]) if give == ACROSS else (held, None)
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.append(starts, len(keys)))
     small = 8
@@ -291,7 +259,6 @@ def _group_links(frame: pd.DataFrame, codes: tuple[str, ...], bits: int, most: i
     for shift in range(1, small):
         i = np.flatnonzero((keys[:-shift] == keys[shift:]) & (wide[shift:] <= small)) if len(keys) > shift else np.array([], "int64")
         i = i[(owns[i] | owns[i + shift]) & _near(held[:, i], held[:, i + shift], bits)]
-        i = i if labels is None else i[labels[i] != labels[i + shift]]
         a.append(fps[i])
         b.append(fps[i + shift])
     for start, size in zip(starts[sizes > small], sizes[sizes > small]):
@@ -299,11 +266,7 @@ def _group_links(frame: pd.DataFrame, codes: tuple[str, ...], bits: int, most: i
         if most and size > most:
             yield _handed_on(frame.iloc[part], codes)
             continue
-        if give == CONNECT:
-            x, y = _forest(fps[part], held[:, part], owns[part], bits)
-        else:
-            x, y = _spanning(held[:, part], bits) if give == SPAN else _across(held[:, part], bits, labels[part])
-            x, y = fps[part][x], fps[part][y]
+        x, y = _forest(fps[part], held[:, part], owns[part], bits)
         a.append(x)
         b.append(y)
     links = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "key": -1, "own": False, **dict.fromkeys(codes, 0)})
@@ -316,7 +279,7 @@ def _handed_on(frame: pd.DataFrame, codes: tuple[str, ...]) -> pd.DataFrame:
     return pd.DataFrame({"a": frame.fp, "b": 0, "key": frame.key, "own": frame.own, **{c: frame[c] for c in codes}})
 
 
-def _link_rows(codes: tuple[str, ...], bits: int, most: int | None, give: str = CONNECT):
+def _link_rows(codes: tuple[str, ...], bits: int, most: int | None):
     """Over rows (key, fp, own, codes) sorted by key within the task: verified links; the last key of a batch waits for the next.
 
     A key that is being handed on (its rows are more than most) does not gather in memory.
@@ -340,26 +303,26 @@ def _link_rows(codes: tuple[str, ...], bits: int, most: int | None, give: str =
                 yield _handed_on(held, codes)
                 held = None
             if len(done):
-                yield from _group_links(done, codes, bits, most, give)
+                yield from _group_links(done, codes, bits, most)
         if held is not None and len(held):
-            yield from _group_links(held, codes, bits, most, give)
+            yield from _group_links(held, codes, bits, most)
 
     return run
 
 
-def links(distinct: DataFrame, block: int = BLOCK, sources: tuple[str, ...] = ("fp",), codes: tuple[str, ...] = (), bits: int = MOST_BITS, lists: bool = True, give: str = CONNECT) -> DataFrame:
+def links(distinct: DataFrame, block: int = BLOCK, sources: tuple[str, ...] = ("fp",), codes: tuple[str, ...] = (), bits: int = MOST_BITS, lists: bool = True) -> DataFrame:
     """a, b: enough verified links between distinct fingerprints (column fp) to connect every component.
 
     Keys come from the 64-bit fingerprints in the columns sources. Candidates are verified by the columns codes together,
     where at most `bits` bits may differ; without codes fp itself is compared, else it only names its row. Without lists a
-    fingerprint is looked for under its own keys only. give: see above.
+    fingerprint is looked for under its own keys only.
     """
     spark, extra = distinct.sparkSession, "".join(f", {c} long" for c in codes)
     narrow = distinct.select(*dict.fromkeys(("fp", *sources, *codes))).repartition(shuffle_partitions(spark), "fp")
     keyed = narrow.mapInArrow(_key_rows(sources, codes, lists), "key long, fp long, own boolean" + extra)
     sorted_keys = keyed.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
     schema = "a long, b long, key long, own boolean" + extra
-    found = materialise(sorted_keys.mapInPandas(_link_rows(codes, bits, block, give), schema), "simhash-links")
+    found = materialise(sorted_keys.mapInPandas(_link_rows(codes, bits, block), schema), "simhash-links")
     handed_on = found.filter("key >= 0")
     near = found.filter("key < 0").select("a", "b")
     if not handed_on.isEmpty():
@@ -368,7 +331,7 @@ def links(distinct: DataFrame, block: int = BLOCK, sources: tuple[str, ...] = ("
         dealt = handed_on.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
         pairs = dealt.select("key", F.col("a").alias("fp"), "own", *codes, "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         pairs = pairs.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "fp", "own", *codes)
-        blocked = pairs.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInPandas(_link_rows(codes, bits, None, give), schema)
+        blocked = pairs.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInPandas(_link_rows(codes, bits, None), schema)
         near = near.unionByName(blocked.select("a", "b"))
     return near.distinct()
 
@@ -416,41 +379,79 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(grouped, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs a, b whose sets (doc_id, hashes) have the least similarity or more, each pair compared once.
+def _cluster_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], mixed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the pairs whose sets have the least similarity or more; mixed: only pairs of different sides count."""
+    sizes = np.array([len(x) for x in sets])
+    holder = np.repeat(np.arange(len(sets)), sizes)
+    hashes, own = np.unique(np.concatenate([*sets, np.zeros(0, "i8")]), return_inverse=True)
+    held_by = holder[np.argsort(own, kind="stable")]  # the holders of each hash, one after another
+    many = np.bincount(own, minlength=len(hashes))
+    begins = np.cumsum(many) - many
+    starts = np.cumsum(sizes) - sizes
+    root, a, b = np.arange(len(sets)), [], []
+    for k in range(len(sets)):
+        if not mixed and (root == root[0]).all():
+            break  # all are linked
+        mine = own[starts[k] : starts[k] + sizes[k]]
+        runs = many[mine]
+        at = np.repeat(begins[mine] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
+        shared = np.bincount(held_by[at], minlength=len(sets))
+        # shared / all >= LEAST_SHARED / LEAST_OF, where all is the sum of both sizes less what is shared
+        near = ((LEAST_OF + LEAST_SHARED) * shared >= LEAST_SHARED * (sizes + sizes[k])) & (root != root[k])
+        for other in np.flatnonzero(near & (sides != sides[k]) if mixed else near).tolist():
+            if root[other] != root[k]:
+                a.append(ids[min(k, other)])
+                b.append(ids[max(k, other)])
+                x, y = sorted((root[k], root[other]))
+                root[root == y] = x
+    return np.array(a, "i8"), np.array(b, "i8")
+
+
+def similar_links(sets: DataFrame, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """a, b: enough pairs of 0.8 or more to connect all such pairs within a cluster; sets: doc_id, cluster, hashes."""
+    spark, n = sets.sparkSession, F.sum(F.size("hashes"))
+    blocks = sets.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(n / F.lit(block))).cast("int").alias("blocks"))
+    dealt = sets.join(blocks, "cluster").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("cluster", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "doc_id", "hashes")
+    group = ["cluster", "low", "high"]
 
-    The lesser end, which may have most pairs, is joined last: the rows of its partition then have the size of their sets, by
-    which adaptive execution splits it.
-    """
-    of_b = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("_b"))
-    of_a = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("_a"))
-    common = F.size(F.array_intersect("_a", "_b")).cast("long")
-    # shared / all >= LEAST_SHARED / LEAST_OF, where all is the sum of both sizes less what is shared
-    enough = (LEAST_OF + LEAST_SHARED) * common >= LEAST_SHARED * (F.size("_a") + F.size("_b"))
-    return pairs.join(of_b, "b").join(of_a, "a").filter(enough).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
 
+        def done() -> pa.RecordBatch:
+            a, b = _cluster_links(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows], key[1] != key[2])
+            return pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
-def similar_groups(rows: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+        for batch in batches:
+            hashes = batch.column("hashes")
+            ends, flat = hashes.offsets.to_numpy(), hashes.values.to_numpy()
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in (*group, "doc_id", "side")))):
+                if row[:3] != key:
+                    if len(rows) > 1:
+                        yield done()
+                    key, rows = row[:3], []
+                rows.append((*row[3:], flat[ends[i] : ends[i + 1]].copy()))
+        if len(rows) > 1:
+            yield done()
+
+    ordered = pairs.repartition(shuffle_partitions(spark), *group).sortWithinPartitions(*group, "doc_id")
+    return in_batches(ordered).mapInArrow(run, "a long, b long")
+
+
+def similar_groups(rows: DataFrame, texts: DataFrame, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """digest and component (the least doc_id) of every set of shingles in rows of code_rows; texts: doc_id, text."""
     columns = [*WORD_COLUMNS, *SHINGLE_COLUMNS]
     distinct = materialise(rows.groupBy("digest").agg(F.min("doc_id").alias("fp"), *[F.min(c).alias(c) for c in columns]), "similar-codes")
-    proposed = materialise(links(distinct, block, WORD_COLUMNS, SHINGLE_COLUMNS, MOST_SIMILAR_BITS, False, SPAN), "similar-proposed")
-    ends = proposed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialise(shingle_sets(texts.join(ends, "doc_id", "left_semi")), "similar-sets")
-    near = materialise(similar_pairs(proposed, sets), "similar-links")
-    roots = components(near)
-    # Proposed pairs that failed and whose ends are still apart: other pairs between such components may be near.
-    label = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}"))
-    apart = proposed.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y")).filter("x != y")
-    open_ = materialise(apart.select(F.explode(F.array("x", "y")).alias("label")).distinct(), "similar-open")
-    if not open_.isEmpty():
-        labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root")
-        again = links(labelled.join(open_, "label", "left_semi"), block, WORD_COLUMNS, (*SHINGLE_COLUMNS, "label"), MOST_SIMILAR_BITS, False, ACROSS)
-        more = materialise(similar_pairs(again.join(proposed, ["a", "b"], "left_anti"), sets), "similar-more-links")
-        if not more.isEmpty():
-            roots = components(near.unionByName(more))
+    clusters = materialise(components(links(distinct, block, WORD_COLUMNS, SHINGLE_COLUMNS, MOST_SIMILAR_BITS, False)), "similar-clusters")
+    # Texts of clusters only, each once; they meet their cluster in a shuffle at any size.
+    sets = materialise(shingle_sets(texts.join(clusters.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")).hint("merge"), "doc_id")), "similar-sets")
+    roots = components(similar_links(sets, block_shingles))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    return materialise(rooted.select("digest", F.coalesce("root", "fp").alias("component")), "similar-groups")
+    out = materialise(rooted.select("digest", F.coalesce("root", "fp").alias("component")), "similar-groups")
+    for used in (distinct, clusters, sets):
+        discard(used)
+    return out
 
 
 def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -117,7 +117,7 @@ def test_copies_with_small_edits_are_grouped(spark):
 def test_edited_copies_go_and_others_stay(spark, block, monkeypatch):
     """Pairs with one word in sixty changed (similarity over 0.8), a large group of such copies, and texts that share a half."""
     monkeypatch.setattr(simhash, "BLOCK", block)
-    monkeypatch.setattr(simhash.similar_groups, "__defaults__", (block,))
+    monkeypatch.setattr(simhash.similar_groups, "__defaults__", (block, block * 250))
     rng = random.Random(4)
     text = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(n)]
 
@@ -186,11 +186,31 @@ def test_links_below_the_similarity_are_refused_and_other_chains_found(spark):
     assert kept >= want and len(kept - want) <= 2
 
 
-def test_spanning_pairs_connect_what_near_pairs_do():
+def test_links_of_a_cluster_connect_what_all_pairs_do():
     rng = np.random.default_rng(2)
-    codes = np.array([[int(x)] for x in np.repeat(rng.integers(0, 1 << 62, 30), 10)]).T ^ (1 << rng.integers(0, 60, (1, 300)))
-    a, b = simhash._spanning(codes, 2)
-    assert simhash._near(codes[:, a], codes[:, b], 2).all() and len(a) == 300 - 30
+    for mixed in (False, True):
+        sets = []
+        for _ in range(25):
+            own = rng.choice(1 << 20, rng.integers(1, 60), replace=False)
+            for _ in range(rng.integers(1, 9)):
+                sets.append(np.unique(own).astype("i8"))
+                own = np.concatenate([own[rng.random(len(own)) > 0.06], rng.integers(0, 1 << 20, rng.integers(0, 4))])
+        sides = rng.integers(0, 2, len(sets))
+        ids = rng.permutation(len(sets))
+        share = lambda x, y: 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y))
+        pairs = [(i, j) for i in range(len(sets)) for j in range(i) if share(sets[i], sets[j]) and not (mixed and sides[i] == sides[j])]
+
+        def closed(pairs):
+            root = list(range(len(sets)))
+            for i, j in pairs:
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+            return root
+
+        a, b = simhash._cluster_links(ids, sides, sets, mixed)
+        back = {int(x): i for i, x in enumerate(ids)}
+        got = [(back[int(x)], back[int(y)]) for x, y in zip(a, b)]
+        assert closed(got) == closed(pairs) and {tuple(sorted(p)) for p in got} <= {tuple(sorted(p)) for p in pairs}
 
 
 def test_codes_do_not_depend_on_chunks():
