@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import html, taxonomy, text
-from .operators import merge, repair, retrieve, stats
+from .operators import merge, names, repair, retrieve, stats
 from .plans.case_query import CaseQuery, keyword_union
 from .schemas import CASE_ROWS_SQL, case_rows, read
 from .streaming import ingest
@@ -244,10 +244,8 @@ FROM (SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey
 def _(spark, sf):
     nation = read(spark, sf, "nation")
     named = read(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat_ws(" ", "s_name", "n_name").alias("name"))
-    small = nation.select("n_nationkey", F.col("n_name").alias("known"))  # a dimension of fixed size
-    hits = named.join(F.broadcast(small), F.col("name").contains(F.col("known")) | F.col("known").contains(F.col("name")))
-    order = Window.partitionBy("s_suppkey").orderBy(F.desc(F.col("name") == F.col("known")), "n_nationkey")
-    return hits.withColumn("k", F.row_number().over(order)).filter("k = 1").select("s_suppkey", F.col("known").alias("n_name"))
+    found = names.match_names(named, nation.select("n_nationkey", F.col("n_name").alias("known")), "name", "known", "n_nationkey")
+    return found.filter("matched is not null").select("s_suppkey", F.col("matched").alias("n_name"))
 
 
 # --- aggregates
@@ -542,4 +540,4 @@ def _(spark, sf):
     return ingest.drain(events).select("day", "event_type", "events")
 
 
-from . import catalog_cases  # noqa: E402, F401  registers the queries over the full view
+from . import catalog_cases, catalog_sources  # noqa: E402, F401  register the other queries

@@ -1,14 +1,12 @@
 """Writes as new versions of tables: upserts with a status lattice, fills, deletes, retention.
 
 There is no table format with transactions here, so a write is a DataFrame of the new version, made by one full outer join
-on the keys, and `commit` puts versions of several tables in place under one revision.
+on the keys; `versions.commit` puts versions of several tables in place under one revision.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import text_or_empty
@@ -109,45 +107,3 @@ def to_fetch(known: DataFrame, bodies: DataFrame, skipped: DataFrame, keys: tupl
     """Keys that need no fetch: those with a body, and skipped ones."""
     names = list(keys)
     return known.select(*names).join(bodies.select(*names), names, "left_semi").unionByName(skipped.select(*names)).distinct()
-
-
-def _claim(spark: SparkSession, folder: str) -> int:
-    """The next revision number, taken by creating its file; who finds it taken tries the next one."""
-    where = spark._jvm.org.apache.hadoop.fs.Path
-    files = where(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(where(f"{folder}/_claims"))
-    revision = current_revision(spark, folder) + 1
-    while not files.createNewFile(where(f"{folder}/_claims/{revision}")):
-        revision += 1
-    return revision
-
-
-def commit(spark: SparkSession, folder: str, tables: dict[str, DataFrame]) -> int:
-    """Write new versions of several tables, then the revision's rows, one a table, which make all of them current at once.
-
-    Writers take different numbers, and each records only what it wrote, so neither loses the other's tables.
-    """
-    revision = _claim(spark, folder)
-    paths = {name: f"{folder}/{name}/{revision}-{uuid.uuid4().hex[:8]}" for name in tables}
-    for name, df in tables.items():
-        df.write.parquet(paths[name])
-    spark.createDataFrame([(revision, *x) for x in paths.items()], "revision long, name string, path string").coalesce(1).write.mode("append").parquet(f"{folder}/_revisions")
-    return revision
-
-
-def _revisions(spark: SparkSession, folder: str) -> DataFrame:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_revisions")
-    schema = "revision long, name string, path string"
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{folder}/_revisions")
-
-
-def current_revision(spark: SparkSession, folder: str) -> int:
-    return _revisions(spark, folder).agg(F.coalesce(F.max("revision"), F.lit(0)).alias("r")).first().r
-
-
-def current_paths(spark: SparkSession, folder: str) -> dict[str, str]:
-    """The newest path of each table."""
-    newest = _revisions(spark, folder).groupBy("name").agg(F.max_by("path", "revision").alias("path"))
-    return {r["name"]: r.path for r in newest.collect()}  # one row a table

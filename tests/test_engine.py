@@ -120,19 +120,6 @@ def test_fill_bridge_delete_retain(spark):
     assert sorted(r.id for r in merge.retain(tasks, ("done",), 2).collect()) == ["3", "4", "5"]
 
 
-def test_commits_are_seen_at_once(spark, tmp_path):
-    folder = str(tmp_path)
-    (tmp_path / "_claims").mkdir()
-    (tmp_path / "_claims" / "3").touch()  # another writer is at work
-    assert merge.current_revision(spark, folder) == 0
-    t = cases(spark, ("a", "1", "done", "x"))
-    merge.commit(spark, folder, {"cases": t, "other": t})
-    assert merge.commit(spark, folder, {"cases": t.withColumn("title", F.lit("y"))}) == 2
-    paths = merge.current_paths(spark, folder)
-    assert merge.commit(spark, folder, {"third": t}) == 4 and set(merge.current_paths(spark, folder)) == {"cases", "other", "third"}
-    assert spark.read.parquet(paths["cases"]).first().title == "y" and spark.read.parquet(paths["other"]).first().title == "x"
-
-
 REPAIR = "dataset string, case_id string, title string, raw_text string, status string, status_note string, punished_entity string, punished_entities string, summary_entity string, entity_type string, document_number string, punishment_date string"
 WORDS = entities.Lexicon(measures=("受到处罚",), sentence_marks=("经查",), org_suffixes=("公司", "银行"), party_prefixes=("当事人：",), title_forms=(("注销", "的公告"),), org_types=(("银行", "bank"),))
 
