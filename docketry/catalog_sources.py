@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import query, read
-from .operators import names, versions
+from .catalog_cases import KEY, TAGS, bridge_of, on_full, summaries
+from .functions import taxonomy
+from .operators import bridge, names, versions
 from .sources import paged
-from .streaming import ingest
+from .streaming import ingest, records
 
 
 def _two_versions(spark, sf):
@@ -92,3 +94,36 @@ def _(spark, sf):
     bodies = bodies.withColumn("body", F.when(F.expr("source = 's1' AND page = 4"), "[]").when(~gone, F.col("body")))
     paged.land(bodies, folder)
     return paged.scan(paged.read_pages(spark, folder), "2024-11-20", "2024-12-30", most_pages=40).select("source", "link_url", "date", "page")
+
+
+def _status_records(spark, sf):
+    """The events table as a stream of records of its users."""
+    status = F.expr("CASE event_id % 5 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'skipped' ELSE 'pending' END")
+    return ingest.read_events(spark, sf).select("user_id", F.expr("event_id * 7919 % 1000003").alias("seq"), status.alias("status"), "value", "ts")
+
+
+@query("statuses_of_a_stream", """WITH r AS (
+    SELECT user_id, event_id * 7919 % 1000003 AS seq, CASE event_id % 5 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'skipped' ELSE 'pending' END AS status, value FROM events
+), ended AS (
+    SELECT user_id, max(seq) AS seq, arg_max(status, seq) AS last, arg_max(status, seq) FILTER (status <> 'pending') AS before, arg_max(value, seq) AS value FROM r GROUP BY user_id
+)
+SELECT user_id, seq, CASE WHEN last = 'pending' AND before IN ('done', 'skipped') THEN before ELSE last END AS status, value FROM ended
+""")
+def _(spark, sf):
+    return records.drain_latest(records.stateful(_status_records(spark, sf), ("user_id",)), ("user_id",)).select("user_id", "seq", "status", "value")
+
+
+@on_full("violation_type_set", "SELECT case_id, tag AS violation FROM f JOIN t ON violation_type = raw WHERE number % 4 <> 0 UNION ALL SELECT case_id, unnest(['forgery', 'unclear fees']) FROM f WHERE number % 4 = 0 AND has_summary")
+def _(f):
+    new = f.filter("number % 4 = 0").select(*KEY, F.lit("forged papers、hidden fees").alias("violation_type"))
+    out = bridge.set_violation_type(summaries(f), bridge_of(f), new, taxonomy.canonical(F.col("violation_type"), TAGS))
+    return out["case_violations"].select("case_id", "violation")
+
+
+@on_full("bridge_after_changes", "SELECT dataset, case_id, tag AS violation FROM f JOIN t ON violation_type = raw WHERE number % 10 NOT IN (3, 4) UNION ALL SELECT dataset, case_id, 'late filing' FROM f WHERE number % 10 = 4")
+def _(f):
+    spark, folder = f.sparkSession, f"{ingest.stream_folder(f.sparkSession)}/bridge"
+    bridge.write(bridge_of(f), folder)
+    tags = taxonomy.canonical(F.col("violation_type"), TAGS)
+    bridge.apply(spark, folder, f.filter("number % 10 IN (3, 4)").select(*KEY, F.when(F.col("number") % 10 == 4, "overdue again").otherwise("").alias("violation_type")), tags)
+    return bridge.read(spark, folder).select("dataset", "case_id", "violation")

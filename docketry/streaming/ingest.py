@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 from datetime import date, timedelta
@@ -57,17 +58,27 @@ def drain(df: DataFrame) -> DataFrame:
 
 
 class Progress(StreamingQueryListener):
-    """Counts what streams have read, and stops a query of the given name when `cancelled` says so between its batches."""
+    """Counts what the session's streams have read, and stops a stream after a batch when `cancelled` says so."""
 
-    def __init__(self, cancelled: Callable[[], bool] = lambda: False):
-        self.rows, self.batches, self.cancelled = 0, 0, cancelled
+    def __init__(self, spark: SparkSession, cancelled: Callable[[], bool] = lambda: False):
+        self.spark, self.rows, self.batches, self.cancelled, self.stopped = spark, 0, 0, cancelled, set()
 
     def onQueryStarted(self, event) -> None: ...
 
     def onQueryProgress(self, event) -> None:
         self.rows, self.batches = self.rows + event.progress.numInputRows, self.batches + 1
-        if self.cancelled() and (query := SparkSession.active().streams.get(event.progress.id)):
-            query.stop()
+        own = str(event.progress.id)
+        if own not in self.stopped and self.cancelled():
+            self.stopped.add(own)
+            # Stopping waits for the stream's thread, which may wait for this one.
+            threading.Thread(target=self._stop, args=(own,), daemon=True).start()
+
+    def _stop(self, own: str) -> None:
+        for query in self.spark.streams.active:
+            if str(query.id) == own:
+                query.stop()
+
+    def onQueryIdle(self, event) -> None: ...
 
     def onQueryTerminated(self, event) -> None: ...
 
