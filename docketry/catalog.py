@@ -341,8 +341,8 @@ def _(c):
 
 
 @on_cases("quality_counters", """
-SELECT rule, count(*) AS cases, (list_sort(list(case_id)))[1:8] AS samples FROM (
-SELECT 'undated' AS rule, case_id FROM c WHERE date = '' UNION ALL SELECT 'short', case_id FROM c WHERE n_chars < 200 UNION ALL SELECT 'no_entity', case_id FROM c WHERE entity_type IS NULL) GROUP BY 1""")
+SELECT rule, count(case_id) AS cases, coalesce((list_sort(list(case_id) FILTER (case_id IS NOT NULL)))[1:8], []) AS samples FROM (VALUES ('undated'), ('short'), ('no_entity')) AS rules(rule) LEFT JOIN (
+SELECT 'undated' AS rule, case_id FROM c WHERE date = '' UNION ALL SELECT 'short', case_id FROM c WHERE n_chars < 200 UNION ALL SELECT 'no_entity', case_id FROM c WHERE entity_type IS NULL) USING (rule) GROUP BY 1""")
 def _(c):
     return stats.quality_counters(c, {"undated": F.col("date") == "", "short": F.col("n_chars") < 200, "no_entity": F.col("entity_type").isNull()})
 

@@ -327,7 +327,7 @@ COUNTERS = {
 }
 
 
-@on_full("seventeen_counters", "SELECT rule, count(*) AS cases, (list_sort(list(number)))[1:8] AS samples FROM (" + " UNION ALL ".join(f"SELECT '{r}' AS rule, number FROM f WHERE {w}" for r, w in COUNTERS.items()) + ") GROUP BY 1")
+@on_full("seventeen_counters", " UNION ALL ".join(f"SELECT '{r}' AS rule, count(*) AS cases, coalesce((list_sort(list(number)))[1:8], []) AS samples FROM f WHERE {w}" for r, w in COUNTERS.items()))
 def _(f):
     return stats.quality_counters(f, {r: F.expr(w) for r, w in COUNTERS.items()}, "number")
 

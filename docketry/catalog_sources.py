@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .catalog import query, read
 from .catalog_cases import KEY, TAGS, bridge_of, on_full, summaries
 from .functions import taxonomy
-from .operators import bridge, names, versions
+from .operators import bridge, names, retrieve, versions
 from .sources import paged
 from .streaming import ingest, records
 
@@ -127,3 +127,35 @@ def _(f):
     tags = taxonomy.canonical(F.col("violation_type"), TAGS)
     bridge.apply(spark, folder, f.filter("number % 10 IN (3, 4)").select(*KEY, F.when(F.col("number") % 10 == 4, "overdue again").otherwise("").alias("violation_type")), tags)
     return bridge.read(spark, folder).select("dataset", "case_id", "violation")
+
+
+_IN_SCOPE = "SELECT f.*, coalesce(nullif(punished_entity, ''), nullif(punished_entities, ''), nullif(summary_entity, ''), '—') AS party FROM f WHERE status IN ('done', 'pending')"
+_SHOWN = """string_agg('### [' || n || '] ' || upper(dataset) || ' | ' || coalesce(nullif(date, ''), '—') || ' | ' || title || chr(10) || concat_ws(chr(10), '- id: ' || case_id, '- party: ' || party, '- bureau: ' || nullif(bureau, ''), '- kind: ' || nullif(case_type, ''),
+    '- violation: ' || coalesce(nullif(violation_type, ''), '—'), '- measure: ' || coalesce(nullif(punishment, ''), '—'), '- basis: ' || nullif(legal_basis, ''), '- facts: ' || coalesce(nullif(trim(regexp_replace(violation_summary, '\\s+', ' ', 'g')), ''), '—'), '- source: ' || nullif(source_url, '')), chr(10) || chr(10) ORDER BY n)"""
+_PACK = """, tags AS (SELECT tag, count(*) AS n FROM {tagged} JOIN t ON violation_type = raw GROUP BY tag), named AS (SELECT coalesce(string_agg(tag || ' (' || n || ')', ', ' ORDER BY n DESC, tag), '') AS v FROM tags)
+SELECT total, used, date_min, date_max, ids, '## Overview' || chr(10) || '- cases: ' || total || chr(10) || '- dates: ' || coalesce(date_min, '—') || ' to ' || coalesce(date_max, '—') || CASE WHEN v <> '' THEN chr(10) || '- violations: ' || v ELSE '' END
+    || chr(10) || chr(10) || '## Cases' || chr(10) || cases AS evidence FROM facts, named"""
+
+
+def _pack(df):
+    return df.select("total", F.array_join("used_keywords", ",").alias("used"), "date_min", "date_max", F.array_join("ids", ",").alias("ids"), "evidence")
+
+
+@on_full("answer_by_keywords", f""", scope AS ({_IN_SCOPE}), hit AS (
+    SELECT s.*, k, row_number() OVER (PARTITION BY k ORDER BY date DESC, case_id DESC, dataset DESC) AS m FROM scope s, (VALUES ('bank'), ('trading'), ('nowhere')) AS w(k)
+    WHERE contains(lower(concat_ws(chr(10), title, punished_entities, punished_entity, case_id, document_number, violation_summary, involved_fund)), k)
+), collected AS (SELECT * EXCLUDE (k, m) FROM hit WHERE m <= 12 GROUP BY ALL), numbered AS (SELECT *, row_number() OVER (ORDER BY date DESC, case_id DESC, dataset DESC) AS n FROM collected
+), newest AS (SELECT * FROM numbered WHERE n <= 12), facts AS (
+    SELECT (SELECT count(*) FROM collected) AS total, (SELECT string_agg(DISTINCT k, ',' ORDER BY k) FROM hit) AS used, min(nullif(date, '')) AS date_min, max(nullif(date, '')) AS date_max, string_agg(case_id, ',' ORDER BY n) AS ids, {_SHOWN} AS cases FROM newest
+) {_PACK.format(tagged="newest")}""")
+def _(f):
+    return _pack(retrieve.answered(f, retrieve.Intent(keywords=("bank", "trading", "nowhere"), limit=12), taxonomy.canonical(F.col("violation_type"), TAGS)))
+
+
+@on_full("answer_by_structure", f""", scope AS ({_IN_SCOPE} AND dataset = 'en' AND (date = '' OR date >= '2018-01-01')), newest AS (
+    SELECT *, row_number() OVER (ORDER BY date DESC, case_id DESC, dataset DESC) AS n FROM scope QUALIFY n <= 5
+), facts AS (
+    SELECT (SELECT count(*) FROM scope) AS total, '' AS used, (SELECT min(nullif(date, '')) FROM scope) AS date_min, (SELECT max(date) FROM scope) AS date_max, string_agg(case_id, ',' ORDER BY n) AS ids, {_SHOWN} AS cases FROM newest
+) {_PACK.format(tagged="scope")}""")
+def _(f):
+    return _pack(retrieve.answered(f, retrieve.Intent(datasets=("en",), date_from="2018-01-01", limit=5), taxonomy.canonical(F.col("violation_type"), TAGS)))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import percent, split_multi, text_or_empty
 
@@ -156,15 +162,31 @@ def representatives(rows: DataFrame, by: str, text: str, n: int = 2) -> DataFram
 
 
 def quality_counters(rows: DataFrame, rules: dict[str, Column], key: str = "case_id", samples: int = 8) -> DataFrame:
-    """Rows that each rule finds, with the least keys among them as samples.
+    """rule, cases, samples: how many rows each rule finds, with the least keys among them; a rule that finds none has 0 and no samples.
 
-    The rows are read for the counts and again for the samples, of which each task hands on `samples` a rule.
+    One scan and one aggregation: a task counts and keeps `samples` keys a rule, and that is all that it hands on. Keys of one value
+    count as often as they occur; null keys are no samples.
     """
-    long = rows.select(F.col(key).alias("key"), F.explode(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules.items()])).alias("rule")).filter("rule is not null")
-    first = Window.partitionBy("rule").orderBy("key")
-    counts = long.groupBy("rule").agg(F.count("*").alias("cases"))
-    sample = long.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= samples).groupBy("rule").agg(F.array_sort(F.collect_list("key")).alias("samples"))
-    return counts.join(sample, "rule")
+    kind = rows.schema[key].dataType
+    names = list(rules)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many, least = [0] * len(names), [[] for _ in names]
+        for batch in batches:
+            keys = batch.column("key")
+            for i, hit in enumerate(batch.columns[1:]):
+                found = keys.filter(hit)
+                many[i] += len(found)
+                found = found.drop_null()
+                first = found.take(pc.select_k_unstable(found, samples, sort_keys=[("", "ascending")])) if len(found) > samples else found
+                least[i] = sorted(least[i] + first.to_pylist())[:samples]
+        yield pa.record_batch([pa.array(names), pa.array(many, pa.int64()), pa.array(least, pa.list_(to_arrow_type(kind)))], ["rule", "cases", "samples"])
+
+    told = rows.select(F.col(key).alias("key"), *[F.coalesce(c, F.lit(False)).alias(f"_{i}") for i, c in enumerate(rules.values())])
+    schema = T.StructType().add("rule", "string").add("cases", "long").add("samples", T.ArrayType(kind))
+    none = rows.sparkSession.createDataFrame([(name, 0, []) for name in names], schema)  # for a table without rows
+    parts = told.mapInArrow(partial, schema).unionByName(none)
+    return parts.groupBy("rule").agg(F.sum("cases").alias("cases"), F.slice(F.array_sort(F.flatten(F.collect_list("samples"))), 1, samples).alias("samples"))
 
 
 def options(taxonomy: DataFrame, observed: DataFrame) -> DataFrame:

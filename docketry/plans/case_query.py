@@ -113,8 +113,11 @@ def page_of(page: int, total: int, size: int = 20) -> tuple[int, int]:
     return page, (page - 1) * size
 
 
-def keyword_union(rows: DataFrame, keywords: list[str], limit: int, columns: tuple[str, ...] = KEYWORD_COLUMNS, keys: tuple[str, ...] = ("dataset", "case_id")) -> DataFrame:
-    """Rows that match any keyword, the newest `limit` of each, without repeats, newest first, cut to `limit` again; one scan for all keywords."""
+def keyword_union(rows: DataFrame, keywords: list[str], limit: int, columns: tuple[str, ...] = KEYWORD_COLUMNS, keys: tuple[str, ...] = ("dataset", "case_id"), cut: bool = True) -> DataFrame:
+    """Rows that match any keyword, the newest `limit` of each, without repeats, newest first, cut to `limit` again; one scan for all keywords.
+
+    Without cut all of these come, in no order: at most `limit` for each keyword.
+    """
     newest = [F.desc("date"), *[F.desc(k) for k in reversed(keys)]]
     words = [k for k in keywords if k.strip()]
     if not words:
@@ -122,4 +125,5 @@ def keyword_union(rows: DataFrame, keywords: list[str], limit: int, columns: tup
     said = [F.when(CaseQuery(keyword=k, keyword_columns=columns).predicate(rows.columns), F.lit(i)) for i, k in enumerate(words)]
     hits = rows.withColumn("_keyword", F.explode(F.array_compact(F.array(*said))))
     first = hits.withColumn("_n", F.row_number().over(Window.partitionBy("_keyword").orderBy(*newest))).filter(F.col("_n") <= limit)
-    return first.drop("_keyword", "_n").dropDuplicates(list(keys)).orderBy(*newest).limit(limit)
+    union = first.drop("_keyword", "_n").dropDuplicates(list(keys))
+    return union.orderBy(*newest).limit(limit) if cut else union
