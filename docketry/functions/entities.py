@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import first_filled, text_or_empty
+from .text import bound, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -33,6 +33,11 @@ class Lexicon:
         return "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w))) or r"(?!)"
 
 
+def _first(*columns: Column) -> Column:
+    """The first that is neither null nor empty, else the empty text; each is written once in the plan, and worked out only if those before are empty."""
+    return F.coalesce(*[bound(c, lambda x: F.when(x != "", x)) for c in columns], F.lit(""))
+
+
 _class = lambda chars: "[" + re.sub(r"([\[\]\\^&-])", r"\\\1", chars) + "]"
 _flat = lambda c: F.trim(F.regexp_replace(text_or_empty(c), r"\s+", " "))
 
@@ -71,53 +76,63 @@ def is_person_line(c: Column, words: Lexicon) -> Column:
 
 def is_dirty(c: Column, words: Lexicon) -> Column:
     """Whether a field is text rather than names: a sentence mark or end, a measure, a date, an open bracket, or a part that is too long."""
-    flat, names = _flat(c), parts_of(c, words)
-    sentence = flat.rlike(words.any_of(words.sentence_marks)) | flat.rlike(r"[。！？!?]|\.\s|\d{4}\s*[-年]\s*\d{1,2}")
-    open_bracket = flat.rlike(r"[（(][^)）]*$")
-    return (flat != "") & (sentence | flat.rlike(words.any_of(words.measures)) | open_bracket | F.exists(names, lambda x: F.length(x) > words.longest))
+    return bound(_flat(c), lambda flat: _dirty(flat, words))
+
+
+def _dirty(flat: Column, words: Lexicon) -> Column:
+    """is_dirty of a text whose white space is collapsed; all that a pattern can tell is one pattern."""
+    told = "|".join([words.any_of(words.sentence_marks), r"[。！？!?]|\.\s|\d{4}\s*[-年]\s*\d{1,2}", words.any_of(words.measures), r"[（(][^)）]*$"])
+    return (flat != "") & (flat.rlike(told) | F.exists(parts_of(flat, words), lambda x: F.length(x) > words.longest))
 
 
 def _usable(c: Column, words: Lexicon, longest: int = 160) -> Column:
     """The text if it can be a name, else empty."""
-    return F.when(~is_dirty(c, words) & F.length(_flat(c)).between(2, longest), _flat(c)).otherwise("")
+    return bound(_flat(c), lambda flat: F.when(F.length(flat).between(2, longest) & ~_dirty(flat, words), flat).otherwise(""))
 
 
 def party_from_title(title: Column, words: Lexicon) -> Column:
     """The party of a title: between texts of a stated form, in brackets at the end (closed or cut off), before a measure, or after a dash."""
-    t = _flat(title)
+    return bound(_flat(title), lambda t: _party_from_flat(t, words))
+
+
+def _party_from_flat(t: Column, words: Lexicon) -> Column:
     stated = [F.regexp_extract(t, rf"{re.escape(a)}\s*(.+?)\s*{re.escape(b) if b else '$'}", 1) for a, b in words.title_forms]
     bracket = F.regexp_extract(t, r"[（(]([^（()）]{2,40})[)）]?\s*$", 1)
     before = F.regexp_extract(t, rf"(?:^|[:：]\s*)([^:：]+?)\s*(?:{words.any_of(words.measures)})", 1)
     dash = F.regexp_extract(t, r"\s[-—–]\s*([^-—–]+)$", 1)
-    return first_filled(*[_usable(x, words, 80) for x in (*stated, bracket, before, dash)])
+    return _first(*[_usable(x, words, 80) for x in (*stated, bracket, before, dash)])
 
 
 def organisations_in(c: Column, words: Lexicon) -> Column:
     """Names in a text that end with an organisation's suffix, in order: capitalised words, or a run of CJK characters."""
-    name = rf"((?:\p{{Lu}}[\p{{L}}&']* ){{0,5}}(?:\p{{Lu}}[\p{{L}}&']* )?(?:{words.any_of(words.org_suffixes)})\b|[一-鿿]{{2,30}}?(?:{words.any_of(words.org_suffixes)}))"
-    return F.transform(F.regexp_extract_all(text_or_empty(c), F.lit(name), 1), _flat)
+    return F.transform(F.regexp_extract_all(text_or_empty(c), F.lit(_organisation(words)), 1), _flat)
+
+
+def _organisation(words: Lexicon) -> str:
+    return rf"((?:\p{{Lu}}[\p{{L}}&']* ){{0,5}}(?:\p{{Lu}}[\p{{L}}&']* )?(?:{words.any_of(words.org_suffixes)})\b|[一-鿿]{{2,30}}?(?:{words.any_of(words.org_suffixes)}))"
 
 
 def organisation_from_title(title: Column, words: Lexicon) -> Column:
-    return first_filled(F.get(organisations_in(title, words), 0))
+    """The first organisation of a title, else empty."""
+    return _flat(F.regexp_extract(text_or_empty(title), _organisation(words), 1))
 
 
 def organisation_from_body(body: Column, short: Column, words: Lexicon) -> Column:
     """The full name in a body: one that holds the short name's letters, else one after a party's prefix, else the first."""
-    names, key = organisations_in(body, words), text_or_empty(short)
-    anchored = F.get(F.filter(names, lambda x: (key != "") & x.contains(key)), 0)
+    key = text_or_empty(short)
     after = F.regexp_extract(text_or_empty(body), rf"(?:{words.any_of(words.party_prefixes)})\s*([^\n，,。.;；]{{2,80}})", 1)
-    return first_filled(anchored, _usable(after, words), F.get(names, 0))
+    anchored = F.when(key != "", F.get(F.filter(organisations_in(body, words), lambda x: x.contains(key)), 0))
+    return _first(anchored, _usable(after, words), organisation_from_title(body, words))
 
 
 def authoritative_entity(candidates: list[Column], words: Lexicon) -> Column:
     """The first candidate that is a name of 2 to 160 characters and not dirty, cleaned; else empty."""
-    return first_filled(*[_usable(clean_parties(c, words), words) for c in candidates])
+    return _first(*[_usable(clean_parties(c, words), words) for c in candidates])
 
 
 def punished_entity(stored: Column, title: Column, body: Column, words: Lexicon) -> Column:
     """The cascade: what is stored if it is clean, the title's party, an organisation of the title, then of the body."""
-    return first_filled(_usable(stored, words), party_from_title(title, words), organisation_from_title(title, words), organisation_from_body(body, F.lit(""), words))
+    return _first(_usable(stored, words), party_from_title(title, words), organisation_from_title(title, words), organisation_from_body(body, F.lit(""), words))
 
 
 def organisation_type(c: Column, words: Lexicon, head: int = 3000) -> Column:

@@ -36,6 +36,11 @@ def first_filled(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns], F.lit(""))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), where value stands once in the plan however often use refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def fill_blank(old: Column, new: Column) -> Column:
     """new where old is null or blank."""
     return F.when(F.trim(text_or_empty(old)) == "", new).otherwise(old)

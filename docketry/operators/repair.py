@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entities
 from ..functions.entities import Lexicon
-from ..functions.text import contains_any, document_number, entity_type, first_filled, sign_off_date, strict_date, text_or_empty
+from ..functions.text import bound, contains_any, document_number, entity_type, first_filled, sign_off_date, strict_date, text_or_empty
 
 #: Columns that passes may change, and those they look at besides.
 REPAIRED = ("punished_entity", "punished_entities", "summary_entity", "entity_type", "document_number", "punishment_date")
@@ -35,7 +35,8 @@ blank = lambda c: F.trim(text_or_empty(F.col(c))) == ""
 def facts(rows: DataFrame, words: Lexicon) -> DataFrame:
     """rows with what their titles and bodies say: _titled, _signed, _number, _truth."""
     title, body = F.col("title"), F.col("raw_text")
-    return rows.withColumns({"_titled": entities.party_from_title(title, words), "_signed": sign_off_date(body), "_number": document_number(title, body)}).withColumn(
+    told = rows.withColumns({"_titled": entities.party_from_title(title, words), "_signed": sign_off_date(body), "_number": document_number(title, body)})
+    return _settled(told).withColumn(
         "_truth", entities.authoritative_entity([F.col("_titled"), entities.organisation_from_title(title, words), entities.organisation_from_body(body, F.lit(""), words)], words)
     )
 
@@ -55,7 +56,7 @@ def passes(words: Lexicon, first_dataset: str, mismatch: str = "mismatch") -> li
         Pass("clear_summary_description", "summary_entity", dirty(entity) & (truth == ""), F.lit("")),
         Pass("clean_suffix", "punished_entities", ~blank("punished_entities") & (cleaned != many) & (cleaned != ""), cleaned),
         Pass("replace_dirty_party", "punished_entities", dirty(many) & (truth != ""), truth),
-        Pass("replace_dirty_entity", "summary_entity", dirty(entity), F.when(~dirty(held), first_filled(held, truth)).otherwise(first_filled(truth, entity))),
+        Pass("replace_dirty_entity", "summary_entity", dirty(entity), bound(held, lambda h: F.when(~dirty(h), first_filled(h, truth)).otherwise(first_filled(truth, entity)))),
         Pass("fill_number", "document_number", blank("document_number") & (F.col("_number") != ""), F.col("_number")),
         Pass("fill_date", "punishment_date", (F.col("status") == "done") & blank("punishment_date") & ~text_or_empty(F.col("status_note")).contains(mismatch) & (F.col("_signed") != ""), F.col("_signed")),
         Pass("clear_date", "punishment_date", ~blank("punishment_date") & strict_date(F.col("punishment_date")).isNull(), F.lit("")),
@@ -69,12 +70,20 @@ def repair(rows: DataFrame, words: Lexicon, first_dataset: str) -> DataFrame:
     kept = [c for c in rows.columns if c not in (*REPAIRED, *LOOKED_AT)]
     out = facts(rows, words).select(F.struct(*kept).alias("_kept"), *REPAIRED, *LOOKED_AT, F.array().cast("array<string>").alias("repairs"))
     for p in passes(words, first_dataset):
-        out = _settled(out.withColumn("_hit", F.coalesce(p.applies & ~text_or_empty(F.col(p.column)).eqNullSafe(p.value), F.lit(False))).withColumn("_value", p.value))
-        out = out.withColumn(p.column, F.when(F.col("_hit"), F.col("_value")).otherwise(F.col(p.column)))
-        out = out.withColumn("repairs", F.when(F.col("_hit"), F.array_append("repairs", F.lit(p.name))).otherwise(F.col("repairs"))).drop("_hit", "_value")
+        # The value stands once in the plan; it is null where the pass doesn't change the row.
+        held = text_or_empty(F.col(p.column))
+        changed = bound(F.when(p.applies, p.value), _unless(held))
+        out = _settled(out.withColumn("_value", changed))
+        hit = F.col("_value").isNotNull()
+        out = out.withColumn(p.column, F.coalesce("_value", p.column)).withColumn("repairs", F.when(hit, F.array_append("repairs", F.lit(p.name))).otherwise(F.col("repairs"))).drop("_value")
     return out.select("_kept.*", *REPAIRED, *[c for c in LOOKED_AT if c[0] != "_"], "repairs")
 
 
+def _unless(held: Column):
+    """A function that leaves a value only where it isn't what is held."""
+    return lambda v: F.when(~held.eqNullSafe(v), v)
+
+
 def _settled(rows: DataFrame) -> DataFrame:
     """The same rows behind a generator of one row each: the optimiser would otherwise put each pass's expressions into all later ones."""
     return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("_r")).select("_r.*")
