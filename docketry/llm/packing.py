@@ -20,6 +20,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from pyspark.sql import types as T
 from .common import in_batches, materialise, shuffle_partitions, slices
 
 CAPACITY, END_ID = 4096, 1
-#: Most bytes of words and ids that a task remembers; frequent words come early, so later ones are not kept.
-REMEMBERED = 32 << 20
+#: Most bytes of words and ids that a worker process remembers from task to task; frequent words come early, so later ones are not kept.
+REMEMBERED = 64 << 20
 #: Stands between words that are encoded together: a pre-token of its own, with one id. Words that hold it are encoded alone.
 MARK = "\x01"
 #: Words that are encoded together.
@@ -42,7 +43,7 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """From texts to packed ids, as the library gives them without the tokens it adds itself.
 
     The vocabulary's pre-tokens and added tokens never span an ASCII blank, so words are encoded once and remembered
-    up to a bound of bytes; a task makes its own encoder, and what it remembers goes with it.
+    up to a bound of bytes.
     """
     import tokenizers
 
@@ -79,6 +80,10 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     return encode
 
 
+#: The encoder of a worker process: its tasks run one after another and share what it remembers, which is bounded.
+kept_encoder = cache(word_encoder)
+
+
 def pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every piece of every row."""
     end = np.array([END_ID], "<u4").tobytes()
@@ -87,7 +92,7 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = word_encoder(tokenizer_path)
+        encode = kept_encoder(tokenizer_path)
         for batch in slices(batches, "text"):
             out: list[list] = [[], [], [], [], []]
             parts = []
