@@ -80,8 +80,10 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     return encode
 
 
-#: The encoder of a worker process: its tasks run one after another and share what it remembers, which is bounded.
-kept_encoder = cache(word_encoder)
+@cache
+def kept_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """The encoder of a worker process: its tasks run one after another and share what it remembers, which is bounded."""
+    return word_encoder(path)
 
 
 def pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
