@@ -32,7 +32,7 @@ from .common import in_batches, materialise, shuffle_partitions, slices
 
 CAPACITY, END_ID = 4096, 1
 #: Most bytes of words and ids that a worker process remembers from task to task; frequent words come early, so later ones are not kept.
-REMEMBERED = 64 << 20
+REMEMBERED = 128 << 20
 #: Stands between words that are encoded together: a pre-token of its own, with one id. Words that hold it are encoded alone.
 MARK = "\x01"
 #: Words that are encoded together.
