@@ -501,6 +501,44 @@ def _(f):
     return repair.dry_run(f, WORDS, FIRST).filter(F.col("name").isin("fill_first_party", "fill_other_party", "clear_date", "replace_dirty_party"))
 
 
+#: Words of titles that tell of several actions; names of customers, suppliers and parts stand for the parties.
+ACTS = entities.Lexicon(measures=("is fined",), sentence_marks=("it was found",), org_suffixes=("Bank",), separators="、;", action_marks=("against ",), actions=("a warning", "a fine", "an order"), pronouns=("the said ",), longest=80)
+#: One to four parties by the order's key: two in one action, one that is dirty, one named twice, and two actions of one party each.
+_ACTED = """SELECT o_orderkey, o_orderkey % 5 AS form, c_name AS a, concat('Clerk ', CAST(o_orderkey % 97 AS STRING)) AS b, concat('Customer of ', CAST(c_nationkey AS STRING), ' ', CAST(c_custkey AS STRING)) AS c, concat(c_mktsegment, ' Bank ', CAST(o_custkey AS STRING)) AS d FROM {orders} o JOIN {customer} c ON o_custkey = c_custkey"""
+_ACTED_TITLES = f"""SELECT *, CASE form WHEN 0 THEN concat('Notice against ', a, ' a warning') WHEN 1 THEN concat('Notice against ', a, '、', b, ' an order and against ', d, ' a fine') WHEN 2 THEN concat('Notice against it was found that ', a, ' a fine and against the said ', d, ' a warning')
+    WHEN 3 THEN concat('Notice against ', a, '、', b, ' a fine, against ', c, ' a warning, against ', a, '、', d, ' an order') ELSE concat('Notice of ', a) END AS title,
+    CASE o_orderkey % 3 WHEN 0 THEN a WHEN 1 THEN '' ELSE concat(a, ' with a long name of its own、', b, ' of the second office、', c, ' and others、', d, ' of the main street') END AS held FROM ({_ACTED})"""
+_PARTIES = "CASE form WHEN 0 THEN a WHEN 1 THEN concat_ws('、', a, b, d) WHEN 2 THEN d WHEN 3 THEN concat_ws('、', a, b, c, d) ELSE '' END"
+
+
+@query("parties_of_compound_titles", f"SELECT o_orderkey, {_PARTIES} AS parties, form IN (1, 2, 3) AS compound FROM ({_ACTED_TITLES.format(orders='orders', customer='customer')})")
+def _(spark, sf):
+    titles = spark.sql(_ACTED_TITLES, orders=read(spark, sf, "orders"), customer=read(spark, sf, "customer"))
+    return titles.select("o_orderkey", entities.parties_of_actions(F.col("title"), ACTS).alias("parties"), entities.is_compound(F.col("title"), ACTS).alias("compound"))
+
+
+@query("repaired_compound_titles", f"""SELECT o_orderkey, CASE WHEN held = '' AND form = 4 THEN '' WHEN held = '' THEN parties WHEN form IN (1, 2, 3) AND length(parties) >= length(held) THEN parties ELSE held END AS parties
+FROM (SELECT *, {_PARTIES} AS parties FROM ({_ACTED_TITLES.format(orders='orders', customer='customer')}))""")
+def _(spark, sf):
+    titles = spark.sql(_ACTED_TITLES, orders=read(spark, sf, "orders"), customer=read(spark, sf, "customer"))
+    blanks = {c: F.lit("") for c in ("raw_text", "status", "status_note", "punished_entity", "summary_entity", "entity_type", "document_number", "punishment_date")}
+    rows = titles.select("o_orderkey", "title", F.col("held").alias("punished_entities"), F.lit("other").alias("dataset")).withColumns(blanks)
+    return repair.repair(rows, ACTS, FIRST).select("o_orderkey", F.col("punished_entities").alias("parties"))
+
+
+#: What stands before the row's number, between it and the quoted text, and after: fenced with a comma too many, behind a brace of prose, beside brackets and quotes in a string, cut off around an object, and no object.
+ANSWERS = (('```json\n{"id": ', ', "body": ', ",}\n```"), ('Not {this} but {"id": ', ', "body": ', "} as asked"), ('So: {"o": {"s": "} \\" {", "l": [1, {"x": 2}, ]}, "id": ', ', "body": ', '} and {"id": -1}'), ('{"outer": {"id": ', ', "body": ', '}, "rest'), ("no object, but ", " and ", "."))
+
+
+@query("objects_in_answers", "SELECT doc_id, CASE WHEN doc_id % 6 < 4 THEN doc_id END AS id, CASE WHEN doc_id % 6 < 4 THEN coalesce(text, '') END AS body FROM documents")
+def _(spark, sf):
+    quoted = F.regexp_replace(F.to_json(F.struct(text.text_or_empty(F.col("text")).alias("t"))), r'(?s)^\{"t":(.*)\}$', "$1")
+    docs = read(spark, sf, "documents").select("doc_id", quoted.alias("body"))
+    answer = F.coalesce(*[F.when(F.col("doc_id") % 6 == i, F.concat(F.lit(a), F.col("doc_id").cast("string"), F.lit(b), "body", F.lit(c))) for i, (a, b, c) in enumerate(ANSWERS)])
+    found = docs.select("doc_id", text.json_object(answer).alias("o"))
+    return found.select("doc_id", F.get_json_object("o", "$.id").cast("long").alias("id"), F.get_json_object("o", "$.body").alias("body"))
+
+
 @on_full("placeholder_rows", "SELECT case_id, 'skipped' AS status, CASE WHEN number % 3 = 2 THEN 'skipped_title' ELSE 'skipped_content' END AS note FROM f WHERE number % 3 = 2 OR (number % 3 = 0 AND raw_text <> '' AND NOT contains(raw_text, 'the'))")
 def _(f):
     rows = repair.classify(f.withColumnRenamed("is_fund_related", "title_relevant"), ("the",))

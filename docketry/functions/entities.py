@@ -24,6 +24,10 @@ class Lexicon:
     party_prefixes: tuple[str, ...] = ()  # what stands before the party in a body
     title_forms: tuple[tuple[str, str], ...] = ()  # texts before and after a party in a title
     org_types: tuple[tuple[str, str], ...] = ()  # text, type
+    action_marks: tuple[str, ...] = ()  # what stands before the parties of an action in a title
+    actions: tuple[str, ...] = ()  # what stands after them
+    pronouns: tuple[str, ...] = ()  # what may stand before a party and is no part of its name
+    clause_ends: str = "，,。；;（）()"  # what the parties of one action don't reach across
     separators: str = "、，,;；"
     trailing: str = "、，,：:；;（(【[ -"
     longest: int = 60
@@ -39,6 +43,7 @@ def _first(*columns: Column) -> Column:
 
 
 _class = lambda chars: "[" + re.sub(r"([\[\]\\^&-])", r"\\\1", chars) + "]"
+_other_than = lambda chars: "[^" + _class(chars)[1:]
 _flat = lambda c: F.trim(F.regexp_replace(text_or_empty(c), r"\s+", " "))
 
 
@@ -103,6 +108,28 @@ def _party_from_flat(t: Column, words: Lexicon) -> Column:
     return _first(*[_usable(x, words, 80) for x in (*stated, bracket, before, dash)])
 
 
+def action_segments(title: Column, words: Lexicon) -> Column:
+    """The parties of each action that a title tells of, as they stand: texts from a mark to the next action, within one clause."""
+    segment = rf"(?:{words.any_of(words.action_marks)})({_other_than(words.clause_ends)}+?)\s*(?:{words.any_of(words.actions)})"
+    return F.transform(F.regexp_extract_all(text_or_empty(title), F.lit(segment), 1), _flat)
+
+
+def is_compound(title: Column, words: Lexicon) -> Column:
+    """Whether a title tells of two actions or more."""
+    return F.size(action_segments(title, words)) >= 2
+
+
+def parties_of_actions(title: Column, words: Lexicon) -> Column:
+    """The parties of all actions of a title, in order, joined by the first separator; empty where there are none.
+
+    Every segment is split into its parties, and each is judged by itself: one that is dirty, or not of 2 to 160 characters, goes, and
+    the others of its segment stay. A party of two actions stands once.
+    """
+    bare = lambda x: F.regexp_replace(x, rf"^(?:{words.any_of(words.pronouns)})\s*", "")
+    parties = F.transform(F.flatten(F.transform(action_segments(title, words), lambda x: parts_of(x, words))), lambda x: _usable(bare(x), words))
+    return F.array_join(F.array_distinct(F.filter(parties, lambda x: x != "")), words.separators[0])
+
+
 def organisations_in(c: Column, words: Lexicon) -> Column:
     """Names in a text that end with an organisation's suffix, in order: capitalised words, or a run of CJK characters."""
     return F.transform(F.regexp_extract_all(text_or_empty(c), F.lit(_organisation(words)), 1), _flat)
@@ -131,7 +158,10 @@ def authoritative_entity(candidates: list[Column], words: Lexicon) -> Column:
 
 
 def punished_entity(stored: Column, title: Column, body: Column, words: Lexicon) -> Column:
-    """The cascade: what is stored if it is clean, the title's party, an organisation of the title, then of the body."""
+    """The cascade: what is stored if it is clean, the title's party, an organisation of the title, then of the body.
+
+    Titles of several actions are for `authoritative_entity`, to which the caller gives `parties_of_actions` first.
+    """
     return _first(_usable(stored, words), party_from_title(title, words), organisation_from_title(title, words), organisation_from_body(body, F.lit(""), words))
 
 

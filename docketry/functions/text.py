@@ -187,12 +187,54 @@ def is_garbage(c: Column, least: float = 0.5, n: int = 4000) -> Column:
     return (text_or_empty(c) != "") & (readable_share(c, n) < least)
 
 
+#: Strict JSON as to quotes, while NaN and Infinity pass, as in most readers.
+_JSON = {"allowSingleQuotes": "false", "allowBackslashEscapingAnyCharacter": "false"}
+
+
+def _reads_as_object(c: Column) -> Column:
+    """Whether a text begins with a JSON object; what follows the object doesn't count."""
+    return F.from_json(c, "map<string,string>", _JSON).isNotNull()
+
+
+def _balanced_length(c: Column) -> Column:
+    """How many characters of a text that begins with a bracket reach to the one that closes it; brackets within strings don't count."""
+    pieces = F.regexp_extract_all(c, F.lit(r'([\[\]{}"\\]|[^\[\]{}"\\]+)'), 1)
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(False).alias("done"))
+
+    def step(at: Column, piece: Column) -> Column:
+        outside = ~at["quoted"]
+        depth = at["depth"] + F.when(outside & piece.isin("{", "["), 1).when(outside & piece.isin("}", "]"), -1).otherwise(0)
+        quoted = F.when((piece == '"') & ~at["escaped"], outside).otherwise(at["quoted"])
+        escaped = at["quoted"] & (piece == "\\") & ~at["escaped"]
+        after = F.struct((at["n"] + F.length(piece)).alias("n"), depth.alias("depth"), quoted.alias("quoted"), escaped.alias("escaped"), (depth == 0).alias("done"))
+        return F.when(at["done"], at).otherwise(after)
+
+    return F.aggregate(pieces, start, step, lambda at: at["n"])
+
+
 def json_object(c: Column) -> Column:
-    """The object in a model's answer, as JSON text: a fence is stripped, a trailing comma repaired; else null."""
-    bare = F.regexp_replace(F.trim(text_or_empty(c)), r"^```[a-zA-Z]*\s*|\s*```$", "")
-    inner = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
-    attempts = [x for whole in (bare, inner) for x in (whole, F.regexp_replace(whole, r",\s*([}\]])", "$1"))]
-    return F.coalesce(*[F.when(x.startswith("{") & F.try_parse_json(x).isNotNull(), x) for x in attempts])
+    """The first object in a model's answer that can be read, as JSON text; null where there is none.
+
+    From every opening brace in turn the text is tried as it stands, then without commas before a closing bracket; what is read is
+    cut where its brackets are balanced. So an object inside one that is broken is found, and what stands around it, a fence too, goes.
+    All is built-in; a text is tried from its first brace in nearly all cases, and once for each brace before the object otherwise.
+    """
+    text = text_or_empty(c)
+
+    def attempts(text: Column) -> Column:
+        before = F.slice(F.split(text, r"\{"), F.lit(1), F.size(F.split(text, r"\{")) - 1)  # the text before each brace
+        none = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("found"))
+
+        def step(acc: Column, gap: Column) -> Column:
+            at = acc["at"] + F.length(gap) + 1
+            rest = F.substring(text, at, F.length(text))
+            mended = F.regexp_replace(rest, r"(?U),\s*([}\]])", "$1")
+            found = F.when(_reads_as_object(rest), rest).when(_reads_as_object(mended), mended)
+            return F.when(acc["found"].isNotNull(), acc).otherwise(F.struct(at.alias("at"), found.alias("found")))
+
+        return F.aggregate(before, none, step, lambda acc: acc["found"])
+
+    return bound(attempts(text), lambda found: F.when(found.isNotNull(), F.substring(found, F.lit(1), _balanced_length(found))))
 
 
 def percent(part: Column, total: Column) -> Column:

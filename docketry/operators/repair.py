@@ -18,7 +18,7 @@ from ..functions.text import bound, contains_any, document_number, entity_type,
 
 #: Columns that passes may change, and those they look at besides.
 REPAIRED = ("punished_entity", "punished_entities", "summary_entity", "entity_type", "document_number", "punishment_date")
-LOOKED_AT = ("dataset", "status", "status_note", "_titled", "_signed", "_number", "_truth")
+LOOKED_AT = ("dataset", "status", "status_note", "_titled", "_signed", "_number", "_truth", "_compound")
 
 
 @dataclass(frozen=True)
@@ -33,11 +33,14 @@ blank = lambda c: F.trim(text_or_empty(F.col(c))) == ""
 
 
 def facts(rows: DataFrame, words: Lexicon) -> DataFrame:
-    """rows with what their titles and bodies say: _titled, _signed, _number, _truth."""
+    """rows with what their titles and bodies say: _titled, _signed, _number, _truth, and whether the title tells of several actions, _compound.
+
+    _truth is the parties of the title's actions if it has any, else its party, its organisation, or the body's.
+    """
     title, body = F.col("title"), F.col("raw_text")
-    told = rows.withColumns({"_titled": entities.party_from_title(title, words), "_signed": sign_off_date(body), "_number": document_number(title, body)})
+    told = rows.withColumns({"_titled": entities.party_from_title(title, words), "_signed": sign_off_date(body), "_number": document_number(title, body), "_acted": entities.parties_of_actions(title, words), "_compound": entities.is_compound(title, words)})
     return _settled(told).withColumn(
-        "_truth", entities.authoritative_entity([F.col("_titled"), entities.organisation_from_title(title, words), entities.organisation_from_body(body, F.lit(""), words)], words)
+        "_truth", entities.authoritative_entity([F.col("_acted"), F.col("_titled"), entities.organisation_from_title(title, words), entities.organisation_from_body(body, F.lit(""), words)], words)
     )
 
 
@@ -47,6 +50,8 @@ def passes(words: Lexicon, first_dataset: str, mismatch: str = "mismatch") -> li
     titled, truth, dirty = F.col("_titled"), F.col("_truth"), lambda c: entities.is_dirty(c, words)
     truncated = (titled != one) & titled.startswith(text_or_empty(one))
     cleaned = entities.clean_parties(many, words)
+    # A title of several actions also replaces clean parties, unless what is held is longer (full names for the title's short ones).
+    fuller = F.col("_compound") & ~blank("punished_entities") & (F.length(truth) >= F.length(F.trim(many)))
     held = F.when(first, one).otherwise(many)
     fixed = entity_type(F.col("entity_type"))
     return [
@@ -55,7 +60,7 @@ def passes(words: Lexicon, first_dataset: str, mismatch: str = "mismatch") -> li
         Pass("clear_description", "punished_entity", dirty(one) & (truth == ""), F.lit("")),
         Pass("clear_summary_description", "summary_entity", dirty(entity) & (truth == ""), F.lit("")),
         Pass("clean_suffix", "punished_entities", ~blank("punished_entities") & (cleaned != many) & (cleaned != ""), cleaned),
-        Pass("replace_dirty_party", "punished_entities", dirty(many) & (truth != ""), truth),
+        Pass("replace_dirty_party", "punished_entities", (dirty(many) | fuller) & (truth != ""), truth),
         Pass("replace_dirty_entity", "summary_entity", dirty(entity), bound(held, lambda h: F.when(~dirty(h), first_filled(h, truth)).otherwise(first_filled(truth, entity)))),
         Pass("fill_number", "document_number", blank("document_number") & (F.col("_number") != ""), F.col("_number")),
         Pass("fill_date", "punishment_date", (F.col("status") == "done") & blank("punishment_date") & ~text_or_empty(F.col("status_note")).contains(mismatch) & (F.col("_signed") != ""), F.col("_signed")),

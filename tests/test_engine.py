@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from datetime import date, datetime, timedelta
 
@@ -69,6 +70,33 @@ def test_small_scalars(spark):
     assert values(spark, text.json_object, ['```json\n{"a": 1,}\n```', 'so: {"b": [1, 2]} ok', "nothing", None]) == ['{"a": 1}', '{"b": [1, 2]}', None, None]
 
 
+PIECES = st.lists(st.sampled_from(["{", "}", "[", "]", '"', "\\", ",", ":", " ", "\n", "1", "{}", '"a":', '{"b":', '"x}"', "NaN", "😀", "```", "null"]), max_size=14).map("".join)
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(PIECES, min_size=1, max_size=200))
+def test_objects_in_answers_are_those_of_the_driver(answers):
+    spark = test_clip_agrees_with_python.spark
+    found = values(spark, text.json_object, answers)
+    assert [None if o is None else repr(json.loads(o)) for o in found] == [None if (want := retrieve.parse_answer(a)) is None else repr(want) for a in answers]
+
+
+def test_objects_are_found_without_python(spark):
+    df = spark.range(3).select(F.concat(F.lit('{"a": '), F.col("id").cast("string"), F.lit(",}")).alias("t"))
+    plan = df.select(text.json_object(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    answers = ['{"a": "x}\\"{", "b": {"c": [1, {"d": 2}]}} t {"e": 1}', '{"a": 1, "a": 2}', "{'a': 1}", '{"a": 1', "", '{"s": "' + "{" * 20000 + '"}']
+    assert values(spark, text.json_object, answers) == ['{"a": "x}\\"{", "b": {"c": [1, {"d": 2}]}}', '{"a": 1, "a": 2}', None, None, None, answers[-1]]
+
+
+def test_titles_of_several_actions(spark):
+    words = entities.Lexicon(sentence_marks=("经查",), action_marks=("对",), actions=("采取", "出具", "责令"), pronouns=("其", "该"))
+    titles = ["关于对甲公司、乙银行、张三采取责令改正并对丙公司、甲公司出具警示函的决定", "关于对张西湖采取措施", "对该丁公司责令改正", "对经查某某、乙银行采取措施", "对甲公司，乙采取措施", "通知", "", None]
+    assert values(spark, lambda c: entities.parties_of_actions(c, words), titles) == ["甲公司、乙银行、张三、丙公司", "张西湖", "丁公司", "乙银行", "", "", "", ""]
+    assert values(spark, lambda c: entities.is_compound(c, words), titles) == [True, *[False] * 7]
+    assert values(spark, lambda c: entities.parties_of_actions(c, entities.Lexicon()), titles[:1]) == [""]
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.text(alphabet="ab \n\t…x", max_size=30), min_size=1, max_size=8))
 def test_clip_agrees_with_python(texts):
