@@ -313,6 +313,48 @@ def _(f):
     return _bundle(f, {"violation": taxonomy.canonical(F.col("violation_type"), TAGS)})
 
 
+#: All parts of the analysis in SQL: what a row counts for, then the counts, then the first of each.
+_PARTS = """, laws(raw, law) AS (VALUES ('《Securities Act》第一条、第二条', 'Securities Act'), ('《Fund Act》；local rules', 'Fund Act'), ('《Fund Act》；local rules', 'local rules')
+), long(metric, kind, value, date, entity_type, k1, k2, k3) AS (
+    SELECT 'total', '', '', date, entity_type, 0, '', '' FROM f UNION ALL SELECT 'dataset', '', dataset, date, entity_type, 0, '', '' FROM f UNION ALL SELECT 'status', '', status, date, entity_type, 0, '', '' FROM f
+    UNION ALL SELECT 'bureau', '', bureau, date, entity_type, 0, '', '' FROM f WHERE bureau <> '' UNION ALL SELECT 'month', '', date[1:7], date, entity_type, 0, '', '' FROM f WHERE date <> '' UNION ALL SELECT 'year', '', date[1:4], date, entity_type, 0, '', '' FROM f WHERE date <> ''
+    UNION ALL SELECT 'violation', '', tag, date, entity_type, 0, '', '' FROM f JOIN t ON violation_type = raw UNION ALL SELECT 'violation_by_kind', entity_type, tag, date, entity_type, 0, '', '' FROM f JOIN t ON violation_type = raw WHERE entity_type <> ''
+    UNION ALL SELECT 'punishment', '', punishment, date, entity_type, 0, '', '' FROM f WHERE punishment <> '' UNION ALL SELECT 'punishment_by_kind', entity_type, punishment, date, entity_type, 0, '', '' FROM f WHERE punishment <> '' AND entity_type <> ''
+    UNION ALL SELECT 'category', '', CASE punishment WHEN 'fined 5000' THEN 'money' WHEN 'barred for a year' THEN 'ban' ELSE 'other' END, date, entity_type, 0, '', '' FROM f
+    UNION ALL SELECT 'law', '', law, date, entity_type, 0, '', '' FROM f JOIN laws ON legal_basis = laws.raw UNION ALL SELECT 'typical', tag, case_id, date, entity_type, length(violation_summary), date, case_id FROM f JOIN t ON violation_type = raw
+), counted AS (
+    SELECT metric, kind, value, count(*) AS cases, count(*) FILTER (entity_type = 'org') AS orgs, count(*) FILTER (entity_type = 'person') AS persons, min(nullif(date, '')) AS first, max(nullif(date, '')) AS last,
+        row_number() OVER (PARTITION BY metric, kind ORDER BY max(k1) DESC, max(k2) DESC, max(k3) DESC, count(*) DESC, value) AS rank FROM long GROUP BY metric, kind, value
+), bundled AS (
+    SELECT * REPLACE (CASE WHEN metric IN ('bureau', 'violation_by_kind', 'punishment', 'punishment_by_kind', 'law', 'typical') THEN rank END AS rank) FROM counted
+    WHERE NOT (metric = 'bureau' AND rank > 3) AND NOT (metric IN ('punishment', 'punishment_by_kind', 'law', 'typical') AND rank > 2) AND NOT (metric = 'violation_by_kind' AND rank > 4))"""
+
+
+def _bundled(f: DataFrame) -> DataFrame:
+    tags, kind = taxonomy.canonical(F.col("violation_type"), TAGS), F.array(F.nullif(F.col("entity_type"), F.lit("")))
+    filled = lambda c: F.array(F.nullif(c, F.lit("")))
+    longest = F.concat(F.lpad(F.length(text.text_or_empty(F.col("violation_summary"))), 10, "0"), F.rpad("date", 10, " "), F.col("case_id"))
+    metrics = {
+        "total": stats.Metric(F.array(F.lit(""))), "dataset": stats.Metric(F.array("dataset")), "status": stats.Metric(F.array("status")), "bureau": stats.Metric(filled(F.col("bureau")), n=3),
+        "month": stats.Metric(filled(F.substring("date", 1, 7))), "year": stats.Metric(filled(F.substring("date", 1, 4))), "violation": stats.Metric(tags), "violation_by_kind": stats.Metric(tags, kind, n=4),
+        "punishment": stats.Metric(filled(F.col("punishment")), n=2), "punishment_by_kind": stats.Metric(filled(F.col("punishment")), kind, n=2), "category": stats.Metric(F.array(taxonomy.category(F.col("punishment"), [("money", ("fined",)), ("ban", ("barred", "ban"))]))),
+        "law": stats.Metric(stats.cited_laws(F.col("legal_basis")), n=2), "typical": stats.Metric(F.array("case_id"), tags, n=2, by=longest),
+    }
+    return stats.bundle(f, metrics, F.col("entity_type") == "org", F.col("entity_type") == "person")
+
+
+@on_full("analysis_in_one_scan", f"{_PARTS} SELECT * FROM bundled")
+def _(f):
+    return _bundled(f)
+
+
+@on_full("analysis_payloads", f"{_PARTS} SELECT metric, count(*) AS items, sum(cases) AS cases, string_agg(value, ',' ORDER BY kind, rank NULLS FIRST, value) AS listed FROM bundled GROUP BY metric")
+def _(f):
+    rows = F.from_json("payload", "array<struct<kind:string,rank:int,value:string,cases:long>>")
+    made = stats.bundle_json(_bundled(f)).withColumn("r", rows)
+    return made.select("metric", "items", F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + x["cases"]).alias("cases"), F.array_join(F.transform("r", lambda x: x["value"]), ",").alias("listed"))
+
+
 @on_full("merged_job_results", "SELECT count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped FROM f")
 def _(f):
     each = f.groupBy("dataset").agg(*[F.when(F.count_if(F.col("status") == s) > 0, F.count_if(F.col("status") == s)).alias(s) for s in ("done", "failed", "skipped")])

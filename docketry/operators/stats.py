@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -110,11 +111,81 @@ def bridge(rows: DataFrame, tags: Column) -> DataFrame:
     return rows.select("dataset", "case_id", F.explode(tags).alias("violation")).distinct()
 
 
+def cited_laws(c: Column) -> Column:
+    """Laws cited in a multi-value field, an array: the title in 《》, else the fragment unless it is an article alone."""
+
+    def law(item: Column) -> Column:
+        title = F.regexp_extract(item, "《([^》]+)》", 1)
+        return F.when(title != "", title).when(~item.rlike("^第[一二三四五六七八九十百千零〇]+条"), item)
+
+    return F.array_compact(F.transform(split_multi(c), law))
+
+
 def citations(rows: DataFrame, c: Column) -> DataFrame:
-    """Laws cited in a multi-value field: the title in 《》, else the fragment unless it is an article alone."""
-    title = F.regexp_extract(F.col("item"), "《([^》]+)》", 1)
-    law = F.when(title != "", title).when(F.col("item").rlike("^第[一二三四五六七八九十百千零〇]+条"), F.lit(None)).otherwise(F.col("item"))
-    return rows.select(F.explode(split_multi(c)).alias("item")).select(law.alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("cases"))
+    """Cases by cited law (`cited_laws`); a case counts once for each citation."""
+    return rows.select(F.explode(cited_laws(c)).alias("value")).groupBy("value").agg(F.count("*").alias("cases"))
+
+
+@dataclass(frozen=True)
+class Metric:
+    """One table of a bundle: the values of a row (an array), under each of its kinds if `kinds` (an array) is given, whole or the n first of each kind.
+
+    They are ordered by cases, ties by value, or by the greatest text `by`, ties by cases and value: the longest or newest first. A value
+    that comes with several texts `by` is a row for each, so `by` is for values that are one row's own.
+    A row may have no values or kinds: an empty array, null, or null elements. A limit beyond 1000 is right but not applied in the tasks first.
+    """
+
+    values: Column
+    kinds: Column | None = None
+    n: int = 0
+    by: Column | None = None
+
+
+def bundle(rows: DataFrame, metrics: dict[str, Metric], org: Column, person: Column, date: str = "date") -> DataFrame:
+    """All tables of an analysis from one scan: metric, kind, value, cases, orgs, persons, first, last (YYYY-MM-DD), rank.
+
+    A row of the result is one value of a metric (and kind): how many cases, how many of them of organisations and of persons, and their first
+    and last date (null where no case has a date that exists). rank is null in whole metrics. A case counts once for each element of its array; null kinds are no rows.
+
+    The scan's rows are exploded into (metric, kind, value) and counted before and after one shuffle; that shuffle spreads a frequent value by
+    its counts alone. Ranking takes the n first of each metric and kind in every task before they meet, so the second shuffle has
+    at most the greatest n rows a task, metric and kind; values of whole metrics are partitions of their own there, and never sorted together.
+    """
+    if not any(m.n for m in metrics.values()):
+        raise ValueError("no metric has a limit: count them by `analysis`")
+    none = F.array().cast("array<struct<metric:string,kind:string,value:string,by:string>>")
+
+    def long_of(name: str, m: Metric) -> Column:
+        by = F.lit(None).cast("string") if m.by is None else text_or_empty(m.by)
+        of_kind = lambda k: F.transform(m.values, lambda v: F.struct(F.lit(name).alias("metric"), k.alias("kind"), v.cast("string").alias("value"), by.alias("by")))
+        return F.coalesce(of_kind(F.lit("")) if m.kinds is None else F.flatten(F.transform(m.kinds, of_kind)), none)
+
+    pairs = [long_of(name, m) for name, m in metrics.items()]
+    told = rows.select(F.col(date).try_cast("date").alias("_date"), F.coalesce(org, F.lit(False)).alias("_org"), F.coalesce(person, F.lit(False)).alias("_person"), F.explode(F.concat(*pairs)).alias("m"))
+    long = told.select("_date", "_org", "_person", "m.*").filter("value is not null and kind is not null")
+    # Every aggregate is a number or a day, so that tasks hash and don't sort.
+    counts = long.groupBy("metric", "kind", "value", "by").agg(F.count("*").alias("cases"), F.count_if("_org").alias("orgs"), F.count_if("_person").alias("persons"), F.min("_date").alias("first"), F.max("_date").alias("last"))
+    limits = {name: m.n for name, m in metrics.items() if m.n}
+    whole = ~F.col("metric").isin(*limits)
+    order = Window.partitionBy("metric", "kind", F.when(whole, F.col("value"))).orderBy(F.desc("by"), F.desc("cases"), F.asc("value"))
+    first = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(limits.values()))
+    cut = F.coalesce(*[F.when(F.col("metric") == name, n) for name, n in limits.items()])
+    kept = first.filter(whole | (F.col("rank") <= cut))
+    return kept.select("metric", "kind", "value", "cases", "orgs", "persons", *[F.col(c).cast("string").alias(c) for c in ("first", "last")], F.when(~whole, F.col("rank")).alias("rank"))
+
+
+def bundle_json(bundled: DataFrame, most: int = 500) -> DataFrame:
+    """metric, items, payload: the tables of a bundle as JSON arrays, by kind and rank, or by value in whole metrics.
+
+    A payload is one value, so a metric of more than `most` rows is an error and not a cut table. No task gathers more than that: each
+    hands on most + 1 rows a metric, which is enough to know. Whole metrics are meant to be calendars and fixed lists.
+    """
+    order = Window.partitionBy("metric").orderBy("kind", F.asc_nulls_first("rank"), "value")
+    numbered = bundled.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most + 1)
+    row = F.struct("_n", F.struct("kind", "rank", "value", "cases", "orgs", "persons", "first", "last").alias("row"))
+    gathered = numbered.groupBy("metric").agg(F.count("*").alias("items"), F.array_sort(F.collect_list(row)).alias("rows"))
+    payload = F.to_json(F.transform("rows", lambda r: r["row"]))
+    return gathered.select("metric", "items", F.when(F.col("items") <= most, payload).otherwise(F.raise_error(F.concat(F.lit("too many rows for a payload: "), "metric"))).alias("payload"))
 
 
 def overview(rows: DataFrame, dimensions: list[str]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from docketry.operators import retrieve, stats
@@ -53,3 +56,46 @@ def test_counters_of_rules_without_a_hit_and_many_keys(spark):
     text = {r.rule: r.samples for r in stats.quality_counters(df, {"all": F.lit(True)}, "s", 3).collect()}
     assert text == {"all": ["0", "1", "10"]}
     assert [(r.cases, r.samples) for r in stats.quality_counters(df.limit(0), {"all": F.lit(True)}, "id").collect()] == [(0, [])]
+
+
+def analysed(spark, made, limit=2):
+    rows = spark.createDataFrame(made, "case_id string, kind string, tags array<string>, date string, note string")
+    metrics = {
+        "tag": stats.Metric(F.col("tags"), n=limit), "all_tags": stats.Metric(F.col("tags")), "by_kind": stats.Metric(F.col("tags"), F.array("kind"), n=1),
+        "longest": stats.Metric(F.array("case_id"), F.col("tags"), n=1, by=F.concat(F.lpad(F.length("note"), 5, "0"), F.col("case_id"))),
+    }
+    return stats.bundle(rows, metrics, F.col("kind") == "org", F.col("kind") == "person")
+
+
+MADE = [("1", "org", ["a", "b"], "2024-01-02", "xx"), ("2", "person", ["b"], "", "xxx"), ("3", None, ["c", None], "2023-05-06", None), ("4", "org", [], "2022-01-01", "x"), ("5", "org", None, None, "x"), ("6", "org", ["a"], "2024-02-02", "xx")]
+
+
+def test_bundle_has_all_tables(spark):
+    got = {(r.metric, r.kind, r["rank"], r.value): (r.cases, r.orgs, r.persons, r["first"], r["last"]) for r in analysed(spark, MADE).collect()}
+    assert got == {
+        ("tag", "", 1, "a"): (2, 2, 0, "2024-01-02", "2024-02-02"), ("tag", "", 2, "b"): (2, 1, 1, "2024-01-02", "2024-01-02"),
+        ("all_tags", "", None, "a"): (2, 2, 0, "2024-01-02", "2024-02-02"), ("all_tags", "", None, "b"): (2, 1, 1, "2024-01-02", "2024-01-02"), ("all_tags", "", None, "c"): (1, 0, 0, "2023-05-06", "2023-05-06"),
+        ("by_kind", "org", 1, "a"): (2, 2, 0, "2024-01-02", "2024-02-02"), ("by_kind", "person", 1, "b"): (1, 0, 1, None, None),
+        ("longest", "a", 1, "6"): (1, 1, 0, "2024-02-02", "2024-02-02"), ("longest", "b", 1, "2"): (1, 0, 1, None, None), ("longest", "c", 1, "3"): (1, 0, 0, "2023-05-06", "2023-05-06"),
+    }
+    assert analysed(spark, MADE[:0]).count() == 0
+
+
+def test_bundle_reads_rows_once_and_ranks_in_tasks_first(spark, tmp_path):
+    spark.createDataFrame(MADE, "case_id string, kind string, tags array<string>, date string, note string").write.parquet(str(tmp_path / "m"))
+    rows = spark.read.parquet(str(tmp_path / "m"))
+    df = stats.bundle(rows, {"tag": stats.Metric(F.col("tags"), n=2), "all": stats.Metric(F.col("tags"))}, F.lit(True), F.lit(False))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2 and plan.count("WindowGroupLimit") >= 1 and "SortAggregate" not in plan
+    assert plan.index("WindowGroupLimit") < plan.index("HashAggregate")  # printed from the result down
+
+
+def test_payloads_are_whole_or_an_error(spark):
+    bundled = analysed(spark, MADE)
+    got = {r.metric: (r["items"], json.loads(r.payload)) for r in stats.bundle_json(bundled).collect()}
+    assert {m: n for m, (n, _) in got.items()} == {"tag": 2, "all_tags": 3, "by_kind": 2, "longest": 3}
+    assert [(x["value"], x["rank"], x["cases"]) for x in got["tag"][1]] == [("a", 1, 2), ("b", 2, 2)]
+    with pytest.raises(Exception, match="too many rows for a payload"):
+        stats.bundle_json(bundled, 2).collect()
+    with pytest.raises(ValueError, match="no metric has a limit"):
+        stats.bundle(spark.range(1), {"x": stats.Metric(F.array("id"))}, F.lit(True), F.lit(True))
