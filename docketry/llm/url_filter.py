@@ -11,8 +11,9 @@ a host's to the share of all, so templates without any label are judged by these
 
 Labels are what the rules say about the urls they fit, or any boolean column of the caller's (true: bad).
 
-Defined cases: a null url, or one without `://`, has an empty host and path; paths of any depth are kept whole (levels
-beyond STEPPED are generalised in one step, each below its own literal prefix, and only merge as parts of suffixes);
+A level at which the templates of no host differ can't change, so only the others are walked: a very deep path alone costs nothing.
+
+Defined cases: a null url, or one without `://`, has an empty host and path; paths of any depth are kept whole and judged by the same rule at every level;
 rows with equal ids or urls are judged each for itself; ties between equally large branches go to the lesser name; an
 empty table gives an empty result; other columns are ignored.
 """
@@ -26,8 +27,6 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialise
 
-#: Levels that are generalised and merged one after another; deeper ones are generalised together.
-STEPPED = 8
 #: A node with more different segments than this, or with this share of different ones, is variable.
 MAX_CHILDREN, VARIABLE_SHARE, VARIABLE_LEAST = 24, 0.5, 12
 #: Divergence (in nats) of two branches' suffixes that is tolerated at any size, and what chance adds to it in standard deviations.
@@ -81,9 +80,9 @@ def typed(segment: Column) -> Column:
     return F.concat(kind, ending)
 
 
-def _prefix(level: Column | int) -> Column:
+def _prefix(level: int) -> Column:
     """The segments above a level, which counts from 1."""
-    return F.concat_ws("/", F.slice("template", F.lit(1), F.lit(level) - 1 if isinstance(level, int) else level - 1))
+    return F.concat_ws("/", F.slice("template", 1, level - 1))
 
 
 def _wide(children: DataFrame) -> DataFrame:
@@ -92,21 +91,24 @@ def _wide(children: DataFrame) -> DataFrame:
     return kinds.filter((F.col("kinds") > MAX_CHILDREN) | ((F.col("n") >= VARIABLE_LEAST) & (F.col("kinds") > VARIABLE_SHARE * F.col("n")))).select("host", "_prefix")
 
 
+def varied_levels(nodes: DataFrame) -> list[int]:
+    """The levels, from the top, at which two templates of one host differ; a node with two branches lies at one of them.
+
+    The driver gets the levels alone, at most as many as the deepest such path has segments.
+    """
+    kinds = nodes.select("host", F.posexplode("template").alias("_level", "_segment")).distinct().groupBy("host", "_level").count().filter("count > 1")
+    return sorted(r._level + 1 for r in kinds.select("_level").distinct().collect())
+
+
 def generalise(nodes: DataFrame) -> DataFrame:
     """nodes (host, shape, template, n) with `*` for the literal segments of variable nodes."""
     starred = lambda at: F.transform("template", lambda x, i: F.when(at(i) & ~x.startswith("<"), F.lit("*")).otherwise(x))
-    depth = nodes.agg(F.max(F.size("template"))).first()[0] or 0
-    for level in range(1, min(depth, STEPPED) + 1):
+    for level in varied_levels(nodes):
         # Read twice below, so it is written: the plan would double with every level.
         placed = materialise(nodes.withColumn("_prefix", _prefix(level)).withColumn("_segment", F.try_element_at("template", F.lit(level))), "url-level")
         wide = _wide(placed.filter("_segment is not null")).withColumn("_wide", F.lit(True))
         here = lambda i, level=level: i == level - 1
         nodes = placed.join(wide, ["host", "_prefix"], "left").withColumn("template", F.when(F.col("_wide") & F.col("_segment").isNotNull(), starred(here)).otherwise(F.col("template"))).drop("_prefix", "_segment", "_wide")
-    if depth > STEPPED:
-        deep = nodes.filter(F.size("template") > STEPPED).select("host", "shape", "template", "n", F.explode(F.sequence(F.lit(STEPPED + 1), F.size("template"))).alias("_level"))
-        deep = deep.withColumn("_prefix", _prefix(F.col("_level"))).withColumn("_segment", F.element_at("template", F.col("_level")))
-        hit = deep.join(_wide(deep), ["host", "_prefix"]).groupBy("host", "shape").agg(F.collect_set("_level").alias("_levels"))
-        nodes = nodes.join(hit, ["host", "shape"], "left").withColumn("template", F.when(F.col("_levels").isNotNull(), starred(lambda i: F.array_contains("_levels", i + 1))).otherwise(F.col("template"))).drop("_levels")
     return nodes
 
 
@@ -153,8 +155,7 @@ def merge_branches(parts: DataFrame) -> DataFrame:
 
 def merge_levels(nodes: DataFrame) -> DataFrame:
     """nodes whose templates name merged branches by their least member, deepest level first."""
-    depth = nodes.agg(F.max(F.size("template"))).first()[0] or 0
-    for level in range(min(depth - 1, STEPPED), 0, -1):
+    for level in reversed(varied_levels(nodes)):
         placed = nodes.withColumn("parent", _prefix(level)).withColumn("branch", F.try_element_at("template", F.lit(level)))
         placed = materialise(placed.withColumn("suffix", F.when(F.size("template") > level, F.concat_ws("/", F.expr(f"slice(template, {level + 1}, size(template))")))), "url-level")
         # A branch that ends here is a page of its own: only what lies below branches is compared.

@@ -287,11 +287,7 @@ def brute_templates(counts, labels):
         return out
 
     for level in range(depth):
-        frozen = {k: list(t) for k, t in now.items()} if level >= url_filter.STEPPED else now
-        if level > url_filter.STEPPED:
-            frozen = deep
-        deep = frozen
-        for kids in children(level, frozen).values():
+        for kids in children(level, now).values():
             n = sum(counts[k] for own in kids.values() for k in own)
             if len(kids) > url_filter.MAX_CHILDREN or (n >= url_filter.VARIABLE_LEAST and len(kids) > url_filter.VARIABLE_SHARE * n):
                 for own in kids.values():
@@ -299,7 +295,7 @@ def brute_templates(counts, labels):
                         if not now[k][level].startswith("<"):
                             now[k][level] = "*"
     depth = max((len(t) for t in now.values()), default=0)
-    for level in range(min(depth - 1, url_filter.STEPPED) - 1, -1, -1):
+    for level in range(depth - 2, -1, -1):
         for kids in children(level, now).values():
             profile = {}
             for name, own in kids.items():
