@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import text_or_empty
-from .merge import KEYS, delete, fill, upsert
+from .merge import KEYS, delete, upsert
 
 FINISHED, ACTIVE = ("done", "failed", "cancelled"), ("pending", "running")
 
@@ -57,10 +57,13 @@ def running(table: DataFrame) -> DataFrame:
 
 
 def progress(table: DataFrame, changes: DataFrame) -> DataFrame:
-    """Tasks with the changes' columns (by id) where these are not null."""
-    for column in [c for c in changes.columns if c != "id"]:
-        table = fill(table, changes.filter(F.col(column).isNotNull()), column, only_if_empty=False, keys=("id",))
-    return table
+    """Tasks with the changes' columns (by id) where these are not null, in one join; of an id's several values the greatest counts."""
+    columns = [c for c in changes.columns if c != "id"]
+    if not columns:
+        return table
+    new = changes.groupBy("id").agg(*[F.max(c).alias(f"_new_{c}") for c in columns])
+    joined = table.join(new, "id", "left")
+    return joined.withColumns({c: F.coalesce(f"_new_{c}", c) for c in columns}).drop(*[f"_new_{c}" for c in columns])
 
 
 def finish(table: DataFrame, ids: DataFrame, status: str, at: str) -> DataFrame:

@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from docketry.operators import retrieve, stats
+from docketry.operators import retrieve, state, stats
 
 ROWS = "dataset string, case_id string, status string, date string, title string, punished_entity string, violation_type string, source_url string"
 
@@ -99,3 +99,12 @@ def test_payloads_are_whole_or_an_error(spark):
         stats.bundle_json(bundled, 2).collect()
     with pytest.raises(ValueError, match="no metric has a limit"):
         stats.bundle(spark.range(1), {"x": stats.Metric(F.array("id"))}, F.lit(True), F.lit(True))
+
+
+def test_progress_is_one_join(spark):
+    tasks = spark.createDataFrame([("a", 1, "running"), ("b", 2, "pending"), ("c", None, None)], "id string, processed int, status string")
+    changes = spark.createDataFrame([("a", 5, None), ("a", 7, None), ("c", None, "done"), ("d", 1, "done")], "id string, processed int, status string")
+    df = state.progress(tasks, changes)
+    assert sorted(tuple(r) for r in df.collect()) == [("a", 7, "running"), ("b", 2, "pending"), ("c", None, "done")]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert state.progress(tasks, changes.select("id")).count() == 3
