@@ -23,20 +23,19 @@ texts get equal scores; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import id_bucket, in_batches, materialise, slices
+from .common import BATCH_BYTES, id_bucket, in_batches, materialise, slices
 
 #: The end of a text, which no word equals.
-END = b""
+END = ""
 #: Most words that every task knows; places of words are kept in two bytes.
 HEAD = 50_000
 #: (up to rank, words of a class): frequent words are in small classes, which keeps the mean cost of a token low.
@@ -49,35 +48,42 @@ LEAST_BATCH, BATCH, STEPS = 256, 4096, 128
 ROUNDS, BUCKET_TOKENS, MOST_BUCKETS = 4, 4_000_000, 4096
 #: Rows of a block of parameters when buckets are averaged.
 BLOCK = 2048
-#: Words that a task counts before it hands counts on.
+#: Words that a task counts before it hands counts on; as many more may wait to be added to them.
 COUNTED = 500_000
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of a batch of texts, each token's number among them, and where each text begins; a text's last token is END."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null("")))
+    # The blank added makes an empty last word of each text; the empty text is one empty word as it is.
+    split = pc.ascii_split_whitespace(pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(texts, " ", "")))
+    coded = split.flatten().dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), split.offsets.to_numpy()[:-1].astype("int64")
 
 
 def word_counts(df: DataFrame) -> DataFrame:
     """word, c (occurrences in training rows), n (in all rows), from text and held_out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {False: Counter(), True: Counter()}
-
-        def out() -> pa.RecordBatch:
-            held, seen = [counts[k] for k in (True, False)]
-            words = list(seen.keys() | held.keys())
-            columns = [pa.array([w.decode() for w in words], pa.string()), pa.array([seen[w] for w in words], pa.int64()), pa.array([seen[w] + held[w] for w in words], pa.int64())]
-            for c in counts.values():
-                c.clear()
-            return pa.record_batch(columns, ["word", "c", "n"])
-
-        for batch in slices(batches, "text"):
-            for text, held in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist()):
-                counts[held].update(words_of(text))
-                counts[held][END] += 1
-            if len(counts[False]) + len(counts[True]) > COUNTED:
-                yield out()
-        yield out()
+        parts, waiting = [], 0
+
+        def added() -> pa.Table:
+            found = pa.Table.from_batches(parts).group_by("word", use_threads=False).aggregate([("c", "sum"), ("n", "sum")])
+            return found.select(["word", "c_sum", "n_sum"]).rename_columns(["word", "c", "n"]).combine_chunks()
+
+        for batch in slices(batches, "text", BATCH_BYTES):
+            words, codes, starts = tokens_of(batch.column("text"))
+            seen = ~batch.column("held_out").to_numpy(zero_copy_only=False).repeat(np.diff(np.append(starts, len(codes))))
+            parts.append(pa.record_batch([words, pa.array(np.bincount(codes[seen], minlength=len(words))), pa.array(np.bincount(codes, minlength=len(words)))], ["word", "c", "n"]))
+            waiting += len(words)
+            if waiting > COUNTED:
+                table = added()
+                parts, waiting = table.to_batches(), 0
+                if table.num_rows > COUNTED:
+                    yield from parts
+                    parts = []
+        if parts:
+            yield from added().to_batches()
 
     return in_batches(df.select("text", "held_out")).mapInArrow(run, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
@@ -86,7 +92,7 @@ def word_counts(df: DataFrame) -> DataFrame:
 class Vocabulary:
     """What every task knows: the head's words with counts, places and classes, and the mass of all others."""
 
-    index: dict[bytes, int]
+    words: pa.Array
     c: np.ndarray  # occurrences in training, by the head's places
     place: np.ndarray  # rank among words with occurrences in training, or the rare place after all of these
     mass: np.ndarray  # smoothed mass by place, the rare one's last
@@ -109,9 +115,13 @@ class Vocabulary:
     def rare(self) -> int:
         return len(self.mass) - 1
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
+    @property
+    def end(self) -> int:
+        return int(self.places(self.ids(pa.array([END])))[0])
+
+    def ids(self, words: pa.Array) -> np.ndarray:
         """Numbers in the head, -1 for others."""
-        return np.fromiter(map(self.index.get, words, repeat(-1)), "int64", len(words))
+        return pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype("int64")
 
     def places(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids < 0, self.rare, self.place[ids])
@@ -147,7 +157,7 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> tuple[Vocabulary, Column]
     known = sum(map(modelled, rows))  # these come first
     place = np.minimum(np.arange(len(rows)), known)
     mass = np.append(c[:known] + 0.5, max(0.5, total.tokens + 0.5 * (total.kinds + 1) - (c[:known] + 0.5).sum()))
-    return Vocabulary({r.word.encode(): i for i, r in enumerate(rows)}, c, place, mass, total.tokens, total.kinds), held
+    return Vocabulary(pa.array([r.word for r in rows], pa.string()), c, place, mass, total.tokens, total.kinds), held
 
 
 @dataclass
@@ -174,12 +184,32 @@ class LogBilinear:
             out += (self.r * self.w[i]).take(context[:, i], axis=0)
         return out
 
-    def log_probabilities(self, context: np.ndarray, target: np.ndarray, v: Vocabulary) -> np.ndarray:
-        """Natural log probability of each target place: that of its class, and in it; in products small enough for a core's cache."""
+    def factors(self) -> list[np.ndarray] | None:
+        """For each place of the context, by word and class, what the word multiplies the class's exponential by; None where these may overflow."""
+        scores = [(self.r * w) @ self.k[:, :-1].T for w in self.w]
+        scores[0] += self.k[:, -1]
+        if sum(max(s.max(), -s.min()) for s in scores) > 75:
+            return None
+        return [np.exp(s, out=s) for s in scores]
+
+    def log_probabilities(self, context: np.ndarray, target: np.ndarray, v: Vocabulary, factors: list[np.ndarray] | None = None) -> np.ndarray:
+        """Natural log probability of each target place: that of its class, and in it; in products small enough for a core's cache.
+
+        With this model's factors a class's exponential is their product, and no exponential is computed for it.
+        """
         out, h, own = np.empty(len(target)), np.ones((len(target), WIDTH + 1), "float32"), v.of[target]
         h[:, :-1] = self.hidden(context)
         reach = float(np.sqrt(np.einsum("ij,ij->i", h[:, :-1], h[:, :-1]).max(initial=0.0)))  # the longest hidden vector
-        self._add_log_softmax(out, h, np.arange(len(target)), own, self.k, reach, fresh=True)
+        if factors:
+            ones = np.ones(len(self.k), "float32")
+            for start in range(0, len(target), 512):
+                at = slice(start, start + 512)
+                s = factors[0].take(context[at, 0], axis=0)
+                for i in range(1, CONTEXT):
+                    s *= factors[i].take(context[at, i], axis=0)
+                out[at] = np.log(s[np.arange(len(s)), own[at]] / (s @ ones))
+        else:
+            self._add_log_softmax(out, h, np.arange(len(target)), own, self.k, reach, fresh=True)
         order = np.argsort(own.astype("int16"), kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1) if len(order) else []:
             first, stop = v.starts[own[part[0]]], v.stops[own[part[0]]]
@@ -317,7 +347,7 @@ def train(coded: DataFrame, shared, v: Vocabulary) -> LogBilinear:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, number=number) -> Iterator[pa.RecordBatch]:
             own, begun, trainer, bucket = shared.value, sent.value, None, None
-            end = int(own.places(own.ids([END]))[0])
+            end = own.end
 
             def changes() -> Iterator[pa.RecordBatch]:
                 for which, (array, old, met) in enumerate(zip(trainer.model.arrays(), begun.arrays(), trainer.met)):
@@ -382,21 +412,20 @@ def encoded(df: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         share = np.log10(v.c + 0.5)
-        for batch in slices(batches, "text"):
-            words = [words_of(t) for t in batch.column("text").to_pylist()]
-            sizes = np.array([len(ws) + 1 for ws in words], "int64")
-            starts = np.cumsum(sizes) - sizes
-            ids = v.ids([w for ws in words for w in (*ws, END)])
+        for batch in slices(batches, "text", BATCH_BYTES):
+            words, codes, starts = tokens_of(batch.column("text"))
+            ends = np.append(starts, len(codes))
+            ids = v.ids(words)  # this and the next are by distinct word
             places, head = v.places(ids), ids >= 0
-            add = lambda x: np.add.reduceat(x, starts)
-            rare = []
-            for k, ws in enumerate(words):
-                missing = np.flatnonzero(~head[starts[k] : starts[k] + len(ws)])
-                rare.append(list(Counter(ws[i].decode() for i in missing).items()))
-            coded = places.astype("<u2").tobytes()
+            own = np.where(head, share[ids], 0.0)
+            add = lambda x: pa.array(np.add.reduceat(x[codes], starts))
+            missing = np.flatnonzero(~head[codes])
+            found, times = np.unique(np.searchsorted(starts, missing, "right") * len(words) + codes[missing], return_counts=True)
+            text, word = found // len(words) - 1, found % len(words)
+            rare = pa.MapArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(ends))), pa.int32()), words.take(pa.array(word)), pa.array(times))
+            coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((2 * ends).astype("int32")), pa.py_buffer(places.astype("<u2")[codes])])
             columns = [batch.column(c) for c in ("_row", "doc_id", "held_out", "part")]
-            columns += [pa.array(sizes), pa.array(add((head & (v.c[ids] > 0)).astype("int64"))), pa.array(add(np.where(head, share[ids], 0.0))), pa.array(add(np.where(places == v.rare, np.where(head, share[ids], 0.0), 0.0)))]
-            columns += [pa.array(rare, pa.map_(pa.string(), pa.int64())), pa.array([coded[2 * s : 2 * (s + n)] for s, n in zip(starts.tolist(), sizes.tolist())], pa.binary())]
+            columns += [pa.array(np.diff(ends)), add((head & (v.c[ids] > 0)).astype("int64")), add(own), add(np.where(places == v.rare, own, 0.0)), rare, coded]
             yield pa.record_batch(columns, ["_row", "doc_id", "held_out", "part", "n_tokens", "n_known", "own", "own_rare", "rare", "places"])
 
     return in_batches(df).mapInArrow(run, "_row long, doc_id long, held_out boolean, part long, n_tokens long, n_known long, own double, own_rare double, rare map<string,long>, places binary")
@@ -407,11 +436,12 @@ def modelled(coded: DataFrame, shared, learned) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, model = shared.value, learned.value
-        end, mass = int(v.places(v.ids([END]))[0]), math.log10(v.mass[-1])
-        for batch in slices(batches, "places"):
+        factors = model.factors()  # two tables of words by classes, so texts come in small slices
+        end, mass = v.end, math.log10(v.mass[-1])
+        for batch in slices(batches, "places", 1 << 18):
             if batch.num_rows:
                 places, starts = _texts(batch)
-                logs = model.log_probabilities(contexts(places, starts, end), places, v) / math.log(10) - mass * (places == v.rare)
+                logs = model.log_probabilities(contexts(places, starts, end), places, v, factors) / math.log(10) - mass * (places == v.rare)
                 yield pa.record_batch([*[batch.column(c) for c in KEPT], pa.array(np.add.reduceat(logs, starts))], [*KEPT, "learned"])
 
     return in_batches(coded.select(*KEPT, "places")).mapInArrow(run, "_row long, doc_id long, held_out boolean, n_tokens long, n_known long, own double, own_rare double, learned double")
@@ -432,10 +462,12 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: in
     coded = materialise(encoded(rows, shared), "coded-texts")
     model = train(coded.filter("not held_out").select("doc_id", "part", "places"), shared, known)
     scored = modelled(coded, shared, context.broadcast(model))
-    tail = counts.filter(~held).select("word", "c")
+    # A word that occurs once in all rows needs no look-up: it was seen in training if its own row was.
+    tail = counts.filter(~held & (F.col("n") > 1)).select("word", "c")
     # Rare words only: none occurs as often as the words that are held, so none is a hot key.
-    rare = coded.select("_row", F.explode("rare").alias("word", "times")).join(tail, "word", "left")
-    rare = rare.groupBy("_row").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_own"), F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("rare_known"))
+    rare = coded.select("_row", "held_out", F.explode("rare").alias("word", "times")).join(tail, "word", "left")
+    rare = rare.withColumn("c", F.coalesce("c", F.when(F.col("held_out"), 0).otherwise(1)))
+    rare = rare.groupBy("_row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 0.5)).alias("rare_own"), F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("rare_known"))
     beyond = F.coalesce("rare_own", F.lit(0.0))
     return scored.join(rare, "_row", "left").select(
         "doc_id",

@@ -5,10 +5,12 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docketry.llm import language_id, lm_scoring, media, queries
@@ -120,6 +122,40 @@ def test_base_scores_agree_with_plain_counting(spark, odd, tiny, head):
     assert got == brute_base(df.collect())
 
 
+def test_tokens_are_those_of_plain_splitting(odd):
+    more = ["a\x1cb\x1d c\x1f\x85\xa0d", " \u2003\u00c9 \u00c0A\u0130 ", "\x00 a\x00b ", "A B\nC\r\n", "\x0b", "x" * 70_000 + " Y", " lead", "trail\t"]
+    texts = [r.text for r in odd.collect()] + more
+    words, codes, starts = lm_scoring.tokens_of(pa.array(["cut off", *texts, "too"], pa.string()).slice(1, len(texts)))
+    words, ends = words.to_pylist(), [*starts[1:].tolist(), len(codes)]
+    want = [[w.decode() for w in (t or "").encode().lower().split()] + [lm_scoring.END] for t in texts]
+    assert [[words[c] for c in codes[i:j]] for i, j in zip(starts.tolist(), ends)] == want
+    assert len(set(words)) == len(words)
+
+
+def test_tokens_cost_less_than_a_python_loop_over_words():
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"word{k}" for k in np.minimum(rng.zipf(1.2, 500), 10**6)) for _ in range(800)]
+    given = pa.array(texts)
+
+    def arrays():
+        words, codes, _ = lm_scoring.tokens_of(given)
+        return dict(zip(words.to_pylist(), np.bincount(codes).tolist()))
+
+    def loop():
+        counts = Counter()
+        for t in given.to_pylist():
+            counts.update([*t.encode().lower().split(), b""])
+        return {w.decode(): c for w, c in counts.items()}
+
+    def cost(f):
+        begun = time.process_time()
+        f()
+        return time.process_time() - begun
+
+    assert arrays() == loop()
+    assert min(cost(arrays) for _ in range(5)) < 0.9 * min(cost(loop) for _ in range(5))
+
+
 def test_scores_of_the_empty_table(empty):
     assert lm_scoring.score(empty).count() == 0
 
@@ -160,6 +196,18 @@ def test_probabilities_sum_to_one():
     assert logs[500] == pytest.approx(k[c] - np.log(np.exp(k).sum()) + inner[500 - v.starts[c]] - np.log(np.exp(inner).sum()), rel=1e-3)
 
 
+@pytest.mark.parametrize("size", [0.3, 40])
+def test_factors_of_classes_give_the_same_probabilities_or_are_refused(size):
+    mass = np.append(np.arange(1500, 0, -1.0), 90.0)
+    v = lm_scoring.Vocabulary({}, np.array([1]), np.array([0]), mass, 10, 10)
+    model, rng = lm_scoring.LogBilinear.start(v), np.random.default_rng(6)
+    model.q[:, :-1], model.k[:, :-1] = rng.normal(0, size, (1501, lm_scoring.WIDTH)), rng.normal(0, size, (len(v.starts), lm_scoring.WIDTH))
+    context, target = rng.integers(0, 1501, (3000, lm_scoring.CONTEXT)), rng.integers(0, 1501, 3000)
+    factors = model.factors()
+    assert (factors is None) == (size == 40)
+    assert model.log_probabilities(context, target, v, factors) == pytest.approx(model.log_probabilities(context, target, v), rel=1e-5, abs=1e-4)
+
+
 def per_token(rows):
     held = [r for r in rows if r.held_out]
     return [-sum(r[c] for r in held) / sum(r.n_tokens for r in held) for c in ("base_score", "score")]
