@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from docketry import catalog
+from docketry.operators import repair
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -41,3 +42,24 @@ def test_query(name, spark, tiny, oracle):
     got = [tuple(plain(r[c]) for c in order) for r in rows]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert got, "a comparison of nothing proves nothing"
+
+
+@pytest.mark.parametrize("odd", ["empty texts", "null texts", "repeated labels", "all"])
+def test_ingest_outcomes_of_odd_rows(odd, spark, tmp_path):
+    con = duckdb.connect()
+    body = {"empty texts": "CASE WHEN i < 12 THEN '' ELSE 'a fund' END", "null texts": "CASE WHEN i < 12 THEN NULL ELSE 'words' END", "repeated labels": "'words'", "all": "['', NULL, 'words', 'a fund'][1 + i % 4]"}[odd]
+    times = 3 if odd in ("repeated labels", "all") else 1
+    con.execute(f"COPY (SELECT i AS doc_id, {body} AS text, 'en' AS lang, 's' AS source, 5::BIGINT AS n_chars FROM range(60) t(i)) TO '{tmp_path}/documents.parquet'")
+    con.execute(f"COPY (SELECT 7 * i AS doc_id, 1 AS quality, 0 AS toxic FROM range(9) t(i), range({times})) TO '{tmp_path}/labels.parquet'")
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
+    want = dict(con.execute(catalog.ORACLE_SQL["ingest_outcome"]).fetchall())
+    assert {r.outcome: r.cases for r in catalog.QUERIES["ingest_outcome"](spark, str(tmp_path)).collect()} == want
+
+
+def test_an_empty_body_has_failed_unless_it_is_to_be_judged(spark):
+    rows = spark.createDataFrame([(i, relevant, text) for i, (relevant, text) in enumerate((r, t) for r in (False, True, None) for t in ("", None, "x", "a fund"))], "i int, title_relevant boolean, raw_text string")
+    outcomes = lambda **options: [r.outcome for r in repair.classify(rows, **options).orderBy("i").collect()]
+    title, content = "skipped_title", "skipped_content"
+    assert outcomes() == [title] * 4 + ["failed", "failed", "success", "success"] + ["failed", "failed", content, "success"]
+    assert outcomes(empty_fails=False) == [title] * 4 + ["success"] * 4 + [content, "success", content, "success"]
